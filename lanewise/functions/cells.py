@@ -34,28 +34,44 @@ def _number(text: Column) -> Column:
     return F.when(text.rlike(_NUMBER), digits.try_cast("double"))
 
 
+# The ``*_from`` functions read a cell that went through ``present`` already, so
+# that an ingest trims and checks every cell once.
+
+
+def int_from(text: Column) -> Column:
+    return _number(F.translate(text, ",_ ", "")).try_cast("int")
+
+
+def float_from(text: Column) -> Column:
+    plain = F.translate(text, schema.CURRENCY_SYMBOLS + ", ", "")
+    return _number(F.regexp_replace(plain, r"^\((.*)\)$", "-$1"))
+
+
+def bool_from(text: Column) -> Column:
+    token = F.lower(text)
+    return F.when(token.isin(*schema.TRUE_TOKENS), True).when(
+        token.isin(*schema.FALSE_TOKENS), False
+    )
+
+
 def parse_int(cell: Column) -> Column:
     """Thousands separators dropped, fractions cut towards zero."""
-    digits = F.translate(present(cell), ",_ ", "")
-    return _number(digits).try_cast("int")
+    return int_from(present(cell))
 
 
 def parse_float(cell: Column) -> Column:
     """Currency signs and separators dropped; ``(x)`` means ``-x``."""
-    plain = F.translate(present(cell), schema.CURRENCY_SYMBOLS + ", ", "")
-    return _number(F.regexp_replace(plain, r"^\((.*)\)$", "-$1"))
+    return float_from(present(cell))
 
 
 def parse_date(cell: Column) -> Column:
+    """The first known spelling that fits; day before month where both would."""
     return date_from_text(present(cell))
 
 
 def parse_bool(cell: Column) -> Column:
     """True, False, or NULL for "the file did not say"."""
-    token = F.lower(present(cell))
-    return F.when(token.isin(*schema.TRUE_TOKENS), True).when(
-        token.isin(*schema.FALSE_TOKENS), False
-    )
+    return bool_from(present(cell))
 
 
 def clean_text(cell: Column, limit: int) -> Column:

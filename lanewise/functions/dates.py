@@ -1,9 +1,10 @@
 """Dates in the spellings that exports use.
 
-Each format is matched by a regular expression that also rearranges the parts
-into ``year-month-day``, which the plain cast to date then checks. Trying
-timestamp parsers one after the other would throw and catch an exception for
-every format that does not fit, on every cell.
+All formats are alternatives of one regular expression, in order, so the first
+that fits wins as it would by trying them in turn. The expression rearranges the
+parts into ``year-month-day``, which the plain cast to date then checks. Trying
+a timestamp parser per format would throw and catch an exception for every
+format that does not fit, on every cell.
 """
 
 from __future__ import annotations
@@ -16,53 +17,64 @@ from pyspark.sql import functions as F
 
 from lanewise import schema
 
+_MONTHS_SHORT = [m.lower() for m in calendar.month_abbr[1:]]
+_MONTHS_LONG = [m.lower() for m in calendar.month_name[1:]]
 _PARTS = {
-    "%Y": r"(?<Y>(?!0000)[0-9]{4})",
-    "%y": r"(?<y>[0-9]{2})",
-    "%m": r"(?<m>1[0-2]|0[1-9]|[1-9])",
-    "%d": r"(?<d>3[01]|[12][0-9]|0[1-9]|[1-9])",
-    "%b": r"(?<b>[a-z]{3})",
-    "%B": r"(?<b>[a-z]{3,9})",
+    "%Y": r"(?<y@>(?!0000)[0-9]{4})",
+    "%y": r"(?<y@>[0-9]{2})",
+    "%m": r"(?<m@>1[0-2]|0[1-9]|[1-9])",
+    "%b": f"(?<m@>{'|'.join(_MONTHS_SHORT)})",
+    "%B": f"(?<m@>{'|'.join(_MONTHS_LONG)})",
+    "%d": r"(?<d@>3[01]|[12][0-9]|0[1-9]|[1-9])",
     "%H": r"(?:2[0-3]|[01][0-9]|[0-9])",
     "%M": r"(?:[0-5][0-9]|[0-9])",
     "%S": r"(?:[0-5][0-9]|[0-9])",
 }
-_MONTHS_SHORT = [m.lower() for m in calendar.month_abbr[1:]]
-_MONTHS_LONG = [m.lower() for m in calendar.month_name[1:]]
 # Two-digit years below this are 20xx, the rest 19xx.
-_CENTURY_PIVOT = 69
+_CENTURY_PIVOT = "69"
+# Marks text that fitted a format; cells are lower case by then.
+_FITTED = "D"
 
 
-def _pattern(fmt: str) -> str:
-    pieces = re.split(r"(%[A-Za-z])", fmt)
+def _alternative(fmt: str, number: int) -> str:
+    pieces = re.split(r"(%[A-Za-z])", fmt.replace("T", "t"))
     body = "".join(
         _PARTS[p] if p in _PARTS else re.escape(p).replace(r"\ ", r"\s+") for p in pieces
     )
-    return f"^{body}$"
+    return body.replace("@", str(number))
+
+
+def _rearranged(text: Column, formats: list[str]) -> Column:
+    """``Dyear-month-day`` if ``text`` is written in one of ``formats``, else unchanged."""
+    pattern = "|".join(_alternative(f, i) for i, f in enumerate(formats))
+    # A group of an alternative that did not match is empty.
+    year, month, day = (
+        "".join(f"${{{part}{i}}}" for i in range(len(formats))) for part in "ymd"
+    )
+    return F.regexp_replace(text, f"^(?:{pattern})$", f"{_FITTED}{year}-{month}-{day}")
+
 
+def _is_named(fmt: str) -> bool:
+    return "%b" in fmt.lower()
 
-def _month_number(name: Column, names: list[str]) -> Column:
-    position = F.array_position(F.array(*map(F.lit, names)), name)
-    return F.when(position > 0, position.cast("string"))
 
+def _numeric_date(text: Column) -> Column:
+    found = _rearranged(text, [f for f in schema.DATE_FORMATS if not _is_named(f)])
+    return F.when(F.startswith(found, F.lit(_FITTED)), F.substring(found, 2, 10).try_cast("date"))
 
-def _read(text: Column, fmt: str) -> Column:
-    """The date in ``text`` if it is written in ``fmt``, else NULL."""
-    pattern = _pattern(fmt)
-    if "%b" in fmt or "%B" in fmt:
-        names = _MONTHS_LONG if "%B" in fmt else _MONTHS_SHORT
-        month = _month_number(F.regexp_replace(text, pattern, "${b}"), names)
-        year = F.regexp_replace(text, pattern, "${y}" if "%y" in fmt else "${Y}")
-        if "%y" in fmt:
-            year = F.concat(F.when(year < f"{_CENTURY_PIVOT}", "20").otherwise("19"), year)
-        day = F.regexp_replace(text, pattern, "${d}")
-        iso = F.concat(year, F.lit("-"), month, F.lit("-"), day)
-    else:
-        iso = F.regexp_replace(text, pattern, "${Y}-${m}-${d}")
-    return F.when(text.rlike(pattern), iso.try_cast("date"))
+
+def _named_date(text: Column) -> Column:
+    found = _rearranged(text, [f for f in schema.DATE_FORMATS if _is_named(f)])
+    year, month, day = (
+        F.split_part(F.substring(found, 2, 30), F.lit("-"), F.lit(i)) for i in (1, 2, 3)
+    )
+    century = F.when(F.length(year) > 2, "").when(year < _CENTURY_PIVOT, "20").otherwise("19")
+    number = (F.instr(F.lit("".join(_MONTHS_SHORT)), F.left(month, F.lit(3))) + 2) / 3
+    iso = F.concat_ws("-", F.concat(century, year), number.cast("int").cast("string"), day)
+    return F.when(F.startswith(found, F.lit(_FITTED)), iso.try_cast("date"))
 
 
 def date_from_text(cell: Column) -> Column:
-    """First format of ``schema.DATE_FORMATS`` that fits, in order."""
+    """The date a cell states in one of ``schema.DATE_FORMATS``, else NULL."""
     text = F.lower(cell)
-    return F.coalesce(*(_read(text, fmt.replace("T", "t")) for fmt in schema.DATE_FORMATS))
+    return F.coalesce(_numeric_date(text), _named_date(text))

@@ -23,6 +23,7 @@ from lanewise.operators import (
 from lanewise.operators.facts import facts as facts_of
 from lanewise.plans import report as reports
 from lanewise.plans import tables
+from lanewise.plans.ingest_queries import INGEST
 from lanewise.sources import tpch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -246,4 +247,4 @@ ANALYTICS: dict[str, Query] = {
 
 
 def queries() -> dict[str, Query]:
-    return dict(ANALYTICS)
+    return {**ANALYTICS, **INGEST}

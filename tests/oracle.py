@@ -10,7 +10,6 @@ import time
 from pathlib import Path
 
 import duckdb
-import pandas as pd
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
@@ -25,45 +24,42 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def canonical(frame: pd.DataFrame) -> pd.DataFrame:
+def canonical(names: list[str], rows: list[tuple]) -> list[tuple[str, ...]]:
     """Columns by name, cells as text, rows sorted."""
-    frame = frame[sorted(frame.columns)].copy()
-    for column in frame.columns:
-        frame[column] = [_text(v) for v in frame[column]]
-    return frame.sort_values(list(frame.columns)).reset_index(drop=True)
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    return sorted(tuple(_text(row[i]) for i in order) for row in rows)
 
 
 def _text(value: object) -> str:
-    if value is None or value is pd.NaT or (isinstance(value, float) and value != value):
-        return "NULL"
-    if isinstance(value, bool) or type(value).__name__ == "bool_":
-        return str(bool(value))
-    if hasattr(value, "isoformat"):
-        return value.isoformat()[:10] if len(value.isoformat()) <= 10 or value.isoformat()[10:] == "T00:00:00" else value.isoformat()
-    if isinstance(value, (int, float)) or hasattr(value, "dtype"):
-        return repr(float(value))
-    return str(value)
+    if isinstance(value, float):
+        return "NULL" if value != value else repr(value + 0.0)
+    return "NULL" if value is None else str(value)
 
 
 def compare(spark, con, name: str, folder: str) -> tuple[bool, str]:
     started = time.time()
-    ours = entry.queries()[name](spark, folder).toPandas()
+    frame = entry.queries()[name](spark, folder)
+    ours = [tuple(row) for row in frame.collect()]
     took = time.time() - started
     sql = entry.oracle_sql().get(name)
     if sql is None:
         return len(ours) > 0, f"{len(ours)} rows, rows only, {took:.1f}s"
-    theirs = con.execute(sql).df()
-    if sorted(ours.columns) != sorted(theirs.columns):
-        return False, f"columns differ: {sorted(set(ours.columns) ^ set(theirs.columns))}"
+    found = con.execute(sql)
+    names = [d[0] for d in found.description]
+    theirs = found.fetchall()
+    if sorted(frame.columns) != sorted(names):
+        return False, f"columns differ: {sorted(set(frame.columns) ^ set(names))}"
     if len(ours) != len(theirs):
         return False, f"{len(ours)} rows against {len(theirs)}"
-    a, b = canonical(ours), canonical(theirs)
-    different = (a != b).any(axis=1)
-    if different.any():
-        first = different.idxmax()
-        columns = [c for c in a.columns if a.at[first, c] != b.at[first, c]]
-        cells = {c: (a.at[first, c], b.at[first, c]) for c in columns}
-        return False, f"{int(different.sum())} of {len(a)} rows differ, e.g. {cells}"
+    pairs = zip(canonical(frame.columns, ours), canonical(names, theirs), strict=True)
+    different = [(a, b) for a, b in pairs if a != b]
+    if different:
+        cells = {
+            column: (a, b)
+            for column, a, b in zip(sorted(names), *different[0], strict=True)
+            if a != b
+        }
+        return False, f"{len(different)} of {len(ours)} rows differ, e.g. {cells}"
     return len(ours) > 0, f"{len(ours)} rows equal, {took:.1f}s"
 
 
