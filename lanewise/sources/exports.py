@@ -16,6 +16,7 @@ from lanewise.functions.dates import date_from_text
 from lanewise.sources import headers as header_map
 from lanewise.sources import store
 from lanewise.sources.probe import (
+    NO_HEADER,
     files_with_multiline_cells,
     list_files,
     probe,
@@ -217,7 +218,10 @@ def plan_ingest(
         F.count(F.lit(1)).alias("files"), F.max("length").alias("largest")
     ).first()
     if not size.files:
-        raise IngestError("Only .csv files are supported.", {"paths": paths[:40]})
+        # Spark's listing leaves out files of length zero.
+        named = any(p.lower().endswith(".csv") for p in paths)
+        message = NO_HEADER if named else "Only .csv files are supported."
+        raise IngestError(message, {"paths": paths[:40]})
     if max_bytes is not None and size.largest > max_bytes:
         raise IngestError(
             f"File is {size.largest / 1_048_576:.1f} MB; the limit is"
