@@ -15,22 +15,28 @@ _DIGITS = r"[0-9]+(?:_[0-9]+)*"
 _NUMBER = rf"^[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
 
 
+# Blanks around a cell: the one-byte ones and the no-break space.
+_WHITESPACE = "".join(c for c in map(chr, range(0x100)) if c.isspace())
+_LONGEST_TOKEN = max(map(len, schema.NULL_TOKENS))
+
+
 def trimmed(cell: Column) -> Column:
-    return F.regexp_replace(cell, r"^\s+|\s+$", "")
+    return F.btrim(cell, F.lit(_WHITESPACE))
 
 
-def is_missing(cell: Column) -> Column:
-    """True for NULL and for every spelling of "no data"."""
-    return cell.isNull() | F.lower(trimmed(cell)).isin(*schema.NULL_TOKENS)
+def unless_empty(text: Column) -> Column:
+    """A trimmed cell, NULL when it is one of the spellings of "no data"."""
+    short = F.length(text) <= _LONGEST_TOKEN
+    return F.when(~(short & F.lower(text).isin(*schema.NULL_TOKENS)), text)
 
 
 def present(cell: Column) -> Column:
     """The trimmed cell, NULL when it says nothing."""
-    return F.when(~is_missing(cell), trimmed(cell))
+    return unless_empty(trimmed(cell))
 
 
 def _number(text: Column) -> Column:
-    digits = F.regexp_replace(text, "_", "")
+    digits = F.replace(text, F.lit("_"), F.lit(""))
     return F.when(text.rlike(_NUMBER), digits.try_cast("double"))
 
 
@@ -44,7 +50,9 @@ def int_from(text: Column) -> Column:
 
 def float_from(text: Column) -> Column:
     plain = F.translate(text, schema.CURRENCY_SYMBOLS + ", ", "")
-    return _number(F.regexp_replace(plain, r"^\((.*)\)$", "-$1"))
+    bracketed = F.startswith(plain, F.lit("(")) & F.endswith(plain, F.lit(")"))
+    inside = F.concat(F.lit("-"), F.substr(plain, F.lit(2), F.length(plain) - 2))
+    return _number(F.when(bracketed, inside).otherwise(plain))
 
 
 def bool_from(text: Column) -> Column:

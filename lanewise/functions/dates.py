@@ -32,6 +32,7 @@ _PARTS = {
 }
 # Two-digit years below this are 20xx, the rest 19xx.
 _CENTURY_PIVOT = "69"
+_PLAIN = "^(?!0000)[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 # Marks text that fitted a format; cells are lower case by then.
 _FITTED = "D"
 
@@ -77,4 +78,6 @@ def _named_date(text: Column) -> Column:
 def date_from_text(cell: Column) -> Column:
     """The date a cell states in one of ``schema.DATE_FORMATS``, else NULL."""
     text = F.lower(cell)
-    return F.coalesce(_numeric_date(text), _named_date(text))
+    by_format = F.coalesce(_numeric_date(text), _named_date(text))
+    # By far the commonest spelling needs no rearranging.
+    return F.when(cell.rlike(_PLAIN), cell.try_cast("date")).otherwise(by_format)

@@ -16,8 +16,7 @@ def _word_map(words_by_label: dict[str, str]) -> Column:
 
 
 def _label(raw: Column, words_by_label: dict[str, str]) -> Column:
-    trimmed = F.regexp_replace(raw, r"^\s+|\s+$", "")
-    word = F.translate(F.lower(trimmed), "- ", "__")
+    word = F.translate(F.lower(F.trim(raw)), "- ", "__")
     return F.coalesce(F.try_element_at(_word_map(words_by_label), word), F.lit("unknown"))
 
 

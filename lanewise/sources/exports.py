@@ -402,7 +402,8 @@ def stage(rows: DataFrame, mapped: Sequence[str] | Mapping[str, int]) -> DataFra
     derived delays. The same function serves files and streams.
     """
     extra = [c for c in rows.columns if c not in mapped]
-    stated = rows.select(*extra, *(cells.present(F.col(n)).alias(n) for n in mapped))
+    trimmed = rows.select(*extra, *(cells.trimmed(F.col(n)).alias(n) for n in mapped))
+    stated = trimmed.select(*extra, *(cells.unless_empty(F.col(n)).alias(n) for n in mapped))
     known = [F.col(n) for n in mapped]
     typed = stated.select(
         *extra,
