@@ -40,16 +40,23 @@ def _number(text: Column) -> Column:
     return F.when(text.rlike(_NUMBER), digits.try_cast("double"))
 
 
-# The ``*_from`` functions read a cell that went through ``present`` already, so
-# that an ingest trims and checks every cell once.
+# The ``*_from`` functions read a cell that went through ``present``, numbers also
+# through ``*_digits``, so that an ingest does each of these once per cell.
 
 
-def int_from(text: Column) -> Column:
-    return _number(F.translate(text, ",_ ", "")).try_cast("int")
+def int_digits(text: Column) -> Column:
+    return F.translate(text, ",_ ", "")
 
 
-def float_from(text: Column) -> Column:
-    plain = F.translate(text, schema.CURRENCY_SYMBOLS + ", ", "")
+def float_digits(text: Column) -> Column:
+    return F.translate(text, schema.CURRENCY_SYMBOLS + ", ", "")
+
+
+def int_from(digits: Column) -> Column:
+    return _number(digits).try_cast("int")
+
+
+def float_from(plain: Column) -> Column:
     bracketed = F.startswith(plain, F.lit("(")) & F.endswith(plain, F.lit(")"))
     inside = F.concat(F.lit("-"), F.substr(plain, F.lit(2), F.length(plain) - 2))
     return _number(F.when(bracketed, inside).otherwise(plain))
@@ -64,12 +71,12 @@ def bool_from(text: Column) -> Column:
 
 def parse_int(cell: Column) -> Column:
     """Thousands separators dropped, fractions cut towards zero."""
-    return int_from(present(cell))
+    return int_from(int_digits(present(cell)))
 
 
 def parse_float(cell: Column) -> Column:
     """Currency signs and separators dropped; ``(x)`` means ``-x``."""
-    return float_from(present(cell))
+    return float_from(float_digits(present(cell)))
 
 
 def parse_date(cell: Column) -> Column:

@@ -33,10 +33,6 @@ _PARTS = {
 # Two-digit years below this are 20xx, the rest 19xx.
 _CENTURY_PIVOT = "69"
 _PLAIN = "^(?!0000)[0-9]{4}-[0-9]{2}-[0-9]{2}$"
-# Marks text that fitted a format; cells are lower case by then.
-_FITTED = "D"
-
-
 def _alternative(fmt: str, number: int) -> str:
     pieces = re.split(r"(%[A-Za-z])", fmt.replace("T", "t"))
     body = "".join(
@@ -46,13 +42,13 @@ def _alternative(fmt: str, number: int) -> str:
 
 
 def _rearranged(text: Column, formats: list[str]) -> Column:
-    """``Dyear-month-day`` if ``text`` is written in one of ``formats``, else unchanged."""
+    """``year-month-day`` of text written in one of ``formats``, ``--`` of any other."""
     pattern = "|".join(_alternative(f, i) for i, f in enumerate(formats))
     # A group of an alternative that did not match is empty.
     year, month, day = (
         "".join(f"${{{part}{i}}}" for i in range(len(formats))) for part in "ymd"
     )
-    return F.regexp_replace(text, f"^(?:{pattern})$", f"{_FITTED}{year}-{month}-{day}")
+    return F.regexp_replace(text, f"(?s)^(?:{pattern}|.*)$", f"{year}-{month}-{day}")
 
 
 def _is_named(fmt: str) -> bool:
@@ -60,24 +56,30 @@ def _is_named(fmt: str) -> bool:
 
 
 def _numeric_date(text: Column) -> Column:
-    found = _rearranged(text, [f for f in schema.DATE_FORMATS if not _is_named(f)])
-    return F.when(F.startswith(found, F.lit(_FITTED)), F.substring(found, 2, 10).try_cast("date"))
+    formats = [f for f in schema.DATE_FORMATS if not _is_named(f)]
+    return _rearranged(text, formats).try_cast("date")
 
 
 def _named_date(text: Column) -> Column:
-    found = _rearranged(text, [f for f in schema.DATE_FORMATS if _is_named(f)])
-    year, month, day = (
-        F.split_part(F.substring(found, 2, 30), F.lit("-"), F.lit(i)) for i in (1, 2, 3)
-    )
-    century = F.when(F.length(year) > 2, "").when(year < _CENTURY_PIVOT, "20").otherwise("19")
-    number = (F.instr(F.lit("".join(_MONTHS_SHORT)), F.left(month, F.lit(3))) + 2) / 3
-    iso = F.concat_ws("-", F.concat(century, year), number.cast("int").cast("string"), day)
-    return F.when(F.startswith(found, F.lit(_FITTED)), iso.try_cast("date"))
+    def assemble(parts: Column) -> Column:
+        year, month, day = (parts.getItem(i) for i in range(3))
+        century = F.when(F.length(year) > 2, "").when(year < _CENTURY_PIVOT, "20").otherwise("19")
+        number = (F.instr(F.lit("".join(_MONTHS_SHORT)), F.left(month, F.lit(3))) + 2) / 3
+        iso = F.concat_ws("-", F.concat(century, year), number.cast("int").cast("string"), day)
+        return F.when(year != "", iso.try_cast("date"))
+
+    formats = [f for f in schema.DATE_FORMATS if _is_named(f)]
+    parts = F.split(_rearranged(text, formats), "-")
+    # A one-element transform computes the parts once for all their uses.
+    return F.transform(F.array(parts), assemble).getItem(0)
 
 
 def date_from_text(cell: Column) -> Column:
     """The date a cell states in one of ``schema.DATE_FORMATS``, else NULL."""
     text = F.lower(cell)
-    by_format = F.coalesce(_numeric_date(text), _named_date(text))
     # By far the commonest spelling needs no rearranging.
-    return F.when(cell.rlike(_PLAIN), cell.try_cast("date")).otherwise(by_format)
+    return (
+        F.when(cell.rlike(_PLAIN), cell.try_cast("date"))
+        .when(text.rlike("[a-z]{3}"), _named_date(text))
+        .otherwise(_numeric_date(text))
+    )

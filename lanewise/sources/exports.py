@@ -405,14 +405,28 @@ def stage(rows: DataFrame, mapped: Sequence[str] | Mapping[str, int]) -> DataFra
     trimmed = rows.select(*extra, *(cells.trimmed(F.col(n)).alias(n) for n in mapped))
     stated = trimmed.select(*extra, *(cells.unless_empty(F.col(n)).alias(n) for n in mapped))
     known = [F.col(n) for n in mapped]
-    typed = stated.select(
+    # Selects in a row rather than nested expressions: a column that is used more
+    # than once stays a column, and is computed once.
+    readable = stated.select(
         *extra,
         F.coalesce(*known).isNotNull().alias("_accepted"),
+        *(_digits(n).alias(n) for n in mapped),
+    )
+    typed = readable.select(
+        *extra,
+        "_accepted",
         *(_typed(name, name in mapped).alias(name) for name in schema.FIELD_TYPES),
     )
     return complete(typed, extra)
 
 
+def _digits(name: str) -> Column:
+    kind = schema.FIELD_TYPES[name]
+    if kind == "int":
+        return cells.int_digits(F.col(name))
+    return cells.float_digits(F.col(name)) if kind.startswith("decimal") else F.col(name)
+
+
 def _typed(name: str, mapped: bool) -> Column:
     kind = schema.FIELD_TYPES[name]
     if not mapped:
