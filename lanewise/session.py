@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -32,11 +33,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder that ``spark.checkpoint.dir`` names.
 
     Executors on other machines must see what is written here, so the session's
-    own setting always wins. Only when it is unset, as in local tests, is a
-    folder made and recorded in the session.
+    own setting always wins. Only where it is unset, as in local tests, is a
+    folder made on this machine; with any other master that is an error.
     """
     root = spark.conf.get(CHECKPOINT_DIR, None)
     if not root:
-        root = tempfile.mkdtemp(prefix="lanewise-")
-        spark.conf.set(CHECKPOINT_DIR, root)
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError(f"Set {CHECKPOINT_DIR} to a folder that all executors share.")
+        root = _local_root()
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="lanewise-")
