@@ -62,10 +62,15 @@ def section_rollup(
     not the number of shipments. A dataset or a vendor that holds a third of
     the rows is spread over all map tasks and arrives as one row from each.
     """
-    renamed = facts.select(
-        *by, *MEASURE_INPUTS, *(F.col(SECTION_LABELS[s]).alias(s) for s in sections)
+    labels = F.array(
+        *(
+            F.struct(F.lit(s).alias("section"), F.col(SECTION_LABELS[s]).alias("label"))
+            for s in sections
+        )
     )
-    long = renamed.unpivot([*by, *MEASURE_INPUTS], list(sections), "section", "label")
+    # An unpivot would read better, but a kept frame with one in its plan is not
+    # recognised when it is joined with an aggregate of itself.
+    long = facts.select(*by, *MEASURE_INPUTS, F.inline(labels))
     return rollup(long.where("label <> ''"), [*by, "section", "label"])
 
 

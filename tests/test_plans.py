@@ -59,7 +59,6 @@ def test_aggregations_combine_before_they_shuffle(stored):
 def test_all_grouped_sections_take_one_scan_and_one_shuffle(stored):
     text = plan(section_rollup(stored))
     assert scans(text) == 1 and text.count("Exchange hashpartitioning") == 1
-    assert "Expand" in text
 
 
 def test_a_report_scans_the_facts_twice(stored):
