@@ -173,6 +173,49 @@ def _whole_report(facts: DataFrame) -> DataFrame:
     return reports.report(facts).document()
 
 
+def _report_outline(facts: DataFrame) -> DataFrame:
+    """What each nested report says first in every section, as flat columns."""
+    whole = _whole_report(facts).where("part = 0")
+    return whole.select(
+        "upload_id",
+        "kpis.total_shipments",
+        "kpis.late_shipment_pct",
+        "kpis.p90_delay_days",
+        "risk.score",
+        "risk.level",
+        "trend.direction",
+        "trend.delay_change_pct",
+        F.size("trend.points").cast("long").alias("months"),
+        F.array_join("healthy_signals", "|").alias("signals"),
+        F.col("cost.total_freight_cost"),
+        F.col("cost.freight_pct_of_goods"),
+        F.col("quality.perfect_order_rate_pct"),
+        F.col("emissions.total_co2_kg"),
+        F.try_element_at("emissions.co2_by_mode_kg", F.lit("air")).alias("air_co2_kg"),
+        F.array_join("available_dimensions", ",").alias("available"),
+        F.size("vendors").cast("long").alias("vendors"),
+        F.size("countries").cast("long").alias("countries"),
+        F.size("lanes").cast("long").alias("lanes"),
+        F.try_element_at("vendors", F.lit(1))["vendor"].alias("worst_vendor"),
+        F.try_element_at("vendors", F.lit(1))["health_score"].alias("worst_health"),
+        F.try_element_at("lanes", F.lit(1))["label"].alias("worst_lane"),
+        F.try_element_at("lanes", F.lit(1))["share_pct"].alias("worst_lane_share"),
+    )
+
+
+def _operations_view(facts: DataFrame) -> DataFrame:
+    seen = views.operations_view(facts)
+    return seen.select(
+        "upload_id",
+        "cost.total_freight_cost",
+        "cost.freight_per_kg",
+        "quality.damage_rate_pct",
+        "quality.perfect_order_rate_pct",
+        "emissions.total_co2_kg",
+        F.array_join("available_dimensions", ",").alias("available"),
+    )
+
+
 def _json_report(facts: DataFrame) -> DataFrame:
     return reports.as_json(_whole_report(facts))
 
@@ -237,10 +280,11 @@ ANALYTICS: dict[str, Query] = {
     "country_view": _on_facts(views.country_view),
     "trend_view": _on_facts(views.trend_view),
     "dimension_view": _on_facts(lambda f: views.dimension_view(f, "carriers")),
-    "operations_view": _on_facts(views.operations_view),
+    "operations_view": _on_facts(_operations_view),
     "history_view": _on_shipments(lambda s: views.history_view(_history_points(s))),
     "risk_view": _on_facts(_risk_view),
     "report": _on_facts(_whole_report),
+    "report_outline": _on_facts(_report_outline),
     "snapshot_report": _on_facts(_json_report),
     "report_shareable": _on_facts(_shareable),
 }
