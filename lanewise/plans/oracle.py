@@ -485,13 +485,13 @@ def oracle_sql() -> dict[str, str]:
             FROM tot LEFT JOIN av USING (upload_id)""",
         "report_outline": f"""{RISK}{after_facts(TREND)}{after_facts(VENDORS)}{after_facts(TOTALS)}{after_facts(dimension('route', 12))},
             cov AS ({coverage}), av AS (SELECT upload_id, string_agg(dimension, ',' ORDER BY position) AS available FROM cov GROUP BY upload_id),
-            wv AS (SELECT *, row_number() OVER (PARTITION BY upload_id ORDER BY health_score, value_at_risk DESC, vendor) AS place, count(*) OVER (PARTITION BY upload_id) AS scored FROM vendors),
+            wv AS (SELECT upload_id, vendor AS worst_vendor, health_score AS worst_health, row_number() OVER (PARTITION BY upload_id ORDER BY health_score, value_at_risk DESC, vendor) AS place, count(*) OVER (PARTITION BY upload_id) AS scored FROM vendors),
             ln AS (SELECT upload_id, count(*) AS lanes, max(label) FILTER (rn = 1) AS worst_lane, max(share_pct) FILTER (rn = 1) AS worst_lane_share FROM dims GROUP BY upload_id),
             air AS (SELECT upload_id, {cents('sum(co2_kg)')} AS air_co2_kg FROM facts WHERE transport_mode = 'air' GROUP BY upload_id)
             SELECT k.upload_id, total_shipments, late_shipment_pct, p90_delay_days, score, level, direction, delay_change_pct, period_count AS months, {signals},
               {cents('fs')} AS total_freight_cost, {pct('fs', 'goods')} AS freight_pct_of_goods, {pct('perfect', 'n')} AS perfect_order_rate_pct,
               {cents('co2s')} AS total_co2_kg, air_co2_kg, available, scored AS vendors, distinct_countries AS countries, lanes,
-              vendor AS worst_vendor, health_score AS worst_health, worst_lane, worst_lane_share
+              worst_vendor, worst_health, worst_lane, worst_lane_share
             FROM risk k JOIN trend USING (upload_id) JOIN tot USING (upload_id) JOIN av USING (upload_id) JOIN wv USING (upload_id) JOIN ln USING (upload_id) JOIN air USING (upload_id)
             WHERE place = 1""",
         "risk_view": f"""{RISK} SELECT upload_id, score, level, component_late_rate, component_value_at_risk, weight_late_rate, weight_value_at_risk,
