@@ -41,6 +41,10 @@ def _on_facts(op: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, folder: op(facts_of(tpch.shipments(spark, folder)))
 
 
+def _ranked(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("rank", F.col("rank").cast("long"))
+
+
 def _facts_shown(facts: DataFrame) -> DataFrame:
     return facts.select(
         "upload_id",
@@ -236,7 +240,7 @@ ANALYTICS: dict[str, Query] = {
     "country_shares": _on_facts(lambda f: _rounded_share(entities.country_shares(f))),
     "concentration": _on_facts(risk.concentration),
     "composite_risk": _on_facts(risk.composite_risk),
-    "risk_drivers": _on_facts(lambda f: risk.risk_drivers(risk.composite_risk(f))),
+    "risk_drivers": _on_facts(lambda f: _ranked(risk.risk_drivers(risk.composite_risk(f)))),
     "risk_unmeasured": _on_facts(_unmeasured),
     "dimension_score": _on_facts(lambda f: dimensions.dimension_score(f, "destination")),
     "dim_carriers": _on_facts(dimensions.carriers),
@@ -271,15 +275,19 @@ ANALYTICS: dict[str, Query] = {
     "resolve_dataset": _on_shipments(_resolved),
     "page_shipments": _on_shipments(_page),
     "top_vendors": _on_facts(
-        lambda f: catalog.top_vendors(entities.vendor_health(f, min_shipments=2))
+        lambda f: _ranked(catalog.top_vendors(entities.vendor_health(f, min_shipments=2)))
+    ),
+    "top_countries": _on_facts(
+        lambda f: _ranked(catalog.top_countries(entities.country_risk(f)))
+    ),
+    "list_datasets": _on_shipments(
+        lambda s: _ranked(views.list_datasets(tables.yearly_uploads(s)))
     ),
-    "top_countries": _on_facts(lambda f: catalog.top_countries(entities.country_risk(f))),
-    "list_datasets": _on_shipments(lambda s: views.list_datasets(tables.yearly_uploads(s))),
     "kpi_view": _on_facts(views.kpi_view),
-    "vendor_view": _on_facts(views.vendor_view),
-    "country_view": _on_facts(views.country_view),
+    "vendor_view": _on_facts(lambda f: _ranked(views.vendor_view(f))),
+    "country_view": _on_facts(lambda f: _ranked(views.country_view(f))),
     "trend_view": _on_facts(views.trend_view),
-    "dimension_view": _on_facts(lambda f: views.dimension_view(f, "carriers")),
+    "dimension_view": _on_facts(lambda f: _ranked(views.dimension_view(f, "carriers"))),
     "operations_view": _on_facts(_operations_view),
     "history_view": _on_shipments(lambda s: views.history_view(_history_points(s))),
     "risk_view": _on_facts(_risk_view),
