@@ -77,12 +77,6 @@ def _all() -> Column:
     return F.col("shipment_count")
 
 
-COST_COLUMNS = (
-    "coverage_pct total_freight_cost avg_freight_cost freight_per_unit freight_per_kg"
-    " freight_pct_of_goods total_landed_cost freight_spent_on_late_shipments"
-).split()
-
-
 def has_cost() -> Column:
     return enough(F.col("freight_count"), _all())
 
@@ -116,12 +110,6 @@ def freight_cost(facts: DataFrame, by: Sequence[str] = DATASET) -> DataFrame:
     )
 
 
-QUALITY_COLUMNS = (
-    "damage_rate_pct damaged_count return_rate_pct returned_count avg_fill_rate_pct"
-    " perfect_order_rate_pct coverage_pct"
-).split()
-
-
 def has_quality() -> Column:
     return (
         enough(F.col("has_damage"), _all())

@@ -20,7 +20,6 @@ KPI_COLUMNS = (
     " median_delay_days p90_delay_days avg_lead_time_days delivery_success_rate total_value"
     " value_at_risk distinct_vendors distinct_countries"
 ).split()
-SUMMARIES = ("cost", "quality", "emissions")
 MIN_SHIPMENTS = 2
 MIN_LABELS = 2
 ITEMS_PER_PART = 10_000
