@@ -33,7 +33,8 @@ CHAR_SLOTS = 4096
 SAMPLE, SAMPLE_WINDOWS = 900, 256
 #: Every fourth text of the sample calibrates and does not train.
 CALIBRATION = 4
-ROUNDS, STEPS = 5, 30
+#: Times windows are chosen anew, passes over the chosen ones each time, and windows of one step.
+ROUNDS, PASSES, STEP_WINDOWS = 4, 4, 512
 #: Least number of training texts a word must occur in.
 MIN_TEXTS = 3
 #: Code points that are turned into words together, and windows that run through the network together.
@@ -111,8 +112,8 @@ def fresh(evidence: np.ndarray) -> dict[str, np.ndarray]:
 
 def _run(gates: np.ndarray, index: np.ndarray, mask: np.ndarray, weights: np.ndarray, order, tape: list | None):
     """States of one direction, per step. ``gates`` holds every word's inputs to reset, update and new state."""
-    h = np.zeros((len(index), HIDDEN), dtype=np.float32)
-    states = np.empty((WINDOW, len(index), HIDDEN), dtype=np.float32)
+    h = np.zeros((len(index), HIDDEN), dtype=gates.dtype)
+    states = np.empty((WINDOW, len(index), HIDDEN), dtype=gates.dtype)
     two = 2 * HIDDEN
     for t in order:
         x, u = gates[index[:, t]], h @ weights
@@ -146,32 +147,35 @@ def forward(p: dict, x: np.ndarray, index: np.ndarray, mask: np.ndarray, tape: d
     return logits
 
 
-def _run_back(dstates, tape, weights, gates_shape, index, mask, dweights):
-    """Gradients of one direction with respect to its gate inputs and weights."""
-    dgates = np.zeros(gates_shape, dtype=np.float32)
-    dh = np.zeros((len(index), HIDDEN), dtype=np.float32)
+def _run_back(dstates: np.ndarray, tape: list, weights: np.ndarray, mask: np.ndarray):
+    """Gradients of one direction with respect to its gate inputs, by step and window, and its weights."""
+    dgates = np.empty((WINDOW, dstates.shape[1], 3 * HIDDEN), dtype=dstates.dtype)
+    dweights = np.zeros_like(weights)
+    dh = np.zeros_like(dstates[0])
     for t, h, u, r, z, new in reversed(tape):
         m = mask[:, t, None]
         dh = dh + dstates[t]
         dnew = dh * m * (1 - z) * (1 - new * new)
         dz = dh * m * (h - new) * z * (1 - z)
-        un = u[:, 2 * HIDDEN :]
-        dr = dnew * un * r * (1 - r)
-        dx = np.concatenate([dr, dz, dnew], axis=1)
+        dr = dnew * u[:, 2 * HIDDEN :] * r * (1 - r)
+        dgates[t] = np.concatenate([dr, dz, dnew], axis=1)
         du = np.concatenate([dr, dz, dnew * r], axis=1)
-        np.add.at(dgates, index[:, t], dx)
         dweights += h.T @ du
         dh = dh * (1 - m * (1 - z)) + du @ weights.T
-    return dgates
+    return dgates, dweights
 
 
-def gradients(p: dict, numbers: np.ndarray, chars: np.ndarray, index, mask, truth, each) -> dict[str, np.ndarray]:
-    """Gradients of the weighted logistic loss of windows."""
+def gradients(p: dict, numbers: np.ndarray, chars: np.ndarray, mask, truth, each) -> dict[str, np.ndarray]:
+    """Gradients of the weighted logistic loss of windows.
+
+    ``numbers`` and ``chars`` hold the words of each window, one after the other.
+    """
     x = np.concatenate([p["words"][numbers], chars], axis=1)
+    index = np.arange(len(numbers)).reshape(mask.shape)
     tape: dict = {}
     logits = forward(p, x, index, mask, tape)
     states, seen, weight, pooled = (tape[k] for k in ("states", "seen", "weight", "pooled"))
-    dlogit = ((sigmoid(logits) - truth) * each).astype(np.float32)
+    dlogit = ((sigmoid(logits) - truth) * each).astype(x.dtype)
     g = {"out": pooled.T @ dlogit, "out_bias": dlogit.sum(keepdims=True)}
     dpooled = dlogit[:, None] * p["out"]
     dweight = (states * dpooled).sum(axis=2)
@@ -180,17 +184,13 @@ def gradients(p: dict, numbers: np.ndarray, chars: np.ndarray, index, mask, trut
     g["ask"] = np.tensordot(dasked, seen, axes=([0, 1], [0, 1]))
     g["look"] = np.tensordot(states, dseen, axes=([0, 1], [0, 1]))
     dstates = weight[:, :, None] * dpooled + dseen @ p["look"].T
-    dgates = []
-    for name, part, own in (("forth", slice(0, HIDDEN), 0), ("back", slice(HIDDEN, None), 1)):
-        g[name] = np.zeros_like(p[name])
-        shape = (len(x), 3 * HIDDEN)
-        dgates.append(_run_back(dstates[:, :, part], tape["tapes"][own], p[name], shape, index, mask, g[name]))
-    dgate = np.concatenate(dgates, axis=1)
+    forth, g["forth"] = _run_back(dstates[:, :, :HIDDEN], tape["tapes"][0], p["forth"], mask)
+    back, g["back"] = _run_back(dstates[:, :, HIDDEN:], tape["tapes"][1], p["back"], mask)
+    dgate = np.concatenate([forth, back], axis=2).transpose(1, 0, 2).reshape(len(x), -1)
     g["gate_bias"], g["inputs"] = dgate.sum(axis=0), x.T @ dgate
-    dx = dgate @ p["inputs"].T
     g["words"] = np.zeros_like(p["words"])
-    np.add.at(g["words"], numbers, dx[:, :WORD_DIMS])
-    g["words"][0] = 0
+    known = np.flatnonzero(numbers)
+    np.add.at(g["words"], numbers[known], dgate[known] @ p["inputs"][:WORD_DIMS].T)
     return g
 
 
@@ -272,6 +272,7 @@ def _evidence(keys: np.ndarray, which: np.ndarray, truth: np.ndarray) -> tuple[n
     least = np.sqrt(2 * np.log(max(2, len(found))))
     root = np.sign(root) * np.maximum(0, np.abs(root) - least)
     top = np.lexsort([found, -np.abs(root)])[:VOCABULARY]
+    top = top[root[top] != 0]
     return found[top], (root[top] / max(1.0, np.abs(root[top]).max(initial=1.0))).astype(np.float32) * 2
 
 
@@ -289,6 +290,11 @@ def _sequences(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["keys", "chars"])
 
 
+def _shares(rng: np.random.Generator, count: int) -> list[np.ndarray]:
+    """All numbers below ``count`` in random order, in shares of about ``STEP_WINDOWS``."""
+    return np.array_split(rng.permutation(count), -(-count // STEP_WINDOWS))
+
+
 def fit(keys: list[np.ndarray], chars: list[np.ndarray], truth: np.ndarray, held: np.ndarray, share: float) -> Model:
     """Train on texts as word sequences; ``share`` is how common label 1 is outside the sample."""
     lengths = np.array([len(k) for k in keys])
@@ -315,12 +321,11 @@ def fit(keys: list[np.ndarray], chars: list[np.ndarray], truth: np.ndarray, held
         chosen = chosen[~held[text[chosen]]]
         label = truth[text[chosen]].astype(np.float32)
         each = np.where(label == 1, 0.5 / max(1, label.sum()), 0.5 / max(1, (1 - label).sum()))
-        index, mask = _placed(first[chosen], end[chosen])
-        tokens, index = np.unique(index, return_inverse=True)
-        index = index.reshape(mask.shape)
-        for _ in range(STEPS):
+        for part in (p for _ in range(PASSES) for p in _shares(rng, len(chosen))):
             step += 1
-            g = gradients(model.weights, numbers[tokens], all_chars[tokens], index, mask, label, each)
+            index, mask = _placed(first[chosen[part]], end[chosen[part]])
+            tokens, scale = index.ravel(), len(chosen) / len(part)
+            g = gradients(model.weights, numbers[tokens], all_chars[tokens], mask, label[part], each[part] * scale)
             for name, w in model.weights.items():
                 m, v = moments[name]
                 slope = g[name] + (0 if name == "words" else 1e-4) * w
