@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -81,3 +83,22 @@ def bridges(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = down
     of_row[rows], of_column[columns] = up, label
     return of_row, of_column
+
+
+def grouped(texts: list[str | None], size: int) -> Iterator[list[int]]:
+    """Places of texts that are worked on together; a text longer than ``size`` is a group of its own."""
+    group, filled = [], 0
+    for i, text in enumerate(texts):
+        if group and filled + len(text or "") > size:
+            yield group
+            group, filled = [], 0
+        group.append(i)
+        filled += len(text or "")
+    if group:
+        yield group
+
+
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each run, one run after the other."""
+    ahead = np.cumsum(lengths) - lengths
+    return np.arange(int(lengths.sum())) + np.repeat(starts - ahead, lengths)

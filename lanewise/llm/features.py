@@ -34,19 +34,24 @@ def counted(points: np.ndarray, orders: tuple[int, ...], slots: int) -> np.ndarr
 
 
 def word_keys(points: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A 64-bit key, the start and the end of each run of ``inside`` code points.
+    """A 64-bit key, the start and the end of each run of ``inside`` code points."""
+    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return span_keys(points, starts, ends), starts, ends
+
+
+def span_keys(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each span of code points.
 
     Keys are polynomials in an odd base, taken from one running sum: the sum
-    over a run, divided by the base to the power of its start.
+    over a span, divided by the base to the power of its start.
     """
-    edge = np.diff(inside.astype(np.int8), prepend=0, append=0)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     up, down = _powers(len(points) + 1)
     sums = np.zeros(len(points) + 1, dtype=np.uint64)
-    np.cumsum(points.astype(np.uint64) * up[: len(points)], out=sums[1:])
+    np.cumsum((points.astype(np.uint64) + np.uint64(1)) * up[: len(points)], out=sums[1:])
     keys = (sums[ends] - sums[starts]) * down[starts]
     keys ^= keys >> np.uint64(31)
-    return keys * np.uint64(0xBF58476D1CE4E5B9), starts, ends
+    return keys * np.uint64(0xBF58476D1CE4E5B9)
 
 
 _tables: dict[str, np.ndarray] = {}

@@ -1,17 +1,20 @@
 """SentencePiece tokens with seeded merge-dropout, and back.
 
 The vocabulary of a public SentencePiece BPE model decides which symbols merge
-and in which order. Every candidate merge, named by its place in a stretch of
-text, is skipped if a keyed hash of it falls below the dropout rate; a stretch
-is a word with the blanks before it, as no piece spans more. Segmentations vary
-with the seed and over the occurrences of a word in a text, always spell the
-same text, and are the same on every run.
+and in which order. Candidate merges wait in an agenda, the best first; each,
+named by its place in a stretch of text, is skipped if a keyed hash of it falls
+below the dropout rate. A stretch is a run of blanks and the word behind it, as
+no piece spans more. Segmentations vary with the seed and over the occurrences
+of a word in a text, always spell the same text, and are the same on every run.
+
+Stretches are merged together: in each round every stretch takes the best
+candidate of its agenda, as arrays over all different stretches of many texts.
+Very long stretches have an agenda of their own, a heap.
 """
 
 from __future__ import annotations
 
 import heapq
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,21 +25,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lanewise.llm.common import BOOL, INT, LONG, STRING, struct
+from lanewise.llm.common import BOOL, INT, LONG, STRING, code_points, grouped, ragged, struct
+from lanewise.llm.features import span_keys
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 13
-#: Segmentations that a stretch has at most; its occurrences in a text take them in turn.
+#: Segmentations that a stretch has at most; which one an occurrence gets follows from its place.
 VARIANTS = 4
 #: Stretches of so many characters or more are merged with a heap.
-LONG_STRETCH = 48
-#: Segmentations that a worker remembers.
-REMEMBERED = 200_000
+LONG_STRETCH = 64
+#: Characters of texts that are encoded together; a longer text is a group of its own.
+TOGETHER = 1 << 20
 
-_STRETCH = re.compile(r" *[^ ]+| +")
 _MASK = (1 << 64) - 1
 _NEVER = 1 << 40
+_PLACES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+_SPREAD = 0xBF58476D1CE4E5B9
+_BLANK = 32
 
 
 class Vocabulary:
@@ -60,72 +66,69 @@ class Vocabulary:
                     raise ValueError("Pieces that span words are not supported.")
                 normal[piece] = i
                 self.bytes_of.append(piece.encode())
-        self.ids = normal
         by_score = sorted(normal.values(), key=lambda i: (-model.get_score(i), i))
-        self.of_rank = by_score
+        self.of_rank = np.array(by_score, dtype=np.int64)
         rank = {i: r for r, i in enumerate(by_score)}
-        self.merges: dict[int, int] = {}
+        merges: dict[int, int] = {}
         for piece, i in normal.items():
             for cut in range(1, len(piece)):
                 left, right = normal.get(piece[:cut]), normal.get(piece[cut:])
                 if left is not None and right is not None:
-                    self.merges[left << 20 | right] = rank[i]
-
-    def symbols(self, stretch: str) -> list[int]:
-        """One symbol per character; a character without a piece is -1 and never merges."""
-        return [self.ids.get(c, -1) for c in stretch]
-
-    def spelled(self, stretch: str, bounds: list[int], symbols: list[int]) -> list[int]:
-        """Piece ids; characters without a piece become the pieces of their bytes."""
-        if min(symbols, default=0) >= 0:
-            return symbols
-        found: list[int] = []
-        for symbol, start in zip(symbols, bounds):
-            if symbol >= 0:
-                found.append(symbol)
-            else:
-                found += [self.byte_ids[b] for b in stretch[start].encode("utf-8", "surrogatepass")]
-        return found
+                    merges[left << 20 | right] = rank[i]
+        self.pairs = np.array(sorted(merges), dtype=np.int64)
+        self.ranks = np.array([merges[p] for p in self.pairs.tolist()] or [0], dtype=np.int64)
+        self.merges = merges
+        self.of_point = np.full(0x110000, -1, dtype=np.int32)
+        for piece, i in normal.items():
+            if len(piece) == 1:
+                self.of_point[ord(piece)] = i
+        self.of_byte = np.array(self.byte_ids, dtype=np.int64)
+
+    def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the merge of each pair of symbols, ``_NEVER`` if they do not merge."""
+        if not len(self.pairs):
+            return np.full(len(left), _NEVER)
+        wanted = left << 20 | right
+        at = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
+        return np.where((self.pairs[at] == wanted) & (left >= 0) & (right >= 0), self.ranks[at], _NEVER)
+
+    def in_bytes(self, symbols: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols with the pieces of the UTF-8 bytes for characters (-1) that have no piece, and how many each became."""
+        size = np.where(symbols >= 0, 1, 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000))
+        if (symbols >= 0).all():
+            return symbols, size
+        of = np.repeat(np.arange(len(symbols)), size)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+        total, point = size[of], points[of].astype(np.int64)
+        tail = point >> (6 * (total - 1 - nth)) & 0x3F | 0x80
+        lead = np.array([0, 0, 0xC0, 0xE0, 0xF0])[total] | point >> (6 * (total - 1))
+        byte = np.where(total == 1, point, np.where(nth == 0, lead, tail))
+        return np.where(symbols[of] >= 0, symbols[of], self.of_byte[byte & 0xFF]), size
 
 
 def _kept(key: int, start: int, middle: int, end: int, limit: int) -> bool:
-    mixed = (key + start * 0x9E3779B97F4A7C15 + middle * 0xC2B2AE3D27D4EB4F + end * 0x165667B19E3779F9) & _MASK
-    mixed = (mixed ^ mixed >> 29) * 0xBF58476D1CE4E5B9 & _MASK
+    mixed = (key + start * _PLACES[0] + middle * _PLACES[1] + end * _PLACES[2]) & _MASK
+    mixed = (mixed ^ mixed >> 29) * _SPREAD & _MASK
     return mixed >> 32 >= limit
 
 
-def _scan_merges(words: Vocabulary, stretch: str, key: int, limit: int) -> list[int]:
-    """Merges of a short stretch: the best candidate by rank, then leftmost, again and again."""
-    merges = words.merges
-    symbols, bounds = words.symbols(stretch), list(range(len(stretch) + 1))
-
-    def rank(i: int) -> int:
-        r = merges.get(symbols[i] << 20 | symbols[i + 1], _NEVER)
-        if r != _NEVER and limit and not _kept(key, bounds[i], bounds[i + 1], bounds[i + 2], limit):
-            return _NEVER
-        return r
-
-    ranks = [rank(i) for i in range(len(symbols) - 1)]
-    while ranks and (best := min(ranks)) != _NEVER:
-        i = ranks.index(best)
-        symbols[i] = words.of_rank[best]
-        del symbols[i + 1], bounds[i + 1], ranks[i]
-        if i < len(ranks):
-            ranks[i] = rank(i)
-        if i:
-            ranks[i - 1] = rank(i - 1)
-    return words.spelled(stretch, bounds, symbols)
-
-
-def _heap_merges(words: Vocabulary, stretch: str, key: int, limit: int) -> list[int]:
-    """The same for long stretches: an agenda of candidates, and symbols as a linked list."""
-    merges, size = words.merges, len(stretch)
-    symbols, after, before = words.symbols(stretch), list(range(1, size + 1)), list(range(-1, size - 1))
+def _kept_all(key: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndarray, limit: int) -> np.ndarray:
+    mixed = key.copy()
+    for place, factor in zip((start, middle, end), _PLACES):
+        mixed += place.astype(np.uint64) * np.uint64(factor)
+    mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(_SPREAD)
+    return mixed >> np.uint64(32) >= np.uint64(limit)
+
+
+def merge_one(words: Vocabulary, points: np.ndarray, key: int, limit: int) -> tuple[list[int], list[int]]:
+    """Symbols of one stretch and where they start, by an agenda of candidates, best rank first, then leftmost."""
+    merges, of_rank, size = words.merges, words.of_rank, len(points)
+    symbols, after, before = words.of_point[points].tolist(), list(range(1, size + 1)), list(range(-1, size - 1))
     agenda: list[tuple[int, int, int, int]] = []
 
     def offer(left: int) -> None:
         right = after[left]
-        if right < size:
+        if right < size and symbols[left] >= 0 and symbols[right] >= 0:
             r = merges.get(symbols[left] << 20 | symbols[right])
             if r is not None and (not limit or _kept(key, left, right, after[right], limit)):
                 heapq.heappush(agenda, (r, left, right, after[right]))
@@ -135,53 +138,143 @@ def _heap_merges(words: Vocabulary, stretch: str, key: int, limit: int) -> list[
     gone = [False] * size
     while agenda:
         r, left, right, end = heapq.heappop(agenda)
-        if gone[left] or after[left] != right or after[right] != end:
+        if gone[left] or gone[right] or after[left] != right or after[right] != end:
             continue
-        symbols[left], gone[right], after[left] = words.of_rank[r], True, end
+        symbols[left], gone[right], after[left] = int(of_rank[r]), True, end
         if end < size:
             before[end] = left
             offer(left)
         if before[left] >= 0:
             offer(before[left])
-    left = [i for i in range(size) if not gone[i]]
-    return words.spelled(stretch, left, [symbols[i] for i in left])
+    starts = [i for i in range(size) if not gone[i]]
+    return [symbols[i] for i in starts], starts
+
+
+def merge_together(
+    words: Vocabulary, points: np.ndarray, lengths: np.ndarray, keys: np.ndarray, limit: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols of many stretches laid end to end, where each starts in its stretch, and the stretch it is of."""
+    word = np.repeat(np.arange(len(lengths)), lengths)
+    start = np.arange(len(points)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    symbol = words.of_point[points].astype(np.int64)
+
+    def ranks(at: np.ndarray) -> np.ndarray:
+        """Ranks of the candidates that begin at the symbols ``at``."""
+        found = np.full(len(at), _NEVER)
+        has = np.flatnonzero(at < len(word) - 1)
+        has = has[word[at[has]] == word[at[has] + 1]]
+        i = at[has]
+        rank = words.rank_of(symbol[i], symbol[i + 1])
+        if limit:
+            last = (i + 2 >= len(word)) | (word[np.minimum(i + 2, len(word) - 1)] != word[i])
+            end = np.where(last, lengths[word[i]], start[np.minimum(i + 2, len(word) - 1)])
+            rank[~_kept_all(keys[word[i]], start[i], start[i + 1], end, limit)] = _NEVER
+        found[has] = rank
+        return found
+
+    rank = ranks(np.arange(len(word)))
+    done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    while len(word):
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        best = np.minimum.reduceat(rank, first)
+        count = np.diff(first, append=len(word))
+        active = np.repeat(best < _NEVER, count)
+        if not active.all():
+            done.append((symbol[~active], start[~active], word[~active]))
+            symbol, start, word, rank = (x[active] for x in (symbol, start, word, rank))
+            count, best = count[best < _NEVER], best[best < _NEVER]
+            if not len(word):
+                break
+        at = np.flatnonzero(rank == np.repeat(best, count))
+        at = at[np.diff(word[at], prepend=-1) != 0]
+        symbol[at] = words.of_rank[best]
+        stays = np.ones(len(word), dtype=bool)
+        stays[at + 1] = False
+        symbol, start, word, rank = (x[stays] for x in (symbol, start, word, rank))
+        at -= np.arange(len(at))
+        rank[at] = ranks(at)
+        left = at[at > 0] - 1
+        left = left[word[left] == word[left + 1]]
+        rank[left] = ranks(left)
+    if not done:
+        return symbol, start, word
+    symbol, start, word = (np.concatenate(x) for x in zip(*done))
+    order = np.argsort(word, kind="stable")
+    return symbol[order], start[order], word[order]
 
 
 class Tokenizer:
-    """Encodes and decodes whole texts; remembers the segmentations of recent stretches."""
+    """Encodes and decodes whole texts."""
 
     def __init__(self, proto: bytes, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
         self.words = Vocabulary(proto)
         self.limit = round(dropout * (1 << 32))
         self.variants = variants if self.limit else 1
-        self.seeds = [seed * 1_000_003 + v for v in range(self.variants)]
-        self.known: list[dict[str, list[int]]] = [{} for _ in self.seeds]
+        self.seed = np.uint64(xxhash.xxh64_intdigest(b"pieces", seed))
+
+    def segment(self, points: np.ndarray, lengths: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of stretches laid end to end, and how many each stretch has."""
+        symbol, start, word = merge_together(self.words, points, lengths, keys, self.limit)
+        first = np.cumsum(lengths) - lengths
+        pieces, size = self.words.in_bytes(symbol, points[first[word] + start])
+        return pieces, np.bincount(word, weights=size, minlength=len(lengths)).astype(np.int64)
+
+    def segment_long(self, points: np.ndarray, key: np.uint64) -> np.ndarray:
+        symbols, starts = merge_one(self.words, points, int(key), self.limit)
+        return self.words.in_bytes(np.array(symbols, dtype=np.int64), points[starts])[0]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Piece ids of texts; like in SentencePiece each gets a blank in front."""
+        found: list[np.ndarray] = []
+        for group in grouped(texts, TOGETHER):
+            found += self._encode_group([texts[i] for i in group])
+        return found
 
-    def stretch(self, stretch: str, variant: int) -> list[int]:
-        key = xxhash.xxh64_intdigest(stretch.encode("utf-8", "surrogatepass"), self.seeds[variant])
-        merge = _scan_merges if len(stretch) < LONG_STRETCH else _heap_merges
-        return merge(self.words, stretch, key, self.limit)
+    def _encode_group(self, texts: list[str]) -> list[np.ndarray]:
+        laid = [code_points(" " + t if t else t) for t in texts]
+        sizes = np.array([len(p) for p in laid])
+        points = np.concatenate(laid)
+        if not len(points):
+            return [np.empty(0, dtype=np.int32) for _ in texts]
+        blank = points == _BLANK
+        starts = blank.copy()
+        starts[1:] &= ~blank[:-1]
+        begin = np.cumsum(sizes) - sizes
+        starts[begin[sizes > 0]] = True
+        starts = np.flatnonzero(starts)
+        lengths = np.diff(starts, append=len(points))
+        keys = span_keys(points, starts, starts + lengths)
+        keys = (keys ^ self.seed) * np.uint64(_SPREAD)
+        text = np.searchsorted(begin[sizes > 0], starts, side="right") - 1
+        text = np.flatnonzero(sizes > 0)[text]
+        if self.variants > 1:
+            nth = np.arange(len(starts)) - np.searchsorted(starts, begin)[text]
+            turn = (keys + nth.astype(np.uint64) * np.uint64(_PLACES[0])) * np.uint64(_SPREAD)
+            keys = keys + (turn >> np.uint64(40)) % np.uint64(self.variants) * np.uint64(_PLACES[1])
+        different, example, which = np.unique(keys, return_index=True, return_inverse=True)
+        long = lengths[example] >= LONG_STRETCH
+        short = np.flatnonzero(~long)
+        short_lengths = lengths[example[short]]
+        inside = ragged(starts[example[short]], short_lengths)
+        pieces, short_counts = self.segment(points[inside], short_lengths, different[short])
+        counts = np.zeros(len(different), dtype=np.int64)
+        counts[short] = short_counts
+        offsets = np.zeros(len(different), dtype=np.int64)
+        offsets[short] = np.cumsum(short_counts) - short_counts
+        more, filled = [pieces], len(pieces)
+        for i in np.flatnonzero(long):
+            at = example[i]
+            own = self.segment_long(points[starts[at] : starts[at] + lengths[at]], different[i])
+            counts[i], offsets[i], filled = len(own), filled, filled + len(own)
+            more.append(own)
+        pieces = np.concatenate(more)
+        of_stretch = counts[which]
+        ids = pieces[ragged(offsets[which], of_stretch)].astype(np.int32)
+        per_text = np.bincount(text, weights=of_stretch, minlength=len(texts)).astype(np.int64)
+        return np.split(ids, np.cumsum(per_text)[:-1])
 
     def encode(self, text: str) -> list[int]:
-        """Piece ids of a text, which like in SentencePiece gets a blank in front."""
-        if not text:
-            return []
-        ids: list[int] = []
-        turn: dict[str, int] = {}
-        known, variants = self.known, self.variants
-        for part in _STRETCH.findall(" " + text):
-            v = turn.get(part, 0)
-            if variants > 1:
-                turn[part] = v + 1 if v + 1 < variants else 0
-            found = known[v].get(part)
-            if found is None:
-                found = self.stretch(part, v)
-                if len(part) < LONG_STRETCH:
-                    if len(known[v]) >= REMEMBERED // variants:
-                        known[v].clear()
-                    known[v][part] = found
-            ids += found
-        return ids
+        return self.encode_all([text])[0].tolist()
 
     def decode(self, ids) -> str:
         spelled = b"".join(map(self.words.bytes_of.__getitem__, ids))
@@ -216,16 +309,18 @@ def encode(
     def pieces(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         tokenizer = Tokenizer(shared.value, dropout, seed, variants)
         for batch in texts:
-            found = [None if t is None else tokenizer.encode(t) for t in batch]
-            yield pd.DataFrame(
-                {
-                    "n_pieces": [len(ids or ()) for ids in found],
-                    "lossless": [ids is None or tokenizer.decode(ids) == t for ids, t in zip(found, batch)],
-                    "pieces": pd.Series(
-                        [None if ids is None else np.array(ids, dtype=np.int32) for ids in found], dtype=object
-                    ),
-                }
-            )[["n_pieces", "pieces", "lossless"]]
+            for group in grouped(batch.tolist(), TOGETHER):
+                part = batch.iloc[group].tolist()
+                ids = iter(tokenizer.encode_all([t for t in part if t is not None]))
+                found = [None if t is None else next(ids) for t in part]
+                whole = [i is None or tokenizer.decode(i.tolist()) == t for i, t in zip(found, part)]
+                yield pd.DataFrame(
+                    {
+                        "n_pieces": [0 if i is None else len(i) for i in found],
+                        "pieces": pd.Series(found, dtype=object),
+                        "lossless": whole,
+                    }
+                )
 
     return docs.select(F.col(doc_id), pieces(F.col(text)).alias("_found")).select(doc_id, "_found.*")
 

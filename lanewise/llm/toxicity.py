@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import BINARY, DOUBLE, code_points, crc, keep, struct
+from lanewise.llm.common import BINARY, DOUBLE, code_points, crc, grouped, keep, struct
 from lanewise.llm.features import platt, sigmoid, word_keys
 from lanewise.llm.quality import labelled_sample
 
@@ -218,7 +218,7 @@ class Model:
     def highest(self, texts: list[str | None]) -> np.ndarray:
         """Highest window logit of each text, minus infinity for texts without a word."""
         best = np.full(len(texts), -np.inf)
-        for group in _groups(texts):
+        for group in grouped(texts, TEXT_STEP):
             points = [code_points((texts[i] or "").lower()) for i in group]
             gap = np.array([32], dtype="<u4")
             laid = np.concatenate([part for p in points for part in (p, gap)])
@@ -239,19 +239,6 @@ class Model:
         return np.where(np.isfinite(best), sigmoid(self.slope * np.where(np.isfinite(best), best, 0) + self.shift), 0.0)
 
 
-def _groups(texts: list[str | None]) -> Iterator[list[int]]:
-    """Texts that are worked on together; a very long text is a group of its own."""
-    group, size = [], 0
-    for i, text in enumerate(texts):
-        if group and size + len(text or "") > TEXT_STEP:
-            yield group
-            group, size = [], 0
-        group.append(i)
-        size += len(text or "")
-    if group:
-        yield group
-
-
 def _placed(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     index = first[:, None] + np.arange(WINDOW)
     mask = (index < end[:, None]).astype(np.float32)
