@@ -15,8 +15,8 @@ _DIGITS = r"[0-9]+(?:_[0-9]+)*"
 _NUMBER = rf"^[+-]?(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?$"
 
 
-# Blanks around a cell: the one-byte ones and the no-break space.
-_WHITESPACE = "".join(c for c in map(chr, range(0x100)) if c.isspace())
+# Blanks around a cell: all that Unicode has.
+_WHITESPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 _LONGEST_TOKEN = max(map(len, schema.NULL_TOKENS))
 
 

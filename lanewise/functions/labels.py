@@ -8,16 +8,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lanewise import schema
+from lanewise.functions.cells import trimmed
 
 
-def _word_map(words_by_label: dict[str, str]) -> Column:
-    pairs = ((w, label) for label, words in words_by_label.items() for w in words.split())
-    return F.create_map(*(F.lit(x) for x in chain.from_iterable(pairs)))
-
-
-def _label(raw: Column, words_by_label: dict[str, str]) -> Column:
-    word = F.translate(F.lower(F.trim(raw)), "- ", "__")
-    return F.coalesce(F.try_element_at(_word_map(words_by_label), word), F.lit("unknown"))
+def _label(raw: Column, labels: dict[str, str]) -> Column:
+    word = F.translate(F.lower(trimmed(raw)), "- ", "__")
+    table = F.create_map(*(F.lit(x) for x in chain.from_iterable(labels.items())))
+    return F.coalesce(F.try_element_at(table, word), F.lit("unknown"))
 
 
 def parse_status(raw: Column) -> Column:

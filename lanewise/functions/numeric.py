@@ -49,6 +49,14 @@ def signed_text1(value: Column) -> Column:
     return F.concat(F.when(value < 0, F.lit("")).otherwise(F.lit("+")), text1(value))
 
 
+def sentence(template: str, *parts: Column) -> Column:
+    """A template of the fixed values with its ``%s`` filled in; NULL if a part is."""
+    known = F.lit(True)
+    for part in parts:
+        known = known & part.isNotNull()
+    return F.when(known, F.format_string(template, *(p.cast("string") for p in parts)))
+
+
 def money_or_zero(total: Column) -> Column:
     """Like ``money``, with 0 where there was nothing to sum."""
     return money(F.coalesce(total, F.lit(0).cast("decimal(38,4)")))

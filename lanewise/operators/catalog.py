@@ -15,35 +15,49 @@ from lanewise.operators.entities import (
 from lanewise.operators.history import dataset_label
 from lanewise.operators.measures import DATASET
 
-# How many rows a view shows by default and at most.
-VIEW_ROWS, VIEW_ROWS_MAX = 25, 200
-SUMMARY_ROWS, SUMMARY_ROWS_MAX = 5, 15
+# How many rows the views that are named after it show, unless told otherwise.
+VIEW_ROWS = 25
+SUMMARY_ROWS = 5
 LISTED_DATASETS = 12
 
 
-def clamp_rows(requested: object, default: int = SUMMARY_ROWS, most: int = SUMMARY_ROWS_MAX) -> int:
-    """A requested row count forced into 1..most; anything unreadable is the default."""
-    try:
-        return max(1, min(int(requested), most))  # type: ignore[call-overload]
-    except (TypeError, ValueError):
-        return default
-
-
 def scan_upload(shipments: DataFrame, upload_id: str) -> DataFrame:
     """All shipments of one dataset; prunes partitions of a stored table."""
     return shipments.where(F.col("upload_id") == upload_id)
 
 
 def page(rows: DataFrame, order: Sequence[Column | str], limit: int, offset: int = 0) -> DataFrame:
-    """One page in a stated order; each task keeps only the rows up to the page."""
+    """One page in a stated order; each task keeps only the rows up to the page.
+
+    The rows in front of the page are gathered too, so for deep pages use ``page_after``.
+    """
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
-def newest_uploads(uploads: DataFrame, limit: int, offset: int = 0) -> DataFrame:
-    """Each owner's uploads, newest first, one page."""
+def page_after(
+    rows: DataFrame, order: Sequence[str], limit: int, last: Sequence[object] | None = None
+) -> DataFrame:
+    """The page that follows the row whose ``order`` columns equal ``last``.
+
+    The filter reaches the scan and no task keeps more than ``limit`` rows,
+    however deep the page. ``order`` must tell all rows apart and hold no NULL.
+    """
+    if last is not None:
+        after = F.lit(False)
+        same = F.lit(True)
+        for column, value in zip(order, last, strict=True):
+            after = after | (same & (F.col(column) > F.lit(value)))
+            same = same & (F.col(column) == F.lit(value))
+        rows = rows.where((F.col(order[0]) >= F.lit(last[0])) & after)
+    return rows.orderBy(*order).limit(limit)
+
+
+def newest_uploads(uploads: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """Each owner's uploads ranked from the newest; one page of them if ``limit`` is given."""
     newest = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("upload_id"))
     ranked = uploads.withColumn("rank", F.row_number().over(newest))
-    return ranked.where((F.col("rank") > offset) & (F.col("rank") <= offset + limit))
+    ranked = ranked.where(F.col("rank") > offset) if offset else ranked
+    return ranked if limit is None else ranked.where(F.col("rank") <= offset + limit)
 
 
 def scope_to_owner(rows: DataFrame, uploads: DataFrame, user_id: str) -> DataFrame:
@@ -65,12 +79,6 @@ def without_uploads(rows: DataFrame, deleted: DataFrame) -> DataFrame:
     return rows.join(deleted.select("upload_id").distinct(), "upload_id", "left_anti")
 
 
-def replaced(existing: DataFrame, fresh: DataFrame, key: str = "upload_id") -> DataFrame:
-    """``existing`` with all rows of the datasets in ``fresh`` swapped for the new ones."""
-    kept = existing.join(fresh.select(key).distinct(), key, "left_anti")
-    return kept.unionByName(fresh)
-
-
 def top_per_dataset(
     rows: DataFrame, order: Sequence[str], limit: int, by: Sequence[str] = DATASET
 ) -> DataFrame:
@@ -82,25 +90,27 @@ def top_per_dataset(
 def top_vendors(
     scored: DataFrame, limit: int = VIEW_ROWS, by: Sequence[str] = DATASET
 ) -> DataFrame:
-    return top_per_dataset(scored, VENDOR_ORDER, clamp_rows(limit, VIEW_ROWS, VIEW_ROWS_MAX), by)
+    return top_per_dataset(scored, VENDOR_ORDER, limit, by)
 
 
 def top_countries(
     scored: DataFrame, limit: int = VIEW_ROWS, by: Sequence[str] = DATASET
 ) -> DataFrame:
-    return top_per_dataset(scored, COUNTRY_ORDER, clamp_rows(limit, VIEW_ROWS, VIEW_ROWS_MAX), by)
+    return top_per_dataset(scored, COUNTRY_ORDER, limit, by)
 
 
-def resolve_dataset(uploads: DataFrame, requests: DataFrame) -> DataFrame:
+def resolve_dataset(
+    uploads: DataFrame, requests: DataFrame, newest: int | None = None
+) -> DataFrame:
     """Which dataset each request means.
 
-    ``requests`` has ``request_id``, ``user_id``, ``name`` and ``pinned_id``.
-    Only the owner's twelve newest uploads are looked at. A pinned id decides
-    alone; a blank name means the newest; otherwise the exact name wins over a
-    name that contains the request, newer before older. Requests that match
-    nothing come back with a NULL ``upload_id``.
+    ``requests`` has ``request_id``, ``user_id``, ``name`` and ``pinned_id``. A
+    pinned id decides alone; a blank name means the newest; otherwise the exact
+    name wins over a name that contains the request, newer before older.
+    Requests that match nothing come back with a NULL ``upload_id``. All of an
+    owner's uploads are looked at, or their ``newest`` if that is given.
     """
-    recent = newest_uploads(uploads, LISTED_DATASETS).select(
+    recent = newest_uploads(uploads, newest).select(
         "user_id", "upload_id", "rank", dataset_label().alias("label")
     )
     wanted = F.lower(F.trim(F.coalesce("name", F.lit(""))))

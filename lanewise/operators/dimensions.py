@@ -73,14 +73,13 @@ def dimension_score(
     min_shipments: int = 2,
     min_distinct: int = 2,
 ) -> DataFrame:
-    """Break a dataset down by any column expression, worst first.
+    """Break a dataset down by any column expression; ``DIMENSION_ORDER`` ranks the labels.
 
     Rows for which ``key`` is NULL or empty are left out, not pooled.
     """
     label = F.col(key) if isinstance(key, str) else key
     labelled = facts.withColumn("label", label).where("label <> ''")
-    scored = score_labels(rollup(labelled, [*by, "label"]), by, min_shipments, min_distinct)
-    return scored.orderBy(*by, *order_columns(DIMENSION_ORDER))
+    return score_labels(rollup(labelled, [*by, "label"]), by, min_shipments, min_distinct)
 
 
 def top_lanes(scored: DataFrame, groups: Sequence[str], limit: int = LANE_LIMIT) -> DataFrame:

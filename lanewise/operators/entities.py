@@ -76,9 +76,8 @@ VENDOR_COLUMNS = (
 def vendor_health(
     facts: DataFrame, by: Sequence[str] = DATASET, min_shipments: int = 1
 ) -> DataFrame:
-    """Vendor scores, worst first within each dataset."""
-    scored = score_vendors(rollup(facts, [*by, "vendor"]), by, min_shipments)
-    return scored.orderBy(*by, *order_columns(VENDOR_ORDER))
+    """Vendor scores. ``VENDOR_ORDER`` ranks them, worst first."""
+    return score_vendors(rollup(facts, [*by, "vendor"]), by, min_shipments)
 
 
 def country_fields() -> dict[str, Column]:
@@ -112,9 +111,9 @@ COUNTRY_COLUMNS = (
 
 
 def country_risk(facts: DataFrame, by: Sequence[str] = DATASET) -> DataFrame:
-    """Origin-country scores, worst first within each dataset."""
+    """Origin-country scores. ``COUNTRY_ORDER`` ranks them, worst first."""
     rolled = rollup(facts, [*by, "origin_country"]).withColumnRenamed("origin_country", "country")
-    return score_countries(rolled, by).orderBy(*by, *order_columns(COUNTRY_ORDER))
+    return score_countries(rolled, by)
 
 
 def _totals(rolled: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -160,7 +159,7 @@ def country_exposure(facts: DataFrame, by: Sequence[str] = DATASET) -> DataFrame
         "risk_score",
         "risk_level",
         percent(F.col("shipment_count"), F.col("all_shipments")).alias("share_pct"),
-    ).orderBy(*by, F.desc("risk_score"), F.desc("share_pct"), "country")
+    )
 
 
 def herfindahl(share: Column) -> Column:
@@ -194,15 +193,11 @@ def concentration_from(rolled: DataFrame, by: Sequence[str] = DATASET) -> DataFr
 
 def vendor_rollup(shipments: DataFrame, by: Sequence[str] = DATASET) -> DataFrame:
     """Unrounded aggregates per vendor, shipments without a vendor included."""
-    return (
-        shipments.groupBy(*by, "vendor")
-        .agg(
-            F.count(F.lit(1)).alias("shipment_count"),
-            F.count_if(F.col("delay_days") > 0).alias("late_count"),
-            F.avg("delay_days").alias("avg_delay_days"),
-            F.avg("lead_time_days").alias("avg_lead_time_days"),
-        )
-        .orderBy(*by, F.desc("shipment_count"), "vendor")
+    return shipments.groupBy(*by, "vendor").agg(
+        F.count(F.lit(1)).alias("shipment_count"),
+        F.count_if(F.col("delay_days") > 0).alias("late_count"),
+        F.avg("delay_days").alias("avg_delay_days"),
+        F.avg("lead_time_days").alias("avg_lead_time_days"),
     )
 
 

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanewise.functions.numeric import text1
+from lanewise import schema
+from lanewise.functions.numeric import sentence, text1
 from lanewise.operators.entities import VENDOR_ORDER, order_columns, score_vendors
 from lanewise.operators.measures import DATASET, join_datasets, rollup
 from lanewise.operators.risk import headline_and_concentration
@@ -57,26 +58,12 @@ def with_signals(keyed: DataFrame) -> DataFrame:
     }
     late, success = text1(F.col("late_shipment_pct")), text1(F.col("delivery_success_rate"))
     sentences = {
-        "good_success": F.concat(success, F.lit("% of shipments arrived without a delay flag.")),
-        "good_late_rate": F.concat(F.lit("Only "), late, F.lit("% of shipments ran late.")),
-        "good_delay": F.concat(
-            F.lit("Average delay is "),
-            text1(F.col("avg_delay_days")),
-            F.lit(" days across the book."),
-        ),
-        "vendor_diversity": F.concat(
-            F.lit("Supply is spread across "),
-            F.col("distinct_vendors").cast("string"),
-            F.lit(" vendors, limiting single-supplier exposure."),
-        ),
-        "country_diversity": F.concat(
-            F.lit("Sourcing spans "),
-            F.col("distinct_countries").cast("string"),
-            F.lit(" origin countries."),
-        ),
-        "strong_vendors": F.concat(
-            F.lit("Consistently reliable vendors: "), F.col("strong_vendor_names"), F.lit(".")
-        ),
+        "good_success": sentence(schema.GOOD_SUCCESS_TEXT, success),
+        "good_late_rate": sentence(schema.GOOD_LATE_TEXT, late),
+        "good_delay": sentence(schema.GOOD_DELAY_TEXT, text1(F.col("avg_delay_days"))),
+        "vendor_diversity": sentence(schema.VENDOR_DIVERSITY_TEXT, F.col("distinct_vendors")),
+        "country_diversity": sentence(schema.COUNTRY_DIVERSITY_TEXT, F.col("distinct_countries")),
+        "strong_vendors": sentence(schema.STRONG_VENDORS_TEXT, F.col("strong_vendor_names")),
         "improving": F.col("commentary"),
     }
     flagged = keyed.withColumns({flag: filled & test for flag, test in tests.items()})

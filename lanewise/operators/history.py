@@ -7,15 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanewise.functions.numeric import rounded, signed_text1, text1
+from lanewise import schema
+from lanewise.functions.numeric import rounded, sentence, signed_text1, text1
 from lanewise.operators.trends import half_means
 
 OWNER = ("user_id",)
-HISTORY_LIMIT = 100
 SIGNIFICANT_DELTA = 1.0
 FLAT_DELTA = 0.05
 
-# Compared figures, and whether a rise is bad news.
+# The compared figures, and whether a rise is bad news.
 COMPARED = {
     "risk_score": True,
     "late_shipment_pct": True,
@@ -43,25 +43,24 @@ def dataset_label() -> Column:
 
 
 def history_points(
-    uploads: DataFrame, snapshots: DataFrame, limit: int = HISTORY_LIMIT
+    uploads: DataFrame, snapshots: DataFrame, limit: int | None = None
 ) -> DataFrame:
-    """Each owner's first ``limit`` completed uploads, oldest first, with stored figures.
+    """Each owner's completed uploads with stored figures, the newest ``limit`` if one is given.
 
     Uploads without a stored risk score are skipped; a figure the snapshot
     lacks reads as 0.
     """
-    oldest = Window.partitionBy(*OWNER).orderBy("created_at", "upload_id")
-    chosen = (
-        uploads.where("status = 'completed'")
-        .withColumn("_rank", F.row_number().over(oldest))
-        .where(F.col("_rank") <= limit)
-        .select(
-            *OWNER,
-            "upload_id",
-            dataset_label().alias("label"),
-            F.col("created_at").alias("uploaded_at"),
-            "row_count",
-        )
+    completed = uploads.where("status = 'completed'")
+    if limit is not None:
+        newest = Window.partitionBy(*OWNER).orderBy(F.desc("created_at"), F.desc("upload_id"))
+        ranked = completed.withColumn("_rank", F.row_number().over(newest))
+        completed = ranked.where(F.col("_rank") <= limit)
+    chosen = completed.select(
+        *OWNER,
+        "upload_id",
+        dataset_label().alias("label"),
+        F.col("created_at").alias("uploaded_at"),
+        "row_count",
     )
     stored = latest_snapshot(snapshots).where("risk_score is not null")
     figures = ("late_shipment_pct", "avg_delay_days", "delivery_success_rate")
@@ -95,31 +94,19 @@ def history_direction(points: DataFrame) -> DataFrame:
         .when(F.col("risk_delta") < -SIGNIFICANT_DELTA, "improving")
         .otherwise("stable")
     )
-    summary = F.when(
-        ~enough,
-        F.lit("Upload at least two datasets to see how performance is trending."),
-    ).otherwise(
-        F.concat(
-            F.lit("Across "),
-            F.col("period_count").cast("string"),
-            F.lit(" uploads, the composite risk score moved from "),
-            text1(F.col("first_risk_score")),
-            F.lit(" to "),
-            text1(F.col("last_risk_score")),
-            F.lit(" ("),
-            signed_text1(F.col("risk_delta")),
-            F.lit(" on average, "),
-            F.col("direction"),
-            F.lit("). Late-shipment rate went from "),
-            text1(F.col("first_late_shipment_pct")),
-            F.lit("% to "),
-            text1(F.col("last_late_shipment_pct")),
-            F.lit("%, and average delay from "),
-            text1(F.col("first_avg_delay_days")),
-            F.lit(" to "),
-            text1(F.col("last_avg_delay_days")),
-            F.lit(" days."),
-        )
+    figures = (
+        F.col("period_count"),
+        text1(F.col("first_risk_score")),
+        text1(F.col("last_risk_score")),
+        signed_text1(F.col("risk_delta")),
+        F.col("direction"),
+        text1(F.col("first_late_shipment_pct")),
+        text1(F.col("last_late_shipment_pct")),
+        text1(F.col("first_avg_delay_days")),
+        text1(F.col("last_avg_delay_days")),
+    )
+    summary = F.when(~enough, schema.FEW_UPLOADS_TEXT).otherwise(
+        sentence(schema.HISTORY_TEXT, *figures)
     )
     return (
         halves.withColumn("risk_delta", delta)
@@ -136,14 +123,27 @@ def compare_metrics(
     """Before-and-after of the compared figures for each (before, after) pair.
 
     ``figures`` has one row per dataset with the compared columns, ``pairs``
-    the columns ``before_id`` and ``after_id``. Any number of pairs is one job.
+    the columns ``before_id`` and ``after_id``. Any number of pairs is one job;
+    both joins move one row per pair, which becomes one per figure afterwards.
     """
-    long = figures.select(key, *(F.col(m).cast("double").alias(m) for m in COMPARED)).unpivot(
-        [key], list(COMPARED), "metric", "value"
+    values = F.struct(*(F.col(m).cast("double").alias(m) for m in COMPARED))
+    before = figures.select(F.col(key).alias("before_id"), values.alias("b"))
+    after = figures.select(F.col(key).alias("after_id"), values.alias("a"))
+    listed = F.array(
+        *(
+            F.struct(
+                F.lit(m).alias("metric"),
+                F.col(f"b.{m}").alias("before"),
+                F.col(f"a.{m}").alias("after"),
+            )
+            for m in COMPARED
+        )
+    )
+    joined = (
+        pairs.join(before, "before_id")
+        .join(after, "after_id")
+        .select("before_id", "after_id", F.inline(listed))
     )
-    before = long.select(F.col(key).alias("before_id"), "metric", F.col("value").alias("before"))
-    after = long.select(F.col(key).alias("after_id"), "metric", F.col("value").alias("after"))
-    joined = pairs.join(before, "before_id").join(after, ["after_id", "metric"])
     change = F.col("after") - F.col("before")
     rise_is_bad = F.col("metric").isin(*(m for m, bad in COMPARED.items() if bad))
     worse = F.when(rise_is_bad, change > 0).otherwise(change < 0)

@@ -79,10 +79,12 @@ def join_datasets(
 ) -> DataFrame:
     """Join two frames that are keyed by dataset.
 
-    With no ``by`` the right frame is a single global row; a constant key lets
-    the same equi-join serve.
+    With no ``by`` the right frame is a single global row. A constant key lets
+    the same equi-join serve, and the row is sent to the tasks that hold the
+    left rows, so that these stay where they are.
     """
     if by:
         return left.join(right, list(by), how)
     one = F.lit(1)
-    return left.withColumn("_one", one).join(right.withColumn("_one", one), "_one", how).drop("_one")
+    row = F.broadcast(right.withColumn("_one", one))
+    return left.withColumn("_one", one).join(row, "_one", how).drop("_one")

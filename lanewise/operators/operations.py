@@ -46,7 +46,7 @@ def operation_measures() -> list[Column]:
         F.count("total_cost").alias("landed_count"),
         F.count_if("damaged").alias("damaged_count"),
         F.count_if("returned").alias("returned_count"),
-        F.sum("fill_rate").alias("fill_sum"),
+        F.sum(F.col("fill_rate").cast("decimal(28,8)")).alias("fill_sum"),
         F.count("fill_rate").alias("fill_count"),
         F.count_if(~wrong).alias("perfect_count"),
         F.count_if(F.col("damaged").isNotNull() | F.col("returned").isNotNull()).alias(
@@ -187,7 +187,6 @@ def emissions_by_mode(facts: DataFrame, by: Sequence[str] = DATASET) -> DataFram
     return (
         join_datasets(rolled.where("transport_mode <> '' and co2_count > 0"), supported, by)
         .select(*by, "transport_mode", money(F.col("co2_sum")).alias("co2_kg"))
-        .orderBy(*by, "transport_mode")
     )
 
 

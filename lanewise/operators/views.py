@@ -7,11 +7,22 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanewise.operators import catalog, dimensions, entities, kpis, operations, risk, trends
-from lanewise.operators.catalog import SUMMARY_ROWS, clamp_rows
+from lanewise.operators import (
+    catalog,
+    dimensions,
+    entities,
+    history,
+    kpis,
+    operations,
+    risk,
+    trends,
+)
+from lanewise.operators.catalog import SUMMARY_ROWS
 from lanewise.operators.history import dataset_label
 from lanewise.operators.measures import DATASET, join_datasets
 
+NOTHING_TO_COMPARE = "No data: fewer than two labels with enough shipments."
+
 KPI_VIEW = (
     "total_shipments late_shipments late_shipment_pct avg_delay_days avg_delay_days_when_late"
     " p90_delay_days delivery_success_rate total_value value_at_risk distinct_vendors"
@@ -40,11 +51,11 @@ def kpi_view(facts: DataFrame, by: Sequence[str] = DATASET) -> DataFrame:
 
 
 def vendor_view(
-    facts: DataFrame, by: Sequence[str] = DATASET, limit: object = SUMMARY_ROWS
+    facts: DataFrame, by: Sequence[str] = DATASET, limit: int = SUMMARY_ROWS
 ) -> DataFrame:
     """The least healthy vendors of each dataset and how many were scored."""
     scored = entities.vendor_health(facts, by, min_shipments=2)
-    top = catalog.top_per_dataset(scored, entities.VENDOR_ORDER, clamp_rows(limit), by)
+    top = catalog.top_per_dataset(scored, entities.VENDOR_ORDER, limit, by)
     counts = scored.groupBy(*by).agg(F.count(F.lit(1)).alias("vendors_scored"))
     return join_datasets(top, counts, by).select(
         *by,
@@ -61,11 +72,11 @@ def vendor_view(
 
 
 def country_view(
-    facts: DataFrame, by: Sequence[str] = DATASET, limit: object = SUMMARY_ROWS
+    facts: DataFrame, by: Sequence[str] = DATASET, limit: int = SUMMARY_ROWS
 ) -> DataFrame:
     """The riskiest origin countries of each dataset."""
     scored = entities.country_risk(facts, by)
-    top = catalog.top_per_dataset(scored, entities.COUNTRY_ORDER, clamp_rows(limit), by)
+    top = catalog.top_per_dataset(scored, entities.COUNTRY_ORDER, limit, by)
     return top.select(
         *by,
         "rank",
@@ -112,12 +123,16 @@ def dimension_view(
     facts: DataFrame,
     dimension: str,
     by: Sequence[str] = DATASET,
-    limit: object = SUMMARY_ROWS,
+    limit: int = SUMMARY_ROWS,
 ) -> DataFrame:
-    """The worst labels of one dimension; no rows where the dataset lacks the column."""
+    """The worst labels of one dimension.
+
+    A dataset that has nothing to compare is one row with a note and no label.
+    """
     scored = dimensions.named_dimension(facts, dimension, by)
-    top = catalog.top_per_dataset(scored, dimensions.DIMENSION_ORDER, clamp_rows(limit), by)
-    return top.select(
+    top = catalog.top_per_dataset(scored, dimensions.DIMENSION_ORDER, limit, by)
+    every = facts.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows"))
+    return join_datasets(every, top, by, "left").select(
         *by,
         F.lit(dimension).alias("dimension"),
         "rank",
@@ -127,12 +142,23 @@ def dimension_view(
         "late_pct",
         "avg_delay_days",
         "avg_freight_cost",
+        F.when(F.col("label").isNull(), NOTHING_TO_COMPARE).alias("note"),
     )
 
 
 def operations_view(facts: DataFrame, by: Sequence[str] = DATASET) -> DataFrame:
     """The three summaries as structs, NULL where absent, and the columns carried."""
-    totals = operations.dataset_totals(facts, by)
+    modes = operations.emissions_by_mode(facts, by).groupBy(*by).agg(
+        F.map_from_entries(
+            F.array_sort(F.collect_list(F.struct("transport_mode", "co2_kg")))
+        ).alias("co2_by_mode_kg")
+    )
+    totals = join_datasets(operations.dataset_totals(facts, by), modes, by, "left")
+    no_modes = F.create_map().cast("map<string,double>")
+    emitted = {
+        **operations.emissions_fields(),
+        "co2_by_mode_kg": F.coalesce("co2_by_mode_kg", no_modes),
+    }
 
     def optional(present, fields):
         return F.when(present, F.struct(*(c.alias(n) for n, c in fields.items())))
@@ -141,13 +167,15 @@ def operations_view(facts: DataFrame, by: Sequence[str] = DATASET) -> DataFrame:
         *by,
         optional(operations.has_cost(), operations.cost_fields()).alias("cost"),
         optional(operations.has_quality(), operations.quality_fields()).alias("quality"),
-        optional(operations.has_emissions(), operations.emissions_fields()).alias("emissions"),
+        optional(operations.has_emissions(), emitted).alias("emissions"),
         operations.covered().alias("available_dimensions"),
     )
 
 
 def history_view(points: DataFrame) -> DataFrame:
-    return points.select(
+    """Each owner's datasets over time, beside the direction and the summary of the series."""
+    direction = history.history_direction(points).select("user_id", "direction", "summary")
+    return points.join(direction, "user_id").select(
         "user_id",
         F.col("label").alias("dataset"),
         F.col("uploaded_at").alias("uploaded"),
@@ -155,6 +183,8 @@ def history_view(points: DataFrame) -> DataFrame:
         "risk_score",
         "late_shipment_pct",
         "avg_delay_days",
+        "direction",
+        "summary",
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from lanewise import schema
 from lanewise.plans.ingest_queries import _SPELLINGS, ROW_CAP, mode_words, status_words
 from lanewise.plans.oracle import MONTHS, SHIPMENTS, SNAPSHOTS, dbl, r
+from lanewise.sources.headers import plain_name, similar_fields
 from lanewise.vocabulary import header_names
 
 KEY = "l_orderkey, l_linenumber, l_partkey"
@@ -15,9 +16,8 @@ def _case(number: str, count: int, branches: dict[int, str]) -> str:
     return f"CASE {number} % {count} {cases} END"
 
 
-def _words(words_by_label: dict[str, str], words: list[str], other: str) -> str:
-    label = {w: k for k, ws in words_by_label.items() for w in ws.split()}
-    branches = {i: f"'{label[w]}'" for i, w in enumerate(words)} | {len(words): other}
+def _words(labels: dict[str, str], words: list[str], other: str) -> str:
+    branches = {i: f"'{labels[w]}'" for i, w in enumerate(words)} | {len(words): other}
     return _case("l_orderkey", len(words) + 1, branches)
 
 
@@ -73,6 +73,44 @@ _ROW = "l_orderkey, l_linenumber, vendor"
 _RAW_DELAY = "coalesce(stated_delay, CAST(actual - scheduled AS INT))"
 
 
+def _map_headers(names: str) -> str:
+    """Known names first; then header by header the most similar field that is free.
+
+    Similarity depends on the name alone, so the ranked fields of every spelling
+    are values here, and the SQL does the choosing.
+    """
+    vocabulary = header_names()
+    ranked = []
+    for header in _SPELLINGS:
+        found = similar_fields(plain_name(header), vocabulary) if len(plain_name(header)) > 2 else []
+        fields = ", ".join(f"{{'field': '{f}', 'score': {round(s, 3)}::DOUBLE}}" for s, f in found)
+        empty = "[]::STRUCT(field VARCHAR, score DOUBLE)[]"
+        ranked.append(f"('{header}', {f'[{fields}]' if found else empty})")
+    spellings = ", ".join(f"'{s}'" for s in _SPELLINGS)
+    return f"""WITH RECURSIVE cells AS (SELECT CAST(o_orderkey AS VARCHAR) AS file, i AS position,
+          ([{spellings}])[CAST((o_orderkey * (i + 1) + i * i) % {len(_SPELLINGS)} AS INT) + 1] AS header
+          FROM (SELECT DISTINCT o_orderkey FROM orders), range(8) AS t(i)),
+        h AS (SELECT file, header, CAST(min(position) AS INT) AS position, CAST(max(position) AS INT) AS "column" FROM cells GROUP BY file, header),
+        names(field, name) AS (VALUES {names}),
+        similar(header, candidates) AS (VALUES {", ".join(ranked)}),
+        hits AS (SELECT h.*, n.field, row_number() OVER (PARTITION BY file, n.field ORDER BY position) AS rn
+          FROM h JOIN names n ON n.name = regexp_replace(lower(h.header), '[^a-z0-9]', '', 'g')),
+        exact AS (SELECT * FROM hits WHERE rn = 1),
+        taken AS (SELECT h.file, coalesce(list(e.field) FILTER (e.field IS NOT NULL), []) AS filled
+          FROM h LEFT JOIN exact e USING (file, header) GROUP BY h.file),
+        open AS (SELECT h.*, s.candidates, row_number() OVER (PARTITION BY h.file ORDER BY h.position) AS k
+          FROM h JOIN similar s USING (header) ANTI JOIN exact e USING (file, header)),
+        chosen AS (SELECT file, CAST(0 AS BIGINT) AS k, filled, NULL::VARCHAR AS header, NULL::INT AS position, NULL::INT AS "column",
+            NULL::VARCHAR AS field, NULL::DOUBLE AS score FROM taken
+          UNION ALL
+          SELECT file, k, CASE WHEN pick IS NULL THEN filled ELSE list_append(filled, pick.field) END, header, position, "column", pick.field, pick.score
+          FROM (SELECT c.file, o.k, c.filled, o.header, o.position, o."column",
+              list_filter(o.candidates, lambda x: NOT list_contains(c.filled, x.field))[1] AS pick
+            FROM chosen c JOIN open o ON o.file = c.file AND o.k = c.k + 1))
+        SELECT file, position, header, "column", field, NULL::DOUBLE AS score FROM exact
+        UNION ALL SELECT file, position, header, "column", field, score FROM chosen WHERE k > 0"""
+
+
 def oracle_sql() -> dict[str, str]:
     tokens = [*schema.TRUE_TOKENS, *schema.FALSE_TOKENS]
     flags = {
@@ -115,6 +153,15 @@ def oracle_sql() -> dict[str, str]:
             hits AS (SELECT h.*, n.field, row_number() OVER (PARTITION BY file, n.field ORDER BY position) AS rn
               FROM h JOIN names n ON n.name = regexp_replace(lower(h.header), '[^a-z0-9]', '', 'g'))
             SELECT file, field, header FROM hits WHERE rn = 1""",
+        "map_headers": _map_headers(names),
+        "ingest_odd_exports": """
+            WITH c AS (SELECT c_custkey % 5 AS late, c_name, c_nationkey FROM customer),
+            n AS (SELECT count(*) AS n, CAST(sum(late) AS BIGINT) AS delay_sum, count(DISTINCT c_name) AS vendors, max(c_name) AS last, count(DISTINCT c_nationkey) AS places FROM c)
+            SELECT 'titled' AS upload_id, n AS accepted_rows, 0::BIGINT AS rejected_rows, 0::BIGINT AS damaged_rows, 3 AS detected, 2 AS warning_count, true AS titles_noted,
+              delay_sum, vendors, last AS last_vendor, NULL::VARCHAR AS product, places FROM n
+            UNION ALL SELECT 'windows', n, 0, 0, 3, 1, false, delay_sum, vendors, 'Café € ' || last, NULL, places FROM n
+            UNION ALL SELECT 'broken', n, 0, 0, 3, 1, false, delay_sum, vendors, 'Two' || chr(10) || 'lines ' || last, '5" pipe', 0 FROM n
+            UNION ALL SELECT 'headeronly', 0, 0, 0, 3, 2, false, NULL, NULL, NULL, NULL, NULL FROM n""",
         "ingest_csv": f"{EXPORTED} SELECT * FROM ingested",
         "ingest_report": f"""{EXPORTED}, blanks AS (SELECT upload_id, count(*) FILTER (l_orderkey % 50 = 0) AS rejected_rows FROM shipments GROUP BY upload_id)
             SELECT upload_id, count(*) AS accepted_rows, any_value(rejected_rows) AS rejected_rows,

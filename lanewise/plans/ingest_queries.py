@@ -106,11 +106,11 @@ def coerce_bools(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def status_words() -> list[str]:
-    return [w for words in schema.STATUS_WORDS.values() for w in words.split()]
+    return list(schema.STATUS_WORDS)
 
 
 def mode_words() -> list[str]:
-    return [w for words in schema.MODE_WORDS.values() for w in words.split()]
+    return list(schema.MODE_WORDS)
 
 
 def _respelled(word: Column) -> Column:
@@ -330,6 +330,30 @@ def ingest_report(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def ingest_odd_exports(spark: SparkSession, folder: str) -> DataFrame:
+    """Title lines, pipes, Windows-1252, quoted line breaks, and a dataset without a row."""
+    customers = tpch.read_table(spark, folder, "customer")
+    target = yearly_exports.write_odd_exports(customers, scratch_path(spark, "odd-exports"))
+    planned = exports.plan_ingest(spark, target, exports.hive_folder, strict=False)
+    totals = planned.shipments.groupBy("upload_id").agg(
+        F.sum("delay_days").alias("delay_sum"),
+        F.countDistinct("vendor").alias("vendors"),
+        F.max("vendor").alias("last_vendor"),
+        F.max("product").alias("product"),
+        F.countDistinct("destination").alias("places"),
+    )
+    return planned.report().join(totals, "upload_id", "left").select(
+        "upload_id",
+        "accepted_rows",
+        "rejected_rows",
+        "damaged_rows",
+        F.size("detected_columns").alias("detected"),
+        F.size("warnings").alias("warning_count"),
+        F.exists("warnings", lambda w: w.contains("above the header")).alias("titles_noted"),
+        *(c for c in totals.columns if c != "upload_id"),
+    )
+
+
 def accept_rows(spark: SparkSession, folder: str) -> DataFrame:
     return _plan(spark, folder).staging.groupBy("upload_id", "_accepted").agg(
         F.count(F.lit(1)).alias("row_count")
@@ -361,8 +385,11 @@ def write_shipments(spark: SparkSession, folder: str) -> DataFrame:
     return _totals(store.read(spark, table))
 
 
+FILES_PER_BATCH = 3
+
+
 def ingest_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """The exports ingested as a stream of files."""
+    """The exports ingested as a stream whose batches cut through datasets."""
     source = _exports(spark, folder)
     table = scratch_path(spark, "streamed")
     query = streaming.stream_uploads(
@@ -372,7 +399,7 @@ def ingest_stream(spark: SparkSession, folder: str) -> DataFrame:
         scratch_path(spark, "rejects"),
         scratch_path(spark, "stream-state"),
         exports.hive_folder,
-        files_per_batch=100_000,
+        files_per_batch=FILES_PER_BATCH,
     )
     query.awaitTermination()
     if query.exception():
@@ -446,6 +473,7 @@ INGEST: dict[str, Query] = {
     "map_headers_exact": map_headers_exact,
     "ingest_csv": ingest_csv,
     "ingest_report": ingest_report,
+    "ingest_odd_exports": ingest_odd_exports,
     "accept_rows": accept_rows,
     "row_cap": row_cap,
     "write_shipments": write_shipments,

@@ -200,6 +200,15 @@ DIMENSION_COLUMNS = (
 )
 
 
+DIMENSION_KEYS = {
+    "carriers": "carrier",
+    "transport_modes": "transport_mode",
+    "service_levels": "service_level",
+    "categories": "category",
+    "lanes": "route",
+}
+
+
 def gate(count: str, total: str) -> str:
     return f"({count} >= 3 AND {ratio(count, total)} * 100 >= 20)"
 
@@ -280,8 +289,19 @@ latest AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY
 points AS (SELECT n.user_id, n.upload_id, n.name AS label, n.created_at AS uploaded_at, n.row_count,
     coalesce(l.late_shipment_pct, 0) AS late_shipment_pct, coalesce(l.avg_delay_days, 0) AS avg_delay_days,
     coalesce(l.delivery_success_rate, 0) AS delivery_success_rate, l.risk_score
-  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at, upload_id) AS rn FROM named WHERE status = 'completed') n
-  JOIN latest l USING (upload_id) WHERE n.rn <= 100 AND l.risk_score IS NOT NULL)"""
+  FROM named n JOIN latest l USING (upload_id) WHERE n.status = 'completed' AND l.risk_score IS NOT NULL)"""
+
+
+HISTORY = f"""{SNAPSHOTS},
+            hn AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY uploaded_at, upload_id) AS i, count(*) OVER (PARTITION BY user_id) AS c FROM points),
+            hh AS (SELECT user_id, max(c) AS point_count, coalesce(avg(risk_score) FILTER (i <= c // 2), 0) AS f, coalesce(avg(risk_score) FILTER (i > c // 2), 0) AS s,
+              max(risk_score) FILTER (i = 1) AS r0, max(risk_score) FILTER (i = c) AS r1, max(late_shipment_pct) FILTER (i = 1) AS l0, max(late_shipment_pct) FILTER (i = c) AS l1,
+              max(avg_delay_days) FILTER (i = 1) AS d0, max(avg_delay_days) FILTER (i = c) AS d1 FROM hn GROUP BY user_id),
+            hd AS (SELECT *, CASE WHEN point_count >= 2 THEN {r('s - f')} END AS risk_delta FROM hh),
+            hx AS (SELECT *, CASE WHEN point_count < 2 THEN 'insufficient_data' WHEN risk_delta > 1 THEN 'worsening' WHEN risk_delta < -1 THEN 'improving' ELSE 'stable' END AS direction FROM hd),
+directed AS (SELECT user_id, point_count, direction, risk_delta, CASE WHEN point_count < 2 THEN 'Upload at least two datasets to see how performance is trending.'
+              ELSE 'Across ' || point_count || ' uploads, the composite risk score moved from ' || {t1('r0')} || ' to ' || {t1('r1')} || ' (' || {st1('risk_delta')} || ' on average, ' || direction
+              || '). Late-shipment rate went from ' || {t1('l0')} || '% to ' || {t1('l1')} || '%, and average delay from ' || {t1('d0')} || ' to ' || {t1('d1')} || ' days.' END AS summary FROM hx)"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -356,6 +376,18 @@ def oracle_sql() -> dict[str, str]:
       CASE WHEN direction = 'improving' THEN commentary END) AS signals"""
     after_facts = lambda block: block.removeprefix(FACTS)
 
+    outline = f"""{RISK}{after_facts(TREND)}{after_facts(VENDORS)}{after_facts(TOTALS)}{after_facts(dimension('route', 12))},
+            cov AS ({coverage}), av AS (SELECT upload_id, string_agg(dimension, ',' ORDER BY position) AS available FROM cov GROUP BY upload_id),
+            wv AS (SELECT upload_id, vendor AS worst_vendor, health_score AS worst_health, row_number() OVER (PARTITION BY upload_id ORDER BY health_score, value_at_risk DESC, vendor) AS place, count(*) OVER (PARTITION BY upload_id) AS scored FROM vendors),
+            ln AS (SELECT upload_id, count(*) AS lanes, max(label) FILTER (rn = 1) AS worst_lane, max(share_pct) FILTER (rn = 1) AS worst_lane_share FROM dims GROUP BY upload_id),
+            air AS (SELECT upload_id, {cents('sum(co2_kg)')} AS air_co2_kg FROM facts WHERE transport_mode = 'air' GROUP BY upload_id)
+            SELECT k.upload_id, total_shipments, late_shipment_pct, p90_delay_days, score, level, direction, delay_change_pct, period_count AS months, {signals},
+              {cents('fs')} AS total_freight_cost, {pct('fs', 'goods')} AS freight_pct_of_goods, {pct('perfect', 'n')} AS perfect_order_rate_pct,
+              {cents('co2s')} AS total_co2_kg, air_co2_kg, available, scored AS vendors, distinct_countries AS countries, lanes,
+              worst_vendor, worst_health, worst_lane, worst_lane_share
+            FROM risk k JOIN trend USING (upload_id) JOIN tot USING (upload_id) JOIN av USING (upload_id) JOIN wv USING (upload_id) JOIN ln USING (upload_id) JOIN air USING (upload_id)
+            WHERE place = 1"""
+
     out = {
         "facts": f"""{FACTS} SELECT upload_id, vendor, origin_country, destination, product, quantity,
             {dbl('unit_cost')}, lead_time_days, delay_days, status, occurred_on, {dbl('value')}, is_late, is_at_risk,
@@ -428,17 +460,8 @@ def oracle_sql() -> dict[str, str]:
             {flags} {signals} FROM kpis k JOIN trend USING (upload_id)""",
         "latest_snapshot": f"{SNAPSHOTS} SELECT upload_id, id, status, created_at, risk_score, CAST(total_shipments AS DOUBLE) AS total_shipments, late_shipment_pct FROM latest",
         "history_points": f"{SNAPSHOTS} SELECT * FROM points",
-        "history_direction": f"""{SNAPSHOTS},
-            hn AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY uploaded_at, upload_id) AS i, count(*) OVER (PARTITION BY user_id) AS c FROM points),
-            hh AS (SELECT user_id, max(c) AS point_count, coalesce(avg(risk_score) FILTER (i <= c // 2), 0) AS f, coalesce(avg(risk_score) FILTER (i > c // 2), 0) AS s,
-              max(risk_score) FILTER (i = 1) AS r0, max(risk_score) FILTER (i = c) AS r1, max(late_shipment_pct) FILTER (i = 1) AS l0, max(late_shipment_pct) FILTER (i = c) AS l1,
-              max(avg_delay_days) FILTER (i = 1) AS d0, max(avg_delay_days) FILTER (i = c) AS d1 FROM hn GROUP BY user_id),
-            hd AS (SELECT *, CASE WHEN point_count >= 2 THEN {r('s - f')} END AS risk_delta FROM hh),
-            hx AS (SELECT *, CASE WHEN point_count < 2 THEN 'insufficient_data' WHEN risk_delta > 1 THEN 'worsening' WHEN risk_delta < -1 THEN 'improving' ELSE 'stable' END AS direction FROM hd)
-            SELECT user_id, point_count, direction, risk_delta, CASE WHEN point_count < 2 THEN 'Upload at least two datasets to see how performance is trending.'
-              ELSE 'Across ' || point_count || ' uploads, the composite risk score moved from ' || {t1('r0')} || ' to ' || {t1('r1')} || ' (' || {st1('risk_delta')} || ' on average, ' || direction
-              || '). Late-shipment rate went from ' || {t1('l0')} || '% to ' || {t1('l1')} || '%, and average delay from ' || {t1('d0')} || ' to ' || {t1('d1')} || ' days.' END AS summary FROM hx""",
-        "compare_metrics": f"""{RISK}, long AS ({long})
+        "history_direction": f"{HISTORY} SELECT * FROM directed",
+        "compare_metrics": f"""{RISK.replace("risk AS (", "risk AS MATERIALIZED (")}, long AS MATERIALIZED ({long})
             SELECT a.upload_id AS before_id, b.upload_id AS after_id, a.metric, a.value AS before, b.value AS after,
               {r('b.value - a.value', 4)} AS change, CASE WHEN abs(b.value - a.value) < CAST(0.05 AS DOUBLE) THEN 'neutral'
               WHEN CASE WHEN a.rise_is_bad THEN b.value > a.value ELSE b.value < a.value END THEN 'worse' ELSE 'better' END AS assessment
@@ -459,7 +482,7 @@ def oracle_sql() -> dict[str, str]:
                 CASE WHEN r.pinned_id IS NOT NULL THEN CASE WHEN u.upload_id = r.pinned_id THEN 0 END
                   WHEN trim(coalesce(r.wanted, '')) = '' THEN 0 WHEN lower(trim(u.name)) = lower(trim(r.wanted)) THEN 0
                   WHEN contains(lower(trim(u.name)), lower(trim(r.wanted))) THEN 1 END AS quality
-              FROM req r LEFT JOIN ranked u ON r.user_id = u.user_id AND u.rank <= 12),
+              FROM req r LEFT JOIN ranked u ON r.user_id = u.user_id),
             best AS (SELECT *, row_number() OVER (PARTITION BY request_id, user_id ORDER BY quality NULLS LAST, rank) AS rn FROM q)
             SELECT request_id, user_id, CASE WHEN quality IS NOT NULL THEN upload_id END AS upload_id, CASE WHEN quality IS NOT NULL THEN name END AS label FROM best WHERE rn = 1""",
         "page_shipments": f"""{SHIPMENTS} SELECT upload_id, vendor, product, origin_country, destination, quantity, {dbl('unit_cost')},
@@ -475,26 +498,42 @@ def oracle_sql() -> dict[str, str]:
             SELECT upload_id, rank, country, risk_score, risk_level, late_pct, avg_delay_days, shipment_count FROM rk WHERE rank <= 5""",
         "trend_view": f"""{TREND}, lm AS (SELECT *, row_number() OVER (PARTITION BY upload_id ORDER BY period DESC) AS rn FROM months)
             SELECT upload_id, direction, commentary, delay_change_pct, period, shipment_count AS shipments, late_pct, avg_delay_days FROM trend JOIN lm USING (upload_id) WHERE rn <= 12""",
-        "dimension_view": f"{dimension('carrier')} SELECT upload_id, 'carriers' AS dimension, rn AS rank, label, share_pct, shipment_count, late_pct, avg_delay_days, avg_freight_cost FROM dims WHERE rn <= 5",
-        "history_view": f"{SNAPSHOTS} SELECT user_id, label AS dataset, uploaded_at AS uploaded, row_count AS rows, risk_score, late_shipment_pct, avg_delay_days FROM points",
+        "dimension_view": " UNION ALL ".join(
+            f"""SELECT * FROM ({dimension(key)}, every AS (SELECT DISTINCT upload_id FROM facts)
+            SELECT upload_id, '{name}' AS dimension, rn AS rank, label, share_pct, shipment_count, late_pct, avg_delay_days, avg_freight_cost,
+              CASE WHEN label IS NULL THEN 'No data: fewer than two labels with enough shipments.' END AS note
+            FROM every LEFT JOIN (SELECT * FROM dims WHERE rn <= 5) USING (upload_id))"""
+            for name, key in DIMENSION_KEYS.items()
+        ),
+        "history_view": f"{HISTORY} SELECT p.user_id, label AS dataset, uploaded_at AS uploaded, row_count AS rows, risk_score, late_shipment_pct, avg_delay_days, direction, summary FROM points p JOIN directed USING (user_id)",
         "operations_view": f"""{TOTALS}, cov AS ({coverage}), av AS (SELECT upload_id, string_agg(dimension, ',' ORDER BY position) AS available FROM cov GROUP BY upload_id)
             SELECT upload_id, CASE WHEN {gate('fn', 'n')} THEN {cents('fs')} END AS total_freight_cost,
               CASE WHEN {gate('fn', 'n')} AND kgn > 0 THEN {r(ratio('fs', 'kg'))} END AS freight_per_kg,
               CASE WHEN {gate('dn', 'n')} THEN {pct('ds', 'dn')} END AS damage_rate_pct, {pct('perfect', 'n')} AS perfect_order_rate_pct,
-              CASE WHEN {gate('co2n', 'n')} THEN {cents('co2s')} END AS total_co2_kg, coalesce(available, '') AS available
-            FROM tot LEFT JOIN av USING (upload_id)""",
-        "report_outline": f"""{RISK}{after_facts(TREND)}{after_facts(VENDORS)}{after_facts(TOTALS)}{after_facts(dimension('route', 12))},
-            cov AS ({coverage}), av AS (SELECT upload_id, string_agg(dimension, ',' ORDER BY position) AS available FROM cov GROUP BY upload_id),
-            wv AS (SELECT upload_id, vendor AS worst_vendor, health_score AS worst_health, row_number() OVER (PARTITION BY upload_id ORDER BY health_score, value_at_risk DESC, vendor) AS place, count(*) OVER (PARTITION BY upload_id) AS scored FROM vendors),
-            ln AS (SELECT upload_id, count(*) AS lanes, max(label) FILTER (rn = 1) AS worst_lane, max(share_pct) FILTER (rn = 1) AS worst_lane_share FROM dims GROUP BY upload_id),
-            air AS (SELECT upload_id, {cents('sum(co2_kg)')} AS air_co2_kg FROM facts WHERE transport_mode = 'air' GROUP BY upload_id)
-            SELECT k.upload_id, total_shipments, late_shipment_pct, p90_delay_days, score, level, direction, delay_change_pct, period_count AS months, {signals},
-              {cents('fs')} AS total_freight_cost, {pct('fs', 'goods')} AS freight_pct_of_goods, {pct('perfect', 'n')} AS perfect_order_rate_pct,
-              {cents('co2s')} AS total_co2_kg, air_co2_kg, available, scored AS vendors, distinct_countries AS countries, lanes,
-              worst_vendor, worst_health, worst_lane, worst_lane_share
-            FROM risk k JOIN trend USING (upload_id) JOIN tot USING (upload_id) JOIN av USING (upload_id) JOIN wv USING (upload_id) JOIN ln USING (upload_id) JOIN air USING (upload_id)
-            WHERE place = 1""",
-        "risk_view": f"""{RISK} SELECT upload_id, score, level, component_late_rate, component_value_at_risk, weight_late_rate, weight_value_at_risk,
-            CAST(0 AS INT) AS missing FROM risk""",
+              CASE WHEN {gate('co2n', 'n')} THEN {cents('co2s')} END AS total_co2_kg,
+              CASE WHEN {gate('co2n', 'n')} THEN air_co2_kg END AS air_co2_kg, coalesce(available, '') AS available
+            FROM tot LEFT JOIN av USING (upload_id) LEFT JOIN (SELECT upload_id, {cents('sum(co2_kg)')} AS air_co2_kg FROM facts
+              WHERE transport_mode = 'air' GROUP BY upload_id) USING (upload_id)""",
+        "report_outline": outline,
+        "snapshot_report": outline,
+        "report_shareable": f"SELECT upload_id, total_shipments, score, lanes, worst_vendor, false AS names_lanes FROM ({outline})",
+        "report_items": f"""{VENDORS}{after_facts(COUNTRIES)}{after_facts(MONTHS)},
+            {" , ".join(f"items_{name} AS (WITH {after_facts(dimension(key, 12 if name == 'lanes' else None)).lstrip(',').strip()} SELECT * FROM dims)" for name, key in DIMENSION_KEYS.items())}
+            SELECT upload_id, 'vendors' AS section, row_number() OVER (PARTITION BY upload_id ORDER BY health_score, value_at_risk DESC, vendor) AS position,
+              vendor AS label, shipment_count, NULL::DOUBLE AS share_pct, late_count, late_pct, avg_delay_days, avg_lead_time_days, NULL::DOUBLE AS avg_transit_days,
+              total_value, value_at_risk, NULL::DOUBLE AS avg_freight_cost, health_score, NULL::DOUBLE AS risk_score, risk_level FROM vendors
+            UNION ALL SELECT upload_id, 'countries', row_number() OVER (PARTITION BY upload_id ORDER BY risk_score DESC, total_value DESC, country),
+              country, shipment_count, NULL, late_count, late_pct, avg_delay_days, NULL, NULL, total_value, NULL, NULL, NULL, risk_score, risk_level FROM countries
+            UNION ALL SELECT upload_id, 'months', row_number() OVER (PARTITION BY upload_id ORDER BY period),
+              period, shipment_count, NULL, late_count, late_pct, avg_delay_days, NULL, NULL, total_value, NULL, NULL, NULL, NULL, NULL FROM months
+            {" ".join(f"UNION ALL SELECT upload_id, '{name}', rn, label, shipment_count, share_pct, late_count, late_pct, avg_delay_days, NULL, avg_transit_days, total_value, NULL, avg_freight_cost, NULL, NULL, NULL FROM items_{name}" for name in DIMENSION_KEYS)}""",
+        "report": f"""{RISK}{after_facts(TREND)}{after_facts(VENDORS)},
+            {" , ".join(f"items_{name} AS (WITH {after_facts(dimension(key, 12 if name == 'lanes' else None)).lstrip(',').strip()} SELECT * FROM dims)" for name, key in DIMENSION_KEYS.items())}
+            SELECT upload_id, {", ".join(_KPI_NAMES)}, score, level, direction, delay_change_pct, commentary, {signals},
+              (SELECT count(*) FROM vendors x WHERE x.upload_id = k.upload_id) AS vendors_count, distinct_countries AS countries_count,
+              {", ".join(f"(SELECT count(*) FROM items_{name} x WHERE x.upload_id = k.upload_id) AS {name}_count" for name in DIMENSION_KEYS)}
+            FROM risk k JOIN trend USING (upload_id)""",
+        "risk_view": f"""{RISK} SELECT upload_id, {RISK_COLUMNS},
+            CASE WHEN total_value > 0 THEN 0 ELSE 1 END AS missing FROM risk""",
     }
     return {name: sql.strip() for name, sql in out.items()}

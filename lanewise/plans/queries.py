@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from lanewise.operators.facts import facts as facts_of
 from lanewise.plans import report as reports
 from lanewise.plans import tables
 from lanewise.plans.ingest_queries import INGEST
-from lanewise.sources import tpch
+from lanewise.sources import store, tpch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -122,7 +123,7 @@ def _latest(facts: DataFrame) -> DataFrame:
 
 
 def _compared(shipments: DataFrame) -> DataFrame:
-    figures = tables.figures(facts_of(shipments))
+    figures = store.kept(tables.figures(facts_of(shipments)), "figures")
     return history.compare_metrics(figures, tables.consecutive_pairs(figures))
 
 
@@ -167,7 +168,7 @@ def _risk_view(facts: DataFrame) -> DataFrame:
         *(
             F.try_element_at(f"{part}s", F.lit(name)).alias(f"{part}_{name}")
             for part in ("component", "weight")
-            for name in ("late_rate", "value_at_risk")
+            for name in risk.COMPONENTS
         ),
         F.size("components_not_measurable").alias("missing"),
     )
@@ -179,7 +180,10 @@ def _whole_report(facts: DataFrame) -> DataFrame:
 
 def _report_outline(facts: DataFrame) -> DataFrame:
     """What each nested report says first in every section, as flat columns."""
-    whole = _whole_report(facts).where("part = 0")
+    return _outline(_whole_report(facts))
+
+
+def _outline(whole: DataFrame) -> DataFrame:
     return whole.select(
         "upload_id",
         "kpis.total_shipments",
@@ -207,6 +211,11 @@ def _report_outline(facts: DataFrame) -> DataFrame:
     )
 
 
+def _dimension_views(facts: DataFrame) -> DataFrame:
+    seen = [views.dimension_view(facts, name) for name in dimensions.DIMENSIONS]
+    return _ranked(reduce(DataFrame.unionByName, seen))
+
+
 def _operations_view(facts: DataFrame) -> DataFrame:
     seen = views.operations_view(facts)
     return seen.select(
@@ -216,16 +225,50 @@ def _operations_view(facts: DataFrame) -> DataFrame:
         "quality.damage_rate_pct",
         "quality.perfect_order_rate_pct",
         "emissions.total_co2_kg",
+        F.try_element_at("emissions.co2_by_mode_kg", F.lit("air")).alias("air_co2_kg"),
         F.array_join("available_dimensions", ",").alias("available"),
     )
 
 
+def _report_items(facts: DataFrame) -> DataFrame:
+    return reports.report(facts).items()
+
+
+def _report_head(facts: DataFrame) -> DataFrame:
+    """The head of every report, as flat columns."""
+    return reports.report(facts).head().select(
+        "upload_id",
+        "kpis.*",
+        "risk.score",
+        "risk.level",
+        "trend.direction",
+        "trend.delay_change_pct",
+        "trend.commentary",
+        F.array_join("healthy_signals", "|").alias("signals"),
+        *(f"{name}_count" for name in reports.LIST_ORDERS),
+    )
+
+
 def _json_report(facts: DataFrame) -> DataFrame:
-    return reports.as_json(_whole_report(facts))
+    """Reports stored as JSON documents, read again and outlined."""
+    whole = _whole_report(facts)
+    stored = store.kept(reports.as_json(whole), "report-documents")
+    ddl = whole.drop("upload_id").schema
+    return _outline(stored.select("upload_id", F.from_json("document", ddl).alias("d")).select("upload_id", "d.*"))
 
 
 def _shareable(facts: DataFrame) -> DataFrame:
-    return reports.as_json(reports.shareable(_whole_report(facts)))
+    """What a shareable document says, and that it names no lane."""
+    shared = reports.as_json(reports.shareable(_whole_report(facts)))
+    get = lambda path, kind: F.get_json_object("document", f"$.{path}").cast(kind)
+    return shared.select(
+        "upload_id",
+        get("kpis.total_shipments", "long").alias("total_shipments"),
+        get("risk.score", "double").alias("score"),
+        get("lane_count", "long").alias("lanes"),
+        get("vendors[0].vendor", "string").alias("worst_vendor"),
+        get("lanes", "string").isNotNull().alias("names_lanes"),
+    )
 
 
 ANALYTICS: dict[str, Query] = {
@@ -287,11 +330,12 @@ ANALYTICS: dict[str, Query] = {
     "vendor_view": _on_facts(lambda f: _ranked(views.vendor_view(f))),
     "country_view": _on_facts(lambda f: _ranked(views.country_view(f))),
     "trend_view": _on_facts(views.trend_view),
-    "dimension_view": _on_facts(lambda f: _ranked(views.dimension_view(f, "carriers"))),
+    "dimension_view": _on_facts(_dimension_views),
     "operations_view": _on_facts(_operations_view),
     "history_view": _on_shipments(lambda s: views.history_view(_history_points(s))),
     "risk_view": _on_facts(_risk_view),
-    "report": _on_facts(_whole_report),
+    "report": _on_facts(_report_head),
+    "report_items": _on_facts(_report_items),
     "report_outline": _on_facts(_report_outline),
     "snapshot_report": _on_facts(_json_report),
     "report_shareable": _on_facts(_shareable),

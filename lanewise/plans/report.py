@@ -1,12 +1,16 @@
-"""The whole report of every dataset from two scans of the facts."""
+"""The whole report of every dataset from two scans of the facts.
+
+A report has the same shape at every size: one head row per dataset, and a flat
+table of ranked items that grows with the labels. The nested document is made
+from both.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanewise.functions.labels import risk_level
@@ -14,6 +18,7 @@ from lanewise.operators import dimensions, entities, healthy, operations, trends
 from lanewise.operators.kpis import delay_histogram, headline_from
 from lanewise.operators.measures import DATASET, join_datasets, section_rollup
 from lanewise.operators.risk import as_map, score_risk
+from lanewise.sources import store
 
 KPI_COLUMNS = (
     "total_shipments late_shipments late_shipment_pct avg_delay_days avg_delay_days_when_late"
@@ -22,7 +27,6 @@ KPI_COLUMNS = (
 ).split()
 MIN_SHIPMENTS = 2
 MIN_LABELS = 2
-ITEMS_PER_PART = 10_000
 
 # List sections and the order their items are listed in.
 LIST_ORDERS: dict[str, Sequence[str]] = {
@@ -30,16 +34,13 @@ LIST_ORDERS: dict[str, Sequence[str]] = {
     "countries": entities.COUNTRY_ORDER,
     **dict.fromkeys(dimensions.DIMENSIONS, dimensions.DIMENSION_ORDER),
 }
-# Marks the few vendors that are named in a sentence.
-_NAMED = "named vendors"
-
 
 @dataclass(frozen=True)
 class Report:
     """Sections of the report of every dataset.
 
-    ``rollup`` has one row per (dataset, section, label) and is kept, since all
-    list sections read it. Call ``release`` when done.
+    ``rollup`` has one row per (dataset, section, label) and is a written table,
+    since all list sections read it.
     """
 
     by: tuple[str, ...]
@@ -47,9 +48,6 @@ class Report:
     headline: DataFrame
     stats: DataFrame
 
-    def release(self) -> None:
-        self.rollup.unpersist()
-
     def section(self, name: str) -> DataFrame:
         """One list section, or ``months``, as a frame of its own."""
         by, found = self.by, self.rollup.where(F.col("section") == name).drop("section")
@@ -63,8 +61,14 @@ class Report:
         scored = dimensions.score_labels(found, by, MIN_SHIPMENTS, MIN_LABELS)
         return dimensions.top_lanes(scored, by) if name == "lanes" else scored
 
-    def document(self, items_per_part: int = ITEMS_PER_PART) -> DataFrame:
-        return document(self, items_per_part)
+    def head(self) -> DataFrame:
+        return head(self)
+
+    def items(self) -> DataFrame:
+        return items(self)
+
+    def document(self) -> DataFrame:
+        return document(self)
 
 
 def report(facts: DataFrame, by: Sequence[str] = DATASET) -> Report:
@@ -75,7 +79,7 @@ def report(facts: DataFrame, by: Sequence[str] = DATASET) -> Report:
     mode, service level, category, lane and month.
     """
     by = tuple(by)
-    rolled = section_rollup(facts, by).persist(StorageLevel.MEMORY_AND_DISK)
+    rolled = store.kept(section_rollup(facts, by), "report-rollup")
     totals = [F.sum(c).alias(c) for c in operations.TOTAL_COLUMNS]
     histogram = delay_histogram(facts, by, *operations.operation_measures())
     headline = headline_from(histogram, by, *totals)
@@ -95,24 +99,7 @@ def _stats(rolled: DataFrame, by: Sequence[str]) -> DataFrame:
             F.expr(f"count_if({eligible}) AS labels_{name}"),
             F.expr(f"sum(CASE WHEN {eligible} THEN shipment_count END) AS shipments_{name}"),
         ]
-    listed = F.expr("count_if(section <> 'months') AS item_count")
-    return rolled.groupBy(*by).agg(*entities.concentration_measures(), *sizes, listed)
-
-
-def _items(parts: Report, items_per_part: int) -> DataFrame:
-    """The rollup with dataset totals and the part of the document each row goes to.
-
-    Months and modes are few by nature and always belong to part 0; the other
-    labels are spread evenly over as many parts as their number calls for.
-    """
-    part_count = F.greatest(F.ceil(F.col("item_count") / items_per_part), F.lit(1)).cast("int")
-    spread = F.pmod(F.xxhash64("section", "label"), F.col("part_count")).cast("int")
-    first_part_only = F.col("section").isin("months", "transport_modes")
-    return (
-        join_datasets(parts.rollup, parts.stats, parts.by)
-        .withColumn("part_count", part_count)
-        .withColumn("part", F.when(first_part_only, 0).otherwise(spread))
-    )
+    return rolled.groupBy(*by).agg(*entities.concentration_measures(), *sizes)
 
 
 # Columns of one listed item: name in the report -> column of the scored rows.
@@ -171,51 +158,88 @@ def _is_listed(name: str) -> str:
     return f"{_eligible(name)} AND labels_{name} >= {MIN_LABELS}"
 
 
-def _listed(name: str) -> Column:
-    """Aggregate: the items of one section in their order."""
-    columns = _ITEMS[name]
-    keys = ", ".join(
-        f"-{columns[c[1:]]} AS key{i}" if c.startswith("-") else f"{columns[c]} AS key{i}"
-        for i, c in enumerate(LIST_ORDERS[name])
+# Figures of a flat item; NULL where its section does not show them.
+ITEM_FIGURES = (
+    "shipment_count share_pct late_count late_pct avg_delay_days avg_lead_time_days"
+    " avg_transit_days total_value value_at_risk avg_freight_cost health_score risk_score risk_level"
+).split()
+
+
+def _rank_key() -> Column:
+    """What an item of any section is ranked by, as one struct of two figures and the label."""
+    cases = []
+    for name, order in LIST_ORDERS.items():
+        columns = _ITEMS[name]
+        keys = [f"-{columns[c[1:]]}" if c.startswith("-") else columns[c] for c in order]
+        cases.append(f"WHEN '{name}' THEN struct({keys[0]} AS a, {keys[1]} AS b, {keys[2]} AS c)")
+    return F.expr(
+        f"CASE section {' '.join(cases)} ELSE struct(0.0D AS a, 0.0D AS b, label AS c) END"
     )
-    item = "struct(" + ", ".join(f"{c} AS {n}" for n, c in columns.items()) + ") AS item"
-    entry = f"CASE WHEN {_is_listed(name)} THEN struct({keys}, {item}) END"
-    return F.expr(f"transform(array_sort(collect_list({entry})), e -> e.item) AS {name}")
 
 
-def _named_vendors(scored: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Marker rows for the vendors that a sentence names, in part 0."""
-    vendors = scored.where(_is_listed("vendors")).withColumnRenamed("label", "vendor")
-    return healthy.strongest_named(vendors, by).select(
-        *by,
-        F.lit(_NAMED).alias("section"),
-        F.col("vendor").alias("label"),
-        F.col("rank"),
-        F.lit(0).alias("part"),
+def _shown(figure: str) -> Column:
+    """A figure where the section shows it."""
+    branches = []
+    for name in LIST_ORDERS:
+        if figure in _ITEMS[name]:
+            branches.append(f"WHEN '{name}' THEN {_ITEMS[name][figure]}")
+    if figure in trends.POINT_COLUMNS:
+        branches.append(f"WHEN 'months' THEN {figure}")
+    return F.expr(f"CASE section {' '.join(branches)} END").alias(figure)
+
+
+def items(parts: Report) -> DataFrame:
+    """Every listed item: dataset, section, position in its section, label, figures.
+
+    Months come in their order, other sections worst first, lanes only the
+    twelve worst. Sections without data have no rows.
+    """
+    scored = _scored(join_datasets(parts.rollup, parts.stats, parts.by))
+    listed = " OR ".join(f"(section = '{name}' AND {_is_listed(name)})" for name in LIST_ORDERS)
+    place = Window.partitionBy(*parts.by, "section").orderBy(_rank_key())
+    found = scored.where(f"section = 'months' OR {listed}").withColumn(
+        "position", F.row_number().over(place).cast("long")
+    )
+    return found.where(f"section <> 'lanes' OR position <= {dimensions.LANE_LIMIT}").select(
+        *parts.by, "section", "position", "label", *map(_shown, ITEM_FIGURES)
     )
 
 
-def _lists(items: DataFrame, by: Sequence[str]) -> DataFrame:
-    """All list sections of each part in one aggregation."""
-    scored = _scored(items)
-    rows = (
-        scored.where("section <> 'lanes'")
-        .unionByName(dimensions.top_lanes(scored.where(_is_listed("lanes")), by))
-        .unionByName(_named_vendors(scored, by), allowMissingColumns=True)
+def _section_sizes(parts: Report) -> list[Column]:
+    """How many items each list section of a dataset has."""
+
+    def size(name: str) -> str:
+        if name == "vendors":
+            return f"count_if({_eligible(name)})"
+        if name == "countries":
+            return f"count_if(section = '{name}')"
+        listed = f"count_if({_eligible(name)})"
+        shown = f"least({listed}, {dimensions.LANE_LIMIT})" if name == "lanes" else listed
+        return f"CASE WHEN {listed} >= {MIN_LABELS} THEN {shown} ELSE 0 END"
+
+    return [F.expr(f"{size(name)} AS {name}_count") for name in LIST_ORDERS]
+
+
+def _summaries(parts: Report) -> DataFrame:
+    """Monthly points, emissions by mode and named vendors of each dataset.
+
+    Months and modes are few by nature, and three vendors are named at most.
+    """
+    by = parts.by
+    point = F.struct(
+        F.col("label").alias("period"),
+        *(c.alias(n) for n, c in trends.point_fields().items()),
     )
-    point = F.struct(F.col("label").alias("period"), *trends.POINT_COLUMNS[1:])
     points = F.array_sort(F.collect_list(F.when(F.col("section") == "months", point)))
     emitting = (F.col("section") == "transport_modes") & (F.col("co2_count") > 0)
     emitted = F.struct("label", F.round("co2_sum", 2).cast("double").alias("co2_kg"))
-    return rows.groupBy(*by, "part").agg(
-        *(_listed(name) for name in LIST_ORDERS),
-        points.alias("points"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.when(emitting, emitted)))).alias(
-            "co2_by_mode_kg"
-        ),
-        healthy.joined_names("rank", "label").alias("strong_vendor_names"),
-        F.max("part_count").alias("part_count"),
+    modes = F.map_from_entries(F.array_sort(F.collect_list(F.when(emitting, emitted))))
+    rows = parts.rollup.groupBy(*by).agg(
+        points.alias("points"), modes.alias("co2_by_mode_kg"), *_section_sizes(parts)
     )
+    strong = healthy.strongest_named(parts.section("vendors"), by)
+    names = strong.groupBy(*by).agg(healthy.joined_names().alias("strong_vendor_names"))
+    return join_datasets(rows, names, by, "left")
 
 
 def _with_trend(rows: DataFrame) -> DataFrame:
@@ -241,33 +265,25 @@ def _optional(present: Column, fields: Mapping[str, Column]) -> Column:
     return F.when(present, F.struct(*(c.alias(n) for n, c in fields.items())))
 
 
-def document(parts: Report, items_per_part: int = ITEMS_PER_PART) -> DataFrame:
-    """The nested report, one row per dataset and part.
-
-    A dataset whose lists hold up to ``items_per_part`` items in all is one row,
-    part 0 of 1. Larger ones continue in further rows that carry only list
-    items, so that no list outgrows a row or a task, and nothing is cut.
-    """
+def head(parts: Report) -> DataFrame:
+    """One row per dataset: everything but the listed items, of which it has the counts."""
     by = list(parts.by)
-    lists = _lists(_items(parts, items_per_part), by)
-    head = join_datasets(parts.headline, parts.stats, by, "left")
-    head = score_risk(
-        head.fillna(0, ["distinct_vendors", "distinct_countries"]).fillna(
+    whole = join_datasets(parts.headline, parts.stats, by, "left")
+    whole = score_risk(
+        whole.fillna(0, ["distinct_vendors", "distinct_countries"]).fillna(
             0.0, ["vendor_concentration", "country_concentration"]
         )
-    ).withColumn("part", F.lit(0))
-    whole = head.join(lists, [*by, "part"], "full")
-    empty = {
-        name: F.coalesce(name, F.array().cast(lists.schema[name].dataType))
-        for name in (*LIST_ORDERS, "points")
-    }
-    whole = healthy.with_signals(_with_trend(whole.withColumns(empty)))
+    )
+    summaries = _summaries(parts)
+    whole = join_datasets(whole, summaries, by, "left").withColumn(
+        "points", F.coalesce("points", F.array().cast(summaries.schema["points"].dataType))
+    )
+    whole = healthy.with_signals(_with_trend(whole))
     no_modes = F.create_map().cast("map<string,double>")
     emissions = {
         **operations.emissions_fields(),
         "co2_by_mode_kg": F.coalesce(F.col("co2_by_mode_kg"), no_modes),
     }
-    first = F.col("part") == 0
     sections = {
         "kpis": F.struct(*KPI_COLUMNS),
         "risk": F.struct(
@@ -285,19 +301,47 @@ def document(parts: Report, items_per_part: int = ITEMS_PER_PART) -> DataFrame:
     }
     return whole.select(
         *by,
-        "part",
-        F.coalesce("part_count", F.lit(1)).alias("part_count"),
-        *(F.when(first, c).alias(n) for n, c in sections.items()),
-        *LIST_ORDERS,
+        *(c.alias(n) for n, c in sections.items()),
+        *(F.coalesce(f"{name}_count", F.lit(0)).alias(f"{name}_count") for name in LIST_ORDERS),
     )
 
 
+def document(parts: Report) -> DataFrame:
+    """The nested report: one row per dataset, each section a list in rank order.
+
+    All items of a dataset meet in one row, so this suits datasets with labels
+    that fit in memory; ``head`` and ``items`` say the same at any size.
+    """
+    by = list(parts.by)
+    lists = []
+    for name in LIST_ORDERS:
+        item = F.struct(*(F.col(_flat_name(c)).alias(c) for c in _ITEMS[name]))
+        entry = F.when(F.col("section") == name, F.struct("position", item.alias("item")))
+        ordered = F.array_sort(F.collect_list(entry))
+        lists.append(F.transform(ordered, lambda e: e["item"]).alias(name))
+    nested = items(parts).groupBy(*by).agg(*lists)
+    whole = join_datasets(head(parts), nested, by, "left")
+    counts = [f"{name}_count" for name in LIST_ORDERS]
+    return whole.select(
+        *by,
+        *(c for c in whole.columns if c not in (*by, *counts, *LIST_ORDERS)),
+        *(
+            F.coalesce(name, F.array().cast(nested.schema[name].dataType)).alias(name)
+            for name in LIST_ORDERS
+        ),
+    )
+
+
+def _flat_name(column: str) -> str:
+    return "label" if column in ("vendor", "country") else column
+
+
 def shareable(whole: DataFrame) -> DataFrame:
     """The nested report without lane labels, which may name customers; their count stays."""
     return whole.withColumn("lane_count", F.size("lanes")).drop("lanes")
 
 
 def as_json(whole: DataFrame, by: Sequence[str] = DATASET) -> DataFrame:
-    """One JSON document per row of the nested report."""
-    body = [c for c in whole.columns if c not in (*by, "part", "part_count")]
-    return whole.select(*by, "part", "part_count", F.to_json(F.struct(*body)).alias("document"))
+    """One JSON document per dataset."""
+    body = [c for c in whole.columns if c not in by]
+    return whole.select(*by, F.to_json(F.struct(*body)).alias("document"))

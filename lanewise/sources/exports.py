@@ -12,27 +12,22 @@ from pyspark.sql import functions as F
 from lanewise import schema
 from lanewise.functions import cells, derive, labels
 from lanewise.functions.dates import date_from_text
-from lanewise.sources import headers as header_map
+from lanewise.session import scratch_path
 from lanewise.sources import store
-from lanewise.sources.probe import (
-    NO_HEADER,
-    files_with_multiline_cells,
-    list_files,
-    probe,
-    split_bytes,
-)
+from lanewise.sources.headers import Mapped, mapper
+from lanewise.sources.probe import NO_HEADER, list_files, listed_paths, probe, same_slashes
 
 # Columns of the staging frame that are not part of the record.
-FLAGS = ("_accepted", "_derived_delay")
-# Each layout is a branch of the plan.
+FLAGS = ("_accepted", "_derived_delay", "_damaged")
+# Each layout is a branch of the plan; more are gathered in a scratch table first.
 LAYOUTS_PER_JOB = 50
 NO_COLUMNS = (
     "No recognisable column: none of the headers names a shipment field such as"
     " vendor, product, quantity, status or a date."
 )
-NO_ROWS = (
-    "No usable rows: no row has a value in a column that was recognised."
-)
+NO_ROWS = "No usable rows: no row has a value in a column that was recognised."
+DAMAGED = "Text is not in the encoding that the start of the file is in."
+REPLACEMENT = "\ufffd"
 
 
 class IngestError(ValueError):
@@ -59,6 +54,11 @@ class Layout:
     unmapped: tuple[str, ...]
     fuzzy: Mapping[str, float]
     problem: str | None = None
+    largest: int = 0
+
+    @classmethod
+    def unreadable(cls, paths: Sequence[str], problem: str) -> Layout:
+        return cls(tuple(paths), "utf-8", ",", True, 0, 0, (), {}, {}, (), {}, problem)
 
     @property
     def warnings(self) -> list[str]:
@@ -107,28 +107,38 @@ class Ingest:
     problems: tuple[Layout, ...]
     upload_id: Callable[[Column], Column] = field(repr=False, default=file_stem)
     max_rows: int | None = None
+    strict: bool = True
 
     @cached_property
+    def _rows(self) -> DataFrame:
+        rows = self._uncapped()
+        return rows if self.max_rows is None else cap_rows(rows, self.max_rows)
+
+    @property
     def staging(self) -> DataFrame:
-        frames = [self._read(layout) for layout in self.layouts]
-        rows = reduce(DataFrame.unionByName, frames)
-        if self.max_rows is not None:
-            rows = cap_rows(rows, self.max_rows)
-        return rows.drop("_file", "_block", "_order")
+        return self._rows.drop("_file", "_block", "_order")
 
     @property
     def shipments(self) -> DataFrame:
         return accepted(self.staging)
 
+    @property
+    def shipments_by_file(self) -> DataFrame:
+        """The accepted rows with ``source_file``, a digest of the path they came from."""
+        rows = self._rows.withColumn(store.SOURCE_FILE, F.md5(F.col("_file").cast("binary")))
+        return accepted(rows.drop("_file", "_block", "_order"))
+
     def counts(self) -> DataFrame:
-        """Accepted and rejected rows and derived delays of each dataset."""
+        """Accepted, rejected and damaged rows and derived delays of each dataset."""
         return ingest_counts(self.staging)
 
     def report(self) -> DataFrame:
         """The counts of each dataset with how its columns were understood.
 
-        Raises ``IngestError`` if some dataset has no usable row. One dataset is
-        one row, so the driver sees dataset names and counts only.
+        Every listed file counts, so a dataset without a row is there with zeros
+        and a warning. If the ingest is strict, a dataset without a usable row or
+        with damaged text raises ``IngestError``. One dataset is one row, and the
+        driver sees file names and what was understood of their heads.
         """
         rows = [
             (
@@ -136,9 +146,9 @@ class Ingest:
                 dict(layout.detected),
                 list(layout.unmapped),
                 {k: float(v) for k, v in layout.fuzzy.items()},
-                layout.warnings,
+                [layout.problem] if layout.problem else layout.warnings,
             )
-            for layout in self.layouts
+            for layout in (*self.layouts, *self.problems)
             for path in layout.paths
         ]
         understood = self.spark.createDataFrame(
@@ -149,41 +159,52 @@ class Ingest:
         per_upload = understood.groupBy(self.upload_id(F.col("path")).alias("upload_id")).agg(
             *(F.min_by(c, "path").alias(c) for c in understood.columns if c != "path")
         )
-        counts = self.counts()
+        counts = store.kept(self.counts(), "ingest-counts") if self.layouts else None
+        numbers = ("accepted_rows", "rejected_rows", "damaged_rows", "derived_delays")
+        if counts is None:
+            report = per_upload.withColumns({c: F.lit(0).cast("long") for c in numbers})
+        else:
+            report = per_upload.join(counts, "upload_id", "left").fillna(0, list(numbers))
         truncated = F.lit(False)
-        if self.max_rows is not None:
+        if self.max_rows is not None and self.layouts:
             every = self._uncapped().groupBy("upload_id").agg(F.count(F.lit(1)).alias("_rows"))
-            counts = counts.join(every, "upload_id")
-            truncated = F.col("_rows") > F.col("accepted_rows") + F.col("rejected_rows")
-        report = counts.join(per_upload, "upload_id").withColumn("truncated", truncated)
-        note = f"File truncated at {self.max_rows or 0:,} rows; the rest was ignored."
-        return report.withColumn(
-            "warnings",
-            F.when(F.col("truncated"), F.array_append("warnings", F.lit(note))).otherwise(
-                F.col("warnings")
-            ),
-        ).drop("_rows")
+            report = report.join(every, "upload_id", "left")
+            seen = F.col("accepted_rows") + F.col("rejected_rows")
+            truncated = F.coalesce(F.col("_rows") > seen, F.lit(False))
+        report = report.withColumn("truncated", truncated).drop("_rows")
+        if self.strict:
+            self._require(report)
+        notes = (
+            (F.col("truncated"), f"File truncated at {self.max_rows or 0:,} rows; the rest was ignored."),
+            (F.col("accepted_rows") == 0, NO_ROWS),
+            (F.col("damaged_rows") > 0, DAMAGED),
+        )
+        added = F.array_compact(F.array(*(F.when(test, note) for test, note in notes)))
+        return report.withColumn("warnings", F.concat("warnings", added))
+
+    @staticmethod
+    def _require(report: DataFrame) -> None:
+        for test, message in (("accepted_rows = 0", NO_ROWS), ("damaged_rows > 0", DAMAGED)):
+            found = report.where(test).drop("detected_columns", "fuzzy_columns").first()
+            if found:
+                raise IngestError(message, found.asDict())
 
     def _uncapped(self) -> DataFrame:
         return reduce(DataFrame.unionByName, [self._read(layout) for layout in self.layouts])
 
-    def batches(self, layouts_per_job: int = LAYOUTS_PER_JOB) -> list[Ingest]:
-        """Smaller ingests whose plans stay small, for folders with very many headers."""
-        return [
-            replace(self, layouts=self.layouts[i : i + layouts_per_job])
-            for i in range(0, len(self.layouts), layouts_per_job)
-        ]
+    def gathered(self, layouts_per_job: int = LAYOUTS_PER_JOB) -> DataFrame:
+        """The accepted rows; those of very many layouts by way of a scratch table, so that plans stay small."""
+        if len(self.layouts) <= layouts_per_job or self.max_rows is not None:
+            return self.shipments
+        path = scratch_path(self.spark, "ingest")
+        for i in range(0, len(self.layouts), layouts_per_job):
+            part = replace(self, layouts=self.layouts[i : i + layouts_per_job])
+            part.shipments.write.mode("append").parquet(path)
+        return self.spark.read.schema(self.shipments.schema).parquet(path)
 
     def append_to(self, table: str) -> None:
-        """Add the accepted rows to a stored table."""
-        for part in self.batches():
-            store.append(part.shipments, table)
-
-    def require_rows(self) -> None:
-        """Raise unless every dataset has at least one usable row."""
-        empty = self.counts().where("accepted_rows = 0").limit(1).collect()
-        if empty or self.counts().isEmpty():
-            raise IngestError(NO_ROWS, empty[0].asDict() if empty else {})
+        """Add the accepted rows to a stored table, all of them in one commit."""
+        store.append(self.gathered(), table)
 
     def _read(self, layout: Layout) -> DataFrame:
         return stage(read_layout(self.spark, layout, self.upload_id), layout.columns)
@@ -196,7 +217,7 @@ def plan_ingest(
     *,
     aliases: Mapping[str, list[str]] | None = None,
     fuzzy: bool = True,
-    multiline: bool | None = None,
+    multiline: bool = True,
     max_rows: int | None = None,
     max_bytes: int | None = None,
     strict: bool = True,
@@ -207,44 +228,33 @@ def plan_ingest(
     path column to the dataset id. With ``strict`` a file that cannot be read
     raises ``IngestError``; otherwise it is listed in ``Ingest.problems``.
 
-    ``multiline`` says whether quoted cells contain line breaks. By default that
-    is assumed of files read by one task anyway, and found out by a scan for
-    those that are large enough to be split.
+    Quoted cells may contain line breaks, so a file is read by one task, whatever
+    its size. ``multiline=False`` promises that none does: files are then split
+    like any text, and lines of nothing but blanks are no rows. How a file is
+    read never depends on its size or on session settings.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    files = list_files(spark, paths).persist()
-    size = files.agg(
-        F.count(F.lit(1)).alias("files"), F.max("length").alias("largest")
-    ).first()
-    if not size.files:
-        # Spark's listing leaves out files of length zero.
+    files = list_files(spark, paths)
+    layouts = _layouts(files, mapper(aliases, fuzzy), multiline)
+    if not layouts:
         named = any(p.lower().endswith(".csv") for p in paths)
         message = NO_HEADER if named else "Only .csv files are supported."
-        raise IngestError(message, {"paths": paths[:40]})
-    if max_bytes is not None and size.largest > max_bytes:
+        raise IngestError(message, {"paths": paths})
+    largest = max(layout.largest for layout in layouts)
+    if max_bytes is not None and largest > max_bytes:
         raise IngestError(
-            f"File is {size.largest / 1_048_576:.1f} MB; the limit is"
-            f" {max_bytes / 1_048_576:.0f} MB."
+            f"File is {largest / 1_048_576:.1f} MB; the limit is {max_bytes / 1_048_576:.0f} MB."
         )
-    heads = probe(files, size.files).withColumn(
-        "layout",
-        F.xxhash64("encoding", "delimiter", "skip_records", "skipped_lines", "headers", "problem"),
-    ).persist()
-    try:
-        layouts = _layouts(spark, heads, aliases, fuzzy, multiline)
-    finally:
-        heads.unpersist()
-        files.unpersist()
     problems = [layout for layout in layouts if layout.problem]
     if problems and strict:
         worst = problems[0]
         raise IngestError(
             worst.problem or NO_COLUMNS,
             {
-                "found_headers": list(worst.headers[:40]),
+                "found_headers": list(worst.headers),
                 "delimiter_used": worst.delimiter,
                 "recognised_fields": sorted(schema.FIELD_TYPES),
-                "paths": list(worst.paths[:40]),
+                "paths": list(worst.paths),
             },
         )
     chosen = upload_id if callable(upload_id) else (lambda _path, value=upload_id: F.lit(value))
@@ -254,71 +264,47 @@ def plan_ingest(
         tuple(problems),
         chosen,
         max_rows,
+        strict,
     )
 
 
 def _layouts(
-    spark: SparkSession,
-    heads: DataFrame,
-    aliases: Mapping[str, list[str]] | None,
-    fuzzy: bool,
-    multiline: bool | None,
+    files: DataFrame, mapped: Callable[[Sequence[str]], list[Mapped]], multiline: bool
 ) -> list[Layout]:
-    """Group files by layout. The driver holds paths and headers, as a file listing does."""
-    distinct = heads.dropDuplicates(["layout"]).select(
-        F.col("layout").cast("string").alias("file"), F.posexplode("headers").alias("position", "header")
-    )
-    mapped: dict[str, list] = {}
-    for row in header_map.map_headers(distinct, aliases, fuzzy).collect():
-        mapped.setdefault(row.file, []).append(row)
-
-    limit = split_bytes(spark)
+    """Group files by layout in one job. The driver holds paths and headers, as a file listing does."""
     groups = (
-        heads.withColumn("large", F.col("length") > limit)
-        .groupBy(
-            "layout", "encoding", "delimiter", "skip_records", "skipped_lines", "headers",
-            "problem", "large",
-        )
-        .agg(F.sort_array(F.collect_list("path")).alias("paths"))
+        probe(files)
+        .groupBy("encoding", "delimiter", "skip_records", "skipped_lines", "headers", "problem")
+        .agg(F.sort_array(F.collect_list("path")).alias("paths"), F.max("length").alias("largest"))
         .collect()
     )
-    large = [p for g in groups if g.large for p in g.paths]
-    broken_lines = files_with_multiline_cells(spark, large) if multiline is None else set()
     found = []
     for group in sorted(groups, key=lambda g: g.paths[0]):
-        rows = sorted(mapped.get(str(group.layout), []), key=lambda r: r.position)
-        taken = [r for r in rows if r.field]
-        problem = group.problem or (None if taken else NO_COLUMNS)
-        for is_multiline, paths in _by_multiline(group, multiline, broken_lines):
-            found.append(
-                Layout(
-                    paths=tuple(paths),
-                    encoding=group.encoding,
-                    delimiter=group.delimiter,
-                    multiline=is_multiline,
-                    skip_records=group.skip_records,
-                    skipped_lines=group.skipped_lines,
-                    headers=tuple(group.headers),
-                    columns={r.field: r.column for r in taken},
-                    detected={r.field: r.header for r in taken},
-                    unmapped=tuple(r.header for r in rows if not r.field),
-                    fuzzy={r.header: r.score for r in taken if r.score is not None},
-                    problem=problem,
-                )
+        cells = mapped(group.headers)
+        taken = [c for c in cells if c.field]
+        found.append(
+            Layout(
+                paths=tuple(group.paths),
+                encoding=group.encoding,
+                delimiter=group.delimiter,
+                multiline=multiline,
+                skip_records=group.skip_records,
+                skipped_lines=group.skipped_lines,
+                headers=tuple(group.headers),
+                columns={c.field: c.column for c in taken},
+                detected={c.field: c.header for c in taken},
+                unmapped=tuple(c.header for c in cells if not c.field),
+                fuzzy={c.header: c.score for c in taken if c.score is not None},
+                problem=group.problem or (None if taken else NO_COLUMNS),
+                largest=group.largest,
             )
+        )
+    empty = listed_paths(files) - {same_slashes(p) for layout in found for p in layout.paths}
+    if empty:
+        found.append(Layout.unreadable(sorted(empty), NO_HEADER))
     return found
 
 
-def _by_multiline(group, multiline: bool | None, broken_lines: set[str]):
-    if multiline is not None:
-        return [(multiline, group.paths)]
-    if not group.large:
-        return [(True, group.paths)]
-    whole = [p for p in group.paths if p in broken_lines]
-    split = [p for p in group.paths if p not in broken_lines]
-    return [(kind, paths) for kind, paths in ((True, whole), (False, split)) if paths]
-
-
 def read_layout(
     spark: SparkSession, layout: Layout, upload_id: Callable[[Column], Column]
 ) -> DataFrame:
@@ -342,8 +328,16 @@ def read_layout(
         rows = drop_first_records(rows, layout.skip_records + 1)
     if layout.encoding == "cp1252":
         rows = rows.withColumns({name: _from_cp1252(F.col(name)) for name in layout.columns})
+    # What is not valid UTF-8 arrives as replacement characters; the other encodings read any byte.
+    damaged = F.lit(False)
+    if layout.encoding == "utf-8":
+        damaged = F.contains(F.concat_ws("", *layout.columns), F.lit(REPLACEMENT))
     return rows.withColumns(
-        {"upload_id": upload_id(F.col("_file")), "_order": F.monotonically_increasing_id()}
+        {
+            "upload_id": upload_id(F.col("_file")),
+            "_order": F.monotonically_increasing_id(),
+            "_damaged": damaged,
+        }
     )
 
 
@@ -485,6 +479,7 @@ def complete(typed: DataFrame, extra: Sequence[str] = ("upload_id",)) -> DataFra
 
 
 def accepted(staging: DataFrame) -> DataFrame:
+    """The rows that are kept, without their flags."""
     return staging.where("_accepted").drop(*FLAGS)
 
 
@@ -492,6 +487,7 @@ def ingest_counts(staging: DataFrame) -> DataFrame:
     return staging.groupBy("upload_id").agg(
         F.count_if("_accepted").alias("accepted_rows"),
         F.count_if(~F.col("_accepted")).alias("rejected_rows"),
+        F.count_if("_damaged").alias("damaged_rows"),
         F.count_if(F.col("_accepted") & F.col("_derived_delay")).alias("derived_delays"),
     )
 

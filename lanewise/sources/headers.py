@@ -3,102 +3,88 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
+from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lanewise.functions.cells import normalize_header
 from lanewise.schema import FUZZY_CUTOFF
 from lanewise.vocabulary import header_names
 
+# Tasks receive the functions of this module by value.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MIN_FUZZY_LENGTH = 3
-_CANDIDATE = "array<struct<score: double, field_order: int, field: string>>"
+MAPPED_DDL = "file string, position int, header string, column int, field string, score double"
 
 
-def name_table(
-    spark: SparkSession, extra: Mapping[str, list[str]] | None = None
-) -> DataFrame:
-    """(field_order, field, name), a fixed vocabulary of a few hundred rows."""
-    rows = [
-        (order, field, name)
-        for order, (field, names) in enumerate(header_names(extra).items())
-        for name in names
-    ]
-    return spark.createDataFrame(rows, "field_order int, field string, name string")
-
-
-def map_headers(
-    headers: DataFrame, extra: Mapping[str, list[str]] | None = None, fuzzy: bool = True
-) -> DataFrame:
-    """Which column of each file holds which field.
+def plain_name(header: str) -> str:
+    return "".join(c for c in header.lower() if c.isalnum())
 
-    ``headers`` has one row per ``file``, ``position`` and ``header``. The result
-    has every header once: ``field`` is NULL if it stays unmapped, ``score`` is
-    the similarity if the match is a guess, and ``column`` is the position to
-    read, the last one where a file repeats a header.
-
-    A known name wins first, the earliest header of a file taking the field.
-    Then each remaining header, from left to right, takes the most similar
-    field that is still free, if similar enough. Similarity depends on the
-    name alone, so it is computed once per distinct name in all files.
-    """
-    texts = (
-        headers.where("header <> ''")
-        .groupBy("file", "header")
-        .agg(F.min("position").alias("position"), F.max("position").alias("column"))
-        .withColumn("name", normalize_header(F.col("header")))
-    )
-    known = F.broadcast(name_table(headers.sparkSession, extra))
-    claims = texts.join(known, "name", "left")
-    # Per file and field the first header; a header names at most one field.
-    first = (
-        claims.where("field is not null")
-        .groupBy("file", "field")
-        .agg(F.min("position").alias("position"))
-        .withColumnRenamed("field", "taken")
-    )
-    marked = claims.join(first, ["file", "position"], "left").select(
-        "file", "header", "position", "column", "name", F.col("taken").alias("field")
-    )
-    if not fuzzy:
-        return marked.withColumn("score", F.lit(None).cast("double")).drop("name")
-
-    open_names = marked.where(
-        F.col("field").isNull() & (F.length("name") >= MIN_FUZZY_LENGTH)
-    ).select("name")
-    similar = similar_fields(open_names.distinct(), extra)
-    candidates = marked.join(similar, "name", "left").withColumn(
-        "candidates", F.when(F.col("field").isNull(), F.col("candidates"))
-    )
-    return _assign(candidates)
-
-
-def similar_fields(
-    names: DataFrame, extra: Mapping[str, list[str]] | None = None
-) -> DataFrame:
-    """Fields similar to each name, the most similar first, earlier fields first on ties."""
-    vocabulary = list(header_names(extra).items())
 
-    def score(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [ranked_fields(name, vocabulary) for name in batch["name"]]
-            yield pd.DataFrame({"name": batch["name"], "candidates": found})
+@dataclass(frozen=True)
+class Mapped:
+    """What one header of a file holds. ``score`` is the similarity of a guess."""
 
-    scored = names.mapInPandas(score, f"name string, candidates {_CANDIDATE}")
-    return scored.where(F.size("candidates") > 0)
+    header: str
+    position: int
+    column: int
+    field: str | None = None
+    score: float | None = None
 
 
-def ranked_fields(name: str, vocabulary: list[tuple[str, list[str]]]) -> list[dict]:
-    from difflib import SequenceMatcher
+def mapper(
+    extra: Mapping[str, list[str]] | None = None, fuzzy: bool = True
+) -> Callable[[Sequence[str]], list[Mapped]]:
+    """A function from the header cells of a file to what each of them holds.
 
+    Every header comes out once, empty ones not at all; ``column`` is the
+    position to read, the last one where a file repeats a header. A known name
+    wins first, the earliest header taking the field. Then each remaining header,
+    from left to right, takes the most similar field that is still free, if
+    similar enough. Similarity depends on the name alone and is remembered.
+    """
+    vocabulary = header_names(extra)
+    field_of = {name: field for field, names in vocabulary.items() for name in names}
+    remembered: dict[str, list[tuple[float, str]]] = {}
+
+    def similar(name: str) -> list[tuple[float, str]]:
+        if name not in remembered:
+            remembered[name] = similar_fields(name, vocabulary)
+        return remembered[name]
+
+    def assign(headers: Sequence[str]) -> list[Mapped]:
+        last = {h: i for i, h in enumerate(headers) if h}
+        first = {h: i for i, h in reversed(list(enumerate(headers))) if h}
+        order = sorted(first, key=first.__getitem__)
+        holder: dict[str, str] = {}
+        for header in order:
+            field = field_of.get(plain_name(header))
+            if field:
+                holder.setdefault(field, header)
+        found = {header: (field, None) for field, header in holder.items()}
+        for header in order if fuzzy else ():
+            name = plain_name(header)
+            if header in found or len(name) < MIN_FUZZY_LENGTH:
+                continue
+            free = next(((f, s) for s, f in similar(name) if f not in holder), None)
+            if free:
+                holder[free[0]] = header
+                found[header] = (free[0], round(free[1], 3))
+        return [Mapped(h, first[h], last[h], *found.get(h, (None, None))) for h in order]
+
+    return assign
+
+
+def similar_fields(name: str, vocabulary: Mapping[str, Sequence[str]]) -> list[tuple[float, str]]:
+    """Fields similar to a name with their similarity, the most similar first, earlier fields first on ties."""
     matcher = SequenceMatcher(None)
     found = []
-    for order, (field, known_names) in enumerate(vocabulary):
+    for field, known_names in vocabulary.items():
         best = 0.0
         for known in known_names:
             matcher.set_seqs(name, known)
@@ -106,46 +92,32 @@ def ranked_fields(name: str, vocabulary: list[tuple[str, list[str]]]) -> list[di
             if matcher.real_quick_ratio() > FUZZY_CUTOFF and matcher.quick_ratio() > FUZZY_CUTOFF:
                 best = max(best, matcher.ratio())
         if best > FUZZY_CUTOFF:
-            found.append({"score": best, "field_order": order, "field": field})
-    return sorted(found, key=lambda f: (-f["score"], f["field_order"]))
+            found.append((best, field))
+    return sorted(found, key=lambda f: -f[0])
 
 
-def _assign(candidates: DataFrame) -> DataFrame:
-    """Let the open headers of each file choose in turn.
+def map_headers(
+    headers: DataFrame, extra: Mapping[str, list[str]] | None = None, fuzzy: bool = True
+) -> DataFrame:
+    """Which column of each file holds which field, as ``mapper`` says.
 
-    A file's headers fit in one row: they came from one line of text.
+    ``headers`` has one row per ``file``, ``position`` and ``header``. A file's
+    headers fit in one row, as they came from one line of text, so one shuffle
+    brings them together.
     """
-    item = F.struct("position", "header", "column", "field", "candidates")
-    files = candidates.groupBy("file").agg(
-        F.array_sort(F.collect_list(item)).alias("items"),
-        F.array_compact(F.collect_list("field")).alias("filled"),
-    )
-    chosen_type = (
-        "array<struct<position: int, header: string, column: int, field: string, score: double>>"
-    )
-    files = files.withColumn(
-        "items",
-        F.expr(
-            f"""
-            aggregate(
-              items,
-              struct(filled AS filled, CAST(array() AS {chosen_type}) AS chosen),
-              (state, h) -> transform(
-                array(element_at(
-                  filter(coalesce(h.candidates, array()),
-                         c -> NOT array_contains(state.filled, c.field)) || array(null), 1)),
-                pick -> struct(
-                  CASE WHEN pick IS NULL THEN state.filled
-                       ELSE array_append(state.filled, pick.field) END AS filled,
-                  array_append(state.chosen, struct(
-                    CAST(h.position AS int) AS position, h.header AS header,
-                    CAST(h.column AS int) AS column,
-                    coalesce(h.field, pick.field) AS field,
-                    round(pick.score, 3) AS score)) AS chosen))[0],
-              state -> state.chosen)
-            """
-        ),
-    )
-    return files.select("file", F.inline("items")).select(
-        "file", "header", "position", "column", "field", "score"
-    )
+
+    def assign(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mapped = mapper(extra, fuzzy)
+        for batch in batches:
+            rows = []
+            for file, cells in zip(batch["file"], batch["cells"], strict=True):
+                cells = sorted((c["position"], c["header"]) for c in cells)
+                places = [p for p, _ in cells]
+                for m in mapped([h for _, h in cells]):
+                    rows.append((file, places[m.position], m.header, places[m.column], m.field, m.score))
+            names = [c.split()[0] for c in MAPPED_DDL.split(", ")]
+            yield pd.DataFrame(rows, columns=names).astype({"score": "float64"})
+
+    cells = F.collect_list(F.struct("position", "header")).alias("cells")
+    files = headers.where("header <> ''").groupBy("file").agg(cells)
+    return files.mapInPandas(assign, MAPPED_DDL)

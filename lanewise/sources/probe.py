@@ -1,7 +1,7 @@
 """What each CSV file looks like, learned from its first 64 KiB.
 
-The heads are read inside tasks, so a folder with very many files is probed in
-parallel and no file is ever read whole.
+The heads are read inside the tasks that list the files, so a folder with very
+many files is probed in parallel.
 """
 
 from __future__ import annotations
@@ -9,8 +9,10 @@ from __future__ import annotations
 import codecs
 import csv
 import io
+import re
 import sys
 from collections.abc import Iterable, Iterator, Sequence
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -18,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanewise.schema import DELIMITERS, HEADER_SCAN_ROWS, PROBE_BYTES
+from lanewise.sources.headers import plain_name
 from lanewise.vocabulary import header_names
 
 # Tasks receive the functions of this module by value; executors need no copy
@@ -28,7 +31,6 @@ HEAD_SCHEMA = (
     "path string, length long, encoding string, delimiter string, skip_records int,"
     " skipped_lines int, headers array<string>, problem string"
 )
-FILES_PER_TASK = 200
 NO_HEADER = "The file has no header row."
 
 
@@ -46,7 +48,17 @@ def list_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     )
 
 
-def probe(files: DataFrame, file_count: int) -> DataFrame:
+def listed_paths(files: DataFrame) -> set[str]:
+    """All CSV files of the listing, those of length zero included, which scans pass over."""
+    return {same_slashes(unquote(p)) for p in files.inputFiles() if p.lower().endswith(".csv")}
+
+
+def same_slashes(path: str) -> str:
+    """``file:///x`` and ``file:/x`` are the same file."""
+    return re.sub(r"^(\w+):/+", r"\1:/", path)
+
+
+def probe(files: DataFrame) -> DataFrame:
     """One row per file: encoding, delimiter, header row and where it is."""
     names = frozenset(n for all_names in header_names().values() for n in all_names)
 
@@ -60,8 +72,7 @@ def probe(files: DataFrame, file_count: int) -> DataFrame:
                 columns=[c.split()[0] for c in HEAD_SCHEMA.split(", ")],
             )
 
-    tasks = max(1, -(-file_count // FILES_PER_TASK))
-    return files.repartition(tasks).mapInPandas(inspect, HEAD_SCHEMA)
+    return files.mapInPandas(inspect, HEAD_SCHEMA)
 
 
 def read_head(path: str) -> bytes:
@@ -105,14 +116,18 @@ def decode_head(head: bytes, whole: bool) -> tuple[str, str]:
 
 
 def find_delimiter(text: str) -> str:
-    """The sniffed separator if it is a usual one, else the commonest in line one."""
+    """The separator that a sniffer sees, if it is a usual one.
+
+    A text that it cannot make out has the usual separator that its first line
+    holds most often, the earlier one on ties, or the first of all if none.
+    """
     try:
-        found = csv.Sniffer().sniff(text, delimiters=DELIMITERS).delimiter
-        return found if found in DELIMITERS else ","
+        seen = csv.Sniffer().sniff(text, delimiters=DELIMITERS).delimiter
     except csv.Error:
-        first = next(iter(text.splitlines()), "")
-        best = max(DELIMITERS, key=first.count)
-        return best if best in first else ","
+        line = text.partition("\n")[0]
+        counts = {d: line.count(d) for d in DELIMITERS}
+        seen = max(counts, key=counts.__getitem__)
+    return seen if seen in DELIMITERS else DELIMITERS[0]
 
 
 def find_header(text: str, delimiter: str, names: frozenset[str]) -> tuple[int, int, list[str]]:
@@ -132,28 +147,3 @@ def find_header(text: str, delimiter: str, names: frozenset[str]) -> tuple[int,
     if found is None:
         return 0, 0, next((cells for cells in records if cells), [])
     return sum(1 for cells in records[:found] if cells), found, records[found]
-
-
-def plain_name(header: str) -> str:
-    return "".join(c for c in header.lower() if c.isalnum())
-
-
-def split_bytes(spark: SparkSession) -> int:
-    """The size up to which Spark reads a file in one task."""
-    setting = spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728b")
-    units = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-    text = setting.lower().rstrip("b") or "0"
-    return int(text[:-1]) * units[text[-1]] if text[-1] in units else int(text)
-
-
-def files_with_multiline_cells(spark: SparkSession, paths: Sequence[str]) -> set[str]:
-    """Files in which some line has an odd number of quotes, so a cell goes on in the next."""
-    if not paths:
-        return set()
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    odd = (
-        spark.read.text(list(paths))
-        .select(F.col("_metadata.file_path").alias("path"), quotes.alias("quotes"))
-        .where(F.col("quotes") % 2 == 1)
-    )
-    return {row.path for row in odd.select("path").distinct().collect()}

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanewise import schema
+from lanewise.session import scratch_path
 
 PARTITION = "upload_id"
+# Second level of tables that files arrive in one by one.
+SOURCE_FILE = "source_file"
 
 
 def append(rows: DataFrame, path: str) -> None:
@@ -21,17 +24,18 @@ def append(rows: DataFrame, path: str) -> None:
     _gathered(rows).write.mode("append").partitionBy(PARTITION).parquet(path)
 
 
-def replace(rows: DataFrame, path: str) -> None:
-    """Swap in all rows of the datasets that occur in ``rows``; others stay.
+def replace(rows: DataFrame, path: str, parts: Sequence[str] = (PARTITION,)) -> None:
+    """Swap in all rows of the parts that occur in ``rows``; others stay.
 
-    Writing the same datasets again has the same outcome, which makes a retried
-    batch harmless.
+    A part is a dataset, or with ``(PARTITION, SOURCE_FILE)`` one file of a
+    dataset. Writing the same parts again has the same outcome, which makes a
+    retried batch harmless.
     """
     (
         _gathered(rows)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(PARTITION)
+        .partitionBy(*parts)
         .parquet(path)
     )
 
@@ -42,7 +46,19 @@ def _gathered(rows: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, path: str, ddl: str = schema.SHIPMENT_DDL) -> DataFrame:
     """The stored rows; a filter on the dataset reads only its folder."""
-    return spark.read.schema(ddl).parquet(path)
+    rows = spark.read.schema(ddl).parquet(path)
+    return rows.drop(SOURCE_FILE)
+
+
+def kept(rows: DataFrame, name: str) -> DataFrame:
+    """Rows written to the shared scratch folder and read back.
+
+    For what several steps read: it is computed once, survives lost executors,
+    and leaves nothing registered in the session.
+    """
+    path = scratch_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def create_shipment_table(spark: SparkSession, name: str, path: str) -> None:
@@ -57,5 +73,5 @@ def create_shipment_table(spark: SparkSession, name: str, path: str) -> None:
 def delete_upload(spark: SparkSession, name: str, upload_ids: Sequence[str]) -> None:
     """Delete datasets from a registered managed table by dropping their partitions."""
     for upload_id in upload_ids:
-        literal = upload_id.replace("'", "\\'")
+        literal = upload_id.replace("\\", "\\\\").replace("'", "\\'")
         spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({PARTITION} = '{literal}')")

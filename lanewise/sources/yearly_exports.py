@@ -121,6 +121,63 @@ def _tab(rows: DataFrame) -> DataFrame:
 _WRITERS = {"comma": _comma, "semicolon": _semicolon, "tab": _tab}
 
 
+# --- Exports in unusual shapes --------------------------------------------------
+
+ODD = ("titled", "windows", "broken", "headeronly")
+TITLES = (
+    ("Weekly delays by supplier", None, None),
+    ("Printed for the file", None, None),
+    (None, None, None),
+    ("Supplier", "Days Late", "Ship To"),
+)
+
+
+def _with_titles(batches):
+    """Put the titles and the header on top of every file."""
+    import pyarrow as pa
+
+    for i, batch in enumerate(batches):
+        if i == 0:
+            columns = [pa.array(c, type=pa.string()) for c in zip(*TITLES, strict=True)]
+            yield pa.record_batch(columns, schema=batch.schema)
+        yield batch
+
+
+def write_odd_exports(customers: DataFrame, folder: str) -> str:
+    """The customers as suppliers in four shapes that ordinary exports do not have.
+
+    ``titled`` has lines above the header and pipes between cells, ``windows``
+    is in Windows-1252, ``broken`` has line breaks and inch marks in cells,
+    ``headeronly`` has a header and no row. Returns ``folder``.
+    """
+    key = F.col("c_custkey")
+    late = (key % 5).cast("string")
+    place = F.concat(F.lit("Place "), F.col("c_nationkey").cast("string"))
+    titled = customers.select(F.col("c_name").alias("a"), late.alias("b"), place.alias("c"))
+    titled.mapInArrow(_with_titles, titled.schema).write.option("sep", "|").csv(
+        f"{folder}/upload_id=titled"
+    )
+    windows = customers.select(
+        F.concat(F.lit("Café € "), F.col("c_name")).alias("Vendor"),
+        late.alias("Delay Days"),
+        place.alias("Destination"),
+    )
+    windows.write.option("header", True).option("encoding", "windows-1252").csv(
+        f"{folder}/upload_id=windows"
+    )
+    broken = customers.select(
+        F.lit('5" pipe').alias("Product"),
+        late.alias("Delay Days"),
+        F.concat(F.lit("Two\nlines "), F.col("c_name")).alias("Vendor"),
+    )
+    broken.write.option("header", True).option("escape", '"').csv(f"{folder}/upload_id=broken")
+    header = [("Vendor", "Delay Days", "Quantity")]
+    customers.sparkSession.createDataFrame(header, "a string, b string, c string").write.csv(
+        f"{folder}/upload_id=headeronly"
+    )
+    return folder
+
+
 def style_of(style: str) -> Column:
     """Years take turns in the three styles."""
     return _year() % len(STYLES) == STYLES.index(style)

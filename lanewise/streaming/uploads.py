@@ -31,10 +31,13 @@ def stream_uploads(
 
     The stream carries file names only. Each micro-batch plans and reads its
     files exactly as a batch ingest does, so the two cannot differ. Files that
-    cannot be mapped go to ``rejects``. A batch replaces the datasets it holds:
-    one that is retried after a failure changes nothing. All files of a dataset
-    must therefore arrive together.
+    cannot be mapped go to ``rejects``. A batch replaces the files it holds and
+    nothing else: files of one dataset may arrive in any number of batches and
+    add up, a file that comes again replaces its own rows, and a batch that is
+    retried after a failure changes nothing. ``files_per_batch`` has no effect
+    on the result.
     """
+    parts = (store.PARTITION, store.SOURCE_FILE)
 
     def ingest(batch: DataFrame, _batch_id: int) -> None:
         paths = [row.path for row in batch.select("path").collect()]
@@ -42,11 +45,15 @@ def stream_uploads(
             return
         planned = plan_ingest(spark, paths, upload_id, strict=False, **options)
         if planned.layouts:
-            store.replace(planned.shipments, table)
+            store.replace(planned.shipments_by_file, table, parts)
         bad = [(p, layout.problem) for layout in planned.problems for p in layout.paths]
         if bad:
             rows = spark.createDataFrame(bad, "path string, problem string")
-            store.replace(rows.withColumn("upload_id", upload_id(F.col("path"))), rejects)
+            named = {
+                store.PARTITION: upload_id(F.col("path")),
+                store.SOURCE_FILE: F.md5(F.col("path").cast("binary")),
+            }
+            store.replace(rows.withColumns(named), rejects, parts)
 
     arrivals = (
         spark.readStream.format("binaryFile")

@@ -5,13 +5,14 @@ from conftest import shipment
 from pyspark.sql import functions as F
 
 from lanewise.operators import dimensions, operations
+from lanewise.operators.entities import order_columns
 
 
 def test_dimension_drops_missing_labels_and_small_groups(make_facts):
     rows = [shipment(carrier="A", delay_days=3, lead_time_days=None)] * 2
     rows += [shipment(carrier="B", freight_cost=50)] * 6 + [shipment(carrier="C")]
     rows += [shipment(carrier=None)] * 5 + [shipment(carrier="")] * 3
-    got = dimensions.carriers(make_facts(rows)).collect()
+    got = dimensions.carriers(make_facts(rows)).orderBy("label").collect()
     assert [(r.label, r.shipment_count, r.share_pct, r.late_pct) for r in got] == [
         ("A", 2, 25.0, 100.0),
         ("B", 6, 75.0, 0.0),
@@ -38,8 +39,9 @@ def test_any_expression_can_be_the_key(make_facts):
 def test_lanes_need_two_ends_and_are_cut_to_the_worst_twelve(make_facts):
     rows = [shipment(destination=f"D{i:02}", delay_days=i) for i in range(15) for _ in range(2)]
     rows += [shipment(destination=None)] * 4 + [shipment(origin_country=None)] * 4
-    got = dimensions.lanes(make_facts(rows)).collect()
-    assert [r.label for r in got] == [f"China → D{i:02}" for i in range(14, 2, -1)]
+    worst = order_columns(dimensions.DIMENSION_ORDER)
+    got = dimensions.lanes(make_facts(rows)).orderBy(*worst).collect()
+    assert [r.label for r in got] == [f"Norway → D{i:02}" for i in range(14, 2, -1)]
     assert sum(r.share_pct for r in got) == pytest.approx(12 * 2 / 30 * 100, abs=0.1)
 
 

@@ -1,15 +1,14 @@
-from lanewise.sources.headers import map_headers
+from lanewise.sources.headers import map_headers, mapper
 
 FILES = {
-    "canonical": ["Unit Cost", "LEAD-TIME-DAYS", "Origin Country", "Supplier", "Days Late", "SKU"],
-    "specific": ["Supplier", "Carrier", "Product Name", "Brand", "Category", "Shipment ID"],
-    "places": ["Tracking Number", "Destination City", "Destination Country"],
-    "guesses": ["Suppler Name", "Freigt Cost", "Carrier Nmae", "Quantiy"],
-    "unrelated": ["Internal Notes", "Approver", "Comments", "Department Budget Code", "Qy", "Xx"],
-    "exact first": ["Vendr Name", "Vendor"],
-    "twice": ["id", "shipment_id", "vendor", "vendor", ""],
-    "one each": ["Suppler Name", "Supplier Nam"],
-    "docstring": ["Delivery Ctry"],
+    "plain": ["Unit Value", "TRANSIT_DAYS", "Source Region", "Shipper", "Lateness Days", "SKU Code"],
+    "neighbours": ["Seller", "Haulier", "Molecule", "Label", "Segment", "Order Num"],
+    "two ends": ["Waybill", "Consignee City", "Receiving Country"],
+    "misspelt": ["Manufcturer", "Haulage Csot", "Transportr", "Unts Sold"],
+    "foreign": ["Approved by", "Ledger", "Remarks", "Cost centre 4711", "Zz", "Ab"],
+    "known first": ["Manufactrer", "Manufacturer"],
+    "repeated": ["ref", "asn number", "partner", "partner", ""],
+    "one each": ["Manufactrer", "Manufacturr"],
 }
 
 
@@ -25,37 +24,36 @@ def mapped(spark, fuzzy=True, extra=None):
 def test_mapping(spark):
     found = mapped(spark)
     fields = {f: {h: m[0] for h, m in heads.items()} for f, heads in found.items()}
-    assert fields["canonical"] == {
-        "Unit Cost": "unit_cost",
-        "LEAD-TIME-DAYS": "lead_time_days",
-        "Origin Country": "origin_country",
-        "Supplier": "vendor",
-        "Days Late": "delay_days",
-        "SKU": "sku",
+    assert list(fields["plain"].values()) == [
+        "unit_cost", "lead_time_days", "origin_country", "vendor", "delay_days", "sku",
+    ]
+    assert list(fields["neighbours"].values()) == [
+        "vendor", "carrier", "product", "brand", "category", "shipment_ref",
+    ]
+    assert fields["two ends"] == {
+        "Waybill": "tracking_number",
+        "Consignee City": "destination_city",
+        "Receiving Country": "destination_country",
     }
-    assert fields["specific"] == {
-        "Supplier": "vendor",
-        "Carrier": "carrier",
-        "Product Name": "product",
-        "Brand": "brand",
-        "Category": "category",
-        "Shipment ID": "shipment_ref",
-    }
-    assert fields["places"]["Destination City"] == "destination_city"
-    assert fields["places"]["Destination Country"] == "destination_country"
-    assert list(fields["guesses"].values()) == ["vendor", "freight_cost", "carrier", "quantity"]
-    assert all(score > 0.87 for _, score, _ in found["guesses"].values())
-    assert set(fields["unrelated"].values()) == {None}
-    assert fields["exact first"] == {"Vendr Name": None, "Vendor": "vendor"}
-    assert found["exact first"]["Vendor"][1] is None
-    assert fields["twice"] == {"id": "shipment_ref", "shipment_id": None, "vendor": "vendor"}
-    assert found["twice"]["vendor"][2] == 3
-    assert fields["one each"] == {"Suppler Name": "vendor", "Supplier Nam": None}
-    # The nearest spelling wins even where a reader would choose otherwise.
-    assert found["docstring"]["Delivery Ctry"][:2] == ("destination_city", 0.917)
+    assert list(fields["misspelt"].values()) == ["vendor", "freight_cost", "carrier", "quantity"]
+    assert all(0.87 < score < 1 for _, score, _ in found["misspelt"].values())
+    assert set(fields["foreign"].values()) == {None}
+    assert fields["known first"] == {"Manufactrer": None, "Manufacturer": "vendor"}
+    assert found["known first"]["Manufacturer"][1] is None
+    assert fields["repeated"] == {"ref": "shipment_ref", "asn number": None, "partner": "vendor"}
+    assert found["repeated"]["partner"][2] == 3
+    assert fields["one each"] == {"Manufactrer": "vendor", "Manufacturr": None}
 
 
 def test_guessing_can_be_turned_off_and_names_added(spark):
-    found = mapped(spark, fuzzy=False, extra={"priority": ["approver"]})
-    assert {m[0] for m in found["guesses"].values()} == {None}
-    assert found["unrelated"]["Approver"][0] == "priority"
+    found = mapped(spark, fuzzy=False, extra={"priority": ["ledger"]})
+    assert {m[0] for m in found["misspelt"].values()} == {None}
+    assert found["foreign"]["Ledger"][0] == "priority"
+
+
+def test_a_line_of_headers_is_mapped_without_spark():
+    cells = mapper()(["Seller", "", "Seller", "Ledger"])
+    assert [(c.header, c.position, c.column, c.field) for c in cells] == [
+        ("Seller", 0, 2, "vendor"),
+        ("Ledger", 3, 3, None),
+    ]

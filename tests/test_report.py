@@ -51,13 +51,13 @@ def documents(found):
     return {r.upload_id: r for r in found.document().collect()}
 
 
-def ranked(frame, upload, columns, order=None):
-    rows = frame.where(f"upload_id = '{upload}'")
-    return [tuple(r) for r in (rows.orderBy(*order) if order else rows).select(*columns).collect()]
+def ranked(frame, upload, columns, order):
+    rows = frame.where(f"upload_id = '{upload}'").orderBy(*entities.order_columns(order))
+    return [tuple(r) for r in rows.select(*columns).collect()]
 
 
 def test_nested_report_equals_its_sections(facts, documents):
-    assert {(r.part, r.part_count) for r in documents.values()} == {(0, 1)}
+    assert set(documents) == {"one", "two", "undated"}
     whole_kpis = {r.upload_id: r for r in kpis.kpis(facts).collect()}
     whole_risk = {r.upload_id: r for r in risk.composite_risk(facts).collect()}
     trend = {r.upload_id: r for r in trends.trend_direction(facts).collect()}
@@ -74,12 +74,13 @@ def test_nested_report_equals_its_sections(facts, documents):
     months = trends.monthly_trend(facts)
     for u in ("one", "two"):
         doc = documents[u]
-        assert [tuple(v) for v in doc.vendors] == ranked(vendors, u, entities.VENDOR_COLUMNS)
-        assert [tuple(c) for c in doc.countries] == ranked(countries, u, entities.COUNTRY_COLUMNS)
-        assert [tuple(p) for p in doc.trend.points] == ranked(months, u, trends.POINT_COLUMNS)
+        assert [tuple(v) for v in doc.vendors] == ranked(vendors, u, entities.VENDOR_COLUMNS, entities.VENDOR_ORDER)
+        assert [tuple(c) for c in doc.countries] == ranked(countries, u, entities.COUNTRY_COLUMNS, entities.COUNTRY_ORDER)
+        assert [tuple(p) for p in doc.trend.points] == ranked(months, u, trends.POINT_COLUMNS, ["period"])
         for name in ("carriers", "transport_modes", "lanes"):
             alone = dimensions.named_dimension(facts, name)
-            assert [tuple(i) for i in doc[name]] == ranked(alone, u, dimensions.DIMENSION_COLUMNS)
+            worst = ranked(alone, u, dimensions.DIMENSION_COLUMNS, dimensions.DIMENSION_ORDER)
+            assert [tuple(i) for i in doc[name]] == worst
 
 
 def test_sections_without_data_are_absent(documents, facts):
@@ -106,15 +107,26 @@ def test_sections_as_frames(found, facts):
         assert sorted(map(tuple, found.section(name).collect())) == sorted(map(tuple, direct.collect()))
 
 
-def test_large_reports_continue_in_further_parts(found, documents):
-    parts = found.document(items_per_part=8).where("upload_id = 'one'").collect()
-    assert len(parts) > 1 and {p.part_count for p in parts} == {parts[0].part_count}
-    head = [p for p in parts if p.part == 0]
-    assert len(head) == 1 and head[0].kpis == documents["one"].kpis
-    assert all(p.kpis is None for p in parts if p.part > 0)
-    for name in reports.LIST_ORDERS:
-        spread = sorted(tuple(i) for p in parts for i in p[name])
-        assert spread == sorted(tuple(i) for i in documents["one"][name])
+def test_items_are_ranked_alike_in_the_flat_and_the_nested_form(found, documents):
+    flat: dict = {}
+    for r in found.items().orderBy("upload_id", "section", "position").collect():
+        flat.setdefault((r.upload_id, r.section), []).append(r)
+    for (upload, section), items in flat.items():
+        assert [r.position for r in items] == list(range(1, len(items) + 1))
+        if section == "months":
+            assert [r.label for r in items] == [p.period for p in documents[upload].trend.points]
+            continue
+        nested = documents[upload][section]
+        assert [r.label for r in items] == [i[0] for i in nested]
+        for flat_item, item in zip(items, nested, strict=True):
+            for name, value in item.asDict().items():
+                assert name in ("vendor", "country", "label") or flat_item[name] == value
+    heads = {r.upload_id: r for r in found.head().collect()}
+    for upload, doc in documents.items():
+        assert heads[upload].kpis == doc.kpis
+        for name in reports.LIST_ORDERS:
+            assert heads[upload][f"{name}_count"] == len(doc[name])
+            assert len(flat.get((upload, name), [])) == len(doc[name])
 
 
 def test_json_and_shareable_forms(found):
@@ -134,10 +146,14 @@ def test_global_report(facts):
 def test_views(facts):
     rows = views.vendor_view(facts, limit=2).where("upload_id = 'one'").orderBy("rank").collect()
     assert [r.rank for r in rows] == [1, 2] and {r.vendors_scored for r in rows} == {6}
-    assert views.vendor_view(facts, limit="many").where("upload_id = 'one'").count() == 5
-    assert views.dimension_view(facts, "service_levels").count() == 0
+    assert views.vendor_view(facts, limit=99).where("upload_id = 'one'").count() == 6
+    absent = views.dimension_view(facts, "service_levels").collect()
+    assert {(r.upload_id, r.label) for r in absent} == {("one", None), ("two", None), ("undated", None)}
+    assert all(r.note for r in absent)
+    assert views.dimension_view(facts, "carriers").where("note is null").count() == 4
     operations_rows = {r.upload_id: r for r in views.operations_view(facts).collect()}
     assert operations_rows["two"].cost is None and operations_rows["one"].quality.damaged_count == 5
+    assert operations_rows["one"].emissions.co2_by_mode_kg == {"air": 100.0, "road": 100.0}
     risks = {r.upload_id: r for r in views.risk_view(facts).collect()}
     assert risks["two"].components_not_measurable == ["value_at_risk"]
     assert sum(risks["two"].weights.values()) == pytest.approx(1.0, abs=1e-3)

@@ -10,8 +10,8 @@ from lanewise.sources import exports, store
 from lanewise.streaming import uploads as streaming
 
 FIRST = {
-    "a.csv": "vendor,delay_days,shipped_on\nAcme,3,2024-01-05\nBeta,0,2024-02-05\n",
-    "b.csv": "Supplier;Days Late;Order Date\nAcme;x;05/03/2024\n",
+    "a.csv": "vendor,delay_days,shipped_on\nLofoten,3,2024-01-05\nKvass,0,2024-02-05\n",
+    "b.csv": "Supplier;Days Late;Order Date\nLofoten;x;05/03/2024\n",
     "bad.csv": "alpha,beta\n1,2\n",
 }
 LATER = {"c.csv": "vendor\tdelay\nGamma\t9\n"}
@@ -49,10 +49,34 @@ def test_streamed_and_batch_ingest_agree(spark, tmp_path):
     assert rows_of(store.read(spark, paths[0]).select(batch.columns)) == rows_of(batch)
 
 
+def test_datasets_that_batches_cut_through_stay_whole(spark, tmp_path):
+    source = tmp_path / "in"
+    for u in "xyz":
+        (source / f"upload_id={u}").mkdir(parents=True)
+        for i in range(3):
+            text = "vendor,delay_days\n" + "".join(f"{u}{i}{j},{j}\n" for j in range(i + 1))
+            (source / f"upload_id={u}" / f"part {i}.csv").write_text(text)
+    whole = exports.plan_ingest(spark, str(source), exports.hive_folder).shipments
+    for size in (1, 2, 100):
+        paths = [str(tmp_path / f"{n}{size}") for n in ("table", "rejects", "state")]
+        query = streaming.stream_uploads(
+            spark, str(source), *paths, exports.hive_folder, files_per_batch=size
+        )
+        query.awaitTermination()
+        streamed = store.read(spark, paths[0])
+        assert rows_of(streamed.select(whole.columns)) == rows_of(whole)
+    # A batch that runs again, here with another split into batches, changes nothing.
+    again = [str(tmp_path / "table1"), str(tmp_path / "rejects1"), str(tmp_path / "state again")]
+    streaming.stream_uploads(
+        spark, str(source), *again, exports.hive_folder, files_per_batch=4
+    ).awaitTermination()
+    assert rows_of(store.read(spark, again[0]).select(whole.columns)) == rows_of(whole)
+
+
 def test_fixed_layout_stream_keeps_a_running_monthly_series(spark, tmp_path):
     source = tmp_path / "in"
     source.mkdir()
-    write(source, {"a.csv": FIRST["a.csv"], "b.csv": FIRST["a.csv"].replace("Acme", "Zeta")})
+    write(source, {"a.csv": FIRST["a.csv"], "b.csv": FIRST["a.csv"].replace("Lofoten", "Zeta")})
     headers = ["vendor", "delay_days", "shipped_on"]
     stream = streaming.stream_fixed_layout(
         spark, str(source), headers, {h: i for i, h in enumerate(headers)},
@@ -90,7 +114,7 @@ def test_datasets_can_be_dropped_from_a_table(spark, tmp_path):
     exports.plan_ingest(spark, str(source)).append_to(path)
     store.create_shipment_table(spark, "stored_shipments", path)
     assert spark.table("stored_shipments").count() == 3
-    store.delete_upload(spark, "stored_shipments", ["a", "it's not there"])
+    store.delete_upload(spark, "stored_shipments", ["a", "it's not there", "back\\slash"])
     assert {r.upload_id for r in spark.table("stored_shipments").collect()} == {"b"}
     spark.sql("DROP TABLE stored_shipments")
 
