@@ -26,7 +26,7 @@ CAP = 3
 TOLERANCE = 1e-9
 STEPS = 100
 #: Documents of one cell that are ranked in one task.
-RANKED = 4096
+RANKED = 512
 
 
 def words(text: str) -> Column:
