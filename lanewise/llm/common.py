@@ -46,9 +46,12 @@ def crc(column: str) -> Column:
 def hash_sample(rows: DataFrame, by: str, key: str, most: int) -> DataFrame:
     """At most ``most`` rows of each value of ``by``, chosen and numbered (``nth``) by a hash of ``key``.
 
-    Spark cuts each value's rows inside every map task first, so no value is
-    gathered whole (up to 1,000 rows for each value).
+    Of a value with far more rows only those with a small hash are ranked, some
+    four times as many as wanted, so that no value is gathered whole.
     """
+    counts = rows.groupBy(by).agg(F.count("*").alias("_rows"))
+    near = F.pmod(F.xxhash64(F.lit(5), F.col(key)), F.lit(1 << 30)) < 4.0 * most * (1 << 30) / F.col("_rows")
+    rows = rows.join(counts, by).filter(near).drop("_rows")
     order = Window.partitionBy(by).orderBy(F.xxhash64(F.col(key)), F.col(key))
     return rows.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most)
 
