@@ -106,15 +106,29 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def platt(margins: np.ndarray, truth: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope and shift that turn margins into probabilities, by Newton's steps on smoothed labels."""
+    """Slope and shift that turn margins into probabilities, by damped Newton steps on smoothed labels."""
     up, down = truth.sum(), len(truth) - truth.sum()
     goal = np.where(truth == 1, (up + 1) / (up + 2), 1 / (down + 2))
     design = np.stack([margins, np.ones_like(margins)], axis=1).astype(np.float64)
-    found = np.array([1.0, 0.0])
+    start = np.array([1.0, 0.0])
+
+    def loss(at: np.ndarray) -> float:
+        z = design @ at
+        return float((np.logaddexp(0, z) - goal * z).sum() + 5e-4 * ((at - start) ** 2).sum())
+
+    found = start
     for _ in range(steps):
         p = sigmoid(design @ found)
-        slope = design.T @ (p - goal) + 1e-3 * (found - [1.0, 0.0])
+        slope = design.T @ (p - goal) + 1e-3 * (found - start)
         bend = (design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
         step = np.linalg.solve(bend, slope)
-        found -= step * min(1.0, 4.0 / max(1e-9, np.abs(step).max()))
+        while np.abs(step).max() > 1e-9 and loss(found - step) > loss(found):
+            step = step / 2
+        found = found - step
     return float(found[0]), float(found[1])
+
+
+def with_share(shift: float, seen: float, share: float) -> float:
+    """A shift for a population in which label 1 is as common as ``share``, not as in the sample."""
+    seen, share = (float(np.clip(x, 0.01, 0.99)) for x in (seen, share))
+    return shift + float(np.log(share / (1 - share)) - np.log(seen / (1 - seen)))

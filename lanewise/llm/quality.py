@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lanewise.llm.common import BINARY, BOOL, DOUBLE, LONG, code_points, hash_sample, keep, struct
-from lanewise.llm.features import counted, logistic, platt, scaled, sigmoid, word_keys
+from lanewise.llm.features import counted, logistic, platt, scaled, sigmoid, with_share, word_keys
 
 BLANKS = (" ", "\t", "\n", "\v", "\f", "\r")
 SYMBOLS = "#*$%&|<>"
@@ -143,6 +143,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     weights, bias = logistic(matrix[fitted], truth[fitted, None].astype(np.float32))
     weights, bias = weights[:, 0], float(bias[0])
     slope, shift = platt(matrix[held] @ weights + bias, truth[held])
+    share = labels.filter(F.col("quality").isin(0, 1)).agg(F.avg("quality")).first()[0]
+    shift = with_share(shift, truth[held].mean(), share)
     return Model(weights, bias, slope, shift, True)
 
 

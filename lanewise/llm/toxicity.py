@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lanewise.llm.common import BINARY, DOUBLE, code_points, crc, grouped, keep, struct
-from lanewise.llm.features import platt, sigmoid, word_keys
+from lanewise.llm.features import platt, sigmoid, with_share, word_keys
 from lanewise.llm.quality import labelled_sample
 
 WINDOW, STRIDE = 32, 16
@@ -326,8 +326,7 @@ def fit(keys: list[np.ndarray], chars: list[np.ndarray], truth: np.ndarray, held
     if len(set(truth[use])) < 2:
         use = np.isfinite(high)
     model.slope, model.shift = platt(high[use], truth[use])
-    odds = np.clip(truth[use].mean(), 0.01, 0.99)
-    model.shift += float(np.log(share / (1 - share)) - np.log(odds / (1 - odds)))
+    model.shift = with_share(model.shift, truth[use].mean(), share)
     return model
 
 
@@ -348,7 +347,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     truth = found["_label"].to_numpy().astype(np.float64)
     if len(set(truth[~held])) < 2:
         held[:] = False
-    return fit(keys, chars, truth, held, float(np.clip(share, 0.01, 0.99)))
+    return fit(keys, chars, truth, held, share)
 
 
 def scorer(docs: DataFrame, model: Model):
