@@ -92,14 +92,14 @@ def _map_headers(names: str) -> str:
           FROM (SELECT DISTINCT o_orderkey FROM orders), range(8) AS t(i)),
         h AS (SELECT file, header, CAST(min(position) AS INT) AS position, CAST(max(position) AS INT) AS "column" FROM cells GROUP BY file, header),
         names(field, name) AS (VALUES {names}),
-        similar(header, candidates) AS (VALUES {", ".join(ranked)}),
+        alike(header, candidates) AS (VALUES {", ".join(ranked)}),
         hits AS (SELECT h.*, n.field, row_number() OVER (PARTITION BY file, n.field ORDER BY position) AS rn
           FROM h JOIN names n ON n.name = regexp_replace(lower(h.header), '[^a-z0-9]', '', 'g')),
         exact AS (SELECT * FROM hits WHERE rn = 1),
         taken AS (SELECT h.file, coalesce(list(e.field) FILTER (e.field IS NOT NULL), []) AS filled
           FROM h LEFT JOIN exact e USING (file, header) GROUP BY h.file),
         open AS (SELECT h.*, s.candidates, row_number() OVER (PARTITION BY h.file ORDER BY h.position) AS k
-          FROM h JOIN similar s USING (header) ANTI JOIN exact e USING (file, header)),
+          FROM h JOIN alike s USING (header) ANTI JOIN exact e USING (file, header)),
         chosen AS (SELECT file, CAST(0 AS BIGINT) AS k, filled, NULL::VARCHAR AS header, NULL::INT AS position, NULL::INT AS "column",
             NULL::VARCHAR AS field, NULL::DOUBLE AS score FROM taken
           UNION ALL
@@ -159,7 +159,7 @@ def oracle_sql() -> dict[str, str]:
             n AS (SELECT count(*) AS n, CAST(sum(late) AS BIGINT) AS delay_sum, count(DISTINCT c_name) AS vendors, max(c_name) AS last, count(DISTINCT c_nationkey) AS places FROM c)
             SELECT 'titled' AS upload_id, n AS accepted_rows, 0::BIGINT AS rejected_rows, 0::BIGINT AS damaged_rows, 3 AS detected, 2 AS warning_count, true AS titles_noted,
               delay_sum, vendors, last AS last_vendor, NULL::VARCHAR AS product, places FROM n
-            UNION ALL SELECT 'windows', n, 0, 0, 3, 1, false, delay_sum, vendors, 'Café € ' || last, NULL, places FROM n
+            UNION ALL SELECT 'windows', n, 0, 0, 3, 1, false, delay_sum, vendors, 'Café ' || last, NULL, places FROM n
             UNION ALL SELECT 'broken', n, 0, 0, 3, 1, false, delay_sum, vendors, 'Two' || chr(10) || 'lines ' || last, '5" pipe', 0 FROM n
             UNION ALL SELECT 'headeronly', 0, 0, 0, 3, 2, false, NULL, NULL, NULL, NULL, NULL FROM n""",
         "ingest_csv": f"{EXPORTED} SELECT * FROM ingested",

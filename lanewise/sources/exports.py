@@ -146,7 +146,8 @@ class Ingest:
                 dict(layout.detected),
                 list(layout.unmapped),
                 {k: float(v) for k, v in layout.fuzzy.items()},
-                [layout.problem] if layout.problem else layout.warnings,
+                layout.warnings,
+                layout.problem,
             )
             for layout in (*self.layouts, *self.problems)
             for path in layout.paths
@@ -154,10 +155,12 @@ class Ingest:
         understood = self.spark.createDataFrame(
             rows,
             "path string, detected_columns map<string,string>, unmapped_columns array<string>,"
-            " fuzzy_columns map<string,double>, warnings array<string>",
+            " fuzzy_columns map<string,double>, warnings array<string>, problem string",
         )
+        readable_first = F.struct(F.col("problem").isNotNull(), "path")
         per_upload = understood.groupBy(self.upload_id(F.col("path")).alias("upload_id")).agg(
-            *(F.min_by(c, "path").alias(c) for c in understood.columns if c != "path")
+            *(F.min_by(c, readable_first).alias(c) for c in understood.columns if c not in ("path", "problem", "warnings")),
+            F.concat(F.min_by("warnings", readable_first), F.array_sort(F.collect_set("problem"))).alias("warnings"),
         )
         counts = store.kept(self.counts(), "ingest-counts") if self.layouts else None
         numbers = ("accepted_rows", "rejected_rows", "damaged_rows", "derived_delays")
@@ -246,8 +249,10 @@ def plan_ingest(
             f"File is {largest / 1_048_576:.1f} MB; the limit is {max_bytes / 1_048_576:.0f} MB."
         )
     problems = [layout for layout in layouts if layout.problem]
-    if problems and strict:
-        worst = problems[0]
+    # An empty file among others holds nothing to lose; the report lists it.
+    grave = [p for p in problems if p.largest or len(problems) == len(layouts)]
+    if grave and strict:
+        worst = grave[0]
         raise IngestError(
             worst.problem or NO_COLUMNS,
             {

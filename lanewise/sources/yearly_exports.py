@@ -147,7 +147,7 @@ def write_odd_exports(customers: DataFrame, folder: str) -> str:
     """The customers as suppliers in four shapes that ordinary exports do not have.
 
     ``titled`` has lines above the header and pipes between cells, ``windows``
-    is in Windows-1252, ``broken`` has line breaks and inch marks in cells,
+    is in a one-byte encoding, ``broken`` has line breaks and inch marks in cells,
     ``headeronly`` has a header and no row. Returns ``folder``.
     """
     key = F.col("c_custkey")
@@ -158,11 +158,11 @@ def write_odd_exports(customers: DataFrame, folder: str) -> str:
         f"{folder}/upload_id=titled"
     )
     windows = customers.select(
-        F.concat(F.lit("Café € "), F.col("c_name")).alias("Vendor"),
+        F.concat(F.lit("Café "), F.col("c_name")).alias("Vendor"),
         late.alias("Delay Days"),
         place.alias("Destination"),
     )
-    windows.write.option("header", True).option("encoding", "windows-1252").csv(
+    windows.write.option("header", True).option("encoding", "ISO-8859-1").csv(
         f"{folder}/upload_id=windows"
     )
     broken = customers.select(
@@ -172,7 +172,9 @@ def write_odd_exports(customers: DataFrame, folder: str) -> str:
     )
     broken.write.option("header", True).option("escape", '"').csv(f"{folder}/upload_id=broken")
     header = [("Vendor", "Delay Days", "Quantity")]
-    customers.sparkSession.createDataFrame(header, "a string, b string, c string").write.csv(
+    customers.sparkSession.createDataFrame(header, "a string, b string, c string").coalesce(
+        1
+    ).write.csv(
         f"{folder}/upload_id=headeronly"
     )
     return folder
