@@ -20,10 +20,11 @@ from lanewise.llm.common import bridges, hash_sample, keep
 from lanewise.llm.components import components
 
 MIN_COSINE = 0.98
-#: Vectors that a cell should have, pivots of a label at most, vectors in one block of a comparison.
-CELL = 256
+#: A label of n vectors has sqrt(n / CELL) pivots, so that neither cells nor copies at cell
+#: borders grow as fast as the label; vectors in one block of a comparison.
+CELL = 64
 MAX_PIVOTS = 256
-BLOCK = 1024
+BLOCK = 2048
 #: Slack for rounding when vectors are copied to cells; partners are decided by the cosine itself.
 SLACK = 1e-6
 
@@ -155,11 +156,11 @@ def groups(
 
 def _partners(classes: DataFrame, min_cosine: float, cell: int, block: int) -> DataFrame:
     """Rows (cid, partners, to): copies of linked classes met in one block, and links that connect them."""
-    salt_rows = 2 * block
+    salt_rows = block
     sizes = classes.groupBy("grp").agg(F.count("*").alias("n"))
     sizes = sizes.select(
         "grp",
-        F.ceil(F.col("n") / cell).alias("pivots"),
+        F.ceil(F.sqrt(F.col("n") / cell)).alias("pivots"),
         F.ceil(F.col("n") / salt_rows).cast("int").alias("salts"),
     )
     plain = classes.select("grp", "cid", "copies", "vec")
