@@ -149,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: counts, base_failed, quality, kept.
+    """One row per document: counts, base_failed, quality_score, kept.
 
     Null and empty texts have no words and fail. Whole texts are counted;
     repeated rows are scored each for itself and other columns are not read.
@@ -157,7 +157,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
     kinds = struct(
         n_words=LONG, word_chars=LONG, n_symbols=LONG, n_dup_lines=LONG, n_repeat_words=LONG,
-        base_failed=BOOL, quality=DOUBLE, kept=BOOL,
+        base_failed=BOOL, quality_score=DOUBLE, kept=BOOL,
     )
 
     @F.pandas_udf(kinds)
