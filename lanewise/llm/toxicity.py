@@ -1,8 +1,9 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
-A text is a sequence of lower-case words. A word enters the network as an
-embedding, if it is one of the words with most evidence in the training sample,
-and as the mean of seeded embeddings of its character pairs. Windows that
+A text is a sequence of lower-case words. A word enters the network as the
+embedding of the word and the sum of the embeddings of its character n-grams, a
+blank in front included, so words that share a stem are alike. Only words and
+n-grams with evidence in the training sample have embeddings. Windows that
 overlap by half run through a GRU in both directions, attention pools the
 states of a window, and a text scores as its highest window, calibrated to a
 probability. The network is trained in numpy on a bounded sample of labelled
@@ -20,17 +21,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import BINARY, DOUBLE, code_points, crc, grouped, keep, struct
-from lanewise.llm.features import platt, sigmoid, with_share, word_keys
+from lanewise.llm.common import BINARY, DOUBLE, code_points, crc, grouped, keep, ragged, struct
+from lanewise.llm.features import platt, sigmoid, span_keys, with_share, word_keys
 from lanewise.llm.quality import labelled_sample
 
 WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIMS, CHAR_DIMS = 8, 8, 8
+#: Words and n-grams with an embedding, at most; length of n-grams in characters.
 VOCABULARY = 2048
 TABLE_BITS = 21
-CHAR_SLOTS = 4096
+GRAM = 6
 #: Labelled texts of each label in the training sample, and windows of one text in it, at most.
-SAMPLE, SAMPLE_WINDOWS = 900, 256
+SAMPLE, SAMPLE_WINDOWS = 900, 64
 #: Every fourth text of the sample calibrates and does not train.
 CALIBRATION = 4
 #: Times windows are chosen anew, passes over the chosen ones each time, and windows of one step.
@@ -41,20 +43,32 @@ MIN_TEXTS = 3
 TEXT_STEP, BATCH = 1 << 19, 2048
 
 _ALNUM = np.array([chr(c).isalnum() for c in range(0xD800)] + [True] * 0x2800)
-_CHARS = np.random.default_rng(11).normal(0, 1, (CHAR_SLOTS, CHAR_DIMS)).astype(np.float64)
 
 
-def words_of(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, character vectors and starts of the words among lower-case code points."""
+@dataclass
+class Words:
+    """Keys of words, and keys of their character n-grams with the word each is in."""
+
+    keys: np.ndarray
+    grams: np.ndarray
+    of_word: np.ndarray
+    starts: np.ndarray
+
+
+def words_of(points: np.ndarray) -> Words:
+    """The words among lower-case code points, and their n-grams, one character in front included."""
     inside = _ALNUM[np.minimum(points, 0xFFFF)]
     keys, starts, ends = word_keys(points, inside)
-    pairs = points.copy()
-    pairs[1:] += points[:-1] * np.uint32(0x9E3779B1)
-    slots = (pairs * np.uint32(0x85EBCA77)) >> np.uint32(20)
-    sums = np.zeros((len(points) + 1, CHAR_DIMS))
-    np.cumsum(_CHARS[slots], axis=0, out=sums[1:])
-    chars = (sums[ends] - sums[starts]) / np.maximum(ends - starts, 1)[:, None]
-    return keys, chars.astype(np.float32), starts
+    at = ragged(starts - 1, np.maximum(0, ends - starts + 2 - GRAM))
+    of_word = np.repeat(np.arange(len(starts)), np.maximum(0, ends - starts + 2 - GRAM))
+    if len(starts) and starts[0] == 0:  # nothing is in front of the first word
+        points = np.concatenate([np.array([32], dtype=points.dtype), points])
+        at = at + 1
+    # What stands in front counts as a blank, whatever it is.
+    fronted = points.copy()
+    first = starts + (len(fronted) - len(inside)) - 1
+    fronted[first] = 32
+    return Words(keys, span_keys(fronted, at, at + GRAM), of_word, starts)
 
 
 @dataclass
@@ -94,20 +108,27 @@ def windows_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first[text] + nth * STRIDE, text
 
 
-def fresh(evidence: np.ndarray) -> dict[str, np.ndarray]:
-    """Weights before training: a known word's first dimension is its evidence."""
+def fresh(words: np.ndarray, grams: np.ndarray) -> dict[str, np.ndarray]:
+    """Weights before training: the first dimension of an embedding is the evidence."""
     rng = np.random.default_rng(5)
-    width = WORD_DIMS + CHAR_DIMS
-    words = rng.normal(0, 0.1, (len(evidence) + 1, WORD_DIMS))
-    words[1:, 0] = evidence
-    words[0] = 0
     shapes = {
-        "inputs": (width, 6 * HIDDEN), "gate_bias": (6 * HIDDEN,), "forth": (HIDDEN, 3 * HIDDEN),
-        "back": (HIDDEN, 3 * HIDDEN), "look": (2 * HIDDEN, HIDDEN), "ask": (HIDDEN,),
-        "out": (2 * HIDDEN,), "out_bias": (1,),
+        "inputs": (WORD_DIMS + CHAR_DIMS, 6 * HIDDEN), "gate_bias": (6 * HIDDEN,),
+        "forth": (HIDDEN, 3 * HIDDEN), "back": (HIDDEN, 3 * HIDDEN),
+        "look": (2 * HIDDEN, HIDDEN), "ask": (HIDDEN,), "out": (2 * HIDDEN,), "out_bias": (1,),
     }
     found = {n: rng.normal(0, 0.8 / np.sqrt(s[0]), s) if "bias" not in n else np.zeros(s) for n, s in shapes.items()}
-    return {k: v.astype(np.float32) for k, v in (found | {"words": words}).items()}
+    for name, evidence, width in (("words", words, WORD_DIMS), ("grams", grams, CHAR_DIMS)):
+        found[name] = rng.normal(0, 0.1, (len(evidence) + 1, width))
+        found[name][1:, 0] = evidence
+        found[name][0] = 0
+    return {k: v.astype(np.float32) for k, v in found.items()}
+
+
+def inputs(p: dict, numbers: np.ndarray, grams: np.ndarray, of_word: np.ndarray) -> np.ndarray:
+    """What words enter the network as; ``grams`` are the known n-grams of words ``of_word``."""
+    chars = np.zeros((len(numbers), CHAR_DIMS), dtype=p["grams"].dtype)
+    np.add.at(chars, of_word, p["grams"][grams])
+    return np.concatenate([p["words"][numbers], chars], axis=1)
 
 
 def _run(gates: np.ndarray, index: np.ndarray, mask: np.ndarray, weights: np.ndarray, order, tape: list | None):
@@ -165,12 +186,13 @@ def _run_back(dstates: np.ndarray, tape: list, weights: np.ndarray, mask: np.nda
     return dgates, dweights
 
 
-def gradients(p: dict, numbers: np.ndarray, chars: np.ndarray, mask, truth, each) -> dict[str, np.ndarray]:
+def gradients(p: dict, numbers, grams, of_word, mask, truth, each) -> dict[str, np.ndarray]:
     """Gradients of the weighted logistic loss of windows.
 
-    ``numbers`` and ``chars`` hold the words of each window, one after the other.
+    ``numbers`` are the words of each window, one after the other, and ``grams``
+    the known n-grams of those at ``of_word``.
     """
-    x = np.concatenate([p["words"][numbers], chars], axis=1)
+    x = inputs(p, numbers, grams, of_word)
     index = np.arange(len(numbers)).reshape(mask.shape)
     tape: dict = {}
     logits = forward(p, x, index, mask, tape)
@@ -191,22 +213,32 @@ def gradients(p: dict, numbers: np.ndarray, chars: np.ndarray, mask, truth, each
     g["words"] = np.zeros_like(p["words"])
     known = np.flatnonzero(numbers)
     np.add.at(g["words"], numbers[known], dgate[known] @ p["inputs"][:WORD_DIMS].T)
+    g["grams"] = np.zeros_like(p["grams"])
+    np.add.at(g["grams"], grams, dgate[of_word] @ p["inputs"][WORD_DIMS:].T)
     return g
 
 
 @dataclass
 class Model:
     keys: np.ndarray | None = None
+    gram_keys: np.ndarray | None = None
     weights: dict[str, np.ndarray] = field(default_factory=dict)
     slope: float = 1.0
     shift: float = 0.0
 
     def __post_init__(self) -> None:
         self.words = None if self.keys is None else Vocabulary(self.keys)
+        self.grams = None if self.gram_keys is None else Vocabulary(self.gram_keys)
+
+    def known(self, found: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of words, numbers of the n-grams that have one, and the words these are in."""
+        grams = self.grams.numbers(found.grams)
+        has = np.flatnonzero(grams)
+        return self.words.numbers(found.keys), grams[has], found.of_word[has]
 
-    def window_logits(self, numbers: np.ndarray, chars: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def window_logits(self, known: tuple, first: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Logits of windows that start at word ``first`` in texts that end before word ``end``."""
-        x = np.concatenate([self.weights["words"][numbers], chars], axis=1)
+        x = inputs(self.weights, *known)
         logits = np.empty(len(first), dtype=np.float32)
         for a in range(0, len(first), BATCH):
             index, mask = _placed(first[a : a + BATCH], end[a : a + BATCH])
@@ -222,13 +254,13 @@ class Model:
             points = [code_points((texts[i] or "").lower()) for i in group]
             gap = np.array([32], dtype="<u4")
             laid = np.concatenate([part for p in points for part in (p, gap)])
-            keys, chars, starts = words_of(laid)
+            found = words_of(laid)
             ends = np.cumsum([len(p) + 1 for p in points])
-            lengths = np.diff(np.searchsorted(starts, ends), prepend=0)
-            if not len(keys):
+            lengths = np.diff(np.searchsorted(found.starts, ends), prepend=0)
+            if not len(found.keys):
                 continue
             first, text = windows_of(lengths)
-            logits = self.window_logits(self.words.numbers(keys), chars, first, np.cumsum(lengths)[text])
+            logits = self.window_logits(self.known(found), first, np.cumsum(lengths)[text])
             np.maximum.at(best, np.array(group)[text], logits)
         return best
 
@@ -245,36 +277,74 @@ def _placed(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.minimum(index, end[:, None] - 1), mask
 
 
-def _evidence(keys: np.ndarray, which: np.ndarray, truth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The words that tell labels apart most, and by how much: signed roots of their deviance, shrunk."""
-    pairs = np.unique(np.stack([keys, which.astype(np.uint64)]), axis=1)
-    found, at = np.unique(pairs[0], return_inverse=True)
-    up = np.bincount(at, weights=truth[pairs[1].astype(np.int64)])
-    total = np.bincount(at)
-    often = total >= MIN_TEXTS
-    found, up, total = found[often], up[often], total[often]
-    share, base = np.clip(up / np.maximum(total, 1), 1e-9, 1 - 1e-9), truth.mean()
-    deviance = 2 * (up * np.log(share / base) + (total - up) * np.log((1 - share) / (1 - base)))
-    root = np.sign(share - base) * np.sqrt(np.maximum(deviance, 0))
-    least = np.sqrt(2 * np.log(max(2, len(found))))
-    root = np.sign(root) * np.maximum(0, np.abs(root) - least)
-    top = np.lexsort([found, -np.abs(root)])[:VOCABULARY]
-    top = top[root[top] != 0]
-    return found[top], (root[top] / max(1.0, np.abs(root[top]).max(initial=1.0))).astype(np.float32) * 2
-
-
-@F.pandas_udf(struct(keys=BINARY, chars=BINARY))
-def _sequences(texts: pd.Series) -> pd.DataFrame:
-    """Words of training texts. Of texts with very many windows, evenly spaced ones."""
-    rows = []
-    for text in texts:
-        keys, chars, _ = words_of(code_points(text.lower()))
-        if len(keys) > SAMPLE_WINDOWS * WINDOW:
-            starts = np.linspace(0, len(keys) - WINDOW, SAMPLE_WINDOWS).astype(np.int64)
-            chosen = (starts[:, None] + np.arange(WINDOW)).ravel()
-            keys, chars = keys[chosen], chars[chosen]
-        rows.append((keys.tobytes(), chars.astype(np.float32).tobytes()))
-    return pd.DataFrame(rows, columns=["keys", "chars"])
+def _different(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The different words and n-grams of each text, with its label."""
+    for batch in batches:
+        parts = []
+        for text, label in zip(batch["_text"], batch["_label"]):
+            found = words_of(code_points(text.lower()))
+            for kind, keys in (("words", found.keys), ("grams", found.grams)):
+                parts.append(pd.DataFrame({"kind": kind, "key": np.unique(keys).view(np.int64), "label": label}))
+        if parts:
+            yield pd.concat(parts)
+
+
+def evidence(sample: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Keys of the words and n-grams that tell labels apart most, and by how much.
+
+    Evidence is the signed root of a key's deviance over the texts it occurs in,
+    less what the largest of so many would reach by chance. At most
+    ``VOCABULARY`` keys of each kind come to the driver.
+    """
+    share = F.col("up") / F.col("n")
+    base = sample.agg(F.avg("_label")).first()[0] or 0.5
+    down = F.col("n") - F.col("up")
+    deviance = F.when(F.col("up") > 0, F.col("up") * F.log(share / base)).otherwise(0.0) + F.when(
+        down > 0, down * F.log((1 - share) / (1 - base))
+    ).otherwise(0.0)
+    root = F.signum(share - base) * F.sqrt(F.greatest(F.lit(0.0), 2 * deviance))
+    counted = (
+        sample.mapInPandas(_different, "kind string, key long, label int")
+        .groupBy("kind", "key")
+        .agg(F.count("*").alias("n"), F.sum("label").alias("up"))
+        .filter(F.col("n") >= MIN_TEXTS)
+    )
+    counted = keep(counted.select("kind", "key", root.alias("root")), "toxic-evidence")
+    sizes = {r[0]: r[1] for r in counted.groupBy("kind").count().collect()}
+    found = {}
+    for kind in ("words", "grams"):
+        least = float(np.sqrt(2 * np.log(max(2, sizes.get(kind, 0)))))
+        size = F.abs("root")
+        rows = counted.filter((F.col("kind") == kind) & (size > least)).orderBy(size.desc(), "key")
+        top = rows.limit(VOCABULARY).toPandas()
+        value = np.sign(top["root"].to_numpy(float)) * (np.abs(top["root"].to_numpy(float)) - least)
+        keys = top["key"].to_numpy(np.int64).view(np.uint64)
+        found[kind] = keys, (2 * value / max(1.0, np.abs(value).max(initial=1.0))).astype(np.float32)
+    return found
+
+
+def _sequences(word_keys: np.ndarray, gram_keys: np.ndarray):
+    """A column function: training texts as known words and n-grams. Of very long texts, evenly spaced windows."""
+
+    @F.pandas_udf(struct(numbers=BINARY, grams=BINARY, of_word=BINARY))
+    def sequences(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = Model(word_keys, gram_keys)
+        for batch in texts:
+            rows = []
+            for text in batch:
+                numbers, grams, of_word = model.known(words_of(code_points(text.lower())))
+                if len(numbers) > SAMPLE_WINDOWS * WINDOW:
+                    firsts = np.linspace(0, len(numbers) - WINDOW, SAMPLE_WINDOWS).astype(np.int64)
+                    chosen = (firsts[:, None] + np.arange(WINDOW)).ravel()
+                    place = np.full(len(numbers), -1)
+                    place[chosen] = np.arange(len(chosen))
+                    stays = place[of_word] >= 0
+                    numbers, grams, of_word = numbers[chosen], grams[stays], place[of_word[stays]]
+                kinds = ((numbers, np.int16), (grams, np.int16), (of_word, np.int32))
+                rows.append([x.astype(kind).tobytes() for x, kind in kinds])
+            yield pd.DataFrame(rows, columns=["numbers", "grams", "of_word"])
+
+    return sequences
 
 
 def _shares(rng: np.random.Generator, count: int) -> list[np.ndarray]:
@@ -282,18 +352,29 @@ def _shares(rng: np.random.Generator, count: int) -> list[np.ndarray]:
     return np.array_split(rng.permutation(count), -(-count // STEP_WINDOWS))
 
 
-def fit(keys: list[np.ndarray], chars: list[np.ndarray], truth: np.ndarray, held: np.ndarray, share: float) -> Model:
-    """Train on texts as word sequences; ``share`` is how common label 1 is outside the sample."""
-    lengths = np.array([len(k) for k in keys])
-    all_keys, all_chars = np.concatenate(keys), np.concatenate(chars)
-    which = np.repeat(np.arange(len(keys)), lengths)
-    used = ~held[which]
-    vocabulary, evidence = _evidence(all_keys[used], which[used], truth)
-    model = Model(vocabulary, fresh(evidence))
-    numbers = model.words.numbers(all_keys)
+def fit(
+    model: Model, value: dict[str, np.ndarray], texts: list[tuple], truth: np.ndarray, held: np.ndarray, share: float
+) -> Model:
+    """Train on texts as (numbers of words, numbers of n-grams, word of each n-gram).
+
+    ``value`` is the evidence of words and n-grams, ``share`` how common label 1
+    is outside the sample.
+    """
+    model.weights = fresh(value["words"], value["grams"])
+    lengths = np.array([len(t[0]) for t in texts])
+    begin = np.cumsum(lengths) - lengths
+    numbers = np.concatenate([t[0] for t in texts]).astype(np.int64)
+    grams = np.concatenate([t[1] for t in texts]).astype(np.int64)
+    of_word = np.concatenate([t[2] + b for t, b in zip(texts, begin)]).astype(np.int64)
+    order = np.argsort(of_word, kind="stable")
+    grams, of_word = grams[order], of_word[order]
+    known = numbers, grams, of_word
+    gram_count = np.bincount(of_word, minlength=len(numbers))
+    gram_first = np.cumsum(gram_count) - gram_count
     first, text = windows_of(lengths)
     end = np.cumsum(lengths)[text]
-    strength = np.concatenate([[0], np.maximum(evidence, 0)])[numbers]
+    strength = np.concatenate([[0], np.maximum(value["words"], 0)])[numbers]
+    np.add.at(strength, of_word, np.concatenate([[0], np.maximum(value["grams"], 0)])[grams])
     sums = np.concatenate([[0], np.cumsum(strength)])
     rank = sums[np.minimum(first + WINDOW, end)] - sums[first]
     rng = np.random.default_rng(17)
@@ -303,7 +384,7 @@ def fit(keys: list[np.ndarray], chars: list[np.ndarray], truth: np.ndarray, held
         best = np.lexsort([rng.random(len(text)), -rank, text])
         place = np.arange(len(best)) - np.searchsorted(text[best], text[best])
         chosen = best[(place == 0) | ((place < 2) & (truth[text[best]] == 0))]
-        extra = rng.integers(0, len(text), len(keys))
+        extra = rng.integers(0, len(text), len(texts))
         chosen = np.concatenate([chosen, extra[truth[text[extra]] == 0]])
         chosen = chosen[~held[text[chosen]]]
         label = truth[text[chosen]].astype(np.float32)
@@ -312,15 +393,17 @@ def fit(keys: list[np.ndarray], chars: list[np.ndarray], truth: np.ndarray, held
             step += 1
             index, mask = _placed(first[chosen[part]], end[chosen[part]])
             tokens, scale = index.ravel(), len(chosen) / len(part)
-            g = gradients(model.weights, numbers[tokens], all_chars[tokens], mask, label[part], each[part] * scale)
+            own = grams[ragged(gram_first[tokens], gram_count[tokens])]
+            places = np.repeat(np.arange(len(tokens)), gram_count[tokens])
+            g = gradients(model.weights, numbers[tokens], own, places, mask, label[part], each[part] * scale)
             for name, w in model.weights.items():
                 m, v = moments[name]
-                slope = g[name] + (0 if name == "words" else 1e-4) * w
+                slope = g[name] + (0 if name in ("words", "grams") else 1e-4) * w
                 m += 0.1 * (slope - m)
                 v += 0.01 * (slope * slope - v)
                 w -= 0.02 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        rank = model.window_logits(numbers, all_chars, first, end)
-    high = np.full(len(keys), -np.inf)
+        rank = model.window_logits(known, first, end)
+    high = np.full(len(texts), -np.inf)
     np.maximum.at(high, text, rank)
     use = held & np.isfinite(high)
     if len(set(truth[use])) < 2:
@@ -336,18 +419,27 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     share = labels.filter(F.col("toxic").isin(0, 1)).agg(F.avg("toxic")).first()[0]
     rows = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text"))
     rows = rows.join(F.broadcast(ids), F.col("_doc") == F.col("_id"))
-    packed = rows.select("_id", "_label", "nth", _sequences(F.col("_text")).alias("s"))
-    found = keep(packed.select("_id", "_label", "nth", "s.*"), "toxic-sample").toPandas()
-    found = found[found["keys"].str.len() > 0].sort_values(["_label", "_id", "keys"], ignore_index=True)
-    if found["_label"].nunique() < 2:
+    sample_rows = keep(rows.select("_id", "_label", "nth", "_text"), "toxic-sample")
+    trains = sample_rows.filter(F.col("nth") % CALIBRATION != 0)
+    if trains.select("_label").distinct().count() < 2:
+        trains = sample_rows
+    if sample_rows.select("_label").distinct().count() < 2:
+        return Model()
+    found = evidence(trains)
+    model = Model(found["words"][0], found["grams"][0])
+    sequences = _sequences(model.keys, model.gram_keys)
+    texts = sample_rows.select("_id", "_label", "nth", sequences("_text").alias("s")).select("_id", "_label", "nth", "s.*")
+    texts = texts.toPandas()
+    texts = texts[texts["numbers"].str.len() > 0].sort_values(["_label", "_id", "numbers"], ignore_index=True)
+    truth = texts["_label"].to_numpy().astype(np.float64)
+    held = texts["nth"].to_numpy() % CALIBRATION == 0
+    if len(set(truth)) < 2:
         return Model()
-    keys = [np.frombuffer(k, dtype=np.uint64) for k in found["keys"]]
-    chars = [np.frombuffer(c, dtype=np.float32).reshape(-1, CHAR_DIMS) for c in found["chars"]]
-    held = found["nth"].to_numpy() % CALIBRATION == 0
-    truth = found["_label"].to_numpy().astype(np.float64)
     if len(set(truth[~held])) < 2:
         held[:] = False
-    return fit(keys, chars, truth, held, share)
+    kinds = {"numbers": np.int16, "grams": np.int16, "of_word": np.int32}
+    parts = list(zip(*([np.frombuffer(x, dtype=kind) for x in texts[name]] for name, kind in kinds.items())))
+    return fit(model, {k: v[1] for k, v in found.items()}, parts, truth, held, share)
 
 
 def scorer(docs: DataFrame, model: Model):

@@ -46,20 +46,21 @@ def test_network_finds_the_words(spark, documents):
 
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
-    p = {k: v.astype(np.float64) for k, v in toxicity.fresh(np.ones(6)).items()}
-    numbers, chars = rng.integers(0, 7, 50), rng.normal(size=(50, toxicity.CHAR_DIMS))
+    p = {k: v.astype(np.float64) for k, v in toxicity.fresh(np.ones(6), np.ones(4)).items()}
     index, mask = toxicity._placed(np.array([0, 10, 40]), np.array([30, 50, 50]))
-    tokens = index.ravel()
+    numbers = rng.integers(0, 7, index.size)
+    of_word, grams = rng.integers(0, index.size, 60), rng.integers(1, 5, 60)
     truth, each = np.array([1.0, 0.0, 1.0]), np.array([0.5, 1.0, 0.5])
+    places = np.arange(index.size).reshape(index.shape)
 
     def loss():
-        x = np.concatenate([p["words"][numbers], chars], axis=1)
-        z = toxicity.forward(p, x, index, mask).astype(np.float64)
+        x = toxicity.inputs(p, numbers, grams, of_word)
+        z = toxicity.forward(p, x, places, mask).astype(np.float64)
         return (each * (np.logaddexp(0, z) - truth * z)).sum()
 
-    found = toxicity.gradients(p, numbers[tokens], chars[tokens], mask, truth, each)
+    found = toxicity.gradients(p, numbers, grams, of_word, mask, truth, each)
     for name, w in p.items():
-        at = tuple(rng.integers(0, s) for s in w.shape) if name != "words" else (int(numbers[3]) or 1, 2)
+        at = tuple(rng.integers(0, s) for s in w.shape) if name not in ("words", "grams") else (2, 3)
         w[at] += 1e-3
         up = loss()
         w[at] -= 2e-3
@@ -69,11 +70,29 @@ def test_gradients_match_differences():
 
 
 def test_words_do_not_depend_on_their_place():
-    text = "alpha Beta-γάμμα 漢字 alpha"
-    keys, chars, starts = toxicity.words_of(toxicity.code_points("x " * 500 + text.lower()))
-    alone, one, _ = toxicity.words_of(toxicity.code_points(text.lower()))
-    assert (keys[500:] == alone).all() and np.allclose(chars[501:], one[1:], atol=1e-5)
-    assert alone[0] == alone[-1] and len(set(alone)) == 4
+    text = "alpha Beta-γάμμα 漢字 alphabets"
+    far = toxicity.words_of(toxicity.code_points("x " * 500 + text.lower()))
+    near = toxicity.words_of(toxicity.code_points(text.lower()))
+    assert (far.keys[500:] == near.keys).all() and len(set(near.keys)) == 5
+    assert (far.grams == near.grams).all() and (far.of_word == near.of_word + 500).all()
+    # " alpha" is shared by the first and the last word; "γάμμα" with what stands in front is one n-gram.
+    grams = [set(near.grams[near.of_word == i]) for i in range(5)]
+    assert grams[0] <= grams[4] and [len(g) for g in grams] == [1, 0, 1, 0, 5]
+
+
+def test_stems_carry_over_to_new_words(spark, documents):
+    rng = random.Random(5)
+    tails = [a + b for a in ("ka", "lo", "mi", "ter", "ün") for b in ("na", "ro", "si", "vu", "ge", "po")]
+    rows, labels = [], []
+    for i in range(400):
+        toxic = i % 4 == 0
+        stems = ["grimzo" + rng.choice(tails[:15] if i < 300 else tails[15:]) for _ in range(3)]
+        rows.append((i, prose(rng, rng.randrange(20, 200), stems if toxic else ())))
+        if i < 300:
+            labels.append((i, 1, int(toxic), "x"))
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int, text string")
+    found = toxicity.toxicity(documents(rows), table).filter("doc_id >= 300").collect()
+    assert sum(r.predicted != (r.doc_id % 4 == 0) for r in found) <= 3
 
 
 def test_folds_follow_the_checksum(spark):
