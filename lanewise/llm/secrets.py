@@ -57,6 +57,7 @@ IDENTIFIERS = (
     "0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0000000000000000 deadbeef"
 )
 
+MIN_CANDIDATE = 16
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
 #: A candidate starts within so many characters after a word that announces it.
 REACH = 48
@@ -99,7 +100,8 @@ def novel_spans(text: str, taken: list[Span]) -> list[Span]:
     free = 0
     for word in SENSITIVE.finditer(text):
         at = max(free, word.end())
-        while (m := CANDIDATE.search(text, at, word.end() + REACH + 1)) and m.start() <= word.end() + REACH:
+        reach = word.end() + REACH
+        while (m := CANDIDATE.search(text, at, reach + MIN_CANDIDATE)) and m.start() <= reach:
             whole = CANDIDATE.match(text, m.start())
             start, end = whole.span()
             at = free = end

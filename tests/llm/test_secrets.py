@@ -55,6 +55,9 @@ def test_base_spans_follow_the_rule(documents):
 def test_novel_strings_need_context_and_randomness():
     assert [s[1] for s in secrets.novel_spans(f"Authorization bearer {KEY} used", [])] == [3]
     assert secrets.novel_spans(f"nothing here {KEY} used", []) == []
+    for gap in (1, secrets.REACH, secrets.REACH + 1):
+        found = secrets.novel_spans("bearer" + " " * gap + KEY, [])
+        assert found == ([(6 + gap, 3, 6 + gap + len(KEY))] if gap <= secrets.REACH else [])
     assert secrets.novel_spans("private_key_application_configuration_directory used", []) == []
     repeated = f"{KEY} is a build label. The key {KEY} again"
     assert secrets.novel_spans(repeated, []) == []
