@@ -40,7 +40,7 @@ ROUNDS, PASSES, STEP_WINDOWS = 4, 4, 512
 #: Least number of training texts a word must occur in.
 MIN_TEXTS = 3
 #: Code points that are turned into words together, and windows that run through the network together.
-TEXT_STEP, BATCH = 1 << 19, 2048
+TEXT_STEP, BATCH = 1 << 19, 1024
 
 _ALNUM = np.array([chr(c).isalnum() for c in range(0xD800)] + [True] * 0x2800)
 
@@ -237,14 +237,19 @@ class Model:
         return self.words.numbers(found.keys), grams[has], found.of_word[has]
 
     def window_logits(self, known: tuple, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Logits of windows that start at word ``first`` in texts that end before word ``end``."""
-        x = inputs(self.weights, *known)
+        """Logits of windows that start at word ``first`` in texts that end before word ``end``.
+
+        Inputs are made for the words of one batch of windows at a time; n-grams
+        come in the order of their words.
+        """
+        numbers, grams, of_word = known
         logits = np.empty(len(first), dtype=np.float32)
         for a in range(0, len(first), BATCH):
             index, mask = _placed(first[a : a + BATCH], end[a : a + BATCH])
-            low = index.min(initial=0)
-            part = x[low : index.max(initial=0) + 1]
-            logits[a : a + BATCH] = forward(self.weights, part, index - low, mask)
+            low, high = int(index.min()), int(index.max()) + 1
+            g, h = np.searchsorted(of_word, [low, high])
+            x = inputs(self.weights, numbers[low:high], grams[g:h], of_word[g:h] - low)
+            logits[a : a + BATCH] = forward(self.weights, x, index - low, mask)
         return logits
 
     def highest(self, texts: list[str | None]) -> np.ndarray:
@@ -363,9 +368,9 @@ def fit(
     model.weights = fresh(value["words"], value["grams"])
     lengths = np.array([len(t[0]) for t in texts])
     begin = np.cumsum(lengths) - lengths
-    numbers = np.concatenate([t[0] for t in texts]).astype(np.int64)
-    grams = np.concatenate([t[1] for t in texts]).astype(np.int64)
-    of_word = np.concatenate([t[2] + b for t, b in zip(texts, begin)]).astype(np.int64)
+    numbers = np.concatenate([t[0] for t in texts])
+    grams = np.concatenate([t[1] for t in texts])
+    of_word = np.concatenate([t[2] + b for t, b in zip(texts, begin)])
     order = np.argsort(of_word, kind="stable")
     grams, of_word = grams[order], of_word[order]
     known = numbers, grams, of_word
