@@ -11,7 +11,7 @@ from lanewise import schema
 from lanewise.functions.numeric import mean_of, money, money_or_zero, percent, ratio, rounded
 from lanewise.operators.measures import DATASET, join_datasets, measures, rollup
 
-# Report name of an optional column -> the fact column that shows it is there.
+# Report name of an optional column -> the fact column that shows it is there.
 COVERAGE_PROBES = {
     "carrier": "carrier",
     "transport_mode": "transport_mode",
