@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import sentencepiece
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +37,9 @@ VARIANTS = 4
 #: Stretches of so many characters or more are merged with a heap.
 LONG_STRETCH = 64
 #: Characters of texts that are encoded together; a longer text is a group of its own.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 19
+#: Texts of an Arrow batch that are Python strings at the same time.
+TEXTS = 500
 
 _MASK = (1 << 64) - 1
 _NEVER = 1 << 40
@@ -305,22 +308,25 @@ def encode(
     """
     shared = _shared_model(docs.sparkSession, model)
 
-    @F.pandas_udf(struct(n_pieces=LONG, pieces=T.ArrayType(INT), lossless=BOOL))
-    def pieces(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(struct(n_pieces=LONG, pieces=T.ArrayType(INT), lossless=BOOL))
+    def pieces(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokenizer = Tokenizer(shared.value, dropout, seed, variants)
         for batch in texts:
-            for group in grouped(batch.tolist(), TOGETHER):
-                part = batch.iloc[group].tolist()
-                ids = iter(tokenizer.encode_all([t for t in part if t is not None]))
-                found = [None if t is None else next(ids) for t in part]
-                whole = [i is None or tokenizer.decode(i.tolist()) == t for i, t in zip(found, part)]
-                yield pd.DataFrame(
-                    {
-                        "n_pieces": [0 if i is None else len(i) for i in found],
-                        "pieces": pd.Series(found, dtype=object),
-                        "lossless": whole,
-                    }
-                )
+            ids, lossless = [], []
+            for at in range(0, len(batch), TEXTS):
+                part = batch.slice(at, TEXTS).to_pylist()
+                encoded = iter(tokenizer.encode_all([t for t in part if t is not None]))
+                found = [None if t is None else next(encoded) for t in part]
+                lossless += [i is None or tokenizer.decode(i.tolist()) == t for i, t in zip(found, part)]
+                ids += found
+            yield pa.StructArray.from_arrays(
+                [
+                    pa.array([0 if i is None else len(i) for i in ids], type=pa.int64()),
+                    pa.array(ids, type=pa.list_(pa.int32())),
+                    pa.array(lossless, type=pa.bool_()),
+                ],
+                names=["n_pieces", "pieces", "lossless"],
+            )
 
     return docs.select(F.col(doc_id), pieces(F.col(text)).alias("_found")).select(doc_id, "_found.*")
 

@@ -15,6 +15,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -170,15 +171,21 @@ def masked(text: str | None) -> str | None:
     return "".join([*parts, text[at:]])
 
 
-@F.pandas_udf(STRING)
-def _masked(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(STRING)
+def _changed(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Masked texts, null where nothing was masked; one text at a time is a Python string."""
     for batch in texts:
-        yield batch.map(masked, na_action="ignore")
+        found = []
+        for cell in batch:
+            text = cell.as_py()
+            changed = masked(text)
+            found.append(None if changed == text else changed)
+        yield pa.array(found, type=pa.string())
 
 
 def mask(text: Column) -> Column:
     """Column of whole texts without their secrets; null stays null."""
-    return _masked(text)
+    return F.coalesce(_changed(text), text)
 
 
 def masked_documents(docs: DataFrame, text: str = "text", n_chars: str = "n_chars") -> DataFrame:

@@ -17,6 +17,7 @@ from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,10 +56,10 @@ def fingerprint_of(text: str | None) -> int:
     return int(np.packbits(2 * ones > total, bitorder="little").view("<i8")[0])
 
 
-@F.pandas_udf(LONG)
-def _fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(LONG)
+def _fingerprints(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in texts:
-        yield pd.Series([fingerprint_of(t) for t in batch], dtype="int64")
+        yield pa.array([fingerprint_of(cell.as_py()) for cell in batch], type=pa.int64())
 
 
 def fingerprints(docs: DataFrame, text: str = "text"):

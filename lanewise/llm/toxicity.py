@@ -18,6 +18,7 @@ from dataclasses import dataclass, field, fields
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +41,9 @@ ROUNDS, PASSES, STEP_WINDOWS = 4, 4, 512
 #: Least number of training texts a word must occur in.
 MIN_TEXTS = 3
 #: Code points that are turned into words together, and windows that run through the network together.
-TEXT_STEP, BATCH = 1 << 19, 1024
+TEXT_STEP, BATCH = 1 << 18, 1024
+#: Texts of an Arrow batch that are Python strings at the same time.
+TEXTS = 500
 
 _ALNUM = np.array([chr(c).isalnum() for c in range(0xD800)] + [True] * 0x2800)
 
@@ -451,11 +454,13 @@ def scorer(docs: DataFrame, model: Model):
     """A column function that scores whole texts; texts without a word score 0."""
     shared = docs.sparkSession.sparkContext.broadcast({f.name: getattr(model, f.name) for f in fields(model)})
 
-    @F.pandas_udf(DOUBLE)
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(DOUBLE)
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = Model(**shared.value)
         for batch in texts:
-            yield pd.Series(model.probabilities(list(batch)), dtype="float64")
+            places = range(0, len(batch), TEXTS)
+            scores = [model.probabilities(batch.slice(a, TEXTS).to_pylist()) for a in places]
+            yield pa.array(np.concatenate([np.empty(0), *scores]))
 
     return score
 
