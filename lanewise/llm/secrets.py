@@ -10,6 +10,7 @@ keys cost nearly a byte for each character of a large alphabet.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -92,26 +93,97 @@ def novelty(candidate: str, before: str, after: str) -> float:
     return added / len(candidate)
 
 
-def novel_spans(text: str, taken: list[Span]) -> list[Span]:
-    """Incompressible strings in a sensitive context that no base span touches."""
-    lowered = text.lower()
-    if not any(hint in lowered for hint in SENSITIVE_HINTS):
-        return []
-    found: dict[int, Span] = {}
+def _value(run: str) -> str:
+    """What copies of a candidate share: without a name in front, and signs at its ends."""
+    bare = run.strip("+/_=.-")
+    value = bare.rpartition("=")[2].strip("+/_=.-")
+    return value if len(value) >= MIN_CANDIDATE else bare
+
+
+def _outside(text: str, start: int, end: int, spans: list[Span], ends: list[int]) -> str:
+    """The text from ``start`` to ``end`` without the spans, which are sorted, as are their ``ends``."""
+    parts = []
+    for i in range(bisect.bisect_right(ends, start), len(spans)):
+        if spans[i][0] >= end:
+            break
+        parts.append(text[start : max(start, spans[i][0])])
+        start = max(start, spans[i][2])
+    return "".join([*parts, text[start:end]])
+
+
+def _touches(start: int, end: int, spans: list[Span], ends: list[int]) -> bool:
+    i = bisect.bisect_right(ends, start)
+    return i < len(spans) and spans[i][0] < end
+
+
+def _joined(spans: list[Span]) -> list[Span]:
+    """Spans by start, overlapping ones as one."""
+    found: list[Span] = []
+    for start, kind, end in sorted(spans):
+        if found and start < found[-1][2]:
+            found[-1] = (found[-1][0], found[-1][1], max(end, found[-1][2]))
+        else:
+            found.append((start, kind, end))
+    return found
+
+
+def _announced(text: str) -> list[Span]:
+    """All candidates that stand within reach of a sensitive word, by start."""
+    found: list[Span] = []
     free = 0
     for word in SENSITIVE.finditer(text):
         at = max(free, word.end())
         reach = word.end() + REACH
         while (m := CANDIDATE.search(text, at, reach + MIN_CANDIDATE)) and m.start() <= reach:
-            whole = CANDIDATE.match(text, m.start())
-            start, end = whole.span()
+            start, end = CANDIDATE.match(text, m.start()).span()
             at = free = end
-            if any(s < end and start < e for s, _, e in taken) or len(set(whole[0])) < MIN_DISTINCT:
-                continue
-            before, after = text[max(0, start - SURROUNDINGS) : start], text[end : end + SURROUNDINGS]
-            if novelty(whole[0], before, after) >= MIN_NOVELTY:
-                found[start] = (start, 3, end)
-    return list(found.values())
+            found.append((start, 3, end))
+    return found
+
+
+def novel_spans(text: str, taken: list[Span]) -> list[Span]:
+    """Incompressible strings in a sensitive context that no base span touches, and their copies.
+
+    Other secrets do not prime the compressor: the text before a candidate is
+    taken without those found, the text after it without all candidates and
+    copies. So a secret that is repeated is as novel as one that stands alone.
+    """
+    lowered = text.lower()
+    if not any(hint in lowered for hint in SENSITIVE_HINTS):
+        return []
+    taken = _joined(taken)
+    taken_ends = [end for _, _, end in taken]
+    candidates = _announced(text)
+    later = _joined(taken + candidates)
+    later_ends = [end for _, _, end in later]
+    found: list[Span] = []
+    found_ends: list[int] = []
+    known: list[Span] = []  # secrets before the candidate
+    known_ends: list[int] = []
+    values: set[str] = set()
+    passed = 0
+    for start, kind, end in candidates:
+        while passed < len(taken) and taken[passed][0] < start:
+            known.append(taken[passed])
+            known_ends.append(taken[passed][2])
+            passed += 1
+        run = text[start:end]
+        if _touches(start, end, taken, taken_ends) or len(set(run)) < MIN_DISTINCT:
+            continue
+        value = _value(run)
+        before = _outside(text, max(0, start - SURROUNDINGS), start, known, known_ends)
+        after = _outside(text, end, min(len(text), end + SURROUNDINGS), later, later_ends)
+        if value in values or novelty(run, before, after.replace(value, "")) >= MIN_NOVELTY:
+            values.add(value)
+            for spans, ends in ((found, found_ends), (known, known_ends)):
+                spans.append((start, kind, end))
+                ends.append(end)
+    copies = []
+    for m in CANDIDATE.finditer(text) if found else ():
+        start, end = m.span()
+        if _value(m[0]) in values and not _touches(start, end, found, found_ends) and not _touches(start, end, taken, taken_ends):
+            copies.append((start, 3, end))
+    return sorted(found + copies)
 
 
 def written(spans: list[Span]) -> str:

@@ -73,3 +73,14 @@ def test_masks_replace_secrets_only(documents):
 
 def test_empty_table(documents):
     assert secrets.scan(documents([])).collect() == []
+
+
+def test_repeated_secrets_are_found_at_every_place():
+    for text in (
+        f"signature = {KEY}\nretry\nsignature = {KEY}\n",
+        f"cookie: sid={KEY}\ncookie: session={KEY}\n",
+        f"private_key {KEY}\nthen we send {KEY} to the host",
+        f'password="{KEY}" and private_key {KEY} again',
+        f"auth https://host/call/{KEY} and signature {KEY}",
+    ):
+        assert KEY not in secrets.masked(text), text
