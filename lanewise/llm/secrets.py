@@ -63,6 +63,9 @@ MIN_CANDIDATE = 16
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
 #: A candidate starts within so many characters after a word that announces it.
 REACH = 48
+#: What may stand between two lines of one secret: line breaks, quotes, plus signs, backslashes, and blanks beside them.
+CONTINUES = re.compile(r"""(?=[^\S\r\n]*[\r\n"'+\\])(?:\\[rn]|[\s"'\\]|\+(?=[\s"']))+""")
+RUN = re.compile(r"[A-Za-z0-9+/_=.-]+")
 #: Characters on either side that prime the compressor.
 SURROUNDINGS = 512
 #: Least novelty in bytes per character, and distinct characters a candidate must have.
@@ -127,6 +130,22 @@ def _joined(spans: list[Span]) -> list[Span]:
     return found
 
 
+def _lines(text: str, end: int) -> Iterator[tuple[int, int]]:
+    """Runs of key characters that follow one another from ``end``, as the lines of one string do."""
+    while (gap := CONTINUES.match(text, end)) and (m := RUN.match(text, gap.end())):
+        yield m.span()
+        end = m.end()
+
+
+def _is_rest(text: str, start: int, end: int, width: int, wrapped: bool) -> bool:
+    """Whether a run that is shorter than the line above it, and all of its own, ends a string of such lines."""
+    run = text[start:end]
+    if len(run) >= width or run[0] == "-" or (end < len(text) and text[end] not in "\r\n\"'\\"):
+        return False
+    mixed = any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
+    return mixed or run.endswith("=") or (wrapped and len(run) % 4 == 0)
+
+
 def _announced(text: str) -> list[Span]:
     """All candidates that stand within reach of a sensitive word, by start."""
     found: list[Span] = []
@@ -147,6 +166,9 @@ def novel_spans(text: str, taken: list[Span]) -> list[Span]:
     Other secrets do not prime the compressor: the text before a candidate is
     taken without those found, the text after it without all candidates and
     copies. So a secret that is repeated is as novel as one that stands alone.
+    Where a secret, of a base span or novel, goes on in further lines, these
+    are candidates too, and those as wide as the line above and a short last
+    one belong to it.
     """
     lowered = text.lower()
     if not any(hint in lowered for hint in SENSITIVE_HINTS):
@@ -162,22 +184,49 @@ def novel_spans(text: str, taken: list[Span]) -> list[Span]:
     known_ends: list[int] = []
     values: set[str] = set()
     passed = 0
-    for start, kind, end in candidates:
+
+    def report(start: int, end: int) -> None:
+        if end - start >= MIN_CANDIDATE:
+            values.add(_value(text[start:end]))
+        for spans, ends in ((found, found_ends), (known, known_ends)):
+            spans.append((start, 3, end))
+            ends.append(end)
+
+    def is_secret(start: int, end: int) -> bool:
+        """Whether a candidate is a secret; if no base span touches it, it is reported."""
+        nonlocal passed
         while passed < len(taken) and taken[passed][0] < start:
             known.append(taken[passed])
             known_ends.append(taken[passed][2])
             passed += 1
         run = text[start:end]
-        if _touches(start, end, taken, taken_ends) or len(set(run)) < MIN_DISTINCT:
-            continue
+        if _touches(start, end, taken, taken_ends):
+            return True
+        if len(run) < MIN_CANDIDATE or len(set(run)) < MIN_DISTINCT:
+            return False
         value = _value(run)
         before = _outside(text, max(0, start - SURROUNDINGS), start, known, known_ends)
         after = _outside(text, end, min(len(text), end + SURROUNDINGS), later, later_ends)
-        if value in values or novelty(run, before, after.replace(value, "")) >= MIN_NOVELTY:
-            values.add(value)
-            for spans, ends in ((found, found_ends), (known, known_ends)):
-                spans.append((start, kind, end))
-                ends.append(end)
+        if value not in values and novelty(run, before, after.replace(value, "")) < MIN_NOVELTY:
+            return False
+        report(start, end)
+        return True
+
+    free = 0
+    for start, _, end in candidates:
+        if start < free:
+            continue
+        free = end
+        if not is_secret(start, end):
+            continue
+        width, wrapped = len(text[start:end].lstrip("=")), False
+        for start, end in _lines(text, end):
+            even = end - start == width >= MIN_CANDIDATE
+            if not is_secret(start, end):
+                if not even and not _is_rest(text, start, end, width, wrapped):
+                    break
+                report(start, end)
+            free, width, wrapped = end, end - start, wrapped or even
     copies = []
     for m in CANDIDATE.finditer(text) if found else ():
         start, end = m.span()

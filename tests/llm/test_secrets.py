@@ -1,4 +1,6 @@
+import base64
 import hashlib
+import random
 import re
 
 from lanewise.llm import secrets
@@ -84,3 +86,17 @@ def test_repeated_secrets_are_found_at_every_place():
         f"auth https://host/call/{KEY} and signature {KEY}",
     ):
         assert KEY not in secrets.masked(text), text
+
+
+def test_secrets_go_on_in_further_lines():
+    rng = random.Random(7)
+    body = [hashlib.sha512(bytes([i, rng.randrange(256)])).digest() * 2 for i in range(23)]
+    lines = [base64.b64encode(b[:48]).decode() for b in body] + ["q9ZtB2w="]
+    for between in ("\n", "\r\n", "\\n", '" +\n    "', "\\\n", "\n  "):
+        text = "-----BEGIN RSA PRIVATE KEY-----\n" + between.join(lines) + "\n-----END RSA PRIVATE KEY-----\nThanks"
+        masked = secrets.masked(text)
+        assert not [line for line in lines if line in masked], between
+        assert masked.endswith("-----END RSA PRIVATE KEY-----\nThanks")
+    assert secrets.masked(f'secret = "{KEY}" +\n "{KEY[::-1]}"') == f'secret = "{secrets.MASK}" +\n "{secrets.MASK}"'
+    text = f"signature {KEY}\n\nThanks, and see the notes\n"
+    assert secrets.masked(text) == text.replace(KEY, secrets.MASK)
