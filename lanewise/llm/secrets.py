@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -68,9 +70,12 @@ CONTINUES = re.compile(r"""(?=[^\S\r\n]*[\r\n"'+\\])(?:\\[rn]|[\s"'\\]|\+(?=[\s"
 RUN = re.compile(r"[A-Za-z0-9+/_=.-]+")
 #: Characters on either side that prime the compressor.
 SURROUNDINGS = 512
-#: Least novelty in bytes per character, and distinct characters a candidate must have.
+#: Least novelty in bytes per character. The compressor also writes the letters of a long string in fewer
+#: bits if they are few, so of a random string no more is asked than its letters take, and a table of them.
 MIN_NOVELTY = 0.72
-MIN_DISTINCT = 10
+TABLE_BYTES, LETTER_BYTES, UNEVEN = 8, 0.25, 8
+#: Distinct characters a candidate must have: with digits only, with digits, and without.
+MIN_DISTINCT = (5, 7, 10)
 
 Span = tuple[int, int, int]
 
@@ -96,6 +101,29 @@ def novelty(candidate: str, before: str, after: str) -> float:
     return added / len(candidate)
 
 
+def least_novelty(candidate: str) -> float:
+    """Bytes per character from which a candidate is as novel as a random string of its length and letters.
+
+    Letters that hardly occur, as in a prefix, do not count. If letters are less
+    evenly used than in random strings, as in words, there is no allowance.
+    """
+    counts = Counter(candidate)
+    often = [n for n in counts.values() if 4 * n * len(counts) >= len(candidate)]
+    total, letters = sum(often), len(often)
+    uneven = 2 * sum(n * math.log(n * letters / total) for n in often)  # chi-square of letters - 1 degrees
+    if uneven > letters - 1 + UNEVEN * math.sqrt(letters - 1):
+        return MIN_NOVELTY
+    table = TABLE_BYTES + LETTER_BYTES * letters
+    return min(MIN_NOVELTY, (total * math.log2(letters) / 8 + table) / len(candidate))
+
+
+def varied(candidate: str) -> bool:
+    """Whether a candidate has as many different characters as nearly all random ones of its kind have."""
+    digits = sum(c.isdigit() for c in candidate)
+    kind = 0 if digits == len(candidate) else 1 if digits else 2
+    return len(set(candidate)) >= MIN_DISTINCT[kind]
+
+
 def _value(run: str) -> str:
     """What copies of a candidate share: without a name in front, and signs at its ends."""
     bare = run.strip("+/_=.-")
@@ -202,12 +230,12 @@ def novel_spans(text: str, taken: list[Span]) -> list[Span]:
         run = text[start:end]
         if _touches(start, end, taken, taken_ends):
             return True
-        if len(run) < MIN_CANDIDATE or len(set(run)) < MIN_DISTINCT:
+        if len(run) < MIN_CANDIDATE or not varied(run.strip("=")):
             return False
         value = _value(run)
         before = _outside(text, max(0, start - SURROUNDINGS), start, known, known_ends)
         after = _outside(text, end, min(len(text), end + SURROUNDINGS), later, later_ends)
-        if value not in values and novelty(run, before, after.replace(value, "")) < MIN_NOVELTY:
+        if value not in values and novelty(run, before, after.replace(value, "")) < least_novelty(run):
             return False
         report(start, end)
         return True

@@ -100,3 +100,16 @@ def test_secrets_go_on_in_further_lines():
     assert secrets.masked(f'secret = "{KEY}" +\n "{KEY[::-1]}"') == f'secret = "{secrets.MASK}" +\n "{secrets.MASK}"'
     text = f"signature {KEY}\n\nThanks, and see the notes\n"
     assert secrets.masked(text) == text.replace(KEY, secrets.MASK)
+
+
+def test_long_keys_of_few_letters_are_found():
+    rng = random.Random(11)
+    letters = {"0123456789ABCDEF": (16, 64, 96, 128, 512, 4096), "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567": (512, 4096),
+               "abcdefghijklmnopqrstuvwxyz0123456789": (512, 4096), "0123456789": (20, 22)}
+    for alphabet, lengths in letters.items():
+        for length in lengths:
+            key = "".join(rng.choices(alphabet, k=length))
+            assert key not in secrets.masked(f'private_key = "{key}"'), (alphabet, length)
+    assert secrets.masked(f'private_key = "{"10" * 10}"') == f'private_key = "{"10" * 10}"'
+    key = "sk_live_" + "".join(rng.choices("0123456789ABCDEF", k=1024))
+    assert key not in secrets.masked(f"auth {key}")
