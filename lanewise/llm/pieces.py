@@ -2,13 +2,16 @@
 
 The vocabulary of a public SentencePiece BPE model decides which symbols merge
 and in which order. Candidate merges wait in an agenda, the best first; each,
-named by its place in a stretch of text, is skipped if a keyed hash of it falls
-below the dropout rate. A stretch is a run of blanks and the word behind it, as
-no piece spans more. Segmentations vary with the seed and over the occurrences
-of a word in a text, always spell the same text, and are the same on every run.
+named by its document, the place of its stretch in the text and its own place in
+the stretch, is skipped if a keyed hash of it falls below the dropout rate. A
+stretch is a run of blanks and the word behind it, as no piece spans more. Each
+occurrence of a word is drawn for itself; segmentations always spell the same
+text, and are the same on every run.
 
 Stretches are merged together: in each round every stretch takes the best
-candidate of its agenda, as arrays over all different stretches of many texts.
+candidate of its agenda, as arrays over the stretches of many texts. Different
+stretches are merged without dropout first; only occurrences that drop one of
+the candidates met there are merged on their own.
 Very long stretches have an agenda of their own, a heap.
 """
 
@@ -32,8 +35,6 @@ from lanewise.llm.features import span_keys
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 13
-#: Segmentations that a stretch has at most; which one an occurrence gets follows from its place.
-VARIANTS = 4
 #: Stretches of so many characters or more are merged with a heap.
 LONG_STRETCH = 64
 #: Characters of texts that are encoded together; a longer text is a group of its own.
@@ -123,6 +124,11 @@ def _kept_all(key: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.nd
     return mixed >> np.uint64(32) >= np.uint64(limit)
 
 
+def _mixed(keys: np.ndarray) -> np.ndarray:
+    keys = (keys ^ keys >> np.uint64(29)) * np.uint64(_SPREAD)
+    return (keys ^ keys >> np.uint64(32)) * np.uint64(_PLACES[1])
+
+
 def merge_one(words: Vocabulary, points: np.ndarray, key: int, limit: int) -> tuple[list[int], list[int]]:
     """Symbols of one stretch and where they start, by an agenda of candidates, best rank first, then leftmost."""
     merges, of_rank, size = words.merges, words.of_rank, len(points)
@@ -154,9 +160,12 @@ def merge_one(words: Vocabulary, points: np.ndarray, key: int, limit: int) -> tu
 
 
 def merge_together(
-    words: Vocabulary, points: np.ndarray, lengths: np.ndarray, keys: np.ndarray, limit: int
+    words: Vocabulary, points: np.ndarray, lengths: np.ndarray, keys: np.ndarray, limit: int, met: list | None = None
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of many stretches laid end to end, where each starts in its stretch, and the stretch it is of."""
+    """Symbols of many stretches laid end to end, where each starts in its stretch, and the stretch it is of.
+
+    Candidates are added to ``met``, as arrays of their stretch, start, middle and end.
+    """
     word = np.repeat(np.arange(len(lengths)), lengths)
     start = np.arange(len(points)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     symbol = words.of_point[points].astype(np.int64)
@@ -168,10 +177,14 @@ def merge_together(
         has = has[word[at[has]] == word[at[has] + 1]]
         i = at[has]
         rank = words.rank_of(symbol[i], symbol[i + 1])
-        if limit:
+        if limit or met is not None:
             last = (i + 2 >= len(word)) | (word[np.minimum(i + 2, len(word) - 1)] != word[i])
             end = np.where(last, lengths[word[i]], start[np.minimum(i + 2, len(word) - 1)])
-            rank[~_kept_all(keys[word[i]], start[i], start[i + 1], end, limit)] = _NEVER
+            if met is not None:
+                can = rank < _NEVER
+                met.append((word[i][can], start[i][can], start[i + 1][can], end[can]))
+            if limit:
+                rank[~_kept_all(keys[word[i]], start[i], start[i + 1], end, limit)] = _NEVER
         found[has] = rank
         return found
 
@@ -209,15 +222,16 @@ def merge_together(
 class Tokenizer:
     """Encodes and decodes whole texts."""
 
-    def __init__(self, proto: bytes, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
+    def __init__(self, proto: bytes, dropout: float = DROPOUT, seed: int = SEED):
         self.words = Vocabulary(proto)
         self.limit = round(dropout * (1 << 32))
-        self.variants = variants if self.limit else 1
         self.seed = np.uint64(xxhash.xxh64_intdigest(b"pieces", seed))
 
-    def segment(self, points: np.ndarray, lengths: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def segment(
+        self, points: np.ndarray, lengths: np.ndarray, keys: np.ndarray, limit: int, met: list | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of stretches laid end to end, and how many each stretch has."""
-        symbol, start, word = merge_together(self.words, points, lengths, keys, self.limit)
+        symbol, start, word = merge_together(self.words, points, lengths, keys, limit, met)
         first = np.cumsum(lengths) - lengths
         pieces, size = self.words.in_bytes(symbol, points[first[word] + start])
         return pieces, np.bincount(word, weights=size, minlength=len(lengths)).astype(np.int64)
@@ -226,14 +240,18 @@ class Tokenizer:
         symbols, starts = merge_one(self.words, points, int(key), self.limit)
         return self.words.in_bytes(np.array(symbols, dtype=np.int64), points[starts])[0]
 
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """Piece ids of texts; like in SentencePiece each gets a blank in front."""
+    def encode_all(self, texts: list[str], names: np.ndarray | None = None) -> list[np.ndarray]:
+        """Piece ids of texts; like in SentencePiece each gets a blank in front.
+
+        ``names`` are 64-bit numbers that tell apart documents with equal texts.
+        """
+        names = np.zeros(len(texts), dtype=np.uint64) if names is None else names
         found: list[np.ndarray] = []
         for group in grouped(texts, TOGETHER):
-            found += self._encode_group([texts[i] for i in group])
+            found += self._encode_group([texts[i] for i in group], names[group])
         return found
 
-    def _encode_group(self, texts: list[str]) -> list[np.ndarray]:
+    def _encode_group(self, texts: list[str], names: np.ndarray) -> list[np.ndarray]:
         laid = [code_points(" " + t if t else t) for t in texts]
         sizes = np.array([len(p) for p in laid])
         points = np.concatenate(laid)
@@ -246,36 +264,55 @@ class Tokenizer:
         starts[begin[sizes > 0]] = True
         starts = np.flatnonzero(starts)
         lengths = np.diff(starts, append=len(points))
-        keys = span_keys(points, starts, starts + lengths)
-        keys = (keys ^ self.seed) * np.uint64(_SPREAD)
         text = np.searchsorted(begin[sizes > 0], starts, side="right") - 1
         text = np.flatnonzero(sizes > 0)[text]
-        if self.variants > 1:
-            nth = np.arange(len(starts)) - np.searchsorted(starts, begin)[text]
-            turn = (keys + nth.astype(np.uint64) * np.uint64(_PLACES[0])) * np.uint64(_SPREAD)
-            keys = keys + (turn >> np.uint64(40)) % np.uint64(self.variants) * np.uint64(_PLACES[1])
-        different, example, which = np.unique(keys, return_index=True, return_inverse=True)
-        long = lengths[example] >= LONG_STRETCH
-        short = np.flatnonzero(~long)
-        short_lengths = lengths[example[short]]
-        inside = ragged(starts[example[short]], short_lengths)
-        pieces, short_counts = self.segment(points[inside], short_lengths, different[short])
-        counts = np.zeros(len(different), dtype=np.int64)
-        counts[short] = short_counts
-        offsets = np.zeros(len(different), dtype=np.int64)
-        offsets[short] = np.cumsum(short_counts) - short_counts
-        more, filled = [pieces], len(pieces)
-        for i in np.flatnonzero(long):
-            at = example[i]
-            own = self.segment_long(points[starts[at] : starts[at] + lengths[at]], different[i])
-            counts[i], offsets[i], filled = len(own), filled, filled + len(own)
-            more.append(own)
-        pieces = np.concatenate(more)
-        of_stretch = counts[which]
-        ids = pieces[ragged(offsets[which], of_stretch)].astype(np.int32)
-        per_text = np.bincount(text, weights=of_stretch, minlength=len(texts)).astype(np.int64)
+        nth = np.arange(len(starts)) - np.searchsorted(starts, begin)[text]
+        documents = _mixed(span_keys(points, begin, begin + sizes) ^ self.seed) + names
+        keys = _mixed(_mixed(documents)[text] + nth.astype(np.uint64) * np.uint64(_PLACES[0]))
+        counts = np.zeros(len(starts), dtype=np.int64)
+        offsets = np.zeros(len(starts), dtype=np.int64)
+        pool: list[np.ndarray] = []
+
+        def put(at: np.ndarray, pieces: np.ndarray, size: np.ndarray, which: np.ndarray | slice = slice(None)) -> None:
+            """The stretches ``at`` get the pieces, of which there are ``size`` for each of ``which``."""
+            filled = sum(map(len, pool))
+            pool.append(pieces)
+            counts[at], offsets[at] = size[which], (filled + np.cumsum(size) - size)[which]
+
+        short = np.flatnonzero(lengths < LONG_STRETCH)
+        content = span_keys(points, starts[short], starts[short] + lengths[short])
+        _, example, which = np.unique(content, return_index=True, return_inverse=True)
+        example = short[example]
+        met: list | None = [] if self.limit else None
+        inside = ragged(starts[example], lengths[example])
+        put(short, *self.segment(points[inside], lengths[example], keys[example], 0, met), which)
+        if met:
+            varies = short[self._drops(keys[short], which, len(example), met)]
+            # so that arrays stay small where one text is very long
+            for at in np.split(varies, np.flatnonzero(np.diff(np.cumsum(lengths[varies]) // TOGETHER)) + 1):
+                inside = ragged(starts[at], lengths[at])
+                put(at, *self.segment(points[inside], lengths[at], keys[at], self.limit))
+        for at in np.flatnonzero(lengths >= LONG_STRETCH):
+            own = self.segment_long(points[starts[at] : starts[at] + lengths[at]], keys[at])
+            put(np.array([at]), own, np.array([len(own)]))
+        ids = np.concatenate(pool)[ragged(offsets, counts)].astype(np.int32)
+        per_text = np.bincount(text, weights=counts, minlength=len(texts)).astype(np.int64)
         return np.split(ids, np.cumsum(per_text)[:-1])
 
+    def _drops(self, keys: np.ndarray, which: np.ndarray, different: int, met: list) -> np.ndarray:
+        """Whether occurrences with ``keys`` of the stretches ``which`` drop any of the candidates met without dropout."""
+        stretch, *places = (np.concatenate(x) for x in zip(*met))
+        order = np.argsort(stretch, kind="stable")
+        places = [x[order] for x in places]
+        count = np.bincount(stretch, minlength=different)
+        first = np.cumsum(count) - count
+        found = np.zeros(len(keys), dtype=bool)
+        for a in range(0, len(keys), TOGETHER):
+            own = which[a : a + TOGETHER]
+            at, of = ragged(first[own], count[own]), np.repeat(np.arange(len(own)), count[own])
+            found[a + of[~_kept_all(keys[a + of], *(x[at] for x in places), self.limit)]] = True
+        return found
+
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text])[0].tolist()
 
@@ -296,26 +333,33 @@ def encode(
     model: str = MODEL,
     dropout: float = DROPOUT,
     seed: int = SEED,
-    variants: int = VARIANTS,
 ) -> DataFrame:
     """One row per document: doc_id, n_pieces, pieces, lossless.
 
     ``model`` is the path of a SentencePiece BPE model on the driver; executors
     get its bytes, less than a megabyte. ``lossless`` says that the pieces were
     decoded again to exactly the text. An empty text has no pieces; a null text
-    has null pieces and counts as lossless. Equal texts get equal pieces.
-    Other columns are not read.
+    has null pieces and counts as lossless. Pieces follow from the seed, the id, the
+    text, and the number of equal rows directly before a row, so that copies
+    differ. Other columns are not read.
     """
     shared = _shared_model(docs.sparkSession, model)
 
     @F.arrow_udf(struct(n_pieces=LONG, pieces=T.ArrayType(INT), lossless=BOOL))
-    def pieces(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tokenizer = Tokenizer(shared.value, dropout, seed, variants)
-        for batch in texts:
+    def pieces(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        tokenizer = Tokenizer(shared.value, dropout, seed)
+        before, copy = None, 0
+        for names, batch in batches:
             ids, lossless = [], []
             for at in range(0, len(batch), TEXTS):
                 part = batch.slice(at, TEXTS).to_pylist()
-                encoded = iter(tokenizer.encode_all([t for t in part if t is not None]))
+                numbers = []
+                for row in zip(names.slice(at, TEXTS).to_pylist(), part):
+                    before, copy = row, copy + 1 if row == before else 0
+                    if row[1] is not None:
+                        numbers.append((row[0] + copy * _PLACES[2]) & _MASK)
+                texts = [t for t in part if t is not None]
+                encoded = iter(tokenizer.encode_all(texts, np.array(numbers, dtype=np.uint64)))
                 found = [None if t is None else next(encoded) for t in part]
                 lossless += [i is None or tokenizer.decode(i.tolist()) == t for i, t in zip(found, part)]
                 ids += found
@@ -328,7 +372,7 @@ def encode(
                 names=["n_pieces", "pieces", "lossless"],
             )
 
-    return docs.select(F.col(doc_id), pieces(F.col(text)).alias("_found")).select(doc_id, "_found.*")
+    return docs.select(F.col(doc_id), pieces(F.xxhash64(doc_id), F.col(text)).alias("_found")).select(doc_id, "_found.*")
 
 
 def decode(tokens: DataFrame, doc_id: str = "doc_id", pieces: str = "pieces", model: str = MODEL) -> DataFrame:

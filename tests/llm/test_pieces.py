@@ -68,3 +68,34 @@ def test_table(documents):
     back = {r.doc_id: r.text for r in pieces.decode(found).collect()}
     assert back == dict(rows)
     assert pieces.encode(documents([])).collect() == []
+
+
+def test_every_occurrence_is_drawn_for_itself(documents):
+    t = pieces.Tokenizer(PROTO)
+    word, n = " international", 4000
+    ids = t.encode((word * n)[1:])
+    forms, at, plain = set(), 0, 0
+    bare = tuple(pieces.Tokenizer(PROTO, dropout=0.0).encode(word[1:]))
+    for _ in range(n):
+        spelled, first = b"", at
+        while len(spelled) < len(word):
+            spelled += t.words.bytes_of[ids[at]]
+            at += 1
+        assert spelled.decode() == word
+        forms.add(tuple(ids[first:at]))
+        plain += tuple(ids[first:at]) == bare
+    assert at == len(ids) and len(forms) > 20 and 0.1 * n < plain < 0.9 * n
+    # a word of one merge is varied as often as the rate says
+    split = sum(len(t.encode((" a" * 50)[1:] + str(i))) > 50 + len(str(i)) for i in range(40))
+    assert split > 30
+    text = "the international interesting thing " * 20
+    rows = pieces.encode(documents([(1, text), (2, text), (2, text)]).coalesce(1)).collect()
+    assert len({tuple(r.pieces) for r in rows}) == 3 and all(r.lossless for r in rows)
+
+
+def test_occurrences_without_dropped_candidates_agree_with_those_merged_alone(monkeypatch):
+    t = pieces.Tokenizer(PROTO)
+    some = texts(60) + ["the thing is the interesting thing " * 30]
+    together = [i.tolist() for i in t.encode_all(some)]
+    monkeypatch.setattr(pieces.Tokenizer, "_drops", lambda self, keys, *rest: np.ones(len(keys), dtype=bool))
+    assert together == [i.tolist() for i in t.encode_all(some)]
