@@ -13,9 +13,9 @@ import hashlib
 import io
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 from urllib.parse import urlsplit
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -252,20 +252,19 @@ class LoserTree:
             self._replay(self.winner)
 
 
-def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    parts = [b for b in batches if len(b)]
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The captures of one range, merged. Numbers stay in Arrow, as pandas would round those beside nulls."""
+    parts = [b for b in batches if b.num_rows]
     if not parts:
         return
-    rows = pd.concat(parts, ignore_index=True)
-
-    def run(part: pd.DataFrame) -> Iterator[tuple]:
-        part = part.sort_values("position")
-        known = part["page_id"].notna()
-        pages = part["page_id"].fillna(0).astype("int64")
-        return iter(list(zip(part["urlkey"], part["captured"], known, pages, part.index)))
-
-    tree = LoserTree([run(part) for _, part in rows.groupby("archive", sort=True)])
-    yield rows.iloc[[head[-1] for head in tree]]
+    rows = pa.Table.from_batches(parts)
+    archives = rows.column("archive").to_pylist()
+    by_position = sorted(zip(archives, rows.column("position").to_pylist(), range(rows.num_rows)))
+    keys = list(zip(*(rows.column(name).to_pylist() for name in ("urlkey", "captured", "page_id"))))
+    runs = [
+        iter([(*order(keys[i]), i) for _, _, i in run]) for _, run in groupby(by_position, key=lambda row: row[0])
+    ]
+    yield from rows.take(pa.array([head[-1] for head in LoserTree(runs)], type=pa.int64())).to_batches()
 
 
 def merge(captures: DataFrame, per_range: int = CAPTURES_PER_RANGE) -> DataFrame:
@@ -276,7 +275,7 @@ def merge(captures: DataFrame, per_range: int = CAPTURES_PER_RANGE) -> DataFrame
     """
     ranges = max(1, -(-captures.count() // per_range))
     dealt = captures.repartitionByRange(ranges, "urlkey", "captured", "page_id")
-    return dealt.mapInPandas(_merged, CAPTURE.replace("page_id long", "page_id long"))
+    return dealt.mapInArrow(_merged, CAPTURE)
 
 
 def archived(pages: DataFrame, path: str | None = None, **names: str) -> DataFrame:

@@ -35,6 +35,14 @@ def test_archives_give_back_what_was_written(spark, tmp_path):
     assert len(files) > 3 and all(gzip.open(f).read(8) == b"WARC/1.1" for f in files)
 
 
+def test_large_ids_stay_exact_beside_nulls(spark):
+    ids = [(1 << 60) + 1, (1 << 60) + 3, -(1 << 59) - 5, (1 << 53) + 1, (1 << 63) - 1, None]
+    rows = [(i, "http://a.org/", "s" * 1500 if k < 2 else f"own {k}", "k", "p") for k, i in enumerate(ids)]
+    found = warc.archived(spark.createDataFrame(rows, DDL).coalesce(1)).collect()
+    assert {r.page_id for r in found} == set(ids) and len(found) == len(ids)
+    assert [(r.page_id, r.refers_to) for r in found if r.refers_to is not None] == [(ids[0], ids[1])]
+
+
 def test_empty_table(spark):
     assert warc.archived(spark.createDataFrame([], DDL)).collect() == []
 
