@@ -80,3 +80,27 @@ def test_every_known_sentence_has_a_hint_and_is_normalised():
         for text in texts:
             assert licenses.normalised(text) == text
     assert {s for _, rule in licenses.RULES for s in rule} <= set(licenses.SENTENCES)
+
+
+def test_common_notices_give_their_licence(documents):
+    head = "under the terms of the GNU {}General Public License as\n# published by the Free Software Foundation; either version {} of the\n# License, or (at your option) any later version."
+    for text, expected in (
+        ("This project is licensed under the MIT License.", ["MIT"]),
+        ("This project is licensed under the MIT License - see the LICENSE file for details.", ["MIT"]),
+        ("// SPDX-License-Identifier: MIT\nint x;", ["MIT"]),
+        ("/* SPDX-License-Identifier: (GPL-2.0+ OR BSD-3-Clause) */", ["GPL-2.0-or-later", "BSD-3-Clause"]),
+        ("# SPDX-License-Identifier: Zlib", ["Zlib"]),
+        ("BSD 3-Clause License", ["BSD-3-Clause"]),
+        ("This software is released under the ISC license.", ["ISC"]),
+        ("Licensed under either of Apache License, Version 2.0 or MIT license at your option.", ["Apache-2.0", "MIT"]),
+        ("# Foo is free software; you can redistribute it and/or modify\n# it " + head.format("", 2), ["GPL-2.0-or-later"]),
+        ("This library is free software; you can redistribute it and/or modify it " + head.format("Lesser ", 2.1), ["LGPL-2.1-or-later"]),
+        ("This program is free software: you can redistribute it and/or modify it " + head.format("Affero ", 3), ["AGPL-3.0-or-later"]),
+        ("This work is licensed under the GNU AGPL v3.", ["AGPL-3.0-only"]),
+        ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/", ["EPL-2.0"]),
+        ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", ["CC0-1.0"]),
+        ("This file is licensed under a licence of our own. The mitten is released under the bed.", []),
+    ):
+        assert names(text) == expected, text
+    text = licenses.SENTENCES["gpl-warranty"][0] + ". Licensed under the MIT License."
+    assert [(r.licences, r.unused) for r in licenses.scan(documents([(1, text)])).collect()] == [(["MIT"], ["gpl-warranty"])]
