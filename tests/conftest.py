@@ -1,27 +1,17 @@
 from __future__ import annotations
 
 import sys
-from datetime import date
 from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+sys.path[:0] = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).resolve().parent)]
+
+from factories import FACT_NAMES  # noqa: E402
 
 from lanewise.operators.facts import facts as facts_of  # noqa: E402
 from lanewise.session import local_session  # noqa: E402
 
-FACT_DDL = (
-    "upload_id string, vendor string, origin_country string, destination string, product string,"
-    " quantity int, unit_cost decimal(14,4), lead_time_days int, delay_days int, status string,"
-    " shipped_on date, carrier string, transport_mode string, service_level string,"
-    " category string, freight_cost decimal(14,4), total_cost decimal(14,4),"
-    " weight_kg decimal(14,3), co2_kg decimal(14,3), damaged boolean, returned boolean,"
-    " quantity_delivered int"
-)
-FACT_NAMES = [c.strip().split()[0] for c in FACT_DDL.replace("(14,4)", "").replace("(14,3)", "").split(",")]
-
-
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(
@@ -37,25 +27,6 @@ def spark():
     session.stop()
 
 
-def shipment(**changes):
-    """A shipment as a plain dict, on time unless told otherwise."""
-    row = {
-        "upload_id": "u",
-        "vendor": "Fjord Rope",
-        "origin_country": "Norway",
-        "destination": "Oulu quay",
-        "product": "Mooring line",
-        "quantity": 100,
-        "unit_cost": 10,
-        "lead_time_days": 10,
-        "delay_days": 0,
-        "shipped_on": date(2021, 11, 5),
-    }
-    row.update(changes)
-    row.setdefault("status", "delayed" if (row["delay_days"] or 0) > 0 else "on_time")
-    return row
-
-
 @pytest.fixture(scope="session")
 def make_shipments(spark):
     from decimal import Decimal

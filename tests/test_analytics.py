@@ -3,7 +3,7 @@ from __future__ import annotations
 from datetime import date
 
 import pytest
-from conftest import shipment
+from factories import shipment
 from pyspark.sql import functions as F
 
 from lanewise.operators import entities, healthy, kpis, risk, trends

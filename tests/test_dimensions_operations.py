@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import shipment
+from factories import shipment
 from pyspark.sql import functions as F
 
 from lanewise.operators import dimensions, operations

@@ -3,7 +3,7 @@ from __future__ import annotations
 from datetime import datetime
 
 import pytest
-from conftest import shipment
+from factories import shipment
 
 from lanewise.operators import catalog, history, views
 

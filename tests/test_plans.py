@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pytest
-from conftest import FACT_DDL, shipment
+from factories import FACT_DDL, shipment
 
 from lanewise.operators import dimensions, entities, kpis, risk, trends
 from lanewise.operators.facts import facts as facts_of

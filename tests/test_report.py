@@ -4,7 +4,7 @@ import json
 from datetime import date
 
 import pytest
-from conftest import shipment
+from factories import shipment
 
 from lanewise.operators import dimensions, entities, healthy, kpis, operations, risk, trends, views
 from lanewise.plans import report as reports

@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import shipment
+from factories import shipment
 
 from lanewise.operators import trends
 from lanewise.operators.facts import facts as facts_of
