@@ -40,5 +40,86 @@ FROM sized s LEFT JOIN firsts f USING (payload_digest, payload_bytes)
 """
 
 
+PREFIX_TRIE = r"""
+WITH RECURSIVE turns AS MATERIALIZED (
+  SELECT conv_id AS conv, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), plans AS MATERIALIZED (
+  SELECT conv, conv - conv % 20 AS base, length, xor(list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(string_split(conv::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+      lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)),
+        lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)
+    ), 4294967295::BIGINT) % 4 AS h
+  FROM (SELECT conv, count(*) AS length FROM turns GROUP BY conv)
+), led AS MATERIALIZED (
+  SELECT p.conv, t.place AS depth, t.role, t.text FROM plans p JOIN turns t ON t.conv = p.base AND t.place <= p.h
+), rebuilt AS MATERIALIZED (
+  SELECT conv, depth, role, text FROM led
+  UNION ALL
+  SELECT p.conv, t.place - p.h + coalesce(l.n, 0), t.role, t.text
+  FROM plans p JOIN turns t ON t.conv = p.conv AND t.place > p.h
+  LEFT JOIN (SELECT conv, count(*) AS n FROM led GROUP BY conv) l ON l.conv = p.conv
+), prefixes AS MATERIALIZED (
+  SELECT conv, depth, text, list({'role': role, 'text': text}) OVER (PARTITION BY conv ORDER BY depth) AS path FROM rebuilt
+  UNION ALL
+  SELECT conv, 0, '', [] FROM plans
+), members AS MATERIALIZED (
+  SELECT conv, depth, text, min(conv) OVER (PARTITION BY depth, path) AS node,
+    depth = max(depth) OVER (PARTITION BY conv) AS ends FROM prefixes
+), nodes AS MATERIALIZED (
+  SELECT node, depth, count(*) AS n_convs,
+    (count(*) - 1) * CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(any_value(text), '[^\x20\x09-\x0D]+')) END AS saved,
+    sha256(coalesce(string_agg(conv::VARCHAR, ',' ORDER BY conv) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM members GROUP BY node, depth
+), family AS MATERIALIZED (
+  SELECT n.*, m.node AS parent FROM nodes n LEFT JOIN members m ON m.conv = n.node AND m.depth = n.depth - 1
+), children AS MATERIALIZED (
+  SELECT parent AS node, depth - 1 AS depth, count(*) AS n_children FROM family WHERE depth > 0 GROUP BY ALL
+), own AS MATERIALIZED (
+  SELECT f.*, coalesce(c.n_children, 0) AS n_children FROM family f LEFT JOIN children c USING (node, depth)
+), under AS (
+  SELECT node AS top, depth AS top_depth, node, depth FROM own
+  UNION ALL
+  SELECT u.top, u.top_depth, f.node, f.depth FROM under u JOIN family f ON f.parent = u.node AND f.depth = u.depth + 1
+), sums AS (
+  SELECT u.top AS node, u.top_depth AS depth, count(*) FILTER (WHERE o.n_children = 0) AS n_leaves,
+    sum(o.saved)::BIGINT AS saved_tokens
+  FROM under u JOIN own o ON o.node = u.node AND o.depth = u.depth GROUP BY ALL
+)
+SELECT o.node AS conv_id, o.depth, o.parent AS parent_conv_id, o.n_convs, o.n_children, s.n_leaves, s.saved_tokens, o.ends_sha256
+FROM own o JOIN sums s USING (node, depth)
+"""
+
+CHAT = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT -7, turn, role, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role)
+), placed AS (
+  SELECT *, row_number() OVER w AS place, lag(role) OVER w AS earlier,
+    CASE role WHEN 'system' THEN 'System' WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant'
+      ELSE 'role=' || replace(url_encode(role), '%20', '+') END AS title,
+    replace(replace(replace(text, '\', '\\'), '</turn>', '<\/turn>'), '###', '\###') AS hidden
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), written AS (
+  SELECT *, CASE WHEN place = 1 THEN '### ' || title || ': ' WHEN role <> earlier THEN chr(10) || '### ' || title || ': '
+    ELSE '' END || hidden || '</turn>' AS piece FROM placed
+), joined AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY place) AS spelled,
+    coalesce(string_agg(text, '' ORDER BY place) FILTER (WHERE role = 'assistant'), '') AS learned,
+    string_agg(piece, '' ORDER BY place) AS formatted
+  FROM written GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(spelled) AS turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256,
+  length(formatted) AS formatted_chars FROM joined
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc_index": WARC, "op7_embedding_dedup": EMBEDDING_GROUPS}
+    return {
+        "op5_warc_index": WARC,
+        "op7_embedding_dedup": EMBEDDING_GROUPS,
+        "op12_prefix_trie": PREFIX_TRIE,
+        "op13_chat_format": CHAT,
+    }

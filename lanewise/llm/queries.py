@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lanewise.llm import (
+    chat,
     embeddings,
     language,
     licenses,
     mixing,
     pieces,
+    prefix_trie,
     quality,
     secrets,
     simhash,
@@ -63,6 +65,15 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat.with_marks(spark, table(spark, sf_dir, "conversations"))
+    return chat.digests(chat.formatted(turns))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     listed = (
         op1_secret_scan,
@@ -75,5 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_sentencepiece,
         op9_toxicity,
         op10_simhash_dedup,
+        op12_prefix_trie,
+        op13_chat_format,
     )
     return {query.__name__: query for query in listed}
