@@ -40,6 +40,45 @@ FROM sized s LEFT JOIN firsts f USING (payload_digest, payload_bytes)
 """
 
 
+COLLOCATIONS = r"""
+WITH pieces AS MATERIALIZED (
+  SELECT row_number() OVER () AS piece, lang, part FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n-\r]')) AS part
+    FROM documents)
+), words AS MATERIALIZED (
+  SELECT lang, piece, unnest(list) AS w, generate_subscripts(list, 1) AS i
+  FROM (SELECT lang, piece, regexp_extract_all(part, '[^ \t]+') AS list FROM pieces)
+), grams AS MATERIALIZED (
+  SELECT lang, w AS w1, lead(w) OVER p AS w2, lead(w, 2) OVER p AS w3 FROM words WINDOW p AS (PARTITION BY piece ORDER BY i)
+), f1 AS MATERIALIZED (SELECT lang, w1, count(*) AS f FROM grams GROUP BY ALL
+), f2 AS MATERIALIZED (SELECT lang, w1, w2, count(*) AS f FROM grams WHERE w2 IS NOT NULL GROUP BY ALL
+), f3 AS MATERIALIZED (SELECT lang, w1, w2, w3, count(*) AS f FROM grams WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+), longer AS (
+  SELECT lang, w1, w2, max(f) AS f FROM (
+    SELECT lang, w1, w2, f FROM f3 UNION ALL SELECT lang, w2, w3, f FROM f3) GROUP BY ALL
+), cuts AS (
+  SELECT p.lang, p.w1 || ' ' || p.w2 AS phrase, p.f AS a, a.f AS l, b.f AS r, 1 AS k
+  FROM f2 p JOIN f1 a ON a.lang = p.lang AND a.w1 = p.w1 JOIN f1 b ON b.lang = p.lang AND b.w1 = p.w2
+  LEFT JOIN longer g ON g.lang = p.lang AND g.w1 = p.w1 AND g.w2 = p.w2
+  WHERE p.f >= 10 AND NOT coalesce(100 * g.f >= 50 * p.f, false)
+  UNION ALL
+  SELECT p.lang, p.w1 || ' ' || p.w2 || ' ' || p.w3, p.f, a.f, b.f, 1
+  FROM f3 p JOIN f1 a ON a.lang = p.lang AND a.w1 = p.w1 JOIN f2 b ON b.lang = p.lang AND b.w1 = p.w2 AND b.w2 = p.w3
+  UNION ALL
+  SELECT p.lang, p.w1 || ' ' || p.w2 || ' ' || p.w3, p.f, a.f, b.f, 2
+  FROM f3 p JOIN f2 a ON a.lang = p.lang AND a.w1 = p.w1 AND a.w2 = p.w2 JOIN f1 b ON b.lang = p.lang AND b.w1 = p.w3
+), scored AS (
+  SELECT *, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM cuts
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM lowest
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN (SELECT lang, count(*) AS n FROM words GROUP BY lang) USING (lang)
+WHERE rank <= 2000
+"""
+
 PREFIX_TRIE = r"""
 WITH RECURSIVE turns AS MATERIALIZED (
   SELECT conv_id AS conv, coalesce(role, '') AS role, coalesce(text, '') AS text,
@@ -120,6 +159,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_warc_index": WARC,
         "op7_embedding_dedup": EMBEDDING_GROUPS,
+        "op11_collocations": COLLOCATIONS,
         "op12_prefix_trie": PREFIX_TRIE,
         "op13_chat_format": CHAT,
     }

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lanewise.llm import (
     chat,
+    collocations,
     embeddings,
     language,
     licenses,
@@ -65,6 +66,10 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -86,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_sentencepiece,
         op9_toxicity,
         op10_simhash_dedup,
+        op11_collocations,
         op12_prefix_trie,
         op13_chat_format,
     )
