@@ -34,12 +34,14 @@ LEAST = 10
 SHARE = 50
 TOP = 2000
 #: Bytes of text for one range of n-grams, over all languages.
-RANGE_TEXT = 8 << 20
-#: Words of one shard, and bytes of text that are cut into words together.
-SHARD = 1 << 21
-TOGETHER = 1 << 21
+RANGE_TEXT = 16 << 20
+#: Words that a task holds before those of its largest language become a shard, and bytes that are cut into words together.
+SHARD = 1 << 19
+TOGETHER = 1 << 19
+#: Texts that are cut into words together at most.
+TEXTS = 500
 #: N-grams of united transducers that wait to be summed.
-UNITED = 1 << 22
+UNITED = 1 << 20
 #: Rows in which the phrases of a language are ranked before the last ranking.
 RANKINGS = 64
 
@@ -353,24 +355,24 @@ def shards(texts: DataFrame, ranges: int) -> DataFrame:
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[str, list[Slice]] = {}
-        held = 0
-        for batch in batches:
+        held: dict[str, int] = {}
+
+        def shard(lang: str) -> pa.RecordBatch:
+            held.pop(lang)
+            return automata(lang, counted(waiting.pop(lang)), ranges)
+
+        for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
             langs = batch.column("lang").dictionary_encode()
             for code, lang in enumerate(langs.dictionary.to_pylist()):
                 text = batch.column("text").filter(pc.equal(langs.indices, code)).cast(pa.large_binary())
                 ended = pc.binary_join_element_wise(text, pa.scalar(b"\n", pa.large_binary()), pa.scalar(b"", pa.large_binary()))
                 for part in slices(np.frombuffer(ended.buffers()[2] or b"", dtype=np.uint8)):
                     waiting.setdefault(lang, []).append(part)
-                    held += len(part.which)
-                    if held >= SHARD:
-                        yield from emptied(waiting)
-                        held = 0
-        yield from emptied(waiting)
-
-    def emptied(waiting: dict[str, list[Slice]]) -> Iterator[pa.RecordBatch]:
-        while waiting:
-            lang, parts = waiting.popitem()
-            yield automata(lang, counted(parts), ranges)
+                    held[lang] = held.get(lang, 0) + len(part.which)
+                    if sum(held.values()) >= SHARD:
+                        yield shard(max(held, key=held.get))
+        while held:
+            yield shard(next(iter(held)))
 
     return texts.mapInArrow(built, AUTOMATA)
 
@@ -387,7 +389,7 @@ def unions(found: DataFrame, ranges: int, least: int) -> DataFrame:
             waiting.append(Paths(batch).grams())
             if len(waiting) > 1 and sum(map(len, waiting[1:])) > max(UNITED, len(waiting[0])):
                 waiting = [united(waiting)]
-        whole = united(waiting + waiting[:0]) if len(waiting) > 1 else united([*waiting, _no_grams()])
+        whole = united([*waiting, _no_grams()])  # a single one may hold a path twice
         row = automata(key[0].as_py(), whole.at_least(least), ranges, int(whole.counts.sum()))
         if row.num_rows:
             yield row
