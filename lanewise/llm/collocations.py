@@ -3,7 +3,8 @@
 Each task counts the n-grams of a shard of text and builds, from the sorted
 n-grams, a count transducer: an acyclic automaton that accepts the n-grams, one
 arc a word, and gives each its count as weight. States whose continuations and
-weights are equal are one state. The transducer is cut by ranges of a keyed hash
+weights are equal are one state. Words and pairs come first; then triples, but
+only those of two pairs that may be frequent by a bitmap of fixed size. The transducer is cut by ranges of a keyed hash
 of the first two words, so that neither a frequent word nor a frequent language
 fills one range. Transducers of one range are united step by step, weights
 summed, and paths below the least count dropped. Parts of the phrases that stay
@@ -23,6 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,8 +42,11 @@ SHARD = 1 << 19
 TOGETHER = 1 << 19
 #: Texts that are cut into words together at most.
 TEXTS = 500
-#: N-grams of united transducers that wait to be summed.
+#: N-grams of united transducers that wait to be summed, and rows of transducers that are read together.
 UNITED = 1 << 20
+ROWS = 8
+#: Bits, as a power of two, of the map of frequent pairs.
+FILTER = 25
 #: Rows in which the phrases of a language are ranked before the last ranking.
 RANKINGS = 64
 
@@ -52,6 +57,7 @@ _KIND[list(b".,;:!?\n\x0b\x0c\r")] = _BREAK
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 _STIR = np.uint64(0xBF58476D1CE4E5B9)
 _NONE = np.empty(0, dtype=np.int64)
+_LOW = (1 << 32) - 1
 
 # A row of transducers: one automaton of one language and range. ``size2`` and ``size3`` are the arcs of each state
 # below the first and second word; ``state1`` and ``state2`` number these states from 1, 0 for none.
@@ -72,8 +78,27 @@ def _stirred(x: np.ndarray) -> np.ndarray:
 def range_of(first: np.ndarray, second: np.ndarray | int, ranges: int) -> np.ndarray:
     """The range of n-grams that begin with these two words; 0 stands for no second word."""
     second = np.broadcast_to(np.asarray(second, dtype=np.int64), first.shape)
-    mixed = _stirred((_stirred(first) * _SPREAD + _stirred(np.ascontiguousarray(second))).view(np.int64))
-    return (mixed >> np.uint64(32)).astype(np.int64) * ranges >> 32
+    return (_pair_hash(first, second) >> np.uint64(32)).astype(np.int64) * ranges >> 32
+
+
+def _pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return _stirred((_stirred(first) * _SPREAD + _stirred(np.ascontiguousarray(second))).view(np.int64))
+
+
+class Frequent:
+    """A bitmap of fixed size with a bit for each frequent pair: it may take a pair for frequent, never for rare."""
+
+    def __init__(self, slots: np.ndarray, bits: np.ndarray):
+        self.words = np.zeros(1 << (FILTER - 6), dtype=np.int64)
+        self.words[slots] = bits
+
+    @staticmethod
+    def place(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        return (_pair_hash(first, second) & np.uint64((1 << FILTER) - 1)).astype(np.int64)
+
+    def has(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        at = self.place(first, second)
+        return (self.words[at >> 6] >> (at & 63) & 1).astype(bool)
 
 
 @dataclass
@@ -177,8 +202,11 @@ def _slice(text: np.ndarray, kind: np.ndarray) -> Slice:
     return Slice(different, known, which.astype(np.int32), np.cumsum(kind == _BREAK)[start])
 
 
-def counted(parts: list[Slice]) -> Grams:
-    """N-grams of a shard; they do not reach over the end of a piece."""
+def counted(parts: list[Slice], frequent: Frequent | None = None) -> Grams:
+    """Words and pairs of a shard, or, given the frequent pairs, its triples of two such pairs, which begin with pairs of count 0.
+
+    N-grams do not reach over the end of a piece.
+    """
     keys, spelled = np.concatenate([s.keys for s in parts]), pa.concat_arrays([s.spelled for s in parts])
     words, first, back = np.unique(keys, return_index=True, return_inverse=True)
     known = spelled.take(pa.array(first))
@@ -187,15 +215,19 @@ def counted(parts: list[Slice]) -> Grams:
     ids = np.concatenate([back[b + s.which] for b, s in zip(begins, parts)])
     ahead = np.cumsum([0] + [int(s.piece[-1]) + 1 for s in parts])
     piece = np.concatenate([a + s.piece for a, s in zip(ahead, parts)])
-    counts = np.bincount(ids, minlength=len(words)).astype(np.int64)
     inside = np.flatnonzero(piece[1:] == piece[:-1])
-    pairs, nth, pair_counts = np.unique(ids[inside] << 32 | ids[inside + 1], return_inverse=True, return_counts=True)
-    further = np.flatnonzero(inside[1:] == inside[:-1] + 1)
-    triples, triple_counts = np.unique(nth[further] << 32 | ids[inside[further] + 2], return_counts=True)
-    low = (1 << 32) - 1
-    pair_ids = np.stack([pairs >> 32, pairs & low])
-    triple_ids = np.concatenate([pair_ids[:, triples >> 32], (triples & low)[None]])
-    return Grams(words, counts, known, words[pair_ids], pair_counts, words[triple_ids], triple_counts)
+    none = _no_grams()
+    if frequent is None:
+        counts = np.bincount(ids, minlength=len(words)).astype(np.int64)
+        pairs, pair_counts = np.unique(ids[inside] << 32 | ids[inside + 1], return_counts=True)
+        return Grams(words, counts, known, words[np.stack([pairs >> 32, pairs & _LOW])], pair_counts, none.triples, none.triple_counts)
+    inside = inside[frequent.has(words[ids[inside]], words[ids[inside + 1]])]
+    begin = inside[:-1][inside[1:] == inside[:-1] + 1]
+    pairs, nth = np.unique(ids[begin] << 32 | ids[begin + 1], return_inverse=True)
+    triples, triple_counts = np.unique(nth << 32 | ids[begin + 2], return_counts=True)
+    pair_keys = words[np.stack([pairs >> 32, pairs & _LOW])]
+    triple_keys = np.concatenate([pair_keys[:, triples >> 32], words[triples & _LOW][None]])
+    return Grams(none.words, none.counts, none.spelled, pair_keys, np.zeros(len(pairs), dtype=np.int64), triple_keys, triple_counts)
 
 
 # Automata
@@ -224,7 +256,7 @@ def _one_state_each(group: np.ndarray, size: np.ndarray, *arcs: np.ndarray) -> t
     return example[order], rank[which]
 
 
-def automata(lang: str, grams: Grams, ranges: int, total: int = 0) -> pa.RecordBatch:
+def automata(lang: str, grams: Grams, ranges: int, total: int | None = None) -> pa.RecordBatch:
     """The minimal count transducers of n-grams, one row for each range that has any, built from the last word to the first."""
     r1 = range_of(grams.words, 0, ranges)
     r2, r3 = (range_of(g[0], g[1], ranges) for g in (grams.pairs, grams.triples))
@@ -265,6 +297,7 @@ def automata(lang: str, grams: Grams, ranges: int, total: int = 0) -> pa.RecordB
     letters = np.concatenate([np.stack([g, x]) for g, x in ((group1, word1), (arc2, word2), (arc3, word3))], axis=1)
     (group0, word0), _, _ = _summed(letters, np.ones(letters.shape[1], dtype=np.int64))
     found = np.unique(group0)
+    totals = np.bincount(np.searchsorted(found, group1), weight1, len(found)).astype(np.int64) if total is None else np.full(len(found), total)
     ahead = lambda groups, of: np.searchsorted(groups, of)
 
     def lists(groups: np.ndarray, values, kind: pa.DataType) -> pa.Array:
@@ -282,7 +315,7 @@ def automata(lang: str, grams: Grams, ranges: int, total: int = 0) -> pa.RecordB
     columns = {
         "lang": pa.array([lang] * len(found), type=pa.string()),
         "range": pa.array(found.astype(np.int32)),
-        "total": pa.array(np.full(len(found), total, dtype=np.int64)),
+        "total": pa.array(totals),
         "words": lists(group0, word0, pa.int64()),
         "label1": label(group1, word1),
         "weight1": lists(group1, weight1, pa.int64()),
@@ -350,8 +383,8 @@ class Paths:
         )
 
 
-def shards(texts: DataFrame, ranges: int) -> DataFrame:
-    """Count transducers of all shards of ``texts (lang, text)``, by language and range."""
+def shards(texts: DataFrame, ranges: int, frequent: Broadcast | None = None) -> DataFrame:
+    """Count transducers of all shards of ``texts (lang, text)``, by language and range: see ``counted``."""
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[str, list[Slice]] = {}
@@ -359,7 +392,7 @@ def shards(texts: DataFrame, ranges: int) -> DataFrame:
 
         def shard(lang: str) -> pa.RecordBatch:
             held.pop(lang)
-            return automata(lang, counted(waiting.pop(lang)), ranges)
+            return automata(lang, counted(waiting.pop(lang), frequent and frequent.value), ranges)
 
         for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
             langs = batch.column("lang").dictionary_encode()
@@ -377,24 +410,35 @@ def shards(texts: DataFrame, ranges: int) -> DataFrame:
     return texts.mapInArrow(built, AUTOMATA)
 
 
-def unions(found: DataFrame, ranges: int, least: int) -> DataFrame:
-    """One transducer for each language and range: weights summed, n-grams below ``least`` dropped.
+def frequent_pairs(merged: DataFrame) -> Broadcast:
+    """The bitmap of the pairs of united transducers; bits meet in Spark, the driver sees the map, which has a fixed size."""
+    place = struct(slot=LONG, bit=LONG)
 
-    ``total`` is the sum of the weights of all single words, dropped ones too.
-    """
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = Frequent.place(*Paths(batch).pairs)
+            yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.int64(1) << (at & 63))], names=place.names)
+
+    bits = merged.mapInArrow(places, place).groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
+    found = Frequent(*(np.asarray(bits.column(c).combine_chunks()) for c in ("slot", "bits")))
+    return merged.sparkSession.sparkContext.broadcast(found)
+
+
+def unions(found: DataFrame, ranges: int, least: int) -> DataFrame:
+    """One transducer for each language and range: weights and totals summed, n-grams below ``least`` dropped."""
 
     def union(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[Grams] = []
-        for batch in batches:
+        waiting, total = [_no_grams()], 0
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             waiting.append(Paths(batch).grams())
-            if len(waiting) > 1 and sum(map(len, waiting[1:])) > max(UNITED, len(waiting[0])):
+            total += pc.sum(batch.column("total")).as_py()
+            if sum(map(len, waiting[1:])) > max(UNITED, len(waiting[0])):
                 waiting = [united(waiting)]
-        whole = united([*waiting, _no_grams()])  # a single one may hold a path twice
-        row = automata(key[0].as_py(), whole.at_least(least), ranges, int(whole.counts.sum()))
-        if row.num_rows:
-            yield row
-        elif len(whole.counts):  # nothing is frequent, but the words count
-            yield _bare(key[0].as_py(), key[1].as_py(), int(whole.counts.sum()))
+        rows = automata(key[0].as_py(), united(waiting).at_least(least), ranges, total)
+        if rows.num_rows:
+            yield rows
+        elif total:  # nothing is frequent, but the words count
+            yield _bare(key[0].as_py(), key[1].as_py(), total)
 
     return found.groupBy("lang", "range").applyInArrow(union, AUTOMATA)
 
@@ -520,7 +564,9 @@ def collocations(
     )
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = 1 + size // RANGE_TEXT
-    merged = keep(unions(shards(texts, ranges), ranges, least), "count-transducers")
+    short = keep(unions(shards(texts, ranges), ranges, least), "pair-transducers")
+    longer = shards(texts, ranges, frequent_pairs(short))
+    merged = keep(unions(short.unionByName(longer), ranges, least), "count-transducers")
     totals = merged.groupBy("lang").agg(F.sum("total").alias("n"))
     phrases = keep(candidates(merged), "phrases")
     longer = phrases.where("w3 IS NOT NULL").select(

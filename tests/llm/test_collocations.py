@@ -69,7 +69,8 @@ def test_a_very_long_text_without_breaks(documents):
 
 def grams_of(words):
     parts = list(collocations.slices(np.frombuffer(words.encode(), dtype=np.uint8)))
-    return collocations.counted(parts)
+    every = collocations.Frequent(np.arange(1 << collocations.FILTER - 6), np.int64(-1))
+    return collocations.united([collocations.counted(parts), collocations.counted(parts, every)])
 
 
 def same(left, right):
@@ -99,7 +100,9 @@ def test_equal_states_are_one():
 def test_part_counts_come_from_composition(documents):
     rows = [(i, "red green blue. red green. red", "en") for i in range(12)]
     docs = documents(rows).selectExpr("lang", "text")
-    merged = collocations.unions(collocations.shards(docs, 3), 3, 10)
+    pairs = collocations.unions(collocations.shards(docs, 3), 3, 10)
+    triples = collocations.shards(docs, 3, collocations.frequent_pairs(pairs))
+    merged = collocations.unions(pairs.unionByName(triples), 3, 10)
     asked = collocations.parts(collocations.candidates(merged), 3)
     answers = collocations.composed(asked, merged).collect()
     by_word = {r.spelled: r.f for r in answers if r.spelled}
