@@ -3,8 +3,8 @@
 Each task counts the n-grams of a shard of text and builds, from the sorted
 n-grams, a count transducer: an acyclic automaton that accepts the n-grams, one
 arc a word, and gives each its count as weight. States whose continuations and
-weights are equal are one state. Words and pairs come first; then triples, but
-only those of two pairs that may be frequent by a bitmap of fixed size. The transducer is cut by ranges of a keyed hash
+weights are equal are one state. Words come first, then pairs of frequent words,
+then triples of frequent pairs; tasks know these by a bitmap of fixed size. The transducer is cut by ranges of a keyed hash
 of the first two words, so that neither a frequent word nor a frequent language
 fills one range. Transducers of one range are united step by step, weights
 summed, and paths below the least count dropped. Parts of the phrases that stay
@@ -36,16 +36,16 @@ LEAST = 10
 SHARE = 50
 TOP = 2000
 #: Bytes of text for one range of n-grams, over all languages.
-RANGE_TEXT = 16 << 20
+RANGE_TEXT = 32 << 20
 #: Words that a task holds before those of its largest language become a shard, and bytes that are cut into words together.
-SHARD = 1 << 19
+SHARD = 1 << 20
 TOGETHER = 1 << 19
 #: Texts that are cut into words together at most.
 TEXTS = 500
 #: N-grams of united transducers that wait to be summed, and rows of transducers that are read together.
 UNITED = 1 << 20
 ROWS = 8
-#: Bits, as a power of two, of the map of frequent pairs.
+#: Bits, as a power of two, of the map of frequent words and pairs.
 FILTER = 25
 #: Rows in which the phrases of a language are ranked before the last ranking.
 RANKINGS = 64
@@ -86,7 +86,7 @@ def _pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 
 class Frequent:
-    """A bitmap of fixed size with a bit for each frequent pair: it may take a pair for frequent, never for rare."""
+    """A bitmap of fixed size with a bit for each frequent word or pair: it may take others for frequent, but these never for rare."""
 
     def __init__(self, slots: np.ndarray, bits: np.ndarray):
         self.words = np.zeros(1 << (FILTER - 6), dtype=np.int64)
@@ -202,10 +202,11 @@ def _slice(text: np.ndarray, kind: np.ndarray) -> Slice:
     return Slice(different, known, which.astype(np.int32), np.cumsum(kind == _BREAK)[start])
 
 
-def counted(parts: list[Slice], frequent: Frequent | None = None) -> Grams:
-    """Words and pairs of a shard, or, given the frequent pairs, its triples of two such pairs, which begin with pairs of count 0.
+def counted(parts: list[Slice], order: int, frequent: Frequent | None = None) -> Grams:
+    """N-grams of one order of a shard: words, pairs of frequent words, or triples of frequent pairs.
 
-    N-grams do not reach over the end of a piece.
+    First words of pairs and first pairs of triples come with count 0. N-grams
+    do not reach over the end of a piece.
     """
     keys, spelled = np.concatenate([s.keys for s in parts]), pa.concat_arrays([s.spelled for s in parts])
     words, first, back = np.unique(keys, return_index=True, return_inverse=True)
@@ -217,10 +218,15 @@ def counted(parts: list[Slice], frequent: Frequent | None = None) -> Grams:
     piece = np.concatenate([a + s.piece for a, s in zip(ahead, parts)])
     inside = np.flatnonzero(piece[1:] == piece[:-1])
     none = _no_grams()
-    if frequent is None:
+    if order == 1:
         counts = np.bincount(ids, minlength=len(words)).astype(np.int64)
+        return Grams(words, counts, known, none.pairs, none.pair_counts, none.triples, none.triple_counts)
+    if order == 2:
+        common = frequent.has(words, np.zeros(len(words), dtype=np.int64))[ids]
+        inside = inside[common[inside] & common[inside + 1]]
         pairs, pair_counts = np.unique(ids[inside] << 32 | ids[inside + 1], return_counts=True)
-        return Grams(words, counts, known, words[np.stack([pairs >> 32, pairs & _LOW])], pair_counts, none.triples, none.triple_counts)
+        pair_keys = words[np.stack([pairs >> 32, pairs & _LOW])]
+        return Grams(none.words, none.counts, none.spelled, pair_keys, pair_counts, none.triples, none.triple_counts)
     inside = inside[frequent.has(words[ids[inside]], words[ids[inside + 1]])]
     begin = inside[:-1][inside[1:] == inside[:-1] + 1]
     pairs, nth = np.unique(ids[begin] << 32 | ids[begin + 1], return_inverse=True)
@@ -383,7 +389,7 @@ class Paths:
         )
 
 
-def shards(texts: DataFrame, ranges: int, frequent: Broadcast | None = None) -> DataFrame:
+def shards(texts: DataFrame, ranges: int, order: int, frequent: Broadcast | None = None) -> DataFrame:
     """Count transducers of all shards of ``texts (lang, text)``, by language and range: see ``counted``."""
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,7 +398,7 @@ def shards(texts: DataFrame, ranges: int, frequent: Broadcast | None = None) ->
 
         def shard(lang: str) -> pa.RecordBatch:
             held.pop(lang)
-            return automata(lang, counted(waiting.pop(lang), frequent and frequent.value), ranges)
+            return automata(lang, counted(waiting.pop(lang), order, frequent and frequent.value), ranges)
 
         for batch in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
             langs = batch.column("lang").dictionary_encode()
@@ -410,13 +416,14 @@ def shards(texts: DataFrame, ranges: int, frequent: Broadcast | None = None) ->
     return texts.mapInArrow(built, AUTOMATA)
 
 
-def frequent_pairs(merged: DataFrame) -> Broadcast:
-    """The bitmap of the pairs of united transducers; bits meet in Spark, the driver sees the map, which has a fixed size."""
+def frequent_starts(merged: DataFrame, order: int) -> Broadcast:
+    """The bitmap of the words or pairs of united transducers; bits meet in Spark, the driver sees the map, which has a fixed size."""
     place = struct(slot=LONG, bit=LONG)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = Frequent.place(*Paths(batch).pairs)
+            grams = Paths(batch).grams()
+            at = Frequent.place(*(grams.pairs if order == 2 else (grams.words, np.zeros(len(grams.words), dtype=np.int64))))
             yield pa.RecordBatch.from_arrays([pa.array(at >> 6), pa.array(np.int64(1) << (at & 63))], names=place.names)
 
     bits = merged.mapInArrow(places, place).groupBy("slot").agg(F.bit_or("bit").alias("bits")).toArrow()
@@ -564,9 +571,10 @@ def collocations(
     )
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = 1 + size // RANGE_TEXT
-    short = keep(unions(shards(texts, ranges), ranges, least), "pair-transducers")
-    longer = shards(texts, ranges, frequent_pairs(short))
-    merged = keep(unions(short.unionByName(longer), ranges, least), "count-transducers")
+    merged = keep(unions(shards(texts, ranges, 1), ranges, least), "word-transducers")
+    for order in (2, 3):
+        longer = shards(texts, ranges, order, frequent_starts(merged, order - 1))
+        merged = keep(unions(merged.unionByName(longer), ranges, least), "count-transducers")
     totals = merged.groupBy("lang").agg(F.sum("total").alias("n"))
     phrases = keep(candidates(merged), "phrases")
     longer = phrases.where("w3 IS NOT NULL").select(

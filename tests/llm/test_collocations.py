@@ -70,7 +70,7 @@ def test_a_very_long_text_without_breaks(documents):
 def grams_of(words):
     parts = list(collocations.slices(np.frombuffer(words.encode(), dtype=np.uint8)))
     every = collocations.Frequent(np.arange(1 << collocations.FILTER - 6), np.int64(-1))
-    return collocations.united([collocations.counted(parts), collocations.counted(parts, every)])
+    return collocations.united([collocations.counted(parts, order, every) for order in (1, 2, 3)])
 
 
 def same(left, right):
@@ -100,9 +100,10 @@ def test_equal_states_are_one():
 def test_part_counts_come_from_composition(documents):
     rows = [(i, "red green blue. red green. red", "en") for i in range(12)]
     docs = documents(rows).selectExpr("lang", "text")
-    pairs = collocations.unions(collocations.shards(docs, 3), 3, 10)
-    triples = collocations.shards(docs, 3, collocations.frequent_pairs(pairs))
-    merged = collocations.unions(pairs.unionByName(triples), 3, 10)
+    merged = collocations.unions(collocations.shards(docs, 3, 1), 3, 10)
+    for order in (2, 3):
+        more = collocations.shards(docs, 3, order, collocations.frequent_starts(merged, order - 1))
+        merged = collocations.unions(merged.unionByName(more), 3, 10)
     asked = collocations.parts(collocations.candidates(merged), 3)
     answers = collocations.composed(asked, merged).collect()
     by_word = {r.spelled: r.f for r in answers if r.spelled}
