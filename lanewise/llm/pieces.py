@@ -10,8 +10,9 @@ text, and are the same on every run.
 
 Stretches are merged together: in each round every stretch takes the best
 candidate of its agenda, as arrays over the stretches of many texts. Different
-stretches are merged without dropout first; only occurrences that drop one of
-the candidates met there are merged on their own.
+stretches are merged without dropout first. Occurrences that drop some of the
+candidates met there are merged again without these, those of one stretch and
+with the same dropped candidates as one, until no occurrence drops another.
 Very long stretches have an agenda of their own, a heap.
 """
 
@@ -35,6 +36,8 @@ from lanewise.llm.features import span_keys
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 13
+#: Slots, as a power of two, of the hash tables of merges.
+SLOTS = 18
 #: Stretches of so many characters or more are merged with a heap.
 LONG_STRETCH = 64
 #: Characters of texts that are encoded together; a longer text is a group of its own.
@@ -47,6 +50,28 @@ _NEVER = 1 << 40
 _PLACES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _SPREAD = 0xBF58476D1CE4E5B9
 _BLANK = 32
+_NOTHING = np.empty(0, dtype=np.int64)
+#: Occurrences that are the same so far and fewer than this are merged each for itself.
+SHARED = 4
+
+
+def _slot(pairs: np.ndarray, factor: int) -> np.ndarray:
+    return (pairs.view(np.uint64) * np.uint64(factor) >> np.uint64(64 - SLOTS)).astype(np.int64)
+
+
+def _tables(pairs: np.ndarray, ranks: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """Hash tables of pairs and ranks; what meets another pair in one table goes to the next."""
+    found = []
+    while len(pairs):
+        factor = _PLACES[len(found) % 3] + 2 * len(found)
+        slots, ranked = np.full(1 << SLOTS, -2), np.zeros(1 << SLOTS, dtype=np.int64)
+        at, first = np.unique(_slot(pairs, factor), return_index=True)
+        slots[at], ranked[at] = pairs[first], ranks[first]
+        found.append((slots, ranked, factor))
+        later = np.ones(len(pairs), dtype=bool)
+        later[first] = False
+        pairs, ranks = pairs[later], ranks[later]
+    return found
 
 
 class Vocabulary:
@@ -79,8 +104,7 @@ class Vocabulary:
                 left, right = normal.get(piece[:cut]), normal.get(piece[cut:])
                 if left is not None and right is not None:
                     merges[left << 20 | right] = rank[i]
-        self.pairs = np.array(sorted(merges), dtype=np.int64)
-        self.ranks = np.array([merges[p] for p in self.pairs.tolist()] or [0], dtype=np.int64)
+        self.tables = _tables(np.array(list(merges), dtype=np.int64), np.array(list(merges.values()), dtype=np.int64))
         self.merges = merges
         self.of_point = np.full(0x110000, -1, dtype=np.int32)
         for piece, i in normal.items():
@@ -90,11 +114,12 @@ class Vocabulary:
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the merge of each pair of symbols, ``_NEVER`` if they do not merge."""
-        if not len(self.pairs):
-            return np.full(len(left), _NEVER)
-        wanted = left << 20 | right
-        at = np.minimum(np.searchsorted(self.pairs, wanted), len(self.pairs) - 1)
-        return np.where((self.pairs[at] == wanted) & (left >= 0) & (right >= 0), self.ranks[at], _NEVER)
+        wanted = np.where((left >= 0) & (right >= 0), left << 20 | right, -1)
+        found = np.full(len(wanted), _NEVER)
+        for pairs, ranks, factor in self.tables:
+            at = _slot(wanted, factor)
+            found = np.where(pairs[at] == wanted, ranks[at], found)
+        return found
 
     def in_bytes(self, symbols: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols with the pieces of the UTF-8 bytes for characters (-1) that have no piece, and how many each became."""
@@ -159,12 +184,25 @@ def merge_one(words: Vocabulary, points: np.ndarray, key: int, limit: int) -> tu
     return [symbols[i] for i in starts], starts
 
 
+def _named(stretch: np.ndarray, start: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """One number for a candidate of a stretch shorter than ``LONG_STRETCH``."""
+    return ((stretch << 7 | start) << 7 | middle) << 7 | end
+
+
 def merge_together(
-    words: Vocabulary, points: np.ndarray, lengths: np.ndarray, keys: np.ndarray, limit: int, met: list | None = None
+    words: Vocabulary,
+    points: np.ndarray,
+    lengths: np.ndarray,
+    keys: np.ndarray | None = None,
+    limit: int = 0,
+    dropped: np.ndarray = _NOTHING,
+    met: list | None = None,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols of many stretches laid end to end, where each starts in its stretch, and the stretch it is of.
 
-    Candidates are added to ``met``, as arrays of their stretch, start, middle and end.
+    Skipped are candidates drawn by ``keys``, one for each stretch, or those named
+    in ``dropped``, in order. Others are added to ``met``, as arrays of their
+    stretch, start, middle and end.
     """
     word = np.repeat(np.arange(len(lengths)), lengths)
     start = np.arange(len(points)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
@@ -177,14 +215,17 @@ def merge_together(
         has = has[word[at[has]] == word[at[has] + 1]]
         i = at[has]
         rank = words.rank_of(symbol[i], symbol[i + 1])
-        if limit or met is not None:
+        if keys is not None or len(dropped) or met is not None:
             last = (i + 2 >= len(word)) | (word[np.minimum(i + 2, len(word) - 1)] != word[i])
             end = np.where(last, lengths[word[i]], start[np.minimum(i + 2, len(word) - 1)])
+            if keys is not None:
+                rank[~_kept_all(keys[word[i]], start[i], start[i + 1], end, limit)] = _NEVER
+            elif len(dropped):
+                name = _named(word[i], start[i], start[i + 1], end)
+                rank[dropped[np.minimum(np.searchsorted(dropped, name), len(dropped) - 1)] == name] = _NEVER
             if met is not None:
                 can = rank < _NEVER
                 met.append((word[i][can], start[i][can], start[i + 1][can], end[can]))
-            if limit:
-                rank[~_kept_all(keys[word[i]], start[i], start[i + 1], end, limit)] = _NEVER
         found[has] = rank
         return found
 
@@ -219,6 +260,16 @@ def merge_together(
     return symbol[order], start[order], word[order]
 
 
+def _shared(at: np.ndarray, which: np.ndarray, example: np.ndarray, dropped: np.ndarray, alone: list) -> tuple:
+    """The occurrences that share their stretch with enough others; the rest is added to ``alone``."""
+    many = np.bincount(which, minlength=len(example)) >= SHARED
+    alone.append(at[~many[which]])
+    number = np.cumsum(many) - 1
+    stretch = dropped >> 21
+    named = number[stretch] << 21 | dropped & (1 << 21) - 1
+    return at[many[which]], number[which[many[which]]], example[many], named[many[stretch]]
+
+
 class Tokenizer:
     """Encodes and decodes whole texts."""
 
@@ -227,11 +278,9 @@ class Tokenizer:
         self.limit = round(dropout * (1 << 32))
         self.seed = np.uint64(xxhash.xxh64_intdigest(b"pieces", seed))
 
-    def segment(
-        self, points: np.ndarray, lengths: np.ndarray, keys: np.ndarray, limit: int, met: list | None = None
-    ) -> tuple[np.ndarray, np.ndarray]:
+    def segment(self, points: np.ndarray, lengths: np.ndarray, **how) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of stretches laid end to end, and how many each stretch has."""
-        symbol, start, word = merge_together(self.words, points, lengths, keys, limit, met)
+        symbol, start, word = merge_together(self.words, points, lengths, **how)
         first = np.cumsum(lengths) - lengths
         pieces, size = self.words.in_bytes(symbol, points[first[word] + start])
         return pieces, np.bincount(word, weights=size, minlength=len(lengths)).astype(np.int64)
@@ -282,16 +331,24 @@ class Tokenizer:
         short = np.flatnonzero(lengths < LONG_STRETCH)
         content = span_keys(points, starts[short], starts[short] + lengths[short])
         _, example, which = np.unique(content, return_index=True, return_inverse=True)
-        example = short[example]
-        met: list | None = [] if self.limit else None
-        inside = ragged(starts[example], lengths[example])
-        put(short, *self.segment(points[inside], lengths[example], keys[example], 0, met), which)
-        if met:
-            varies = short[self._drops(keys[short], which, len(example), met)]
-            # so that arrays stay small where one text is very long
-            for at in np.split(varies, np.flatnonzero(np.diff(np.cumsum(lengths[varies]) // TOGETHER)) + 1):
-                inside = ragged(starts[at], lengths[at])
-                put(at, *self.segment(points[inside], lengths[at], keys[at], self.limit))
+        example, dropped, left, alone = short[example], _NOTHING, short, []
+        while len(left):
+            if self.limit:
+                left, which, example, dropped = _shared(left, which, example, dropped, alone)
+                if not len(left):
+                    break
+            met: list | None = [] if self.limit else None
+            inside = ragged(starts[example], lengths[example])
+            found, size = self.segment(points[inside], lengths[example], dropped=dropped, met=met)
+            put(left, found, size, which)  # later rounds put others in place of those that drop more
+            if not met:
+                break
+            left, which, example, dropped = self._varied(keys, left, which, dropped, met)
+        rare = np.concatenate([_NOTHING, *alone])
+        # so that arrays stay small where one text is very long
+        for at in np.split(rare, np.flatnonzero(np.diff(np.cumsum(lengths[rare]) // TOGETHER)) + 1):
+            inside = ragged(starts[at], lengths[at])
+            put(at, *self.segment(points[inside], lengths[at], keys=keys[at], limit=self.limit))
         for at in np.flatnonzero(lengths >= LONG_STRETCH):
             own = self.segment_long(points[starts[at] : starts[at] + lengths[at]], keys[at])
             put(np.array([at]), own, np.array([len(own)]))
@@ -299,19 +356,52 @@ class Tokenizer:
         per_text = np.bincount(text, weights=counts, minlength=len(texts)).astype(np.int64)
         return np.split(ids, np.cumsum(per_text)[:-1])
 
-    def _drops(self, keys: np.ndarray, which: np.ndarray, different: int, met: list) -> np.ndarray:
-        """Whether occurrences with ``keys`` of the stretches ``which`` drop any of the candidates met without dropout."""
+    def _varied(
+        self, keys: np.ndarray, at: np.ndarray, which: np.ndarray, dropped: np.ndarray, met: list
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Occurrences ``at`` that drop candidates met by the stretches ``which`` that stand for them, and new stretches to stand for these.
+
+        Occurrences of one stretch that drop the same candidates share one: the
+        next round merges it without them. Candidates that it then meets are
+        drawn in turn, until no occurrence drops a further one.
+        """
         stretch, *places = (np.concatenate(x) for x in zip(*met))
         order = np.argsort(stretch, kind="stable")
-        places = [x[order] for x in places]
+        stretch, *places = (x[order] for x in (stretch, *places))
+        different = int(which.max()) + 1
         count = np.bincount(stretch, minlength=different)
         first = np.cumsum(count) - count
-        found = np.zeros(len(keys), dtype=bool)
-        for a in range(0, len(keys), TOGETHER):
+        whose, what = [], []
+        for a in range(0, len(at), TOGETHER):
             own = which[a : a + TOGETHER]
-            at, of = ragged(first[own], count[own]), np.repeat(np.arange(len(own)), count[own])
-            found[a + of[~_kept_all(keys[a + of], *(x[at] for x in places), self.limit)]] = True
-        return found
+            met_at, of = ragged(first[own], count[own]), np.repeat(np.arange(len(own)), count[own])
+            drops = ~_kept_all(keys[at[a + of]], *(x[met_at] for x in places), self.limit)
+            whose.append(a + of[drops])
+            what.append(met_at[drops])
+        whose, what = np.concatenate(whose), np.concatenate(what)
+        # a number for what each occurrence drops: occurrences differ by their stretch, too
+        begin = np.flatnonzero(np.diff(whose, prepend=-1))
+        size = np.diff(begin, append=len(whose))
+        if not len(begin):
+            return at[:0], which[:0], at[:0], dropped[:0]
+        mixed = _mixed(what.astype(np.uint64) + np.uint64(1))
+        sums = np.add.reduceat(mixed, begin) ^ _mixed(which[whose[begin]].astype(np.uint64) * np.uint64(_PLACES[2]))
+        _, example, now = np.unique(sums, return_index=True, return_inverse=True)
+        same = size == size[example][now]
+        theirs = ragged(begin[example][now], np.where(same, size, 0))
+        own = ragged(begin, np.where(same, size, 0))
+        same[np.repeat(np.arange(len(begin)), np.where(same, size, 0))[what[own] != what[theirs]]] = False
+        if not same.all():  # two sets with one number: each occurrence for itself
+            example, now = np.arange(len(begin)), np.arange(len(begin))
+        picked = ragged(begin[example], size[example])
+        new = np.repeat(np.arange(len(example)), size[example])
+        more = _named(new, *(x[what[picked]] for x in places))
+        before = which[whose[begin[example]]]
+        low, high = (np.searchsorted(dropped, before + k << 21) for k in (0, 1))
+        again = dropped[ragged(low, high - low)] & (1 << 21) - 1
+        again |= np.repeat(np.arange(len(example)), high - low) << 21
+        left = at[whose[begin]]
+        return left, now, left[example], np.sort(np.concatenate([more, again]))
 
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text])[0].tolist()
@@ -333,6 +423,7 @@ def encode(
     model: str = MODEL,
     dropout: float = DROPOUT,
     seed: int = SEED,
+    copy: str | None = None,
 ) -> DataFrame:
     """One row per document: doc_id, n_pieces, pieces, lossless.
 
@@ -340,26 +431,22 @@ def encode(
     get its bytes, less than a megabyte. ``lossless`` says that the pieces were
     decoded again to exactly the text. An empty text has no pieces; a null text
     has null pieces and counts as lossless. Pieces follow from the seed, the id, the
-    text, and the number of equal rows directly before a row, so that copies
-    differ. Other columns are not read.
+    text, and the number in the column ``copy``, if one is named; rows that are
+    equal in these have equal pieces, however rows are dealt to tasks. Other
+    columns are not read.
     """
     shared = _shared_model(docs.sparkSession, model)
 
     @F.arrow_udf(struct(n_pieces=LONG, pieces=T.ArrayType(INT), lossless=BOOL))
     def pieces(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         tokenizer = Tokenizer(shared.value, dropout, seed)
-        before, copy = None, 0
         for names, batch in batches:
             ids, lossless = [], []
             for at in range(0, len(batch), TEXTS):
                 part = batch.slice(at, TEXTS).to_pylist()
-                numbers = []
-                for row in zip(names.slice(at, TEXTS).to_pylist(), part):
-                    before, copy = row, copy + 1 if row == before else 0
-                    if row[1] is not None:
-                        numbers.append((row[0] + copy * _PLACES[2]) & _MASK)
+                numbers = names.slice(at, TEXTS).filter(batch.slice(at, TEXTS).is_valid())
                 texts = [t for t in part if t is not None]
-                encoded = iter(tokenizer.encode_all(texts, np.array(numbers, dtype=np.uint64)))
+                encoded = iter(tokenizer.encode_all(texts, np.asarray(numbers).view(np.uint64)))
                 found = [None if t is None else next(encoded) for t in part]
                 lossless += [i is None or tokenizer.decode(i.tolist()) == t for i, t in zip(found, part)]
                 ids += found
@@ -372,7 +459,8 @@ def encode(
                 names=["n_pieces", "pieces", "lossless"],
             )
 
-    return docs.select(F.col(doc_id), pieces(F.xxhash64(doc_id), F.col(text)).alias("_found")).select(doc_id, "_found.*")
+    name = F.xxhash64(*(c for c in (doc_id, copy) if c))
+    return docs.select(F.col(doc_id), pieces(name, F.col(text)).alias("_found")).select(doc_id, "_found.*")
 
 
 def decode(tokens: DataFrame, doc_id: str = "doc_id", pieces: str = "pieces", model: str = MODEL) -> DataFrame:

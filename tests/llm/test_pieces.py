@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import sentencepiece
-import xxhash
+from pyspark.sql import functions as F
 
 from lanewise.llm import pieces
 from lanewise.llm.common import code_points
@@ -41,15 +41,12 @@ def test_round_trip_and_variation():
 
 
 def test_rounds_and_agendas_agree():
-    t = pieces.Tokenizer(PROTO, dropout=0.3)
-    stretches = [code_points(x) for x in texts()]
-    keys = np.array([xxhash.xxh64_intdigest(p.tobytes()) for p in stretches], dtype=np.uint64)
+    t = pieces.Tokenizer(PROTO, dropout=0.0)
+    stretches = [code_points(x[: pieces.LONG_STRETCH - 1]) for x in texts()]
     lengths = np.array([len(p) for p in stretches])
-    for limit in (0, t.limit):
-        symbol, start, word = pieces.merge_together(t.words, np.concatenate(stretches), lengths, keys, limit)
-        for i, p in enumerate(stretches):
-            alone = pieces.merge_one(t.words, p, int(keys[i]), limit)
-            assert (symbol[word == i].tolist(), start[word == i].tolist()) == alone
+    symbol, start, word = pieces.merge_together(t.words, np.concatenate(stretches), lengths)
+    for i, p in enumerate(stretches):
+        assert (symbol[word == i].tolist(), start[word == i].tolist()) == pieces.merge_one(t.words, p, 0, 0)
 
 
 def test_texts_do_not_touch_each_other():
@@ -89,13 +86,28 @@ def test_every_occurrence_is_drawn_for_itself(documents):
     split = sum(len(t.encode((" a" * 50)[1:] + str(i))) > 50 + len(str(i)) for i in range(40))
     assert split > 30
     text = "the international interesting thing " * 20
-    rows = pieces.encode(documents([(1, text), (2, text), (2, text)]).coalesce(1)).collect()
-    assert len({tuple(r.pieces) for r in rows}) == 3 and all(r.lossless for r in rows)
+    rows = pieces.encode(documents([(1, text), (2, text)])).collect()
+    assert len({tuple(r.pieces) for r in rows}) == 2 and all(r.lossless for r in rows)
 
 
-def test_occurrences_without_dropped_candidates_agree_with_those_merged_alone(monkeypatch):
-    t = pieces.Tokenizer(PROTO)
-    some = texts(60) + ["the thing is the interesting thing " * 30]
-    together = [i.tolist() for i in t.encode_all(some)]
-    monkeypatch.setattr(pieces.Tokenizer, "_drops", lambda self, keys, *rest: np.ones(len(keys), dtype=bool))
-    assert together == [i.tolist() for i in t.encode_all(some)]
+def test_pieces_do_not_depend_on_how_rows_are_dealt(documents):
+    text = "the international interesting thing " * 20
+    docs = documents([(i // 3, text + str(i // 6)) for i in range(60)])
+    dealt = [pieces.encode(docs.repartition(n).sortWithinPartitions(order)) for n, order in ((1, "doc_id"), (6, "text"))]
+    one, six = (sorted((r.doc_id, r.pieces) for r in d.collect()) for d in dealt)
+    assert one == six
+    copies = pieces.encode(documents([(7, text)] * 3).withColumn("nth", F.monotonically_increasing_id()), copy="nth")
+    assert len({tuple(r.pieces) for r in copies.collect()}) == 3
+
+
+def test_shared_stretches_agree_with_agendas_of_their_own(monkeypatch):
+    for dropout in (0.1, 0.5):
+        t = pieces.Tokenizer(PROTO, dropout=dropout)
+        some = texts(60) + ["the thing is the interesting thing " * 30]
+        together = [i.tolist() for i in t.encode_all(some)]
+        for shared in (1, 1 << 30):
+            monkeypatch.setattr(pieces, "SHARED", shared)
+            assert together == [i.tolist() for i in t.encode_all(some)]
+        monkeypatch.setattr(pieces, "LONG_STRETCH", 1)
+        assert together == [i.tolist() for i in t.encode_all(some)]
+        monkeypatch.undo()
