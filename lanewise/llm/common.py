@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +41,13 @@ def keep(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def released() -> None:
+    """Give memory that a batch function no longer needs back to the system, as its worker stays for later ones."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only some C libraries can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def crc(column: str) -> Column:
     """CRC-32 of the column's value written as text."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

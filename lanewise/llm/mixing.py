@@ -249,9 +249,30 @@ def mixed(
     weights: Sequence[int] = WEIGHTS,
     cap: int = CAP,
 ) -> DataFrame:
-    """The mixture itself: every row of ``docs``, all columns, as often as it has copies."""
+    """The mixture itself: every row of ``docs``, all columns, as often as it has copies.
+
+    Copies are decided on narrow rows (id, source, size). Rows equal in these
+    share their copies evenly; only where that leaves a rest are they numbered.
+    """
     sized = sizes(docs, doc_id, text, source)
-    rows = docs.withColumn("_size", words(text))
-    found = rated(rows, sized, cell_copies(sized, weights, cap), doc_id, source)
-    times = F.explode(F.array_repeat(F.lit(0), F.col("_mix.copies").cast("int")))
-    return found.withColumn("_copy", times).select(*docs.columns)
+    decided = rated(sized, sized, cell_copies(sized, weights, cap), "_id", "_source")
+    key = ["_id", "_source", "_size"]
+    shares = keep(
+        decided.groupBy(*key)
+        .agg(F.sum("_mix.copies").alias("_total"), F.count("*").alias("_rows"))
+        .filter("_total > 0")
+        .select(*(F.col(k).alias(f"_of{k}") for k in key), "_total", "_rows"),
+        "copies",
+    )
+    named = docs.withColumns({"_id": F.col(doc_id), "_source": F.col(source), "_size": words(text)})
+
+    def with_copies(of: DataFrame) -> DataFrame:
+        same = named["_id"].eqNullSafe(of["_of_id"]) & named["_source"].eqNullSafe(of["_of_source"])
+        return named.join(of, same & (named["_size"] == of["_of_size"]))
+
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("_size"))
+    even = with_copies(shares.filter("_total % _rows = 0")).withColumn("_copies", F.expr("_total div _rows"))
+    rest = with_copies(shares.filter("_total % _rows <> 0")).withColumn("_nth", nth)
+    rest = rest.withColumn("_copies", F.expr("_total div _rows + if(_nth <= _total % _rows, 1, 0)")).drop("_nth")
+    times = F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))
+    return even.unionByName(rest).withColumn("_copy", times).select(*docs.columns)

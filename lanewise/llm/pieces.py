@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lanewise.llm.common import BOOL, INT, LONG, STRING, code_points, grouped, ragged, struct
+from lanewise.llm.common import BOOL, INT, LONG, STRING, code_points, grouped, ragged, released, struct
 from lanewise.llm.features import span_keys
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -458,6 +458,8 @@ def encode(
                 ],
                 names=["n_pieces", "pieces", "lossless"],
             )
+            del ids, lossless
+            released()
 
     name = F.xxhash64(*(c for c in (doc_id, copy) if c))
     return docs.select(F.col(doc_id), pieces(name, F.col(text)).alias("_found")).select(doc_id, "_found.*")

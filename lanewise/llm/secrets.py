@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import LONG, STRING, struct
+from lanewise.llm.common import LONG, STRING, released, struct
 
 # The base patterns, in the order that settles ties, with the least lengths.
 ASSIGN = re.compile(
@@ -330,6 +330,8 @@ def _changed(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
             changed = masked(text)
             found.append(None if changed == text else changed)
         yield pa.array(found, type=pa.string())
+        del found
+        released()
 
 
 def mask(text: Column) -> Column:

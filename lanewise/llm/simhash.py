@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lanewise.llm.common import LONG, bridges, keep, struct
+from lanewise.llm.common import LONG, bridges, keep, released, struct
 from lanewise.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -60,6 +60,7 @@ def fingerprint_of(text: str | None) -> int:
 def _fingerprints(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in texts:
         yield pa.array([fingerprint_of(cell.as_py()) for cell in batch], type=pa.int64())
+        released()
 
 
 def fingerprints(docs: DataFrame, text: str = "text"):
@@ -177,12 +178,21 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with one left of each group, the one with the smallest id.
 
-    Of rows that share this id, one stays. In a group without any id, one row
+    Of rows that share this id, one stays. Ids that go or occur more than once are
+    settled on narrow rows; all other texts pass one anti join. In a group without any id, one row
     per group stays. All columns are passed through.
     """
     found = keep(groups(docs, doc_id, text), "groups")
-    stays = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
-    named = docs.join(stays, docs[doc_id] == stays["_stays"]).drop("_stays").dropDuplicates([doc_id])
+    ids = keep(
+        found.filter("doc_id is not null")
+        .groupBy(F.col("doc_id").alias("_id"))
+        .agg(F.count("*").alias("_rows"), F.max(F.col("doc_id") == F.col("component_id")).alias("_stays")),
+        "ids",
+    )
+    gone_or_many = ids.filter("_rows > 1 or not _stays").select("_id")
+    single = docs.filter(docs[doc_id].isNotNull()).join(gone_or_many, docs[doc_id] == gone_or_many["_id"], "left_anti")
+    many = ids.filter("_rows > 1 and _stays").select("_id")
+    named = single.unionByName(docs.join(many, docs[doc_id] == many["_id"], "left_semi").dropDuplicates([doc_id]))
     nameless = docs.filter(docs[doc_id].isNull()).withColumn("_fp", fingerprints(docs, text))
     alone = found.filter("component_id is null").select(F.col("fingerprint").alias("_hex"), F.col("root").alias("_root")).distinct()
     nameless = (

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import BINARY, DOUBLE, code_points, crc, grouped, keep, ragged, struct
+from lanewise.llm.common import BINARY, DOUBLE, code_points, crc, grouped, keep, ragged, released, struct
 from lanewise.llm.features import platt, sigmoid, span_keys, with_share, word_keys
 from lanewise.llm.quality import labelled_sample
 
@@ -41,7 +41,7 @@ ROUNDS, PASSES, STEP_WINDOWS = 4, 4, 512
 #: Least number of training texts a word must occur in.
 MIN_TEXTS = 3
 #: Code points that are turned into words together, and windows that run through the network together.
-TEXT_STEP, BATCH = 1 << 18, 1024
+TEXT_STEP, BATCH = 1 << 17, 512
 #: Texts of an Arrow batch that are Python strings at the same time.
 TEXTS = 500
 
@@ -461,6 +461,7 @@ def scorer(docs: DataFrame, model: Model):
             places = range(0, len(batch), TEXTS)
             scores = [model.probabilities(batch.slice(a, TEXTS).to_pylist()) for a in places]
             yield pa.array(np.concatenate([np.empty(0), *scores]))
+            released()
 
     return score
 
