@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from lanewise.llm import mixing, pieces, secrets, simhash, toxicity
 from lanewise.llm.common import keep, table
@@ -22,18 +23,28 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; secrets in its text are replaced and ``n_chars`` follows the text."""
+    """Every document stays; secrets in its text are replaced and ``n_chars`` follows the text. Null and empty texts stay so."""
     return secrets.masked_documents(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document occurs as often as the mixture of sources takes it, from not at all to three times."""
+    """Each document occurs as often as the mixture of sources takes it, from not at all to three times.
+
+    Null and empty texts occur once; which of several equal documents get a copy
+    more is settled by the hash of the id, and rows that repeat are documents of
+    their own.
+    """
     return mixing.mixed(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as pieces: doc_id, n_pieces, pieces, and whether they decode to the text."""
-    return pieces.encode(docs)
+    """Each row as pieces: doc_id, n_pieces, pieces, and whether they decode to the text.
+
+    Rows with equal id and text, as mixing makes them, are numbered and so cut into
+    pieces each in its own way. Null texts have null pieces, empty ones none.
+    """
+    equal = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id")
+    return pieces.encode(docs.withColumn("_nth", F.row_number().over(equal)), copy="_nth")
 
 
 STAGES = [
