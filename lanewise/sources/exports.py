@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import cached_property, reduce
@@ -16,9 +17,11 @@ from lanewise.session import scratch_path
 from lanewise.sources import store
 from lanewise.sources.headers import Mapped, mapper
 from lanewise.sources.probe import NO_HEADER, list_files, listed_paths, probe, same_slashes
+from lanewise.sources.records import one_slash, plain_path, records, survey
 
 # Columns of the staging frame that are not part of the record.
 FLAGS = ("_accepted", "_derived_delay", "_damaged")
+PLACES = ("_file", "_block", "_order")
 # Each layout is a branch of the plan; more are gathered in a scratch table first.
 LAYOUTS_PER_JOB = 50
 NO_COLUMNS = (
@@ -26,8 +29,7 @@ NO_COLUMNS = (
     " vendor, product, quantity, status or a date."
 )
 NO_ROWS = "No usable rows: no row has a value in a column that was recognised."
-DAMAGED = "Text is not in the encoding that the start of the file is in."
-REPLACEMENT = "\ufffd"
+DAMAGED = "Some lines are not in the encoding of the rest of the file."
 
 
 class IngestError(ValueError):
@@ -45,7 +47,7 @@ class Layout:
     paths: tuple[str, ...]
     encoding: str
     delimiter: str
-    multiline: bool
+    special: bool
     skip_records: int
     skipped_lines: int
     headers: tuple[str, ...]
@@ -58,17 +60,21 @@ class Layout:
 
     @classmethod
     def unreadable(cls, paths: Sequence[str], problem: str) -> Layout:
-        return cls(tuple(paths), "utf-8", ",", True, 0, 0, (), {}, {}, (), {}, problem)
+        return cls(tuple(paths), "utf-8", ",", False, 0, 0, (), {}, {}, (), {}, problem)
 
     @property
     def warnings(self) -> list[str]:
         found = []
         if self.skipped_lines:
-            lines = "1 line" if self.skipped_lines == 1 else f"{self.skipped_lines} line(s)"
-            found.append(f"Skipped {lines} above the header row.")
+            found.append(f"The header row is below {self.skipped_lines} other line(s), which were passed over.")
         return found + advisory_warnings(self.detected)
 
 
+def file_digest(path: Column) -> Column:
+    """The name of a file among the parts of a stored table."""
+    return F.md5(one_slash(path).cast("binary"))
+
+
 def advisory_warnings(detected: Mapping[str, object]) -> list[str]:
     """What the report will lack because of columns the file lacks."""
     found = []
@@ -111,12 +117,27 @@ class Ingest:
 
     @cached_property
     def _rows(self) -> DataFrame:
-        rows = self._uncapped()
+        return self._capped(self._uncapped)
+
+    def _capped(self, rows: DataFrame) -> DataFrame:
         return rows if self.max_rows is None else cap_rows(rows, self.max_rows)
 
+    @cached_property
+    def _staged(self) -> DataFrame:
+        """All rows with flags and places, read from the files once and written to the scratch folder.
+
+        Very many layouts are read in several jobs, so that plans stay small.
+        """
+        path = scratch_path(self.spark, "staged")
+        for i in range(0, len(self.layouts), LAYOUTS_PER_JOB):
+            few = self.layouts[i : i + LAYOUTS_PER_JOB]
+            part = self if few == self.layouts else replace(self, layouts=few)
+            part._uncapped.write.mode("append").parquet(path)
+        return self.spark.read.schema(part._uncapped.schema).parquet(path)
+
     @property
     def staging(self) -> DataFrame:
-        return self._rows.drop("_file", "_block", "_order")
+        return self._rows.drop(*PLACES)
 
     @property
     def shipments(self) -> DataFrame:
@@ -125,12 +146,11 @@ class Ingest:
     @property
     def shipments_by_file(self) -> DataFrame:
         """The accepted rows with ``source_file``, a digest of the path they came from."""
-        rows = self._rows.withColumn(store.SOURCE_FILE, F.md5(F.col("_file").cast("binary")))
-        return accepted(rows.drop("_file", "_block", "_order"))
+        return accepted(self._rows.withColumn(store.SOURCE_FILE, file_digest(F.col("_file"))).drop(*PLACES))
 
     def counts(self) -> DataFrame:
         """Accepted, rejected and damaged rows and derived delays of each dataset."""
-        return ingest_counts(self.staging)
+        return ingest_counts(self._capped(self._staged))
 
     def report(self) -> DataFrame:
         """The counts of each dataset with how its columns were understood.
@@ -138,8 +158,12 @@ class Ingest:
         Every listed file counts, so a dataset without a row is there with zeros
         and a warning. If the ingest is strict, a dataset without a usable row or
         with damaged text raises ``IngestError``. One dataset is one row, and the
-        driver sees file names and what was understood of their heads.
+        driver sees file names and what was understood of their heads. Files are
+        read once, into the scratch folder, also if ``append_to`` follows.
         """
+        return self._report(self._staged)
+
+    def _report(self, uncapped: DataFrame) -> DataFrame:
         rows = [
             (
                 path,
@@ -162,7 +186,7 @@ class Ingest:
             *(F.min_by(c, readable_first).alias(c) for c in understood.columns if c not in ("path", "problem", "warnings")),
             F.concat(F.min_by("warnings", readable_first), F.array_sort(F.collect_set("problem"))).alias("warnings"),
         )
-        counts = store.kept(self.counts(), "ingest-counts") if self.layouts else None
+        counts = store.kept(ingest_counts(self._capped(uncapped)), "ingest-counts") if self.layouts else None
         numbers = ("accepted_rows", "rejected_rows", "damaged_rows", "derived_delays")
         if counts is None:
             report = per_upload.withColumns({c: F.lit(0).cast("long") for c in numbers})
@@ -170,7 +194,7 @@ class Ingest:
             report = per_upload.join(counts, "upload_id", "left").fillna(0, list(numbers))
         truncated = F.lit(False)
         if self.max_rows is not None and self.layouts:
-            every = self._uncapped().groupBy("upload_id").agg(F.count(F.lit(1)).alias("_rows"))
+            every = uncapped.groupBy("upload_id").agg(F.count(F.lit(1)).alias("_rows"))
             report = report.join(every, "upload_id", "left")
             seen = F.col("accepted_rows") + F.col("rejected_rows")
             truncated = F.coalesce(F.col("_rows") > seen, F.lit(False))
@@ -178,7 +202,7 @@ class Ingest:
         if self.strict:
             self._require(report)
         notes = (
-            (F.col("truncated"), f"File truncated at {self.max_rows or 0:,} rows; the rest was ignored."),
+            (F.col("truncated"), f"Rows beyond the limit of {self.max_rows or 0:,} were not read."),
             (F.col("accepted_rows") == 0, NO_ROWS),
             (F.col("damaged_rows") > 0, DAMAGED),
         )
@@ -192,22 +216,32 @@ class Ingest:
             if found:
                 raise IngestError(message, found.asDict())
 
+    @cached_property
     def _uncapped(self) -> DataFrame:
         return reduce(DataFrame.unionByName, [self._read(layout) for layout in self.layouts])
 
-    def gathered(self, layouts_per_job: int = LAYOUTS_PER_JOB) -> DataFrame:
-        """The accepted rows; those of very many layouts by way of a scratch table, so that plans stay small."""
-        if len(self.layouts) <= layouts_per_job or self.max_rows is not None:
-            return self.shipments
-        path = scratch_path(self.spark, "ingest")
-        for i in range(0, len(self.layouts), layouts_per_job):
-            part = replace(self, layouts=self.layouts[i : i + layouts_per_job])
-            part.shipments.write.mode("append").parquet(path)
-        return self.spark.read.schema(self.shipments.schema).parquet(path)
+    def staged_by_file(self) -> DataFrame:
+        """All rows with their flags and ``source_file``, from a scratch table that holds what one scan of the files gave."""
+        rows = self._capped(self._staged)
+        return rows.withColumn(store.SOURCE_FILE, file_digest(F.col("_file"))).drop(*PLACES)
 
-    def append_to(self, table: str) -> None:
-        """Add the accepted rows to a stored table, all of them in one commit."""
-        store.append(self.gathered(), table)
+    def append_to(self, table: str, ingest_id: str | None = None) -> DataFrame:
+        """Add the accepted rows to a stored table and return the report.
+
+        Files are read once, into the scratch folder; the report is taken from
+        there, and a strict ingest raises before the table is touched. Rows are
+        stored as the part ``ingest_id`` of their dataset, by default named
+        after the files, in one commit that replaces what a part of this name
+        held: repeating an append, after a failure or not, adds nothing.
+        """
+        report = store.kept(self.report(), "ingest-report")
+        files = sorted(one for layout in (*self.layouts, *self.problems) for one in layout.paths)
+        name = ingest_id or hashlib.md5("\n".join(map(same_slashes, files)).encode()).hexdigest()
+        rows = accepted(self._capped(self._staged).drop(*PLACES)).withColumn(store.SOURCE_FILE, F.lit(name))
+        store.replace(rows, table, (store.PARTITION, store.SOURCE_FILE))
+        held = {r[0] for r in report.where("accepted_rows > 0").select("upload_id").toLocalIterator()}
+        store.drop_parts(self.spark, table, [name], held)
+        return report
 
     def _read(self, layout: Layout) -> DataFrame:
         return stage(read_layout(self.spark, layout, self.upload_id), layout.columns)
@@ -220,7 +254,6 @@ def plan_ingest(
     *,
     aliases: Mapping[str, list[str]] | None = None,
     fuzzy: bool = True,
-    multiline: bool = True,
     max_rows: int | None = None,
     max_bytes: int | None = None,
     strict: bool = True,
@@ -231,14 +264,13 @@ def plan_ingest(
     path column to the dataset id. With ``strict`` a file that cannot be read
     raises ``IngestError``; otherwise it is listed in ``Ingest.problems``.
 
-    Quoted cells may contain line breaks, so a file is read by one task, whatever
-    its size. ``multiline=False`` promises that none does: files are then split
-    like any text, and lines of nothing but blanks are no rows. How a file is
-    read never depends on its size or on session settings.
+    Files are read over once, by splits, to settle the encoding of each as a
+    whole and whether cells hold line breaks; see ``records``. How a file is
+    then read never depends on its size or on session settings.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     files = list_files(spark, paths)
-    layouts = _layouts(files, mapper(aliases, fuzzy), multiline)
+    layouts = _layouts(files, mapper(aliases, fuzzy))
     if not layouts:
         named = any(p.lower().endswith(".csv") for p in paths)
         message = NO_HEADER if named else "Only .csv files are supported."
@@ -273,13 +305,21 @@ def plan_ingest(
     )
 
 
-def _layouts(
-    files: DataFrame, mapped: Callable[[Sequence[str]], list[Mapped]], multiline: bool
-) -> list[Layout]:
-    """Group files by layout in one job. The driver holds paths and headers, as a file listing does."""
+def _layouts(files: DataFrame, mapped: Callable[[Sequence[str]], list[Mapped]]) -> list[Layout]:
+    """Group files by layout. The driver holds paths and headers, as a file listing does."""
+    heads = store.kept(probe(files), "heads")
+    readable = heads.where("problem IS NULL AND length > 0").groupBy("delimiter").agg(F.collect_list("path").alias("paths"))
+    by_delimiter = {r.delimiter: r.paths for r in readable.collect()}
+    settled = heads.withColumn("special", F.lit(False))
+    if by_delimiter:
+        surveyed = survey(heads.sparkSession, by_delimiter).withColumnsRenamed({"path": "_path", "encoding": "_encoding"})
+        settled = (
+            heads.join(surveyed, one_slash(heads["path"]) == surveyed["_path"], "left")
+            .withColumn("encoding", F.coalesce("_encoding", "encoding"))
+            .withColumn("special", F.coalesce("special", F.lit(False)))
+        )
     groups = (
-        probe(files)
-        .groupBy("encoding", "delimiter", "skip_records", "skipped_lines", "headers", "problem")
+        settled.groupBy("encoding", "delimiter", "special", "skip_records", "skipped_lines", "headers", "problem")
         .agg(F.sort_array(F.collect_list("path")).alias("paths"), F.max("length").alias("largest"))
         .collect()
     )
@@ -292,7 +332,7 @@ def _layouts(
                 paths=tuple(group.paths),
                 encoding=group.encoding,
                 delimiter=group.delimiter,
-                multiline=multiline,
+                special=group.special,
                 skip_records=group.skip_records,
                 skipped_lines=group.skipped_lines,
                 headers=tuple(group.headers),
@@ -314,41 +354,32 @@ def read_layout(
     spark: SparkSession, layout: Layout, upload_id: Callable[[Column], Column]
 ) -> DataFrame:
     """The mapped columns of a layout's files as text, below the header."""
-    width = len(layout.headers)
-    reader = (
-        spark.read.schema(", ".join(f"_c{i} string" for i in range(width)))
-        .option("sep", layout.delimiter)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("multiLine", layout.multiline)
-        .option("encoding", "UTF-8" if layout.encoding == "utf-8" else "ISO-8859-1")
-        .option("header", layout.skip_records == 0)
-    )
-    rows = reader.csv(list(layout.paths)).select(
-        *(F.col(f"_c{i}").alias(name) for name, i in layout.columns.items()),
-        _plain_path(F.col("_metadata.file_path")).alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-    )
-    if layout.skip_records:
-        rows = drop_first_records(rows, layout.skip_records + 1)
+    schema = ", ".join(f"_c{i} string" for i in range(len(layout.headers)))
+    options = {"sep": layout.delimiter, "quote": '"', "escape": '"'}
+    chosen = [(f"_c{i}", name) for name, i in layout.columns.items()]
+    if layout.special:
+        found = records(spark, layout.paths, layout.encoding, layout.delimiter, layout.skip_records + 1)
+        cells = found.withColumn("c", F.from_csv("record", schema, options))
+        rows = cells.select(
+            *(F.col(f"c.{column}").alias(name) for column, name in chosen),
+            F.col("file").alias("_file"),
+            F.col("block").alias("_block"),
+            F.col("nth").alias("_order"),
+            F.col("damaged").alias("_damaged"),
+        )
+    else:
+        reader = spark.read.schema(schema).options(**options).option("header", layout.skip_records == 0)
+        rows = reader.option("encoding", "UTF-8" if layout.encoding == "utf-8" else "ISO-8859-1").csv(list(layout.paths)).select(
+            *(F.col(column).alias(name) for column, name in chosen),
+            plain_path(F.col("_metadata.file_path")).alias("_file"),
+            F.col("_metadata.file_block_start").alias("_block"),
+        )
+        if layout.skip_records:
+            rows = drop_first_records(rows, layout.skip_records + 1)
+        rows = rows.withColumns({"_order": F.monotonically_increasing_id(), "_damaged": F.lit(False)})
     if layout.encoding == "cp1252":
         rows = rows.withColumns({name: _from_cp1252(F.col(name)) for name in layout.columns})
-    # What is not valid UTF-8 arrives as replacement characters; the other encodings read any byte.
-    damaged = F.lit(False)
-    if layout.encoding == "utf-8":
-        damaged = F.contains(F.concat_ws("", *layout.columns), F.lit(REPLACEMENT))
-    return rows.withColumns(
-        {
-            "upload_id": upload_id(F.col("_file")),
-            "_order": F.monotonically_increasing_id(),
-            "_damaged": damaged,
-        }
-    )
-
-
-def _plain_path(url: Column) -> Column:
-    """Undo the percent-encoding of paths in file metadata."""
-    return F.url_decode(F.replace(url, F.lit("+"), F.lit("%2B")))
+    return rows.withColumn("upload_id", upload_id(F.col("_file")))
 
 
 def _from_cp1252(text: Column) -> Column:

@@ -7,6 +7,7 @@ many files is probed in parallel.
 from __future__ import annotations
 
 import codecs
+import contextlib
 import csv
 import io
 import re
@@ -121,13 +122,22 @@ def find_delimiter(text: str) -> str:
     A text that it cannot make out has the usual separator that its first line
     holds most often, the earlier one on ties, or the first of all if none.
     """
-    try:
-        seen = csv.Sniffer().sniff(text, delimiters=DELIMITERS).delimiter
-    except csv.Error:
-        line = text.partition("\n")[0]
-        counts = {d: line.count(d) for d in DELIMITERS}
-        seen = max(counts, key=counts.__getitem__)
-    return seen if seen in DELIMITERS else DELIMITERS[0]
+    first_line = text.split("\n", 1)[0]
+    sniffed = _sniffed(text)
+    unusual = sniffed is not None and sniffed not in DELIMITERS
+
+    def rank(place: int) -> tuple[bool, int, int]:
+        candidate = DELIMITERS[place]
+        found = 0 if sniffed or unusual else first_line.count(candidate)
+        return candidate == sniffed, found, -place
+
+    return DELIMITERS[max(range(len(DELIMITERS)), key=rank)]
+
+
+def _sniffed(text: str) -> str | None:
+    with contextlib.suppress(csv.Error):
+        return csv.Sniffer().sniff(text, delimiters=DELIMITERS).delimiter
+    return None
 
 
 def find_header(text: str, delimiter: str, names: frozenset[str]) -> tuple[int, int, list[str]]:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +41,17 @@ def replace(rows: DataFrame, path: str, parts: Sequence[str] = (PARTITION,)) ->
     )
 
 
+def drop_parts(spark: SparkSession, path: str, files: Sequence[str], but: Collection[str] = ()) -> None:
+    """Remove the parts of these files from all datasets but some; what is not there is passed over."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for name in files:
+        for found in system.globStatus(hadoop(f"{path}/{PARTITION}=*/{SOURCE_FILE}={name}")) or ():
+            folder = found.getPath()
+            if unquote(folder.getParent().getName().removeprefix(f"{PARTITION}=")) not in but:
+                system.delete(folder, True)
+
+
 def _gathered(rows: DataFrame) -> DataFrame:
     return rows.hint("rebalance", F.col(PARTITION))
 

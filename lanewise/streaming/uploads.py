@@ -12,9 +12,10 @@ from lanewise.operators.facts import facts as facts_of
 from lanewise.operators.measures import DATASET, rollup
 from lanewise.operators.trends import trend_points
 from lanewise.sources import store
-from lanewise.sources.exports import accepted, file_stem, plan_ingest, stage
+from lanewise.sources.exports import accepted, file_digest, file_stem, plan_ingest, stage
 
 PROBLEM_DDL = "upload_id string, path string, problem string"
+FILE_COLUMNS = ("path", "modificationTime", "state", "accepted", "rejected", "damaged", "problem", store.PARTITION, store.SOURCE_FILE)
 
 
 def stream_uploads(
@@ -25,6 +26,7 @@ def stream_uploads(
     checkpoint: str,
     upload_id: Callable[[Column], Column] = file_stem,
     files_per_batch: int = 100,
+    files: str | None = None,
     **options: object,
 ) -> StreamingQuery:
     """Ingest CSV files as they arrive, each with its own header.
@@ -36,24 +38,44 @@ def stream_uploads(
     add up, a file that comes again replaces its own rows, and a batch that is
     retried after a failure changes nothing. ``files_per_batch`` has no effect
     on the result.
+
+    A ledger at ``files``, by default beside the table, has a row per file: path,
+    time, state (stored, empty, unreadable) and counts. It decides what a batch
+    removes: a file that comes again without a usable row leaves none, and one
+    that was unreadable and is mended leaves the rejects.
     """
     parts = (store.PARTITION, store.SOURCE_FILE)
+    ledger = files or f"{table.rstrip('/')}-files"
+    counted = ("accepted", "rejected", "damaged")
 
     def ingest(batch: DataFrame, _batch_id: int) -> None:
-        paths = [row.path for row in batch.select("path").collect()]
+        came = batch.select("path", "modificationTime").withColumn(store.SOURCE_FILE, file_digest(F.col("path")))
+        came = store.kept(came.withColumn(store.PARTITION, upload_id(F.col("path"))), "came")
+        paths = [row.path for row in came.select("path").collect()]
         if not paths:
             return
         planned = plan_ingest(spark, paths, upload_id, strict=False, **options)
+        bad = spark.createDataFrame(
+            [(p, layout.problem) for layout in planned.problems for p in layout.paths], "_path string, problem string"
+        ).select(file_digest(F.col("_path")).alias("_of"), "problem")
+        judged = came.join(bad, came[store.SOURCE_FILE] == bad["_of"], "left").drop("_of")
         if planned.layouts:
-            store.replace(planned.shipments_by_file, table, parts)
-        bad = [(p, layout.problem) for layout in planned.problems for p in layout.paths]
-        if bad:
-            rows = spark.createDataFrame(bad, "path string, problem string")
-            named = {
-                store.PARTITION: upload_id(F.col("path")),
-                store.SOURCE_FILE: F.md5(F.col("path").cast("binary")),
-            }
-            store.replace(rows.withColumns(named), rejects, parts)
+            staged = planned.staged_by_file()
+            store.replace(accepted(staged), table, parts)
+            counts = staged.groupBy(store.SOURCE_FILE).agg(
+                F.count_if("_accepted").alias("accepted"),
+                F.count_if(~F.col("_accepted")).alias("rejected"),
+                F.count_if("_damaged").alias("damaged"),
+            )
+            judged = judged.join(counts, store.SOURCE_FILE, "left").fillna(0, counted)
+        else:
+            judged = judged.withColumns({c: F.lit(0).cast("long") for c in counted})
+        state = F.when(F.col("problem").isNotNull(), "unreadable").when(F.col("accepted") == 0, "empty").otherwise("stored")
+        judged = store.kept(judged.withColumn("state", state), "judged")
+        store.replace(judged.select(*FILE_COLUMNS), ledger, parts)
+        store.replace(judged.where("problem IS NOT NULL").select("path", "problem", *parts), rejects, parts)
+        for path, gone in ((table, "accepted = 0"), (rejects, "problem IS NULL")):
+            store.drop_parts(spark, path, [r[0] for r in judged.where(gone).select(store.SOURCE_FILE).collect()])
 
     arrivals = (
         spark.readStream.format("binaryFile")
@@ -62,7 +84,7 @@ def stream_uploads(
         .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", files_per_batch)
         .load(folder)
-        .select("path", "length")
+        .select("path", "length", "modificationTime")
     )
     return (
         arrivals.writeStream.foreachBatch(ingest)

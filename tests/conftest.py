@@ -7,7 +7,7 @@ import pytest
 
 sys.path[:0] = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).resolve().parent)]
 
-from factories import FACT_NAMES  # noqa: E402
+from factories import FACT_DDL, FACT_NAMES  # noqa: E402
 
 from lanewise.operators.facts import facts as facts_of  # noqa: E402
 from lanewise.session import local_session  # noqa: E402

@@ -4,7 +4,7 @@ from datetime import date
 
 import pytest
 
-from lanewise.sources import exports
+from lanewise.sources import exports, store
 
 FILES = {
     "plain.csv": b"ref,seller,item,source country,consignee,units,unit value,transit days,state,delay,dispatch date\n"
@@ -110,7 +110,7 @@ def test_blank_lines_are_skipped_and_blank_records_rejected(reports):
 def test_lines_above_the_header(rows, reports):
     # A header that occurs again further down is a row like any other.
     assert values(rows, "titled", "vendor") == [("Kvass",), ("Lofoten",), ("seller",)]
-    assert any("Skipped 3 line(s) above the header" in w for w in reports["titled"].warnings)
+    assert any("below 3 other line(s)" in w for w in reports["titled"].warnings)
     assert not any("above the header" in w for w in reports["plain"].warnings)
 
 
@@ -200,10 +200,10 @@ def test_files_without_line_breaks_in_cells_can_be_split(spark, tmp_path):
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096b")
     try:
-        planned = exports.plan_ingest(spark, str(tmp_path), multiline=False)
+        planned = exports.plan_ingest(spark, str(tmp_path))
         assert planned.shipments.rdd.getNumPartitions() > 1
         assert planned.shipments.count() == 3000
-        capped = exports.plan_ingest(spark, str(tmp_path), multiline=False, max_rows=1234).shipments
+        capped = exports.plan_ingest(spark, str(tmp_path), max_rows=1234).shipments
         assert {r.vendor for r in capped.collect()} == {f"V{i}" for i in range(1234)}
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
@@ -213,29 +213,36 @@ def test_nothing_is_lost_in_silence(spark, tmp_path):
     (tmp_path / "full.csv").write_text("seller,delay\nLofoten,1\n")
     (tmp_path / "header.csv").write_text("seller,delay\n")
     (tmp_path / "zero.csv").write_bytes(b"")
-    late = b"seller,delay\n" + b"Lofoten,1\n" * 8000 + "Köln,2\n".encode("cp1252") * 3
-    (tmp_path / "late.csv").write_bytes(late)
+    (tmp_path / "late.csv").write_bytes(b"seller,delay\n" + b"Lofoten,1\n" * 8000 + "Köln,2\n".encode("cp1252") * 3)
+    mixed = "Øre,1\n".encode() * 9 + "Köln,2\n".encode("cp1252") * 3 + "true \ufffd,1\n".encode()
+    (tmp_path / "mixed.csv").write_bytes(b"seller,delay\n" + mixed)
     lenient = exports.plan_ingest(spark, str(tmp_path), strict=False)
     report = {r.upload_id: r for r in lenient.report().collect()}
-    assert set(report) == {"full", "header", "zero", "late"}
-    assert [report[u].accepted_rows for u in ("full", "header", "zero", "late")] == [1, 0, 0, 8003]
-    assert [report[u].damaged_rows for u in ("full", "header", "zero", "late")] == [0, 0, 0, 3]
+    names = ("full", "header", "zero", "late", "mixed")
+    assert set(report) == set(names)
+    assert [report[u].accepted_rows for u in names] == [1, 0, 0, 8003, 13]
+    assert [report[u].damaged_rows for u in names] == [0, 0, 0, 0, 3]
+    vendors = {r.vendor for r in lenient.shipments.where("upload_id <> 'mixed'").collect()}
+    assert vendors == {"Lofoten", "Köln"}
     assert any("No usable rows" in w for w in report["header"].warnings)
     assert any("no header" in w for w in report["zero"].warnings)
-    assert any("encoding" in w for w in report["late"].warnings)
-    for name, message in (("header", "No usable rows"), ("zero", "No usable rows"), ("late", "encoding")):
+    assert any("encoding" in w for w in report["mixed"].warnings)
+    for name, message in (("header", "No usable rows"), ("zero", "No usable rows"), ("mixed", "encoding")):
         with pytest.raises(ValueError, match=message):
             exports.plan_ingest(spark, [str(tmp_path / f"{name}.csv"), str(tmp_path / "full.csv")]).report()
 
 
-def test_very_many_layouts_are_one_commit(spark, tmp_path):
+def test_very_many_layouts_are_one_commit(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exports, "LAYOUTS_PER_JOB", 3)
     for i in range(7):
         (tmp_path / f"f{i}.csv").write_text(f"seller,extra {i}\nV{i},1\n")
     planned = exports.plan_ingest(spark, str(tmp_path))
     assert len(planned.layouts) == 7
-    gathered = planned.gathered(layouts_per_job=3)
-    assert sorted(r.vendor for r in gathered.collect()) == [f"V{i}" for i in range(7)]
-    assert gathered.columns == planned.shipments.columns
+    table = str(tmp_path / "table")
+    assert planned.append_to(table).where("accepted_rows = 1").count() == 7
+    stored = store.read(spark, table)
+    assert sorted(r.vendor for r in stored.collect()) == [f"V{i}" for i in range(7)]
+    assert sorted(stored.columns) == sorted(planned.shipments.columns)
 
 
 def test_failures(spark, tmp_path):
