@@ -168,7 +168,7 @@ def test_row_cap(spark, tmp_path):
     capped = exports.plan_ingest(spark, str(tmp_path), max_rows=5)
     report = {r.upload_id: r for r in capped.report().collect()}
     assert (report["long"].accepted_rows, report["long"].rejected_rows) == (5, 1)
-    assert report["long"].truncated and any("truncated" in w for w in report["long"].warnings)
+    assert report["long"].truncated and any("beyond the limit" in w for w in report["long"].warnings)
     assert not report["short"].truncated
     kept = capped.shipments.where("upload_id = 'long'").collect()
     assert sorted(r.vendor for r in kept) == ["V0", "V1", "V2", "V3", "V4"]
