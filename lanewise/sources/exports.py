@@ -66,7 +66,7 @@ class Layout:
     def warnings(self) -> list[str]:
         found = []
         if self.skipped_lines:
-            found.append(f"The header row is below {self.skipped_lines} other line(s), which were passed over.")
+            found.append(f"{self.skipped_lines} line(s) above the header row were passed over.")
         return found + advisory_warnings(self.detected)
 
 

@@ -110,7 +110,7 @@ def test_blank_lines_are_skipped_and_blank_records_rejected(reports):
 def test_lines_above_the_header(rows, reports):
     # A header that occurs again further down is a row like any other.
     assert values(rows, "titled", "vendor") == [("Kvass",), ("Lofoten",), ("seller",)]
-    assert any("below 3 other line(s)" in w for w in reports["titled"].warnings)
+    assert any("3 line(s) above the header" in w for w in reports["titled"].warnings)
     assert not any("above the header" in w for w in reports["plain"].warnings)
 
 
