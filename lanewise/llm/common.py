@@ -53,17 +53,27 @@ def crc(column: str) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+#: Ranges of the hash that rows of a sample are counted in.
+HASH_BITS = 12
+
+
 def hash_sample(rows: DataFrame, by: str, key: str, most: int) -> DataFrame:
-    """At most ``most`` rows of each value of ``by``, chosen and numbered (``nth``) by a hash of ``key``.
+    """At most ``most`` rows of each value of ``by``, those of the smallest hash of ``key``, numbered (``nth``) by it.
 
-    Of a value with far more rows only those with a small hash are ranked, some
-    four times as many as wanted, so that no value is gathered whole.
+    Rows are first counted per value and range of the hash, which map tasks combine;
+    the counts say which ranges hold the sample. Only rows in these are ranked, and
+    the join that finds them is dealt by value and range, so a value that most rows
+    have is in no task of its own. Rows without a value are left out.
     """
-    counts = rows.groupBy(by).agg(F.count("*").alias("_rows"))
-    near = F.pmod(F.xxhash64(F.lit(5), F.col(key)), F.lit(1 << 30)) < 4.0 * most * (1 << 30) / F.col("_rows")
-    rows = rows.join(counts, by).filter(near).drop("_rows")
-    order = Window.partitionBy(by).orderBy(F.xxhash64(F.col(key)), F.col(key))
-    return rows.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most)
+    spot = F.xxhash64(F.col(key))
+    placed = rows.withColumn("_range", F.shiftright(spot, 64 - HASH_BITS))
+    counts = placed.groupBy(by, "_range").agg(F.count("*").alias("_rows"))
+    before = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.coalesce(F.sum("_rows").over(before), F.lit(0))
+    wanted = counts.withColumn("_ahead", ahead).filter(F.col("_ahead") < most).select(by, "_range")
+    order = Window.partitionBy(by).orderBy(spot, F.col(key))
+    near = placed.join(wanted, [by, "_range"], "left_semi").drop("_range")
+    return near.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most)
 
 
 def code_points(text: str | None) -> np.ndarray:

@@ -164,8 +164,9 @@ def _partners(classes: DataFrame, min_cosine: float, cell: int, block: int) -> D
         F.ceil(F.col("n") / salt_rows).cast("int").alias("salts"),
     )
     plain = classes.select("grp", "cid", "copies", "vec")
-    pivots = hash_sample(classes.select("grp", "cid", "vec"), "grp", "cid", MAX_PIVOTS)
-    pivots = pivots.join(sizes, "grp").filter(F.col("nth") <= F.col("pivots"))
+    chosen = hash_sample(classes.select("grp", "cid"), "grp", "cid", MAX_PIVOTS)
+    chosen = chosen.join(sizes, "grp").filter(F.col("nth") <= F.col("pivots")).select("cid", "salts")
+    pivots = classes.select("grp", "cid", "vec").join(chosen, "cid")
     pivots = keep(
         pivots.select("grp", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "vec"),
         "pivots",
