@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from lanewise import schema
 from lanewise.functions.numeric import sentence, text1
 from lanewise.operators.entities import VENDOR_ORDER, order_columns, score_vendors
-from lanewise.operators.measures import DATASET, join_datasets, rollup
-from lanewise.operators.risk import headline_and_concentration
-from lanewise.operators.trends import trend_direction
+from lanewise.operators.measures import DATASET, join_datasets
+from lanewise.operators.risk import headline_of, headline_rollup
+from lanewise.operators.trends import direction_from, trend_points
 
 # Fixed values.
 GOOD_SUCCESS_PCT = 85.0
@@ -74,10 +74,16 @@ def with_signals(keyed: DataFrame) -> DataFrame:
 
 
 def healthy_signals(facts: DataFrame, by: Sequence[str] = DATASET) -> DataFrame:
-    vendors = score_vendors(rollup(facts, [*by, "vendor"]), by, min_shipments=2)
+    rolled = headline_rollup(facts, by, "months")
+
+    def section(name: str, label: str) -> DataFrame:
+        return rolled.where(F.col("section") == name).withColumnRenamed("label", label)
+
+    vendors = score_vendors(section("vendors", "vendor"), by, min_shipments=2)
     names = (
         strongest_named(vendors, by).groupBy(*by).agg(joined_names().alias("strong_vendor_names"))
     )
-    keyed = join_datasets(headline_and_concentration(facts, by), names, by, "left")
-    keyed = join_datasets(keyed, trend_direction(facts, by), by, "left")
+    keyed = join_datasets(headline_of(rolled, by), names, by, "left")
+    direction = direction_from(trend_points(section("months", "period"), by), by)
+    keyed = join_datasets(keyed, direction, by, "left")
     return with_signals(keyed).select(*by, *FLAGS, "healthy_signals")

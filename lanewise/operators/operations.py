@@ -172,14 +172,17 @@ def emissions(facts: DataFrame, by: Sequence[str] = DATASET) -> DataFrame:
 
 
 def emissions_by_mode(facts: DataFrame, by: Sequence[str] = DATASET) -> DataFrame:
-    """CO2e per transport mode, for datasets that have an emissions section.
+    """CO2e per transport mode, for datasets that have an emissions section."""
+    return emissions_from(rollup(facts, [*by, "transport_mode"]), by)
+
+
+def emissions_from(rollup_by_mode: DataFrame, by: Sequence[str] = DATASET) -> DataFrame:
+    """``emissions_by_mode`` from a rollup by mode.
 
     Every mode of a dataset is needed to decide whether it has the section, so
     one rollup by mode, the NULL mode included, serves for both.
     """
-    rolled = rollup(facts, [*by, "transport_mode"]).select(
-        *by, "transport_mode", "shipment_count", "co2_sum", "co2_count"
-    )
+    rolled = rollup_by_mode.select(*by, "transport_mode", "shipment_count", "co2_sum", "co2_count")
     totals = rolled.groupBy(*by).agg(
         F.sum("shipment_count").alias("all_count"), F.sum("co2_count").alias("all_co2")
     )

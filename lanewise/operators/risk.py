@@ -11,8 +11,9 @@ from lanewise import schema
 from lanewise.functions.labels import risk_level
 from lanewise.functions.numeric import clamp, ratio, rounded, text1
 from lanewise.operators.entities import concentration_from
-from lanewise.operators.kpis import delay_histogram, headline_from
-from lanewise.operators.measures import DATASET, join_datasets, section_rollup
+from lanewise.operators.kpis import headline_from
+from lanewise.operators.measures import DATASET, DELAYS, join_datasets, section_rollup
+from lanewise.sources import store
 
 COMPONENTS = tuple(schema.RISK_WEIGHTS)
 # Order in which equal contributions are listed.
@@ -26,10 +27,20 @@ _TIE_ORDER = (
 
 
 def headline_and_concentration(facts: DataFrame, by: Sequence[str] = DATASET) -> DataFrame:
-    """Headline figures, distinct counts and concentration: two scans in all."""
-    headline = headline_from(delay_histogram(facts, by), by)
-    entities = section_rollup(facts, by, ("vendors", "countries"))
-    return join_datasets(headline, concentration_from(entities, by), by)
+    """Headline figures, distinct counts and concentration from one scan."""
+    return headline_of(headline_rollup(facts, by), by)
+
+
+def headline_rollup(facts: DataFrame, by: Sequence[str] = DATASET, *more: str) -> DataFrame:
+    """The sections behind the headline and ``more`` of them, written once, as several steps read them."""
+    return store.kept(section_rollup(facts, by, ("vendors", "countries", DELAYS, *more)), "headline-rollup")
+
+
+def headline_of(rolled: DataFrame, by: Sequence[str] = DATASET) -> DataFrame:
+    """Headline figures and concentration from ``headline_rollup``."""
+    delays = rolled.where(F.col("section") == DELAYS).withColumn("delay_days", F.col("label").cast("int"))
+    entities = rolled.where(F.col("section").isin("vendors", "countries"))
+    return join_datasets(headline_from(delays, by), concentration_from(entities, by), by)
 
 
 def score_risk(summary: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -212,8 +211,7 @@ def _outline(whole: DataFrame) -> DataFrame:
 
 
 def _dimension_views(facts: DataFrame) -> DataFrame:
-    seen = [views.dimension_view(facts, name) for name in dimensions.DIMENSIONS]
-    return _ranked(reduce(DataFrame.unionByName, seen))
+    return _ranked(views.dimension_views(facts))
 
 
 def _operations_view(facts: DataFrame) -> DataFrame:
