@@ -257,17 +257,16 @@ _SPELLINGS = (
 def _header_rows(spark: SparkSession, folder: str) -> DataFrame:
     """A header line of eight cells for every order, picked by its key."""
     orders = tpch.read_table(spark, folder, "orders")
+    files = orders.select(F.col("o_orderkey").cast("string").alias("file")).distinct()
+    key = F.col("file").cast("long")
     cells_of = F.transform(
         F.sequence(F.lit(0), F.lit(7)),
         lambda i: F.element_at(
             F.array(*(F.lit(s) for s in _SPELLINGS)),
-            ((F.col("o_orderkey") * (i + 1) + i * i) % len(_SPELLINGS) + 1).cast("int"),
+            ((key * (i + 1) + i * i) % len(_SPELLINGS) + 1).cast("int"),
         ),
     )
-    return orders.select(
-        F.col("o_orderkey").cast("string").alias("file"),
-        F.posexplode(cells_of).alias("position", "header"),
-    ).dropDuplicates(["file", "position"])
+    return files.select("file", F.posexplode(cells_of).alias("position", "header"))
 
 
 def map_headers(spark: SparkSession, folder: str) -> DataFrame:
@@ -441,7 +440,7 @@ _STREAMED = (
 def replace_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     """Store snapshots, then store new ones for the datasets of one owner over them."""
     shipments = tpch.shipments(spark, folder)
-    snapshots = tables.yearly_snapshots(facts_of(shipments))
+    snapshots = store.kept(tables.yearly_snapshots(facts_of(shipments)), "fresh-snapshots")
     path = scratch_path(spark, "snapshots")
     store.replace(snapshots, path)
     fresh = catalog.scope_to_owner(

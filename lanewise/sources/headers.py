@@ -19,6 +19,7 @@ from lanewise.vocabulary import header_names
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MIN_FUZZY_LENGTH = 3
+REMEMBERED = 10_000
 MAPPED_DDL = "file string, position int, header string, column int, field string, score double"
 
 
@@ -108,16 +109,29 @@ def map_headers(
 
     def assign(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mapped = mapper(extra, fuzzy)
+        names = [c.split()[0] for c in MAPPED_DDL.split(", ")][1:]
+        # Files of one origin share their headers, so what these hold is remembered.
+        remembered: dict[tuple, list[tuple]] = {}
         for batch in batches:
-            rows = []
-            for file, cells in zip(batch["file"], batch["cells"], strict=True):
-                cells = sorted((c["position"], c["header"]) for c in cells)
-                places = [p for p, _ in cells]
-                for m in mapped([h for _, h in cells]):
-                    rows.append((file, places[m.position], m.header, places[m.column], m.field, m.score))
-            names = [c.split()[0] for c in MAPPED_DDL.split(", ")]
-            yield pd.DataFrame(rows, columns=names).astype({"score": "float64"})
+            if len(remembered) > REMEMBERED:
+                remembered.clear()
+            found = []
+            for positions, cells in zip(batch["positions"], batch["cells"], strict=True):
+                key = (*positions, *cells)
+                if key not in remembered:
+                    in_order = sorted(zip(positions, cells, strict=True))
+                    places = [p for p, _ in in_order]
+                    remembered[key] = [
+                        (places[m.position], m.header, places[m.column], m.field, m.score)
+                        for m in mapped([h for _, h in in_order])
+                    ]
+                found.append(remembered[key])
+            files = batch["file"].repeat([len(rows) for rows in found]).reset_index(drop=True)
+            rows = pd.DataFrame([r for rows in found for r in rows], columns=names).astype({"score": "float64"})
+            rows.insert(0, "file", files)
+            yield rows
 
     cells = F.collect_list(F.struct("position", "header")).alias("cells")
     files = headers.where("header <> ''").groupBy("file").agg(cells)
-    return files.mapInPandas(assign, MAPPED_DDL)
+    flat = files.select("file", F.col("cells.position").alias("positions"), F.col("cells.header").alias("cells"))
+    return flat.mapInPandas(assign, MAPPED_DDL)
