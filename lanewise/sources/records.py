@@ -32,7 +32,8 @@ WHOLE, BEGUN, CONTINUED = 0, 1, 2
 
 def plain_path(url: Column) -> Column:
     """Undo the percent-encoding of paths in file metadata."""
-    return F.url_decode(F.replace(url, F.lit("+"), F.lit("%2B")))
+    decoded = F.url_decode(F.replace(url, F.lit("+"), F.lit("%2B")))
+    return F.when(F.contains(url, F.lit("%")), decoded).otherwise(url)
 
 
 def one_slash(path: Column) -> Column:
@@ -60,40 +61,57 @@ def ends_inside(line: Column, delimiter: str, inside: bool) -> Column:
     return F.when(F.contains(line, F.lit('"')), folded).otherwise(F.lit(inside))
 
 
+def crosses(line: Column, delimiter: str) -> Column:
+    """``ends_inside`` for a line that begins outside of a cell, by one pass over its text.
+
+    A cell that begins with a quote ends at the first delimiter after an even number of quotes.
+    """
+    d = re.escape(delimiter)
+    cell = rf'(?:"[^"]*+"(?:[^"{d}]*+"[^"]*+")*+[^"{d}]*+|(?!")[^{d}]*+)'
+    return F.contains(line, F.lit('"')) & ~F.rlike(line, F.lit(rf"\A{cell}(?:{d}{cell})*+\z"))
+
+
 def survey(spark: SparkSession, by_delimiter: dict[str, Sequence[str]]) -> DataFrame:
-    """One row per file: path, encoding, and whether its records take more than splitting it at line ends.
+    """One row per file: path, encoding, and what its records take.
 
     UTF-8 is what has no invalid line, or more lines with valid characters beyond
     ASCII than invalid ones; else Windows-1252, or Latin-1 where that has no
     such character. ``special`` files have cells with line breaks, lines of
-    nothing but blanks, which are rows, or invalid lines.
+    nothing but blanks, which are rows, or invalid lines; ``crossing`` tells
+    those with line breaks in cells. Where no line that begins outside of a cell
+    ends inside one, all lines begin outside.
     """
+    blanks = F.lit("".join(map(chr, range(1, 33))))
     surveyed = None
     for delimiter, paths in by_delimiter.items():
         line = F.col("line")
         valid = F.is_valid_utf8(line)
-        crossing = ends_inside(line, delimiter, False) | ~ends_inside(line, delimiter, True)
-        blank = (F.length(line) > 0) & (F.length(F.trim(F.translate(line, "".join(map(chr, range(1, 32))), " " * 31))) == 0)
+        blank = (line != "") & (F.ltrim(line, blanks) == "")
         as_latin = F.decode(line.cast("binary"), "ISO-8859-1")
-        rows = lines(spark, paths).select(
-            "file",
+        rows = spark.read.text(list(paths)).select(
+            F.col("value").alias("line"), F.col("_metadata.file_path").alias("url")
+        ).select(
+            "url",
             valid.alias("valid"),
             (valid & (F.octet_length(line) > F.length(line))).alias("wide"),
             (~valid & F.rlike(as_latin, F.lit(UNDEFINED))).alias("undefined"),
-            (crossing | blank).alias("special"),
+            crosses(line, delimiter).alias("crossing"),
+            blank.alias("blank"),
         )
         surveyed = rows if surveyed is None else surveyed.unionByName(rows)
-    counts = surveyed.groupBy(one_slash(F.col("file")).alias("path")).agg(
+    counts = surveyed.groupBy("url").agg(
         F.count_if(~F.col("valid")).alias("invalid"),
         F.count_if("wide").alias("wide"),
         F.max("undefined").alias("undefined"),
-        F.max("special").alias("special"),
+        F.max("crossing").alias("crossing"),
+        F.max("blank").alias("blank"),
     )
     unicode = (F.col("invalid") == 0) | (F.col("wide") > F.col("invalid"))
     return counts.select(
-        "path",
+        one_slash(plain_path(F.col("url"))).alias("path"),
         F.when(unicode, "utf-8").when(F.col("undefined"), "latin-1").otherwise("cp1252").alias("encoding"),
-        (F.col("special") | (unicode & (F.col("invalid") > 0))).alias("special"),
+        (F.col("crossing") | F.col("blank") | (unicode & (F.col("invalid") > 0))).alias("special"),
+        "crossing",
     )
 
 
@@ -133,19 +151,20 @@ def open_splits(marked: DataFrame) -> tuple[dict[tuple[str, int], int], bool]:
     return found, unfinished
 
 
+def texts(spark: SparkSession, paths: Sequence[str], encoding: str) -> DataFrame:
+    """Lines as text: file, block, line, and ``damaged`` where that took replacing invalid bytes."""
+    raw = lines(spark, paths)
+    text = F.make_valid_utf8("line") if encoding == "utf-8" else F.decode(F.col("line").cast("binary"), "ISO-8859-1")
+    damaged = ~F.is_valid_utf8("line") if encoding == "utf-8" else F.lit(False)
+    return raw.select("file", "block", text.alias("line"), damaged.alias("damaged"))
+
+
 def records(spark: SparkSession, paths: Sequence[str], encoding: str, delimiter: str, skipped: int) -> DataFrame:
     """Records of special files below the first ``skipped``: file, block and nth of their start, text, and ``damaged``.
 
     Wholly empty lines are no records. Ends of lines inside a record are line feeds.
     """
-    raw = lines(spark, paths)
-    text = F.make_valid_utf8("line") if encoding == "utf-8" else F.decode(F.col("line").cast("binary"), "ISO-8859-1")
-    marked = raw.select(
-        "file",
-        "block",
-        text.alias("line"),
-        (~F.is_valid_utf8("line") if encoding == "utf-8" else F.lit(False)).alias("damaged"),
-    ).select(
+    marked = texts(spark, paths, encoding).select(
         "*",
         ends_inside(F.col("line"), delimiter, False).alias("from_outside"),
         ends_inside(F.col("line"), delimiter, True).alias("from_inside"),
