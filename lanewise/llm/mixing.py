@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanewise.llm.common import WORD, keep
+from lanewise.llm.common import WORD, keep, sent
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
@@ -191,33 +191,46 @@ def cell_copies(sized: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = C
     )
 
 
-def rated(rows: DataFrame, sized: DataFrame, cells: DataFrame, doc_id: str, source: str) -> DataFrame:
-    """All ``rows``, whose number of words is in ``_size``, with ``_mix``: figures and copies.
+_CELL = ["_k", "_words", "_part"]
 
-    Of documents with equal source and size, a hash of the id decides which get
-    one copy more, so reruns agree. Cells with very many documents are ranked
-    in parts, each with its exact share of the extra copies.
-    """
 
-    def placed(frame: DataFrame, key: str, origin: str) -> DataFrame:
-        same = frame[origin].eqNullSafe(cells["_from"]) & (frame["_size"] == cells["_words"])
-        part = F.pmod(F.xxhash64(F.col(key)), F.ceil(F.col("_n") / RANKED)).cast("int")
-        return frame.join(cells, same).withColumn("_part", part)
+def _placed(frame: DataFrame, cells: DataFrame, key: str, origin: str) -> DataFrame:
+    """The rows, whose number of words is in ``_size``, with their cell and the part of it that they are ranked in."""
+    same = frame[origin].eqNullSafe(cells["_from"]) & (frame["_size"] == cells["_words"])
+    part = F.pmod(F.xxhash64(F.col(key)), F.ceil(F.col("_n") / RANKED)).cast("int")
+    return frame.join(cells, same).withColumn("_part", part)
 
-    cell = ["_k", "_words", "_part"]
-    counts = placed(sized, "_id", "_source").groupBy(*cell).agg(
+
+def _spot(key: str) -> Column:
+    return F.xxhash64(F.lit(1), F.col(key))
+
+
+def _ranked(sized: DataFrame, cells: DataFrame) -> DataFrame:
+    """All rows ``sized`` with their cell, and ``_bonus``: whether they get one copy more than others of it."""
+    placed = _placed(sized, cells, "_id", "_source")
+    counts = placed.groupBy(*_CELL).agg(
         F.count("*").alias("rows"),
         F.first(F.col("_copies") % F.col("_n")).alias("extra"),
         F.first("_n").alias("n"),
     )
     upto = F.sum("rows").over(Window.partitionBy("_k", "_words").orderBy("_part"))
     quota = F.expr("(extra * upto) div n - (extra * (upto - rows)) div n").alias("_quota")
-    shares = keep(counts.withColumn("upto", upto).select(*cell, quota), "shares")
-    order = Window.partitionBy(*cell).orderBy(F.xxhash64(F.lit(1), F.col(doc_id)), F.col(doc_id))
+    shares = keep(counts.withColumn("upto", upto).select(*_CELL, quota), "shares")
+    order = Window.partitionBy(*_CELL).orderBy(_spot("_id"), F.col("_id"))
     bonus = (F.row_number().over(order) <= F.col("_quota")).cast("long")
-    copies = (F.floor(F.col("_copies") / F.col("_n")) + bonus).alias("copies")
+    return placed.join(shares, _CELL).withColumn("_bonus", bonus)
+
+
+def rated(sized: DataFrame, cells: DataFrame) -> DataFrame:
+    """All rows ``sized`` with ``_mix``: figures and copies.
+
+    Of documents with equal source and size, a hash of the id decides which get
+    one copy more, so reruns agree. Cells with very many documents are ranked
+    in parts, each with its exact share of the extra copies.
+    """
+    copies = (F.floor(F.col("_copies") / F.col("_n")) + F.col("_bonus")).alias("copies")
     mix = F.struct("_figures.*", copies)
-    return placed(rows, doc_id, source).join(shares, cell).select(*rows.columns, mix.alias("_mix"))
+    return _ranked(sized, cells).select(*sized.columns, mix.alias("_mix"))
 
 
 def mix(
@@ -236,7 +249,7 @@ def mix(
     repeat an id are documents of their own. Other columns are not read.
     """
     sized = sizes(docs, doc_id, text, source)
-    found = rated(sized, sized, cell_copies(sized, weights, cap), "_id", "_source")
+    found = rated(sized, cell_copies(sized, weights, cap))
     taken = (F.col("_mix.copies") * F.col("_mix.size")).alias("taken")
     return found.select(F.col("_id").alias(doc_id), "_mix.*", taken)
 
@@ -251,28 +264,30 @@ def mixed(
 ) -> DataFrame:
     """The mixture itself: every row of ``docs``, all columns, as often as it has copies.
 
-    Copies are decided on narrow rows (id, source, size). Rows equal in these
-    share their copies evenly; only where that leaves a rest are they numbered.
+    Copies are decided on narrow rows (id, source, size). Of these remains, per
+    cell and part, the last id by hash that gets one copy more: texts are held
+    against it where they lie, so none is dealt out. Rows equal in id, source and
+    size are numbered only where some of them get a copy more and others do not.
     """
     sized = sizes(docs, doc_id, text, source)
-    decided = rated(sized, sized, cell_copies(sized, weights, cap), "_id", "_source")
-    key = ["_id", "_source", "_size"]
-    shares = keep(
-        decided.groupBy(*key)
-        .agg(F.sum("_mix.copies").alias("_total"), F.count("*").alias("_rows"))
-        .filter("_total > 0")
-        .select(*(F.col(k).alias(f"_of{k}") for k in key), "_total", "_rows"),
-        "copies",
+    cells = cell_copies(sized, weights, cap).drop("_figures")
+    alike = _ranked(sized, cells).groupBy(*_CELL, _spot("_id").alias("spot"), F.col("_id").alias("id")).agg(
+        F.sum("_bonus").alias("more"), F.count("*").alias("rows")
     )
+    last = alike.filter("more > 0").groupBy(*_CELL).agg(F.max(F.struct("spot", "id", "more", "rows")).alias("_last"))
+    last = keep(last, "last")
     named = docs.withColumns({"_id": F.col(doc_id), "_source": F.col(source), "_size": words(text)})
-
-    def with_copies(of: DataFrame) -> DataFrame:
-        same = named["_id"].eqNullSafe(of["_of_id"]) & named["_source"].eqNullSafe(of["_of_source"])
-        return named.join(of, same & (named["_size"] == of["_of_size"]))
-
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy("_size"))
-    even = with_copies(shares.filter("_total % _rows = 0")).withColumn("_copies", F.expr("_total div _rows"))
-    rest = with_copies(shares.filter("_total % _rows <> 0")).withColumn("_nth", nth)
-    rest = rest.withColumn("_copies", F.expr("_total div _rows + if(_nth <= _total % _rows, 1, 0)")).drop("_nth")
-    times = F.explode(F.array_repeat(F.lit(0), F.col("_copies").cast("int")))
-    return even.unionByName(rest).withColumn("_copy", times).select(*docs.columns)
+    placed = _placed(named, sent(cells), "_id", "_source").join(sent(last), _CELL, "left")
+    own = F.struct(_spot("_id").alias("spot"), F.col("_id").alias("id"))
+    end = F.struct("_last.spot", "_last.id")
+    has, torn = F.col("_last").isNotNull(), F.col("_last.more") < F.col("_last.rows")
+    split = has & (own == end) & torn
+    base = F.floor(F.col("_copies") / F.col("_n")).cast("int")
+    found = placed.filter(~split).withColumn("_times", base + F.when(has & (own <= end), 1).otherwise(0))
+    if last.filter(torn).take(1):
+        nth = F.row_number().over(Window.partitionBy(*_CELL, "_id").orderBy(F.xxhash64(text)))
+        some = placed.filter(split).withColumn("_nth", nth)
+        more = F.when(F.col("_nth") <= F.col("_last.more"), 1).otherwise(0)
+        found = found.unionByName(some.withColumn("_times", base + more).drop("_nth"))
+    copy = F.explode(F.array_repeat(F.lit(0), F.col("_times"))).alias("_copy")
+    return found.select(*docs.columns, copy).drop("_copy")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lanewise.llm.common import LONG, bridges, keep, released, struct
+from lanewise.llm.common import LONG, bridges, hash_map, keep, mapped, released, struct
 from lanewise.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -179,7 +179,8 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """The documents with one left of each group, the one with the smallest id.
 
     Of rows that share this id, one stays. Ids that go or occur more than once are
-    settled on narrow rows; all other texts pass one anti join. In a group without any id, one row
+    settled on narrow rows; texts whose ids a map of these does not have pass as they
+    lie, only the others are joined with the ids. In a group without any id, one row
     per group stays. All columns are passed through.
     """
     found = keep(groups(docs, doc_id, text), "groups")
@@ -190,9 +191,16 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         "ids",
     )
     gone_or_many = ids.filter("_rows > 1 or not _stays").select("_id")
-    single = docs.filter(docs[doc_id].isNotNull()).join(gone_or_many, docs[doc_id] == gone_or_many["_id"], "left_anti")
+    seen = hash_map(gone_or_many, "_id")
+    with_id = docs.filter(docs[doc_id].isNotNull())
+    unsure = mapped(with_id, doc_id, seen, there=True)
+    single = unsure.join(gone_or_many, unsure[doc_id] == gone_or_many["_id"], "left_anti")
     many = ids.filter("_rows > 1 and _stays").select("_id")
-    named = single.unionByName(docs.join(many, docs[doc_id] == many["_id"], "left_semi").dropDuplicates([doc_id]))
+    named = (
+        mapped(with_id, doc_id, seen, there=False)
+        .unionByName(single)
+        .unionByName(unsure.join(many, unsure[doc_id] == many["_id"], "left_semi").dropDuplicates([doc_id]))
+    )
     nameless = docs.filter(docs[doc_id].isNull()).withColumn("_fp", fingerprints(docs, text))
     alone = found.filter("component_id is null").select(F.col("fingerprint").alias("_hex"), F.col("root").alias("_root")).distinct()
     nameless = (

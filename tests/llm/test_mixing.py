@@ -1,8 +1,9 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from lanewise.llm import mixing
+from lanewise.llm import common, mixing
 
 
 def water(sizes):
@@ -87,3 +88,33 @@ def test_empty_and_blank_tables(documents):
     assert mixing.mix(documents([])).collect() == []
     rows = mixing.mix(documents([(1, "", None, "a"), (2, None, None, None)])).collect()
     assert [(r.size, r.source_size, r.target, r.taken) for r in rows] == [(0, 0, 0.0, 0)] * 2
+
+
+def test_texts_are_not_dealt_out(documents, texts_dealt_out):
+    docs = documents(make(COUNTS))
+    mixture = mixing.mixed(docs)
+    assert texts_dealt_out(mixture) == 0
+    assert {r.text for r in mixture.collect()} <= {r.text for r in docs.collect()}
+
+
+@pytest.mark.parametrize("few", [1 << 18, 0])
+def test_rows_that_share_an_id_share_its_copies(documents, monkeypatch, few):
+    monkeypatch.setattr(mixing, "RANKED", 50)
+    monkeypatch.setattr(common, "SENT_ROWS", few)
+    rows = make(COUNTS)
+    rows += [(None, f"no id w{i}", None, s) for s in ("b", None) for i in range(7)]
+    rows += [(5000 + i // 3, f"again {i} w", None, "a") for i in range(60)] + rows[:50]
+    docs = documents(rows)
+    size_of = lambda text: len((text or "").split())
+    wanted = Counter()
+    for r in mixing.mix(docs.withColumn("doc_id", F.struct("doc_id", "source"))).collect():
+        wanted[(*r.doc_id, r.size)] += r.copies
+    found = mixing.mixed(docs.withColumn("doc_id", F.struct("doc_id", "source"))).collect()
+    taken = Counter((*r.doc_id, size_of(r.text)) for r in found)
+    assert taken == +wanted
+    per_row = Counter((*r.doc_id, r.text) for r in found)
+    given = Counter((i, s, t) for i, t, _, s in rows)
+    for (i, s, t), n in given.items():
+        total = wanted[(i, s, size_of(t))]
+        equal = sum(m for (j, z, u), m in given.items() if (j, z, size_of(u)) == (i, s, size_of(t)))
+        assert n * (total // equal) <= per_row[(i, s, t)] <= n * -(-total // equal)

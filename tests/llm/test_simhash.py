@@ -3,7 +3,7 @@ import random
 import numpy as np
 import xxhash
 
-from lanewise.llm import simhash
+from lanewise.llm import common, simhash
 from lanewise.llm.components import components
 
 
@@ -92,3 +92,23 @@ def test_components_of_chains_and_stars(spark):
 def test_empty_table(documents):
     assert simhash.groups(documents([])).collect() == []
     assert simhash.deduplicate(documents([])).collect() == []
+
+
+def test_texts_that_surely_stay_are_not_dealt_out(documents, texts_dealt_out):
+    rng = random.Random(5)
+    texts = [prose(rng, 80) for _ in range(200)]
+    rows = [*enumerate(texts), (900, texts[0]), (901, texts[1]), (3, texts[3]), (None, texts[5]), (None, "alone " * 9)]
+    docs = documents(rows)
+    stays = simhash.deduplicate(docs)
+    assert texts_dealt_out(stays) <= 20
+    assert sorted((r.doc_id, r.text) for r in stays.collect() if r.doc_id is not None) == list(enumerate(texts))
+
+
+def test_a_full_map_changes_no_result(documents, monkeypatch):
+    rng = random.Random(6)
+    texts = [prose(rng, 80) for _ in range(60)]
+    rows = [*enumerate(texts), *((100 + i, t) for i, t in enumerate(texts[:40])), (7, texts[7]), (None, "alone " * 9)]
+    monkeypatch.setattr(common, "MAP_BITS", 6)
+    stays = simhash.deduplicate(documents(rows)).collect()
+    assert sorted(r.doc_id for r in stays if r.doc_id is not None) == list(range(60))
+    assert [r.text for r in stays if r.doc_id is None] == ["alone " * 9]
