@@ -416,6 +416,28 @@ def _shared_model(spark: SparkSession, model: str):
         return spark.sparkContext.broadcast(file.read())
 
 
+def encoded(tokenizer: Tokenizer, batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Structs (n_pieces, pieces, lossless) for batches of names and texts, handed on ``TEXTS`` at a time: pieces take more room than texts."""
+    for names, batch in batches:
+        for at in range(0, len(batch), TEXTS):
+            part = batch.slice(at, TEXTS).to_pylist()
+            numbers = names.slice(at, TEXTS).filter(batch.slice(at, TEXTS).is_valid())
+            texts = [t for t in part if t is not None]
+            found = iter(tokenizer.encode_all(texts, np.asarray(numbers).view(np.uint64)))
+            ids = [None if t is None else next(found) for t in part]
+            lossless = [i is None or tokenizer.decode(i.tolist()) == t for i, t in zip(ids, part)]
+            yield pa.StructArray.from_arrays(
+                [
+                    pa.array([0 if i is None else len(i) for i in ids], type=pa.int64()),
+                    pa.array(ids, type=pa.list_(pa.int32())),
+                    pa.array(lossless, type=pa.bool_()),
+                ],
+                names=["n_pieces", "pieces", "lossless"],
+            )
+            del part, texts, found, ids, lossless
+        released()
+
+
 def encode(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -439,27 +461,7 @@ def encode(
 
     @F.arrow_udf(struct(n_pieces=LONG, pieces=T.ArrayType(INT), lossless=BOOL))
     def pieces(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        tokenizer = Tokenizer(shared.value, dropout, seed)
-        for names, batch in batches:
-            ids, lossless = [], []
-            for at in range(0, len(batch), TEXTS):
-                part = batch.slice(at, TEXTS).to_pylist()
-                numbers = names.slice(at, TEXTS).filter(batch.slice(at, TEXTS).is_valid())
-                texts = [t for t in part if t is not None]
-                encoded = iter(tokenizer.encode_all(texts, np.asarray(numbers).view(np.uint64)))
-                found = [None if t is None else next(encoded) for t in part]
-                lossless += [i is None or tokenizer.decode(i.tolist()) == t for i, t in zip(found, part)]
-                ids += found
-            yield pa.StructArray.from_arrays(
-                [
-                    pa.array([0 if i is None else len(i) for i in ids], type=pa.int64()),
-                    pa.array(ids, type=pa.list_(pa.int32())),
-                    pa.array(lossless, type=pa.bool_()),
-                ],
-                names=["n_pieces", "pieces", "lossless"],
-            )
-            del ids, lossless
-            released()
+        yield from encoded(Tokenizer(shared.value, dropout, seed), batches)
 
     name = F.xxhash64(*(c for c in (doc_id, copy) if c))
     return docs.select(F.col(doc_id), pieces(name, F.col(text)).alias("_found")).select(doc_id, "_found.*")

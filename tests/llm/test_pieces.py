@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import functions as F
 
@@ -111,3 +112,16 @@ def test_shared_stretches_agree_with_agendas_of_their_own(monkeypatch):
         monkeypatch.setattr(pieces, "LONG_STRETCH", 1)
         assert together == [i.tolist() for i in t.encode_all(some)]
         monkeypatch.undo()
+
+
+def test_pieces_are_handed_on_a_part_of_a_batch_at_a_time(monkeypatch):
+    monkeypatch.setattr(pieces, "TEXTS", 7)
+    given = [*texts(20), None, "", *texts(9)]
+    tokenizer = pieces.Tokenizer(PROTO)
+    names = pa.array(range(len(given)), type=pa.int64())
+    found = list(pieces.encoded(tokenizer, iter([(names, pa.array(given, type=pa.string()))])))
+    assert [len(part) for part in found] == [7, 7, 7, 7, 3]
+    rows = [row for part in found for row in part.to_pylist()]
+    for name, text, row in zip(names, given, rows, strict=True):
+        own = None if text is None else tokenizer.encode_all([text], np.array([name.as_py()], dtype=np.uint64))[0].tolist()
+        assert row == {"n_pieces": len(own or []), "pieces": own, "lossless": True}
