@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lanewise.llm.common import LONG, bridges, hash_map, keep, mapped, released, struct
+from lanewise.llm.common import LONG, bridges, hash_map, keep, mapped, released, sent, struct
 from lanewise.llm.components import components
 
 SHINGLE_WORDS = 3
@@ -118,16 +118,19 @@ def links(prints: DataFrame, block: int = BLOCK) -> DataFrame:
     fingerprint are dropped by a count; the others are compared as arrays. An
     anchor with more than ``block`` fingerprints is dealt over pairs of blocks,
     each a row of its own, so that no row or task grows with the anchor.
-    Each block reports a spanning forest of its links, never all pairs.
+    Each block reports a spanning forest of its links, never all pairs. The
+    copies, up to 32 a fingerprint, are never sent whole to the driver or a task:
+    Spark sizes them as if they were not exploded.
     """
     copies = _anchored(prints)
-    busy = (
+    busy = keep(
         copies.groupBy("half", "anchor")
         .agg(F.count("*").alias("n"), F.max("home").alias("met"))
         .filter("n > 1 and met")
-        .select("half", "anchor", F.ceil(F.col("n") / block).cast("int").alias("parts"))
+        .select("half", "anchor", F.ceil(F.col("n") / block).cast("int").alias("parts")),
+        "busy-anchors",
     )
-    spread = copies.join(busy, ["half", "anchor"]).withColumn(
+    spread = copies.join(sent(busy), ["half", "anchor"]).withColumn(
         "part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     )
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))

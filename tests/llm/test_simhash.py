@@ -80,6 +80,32 @@ def test_blocks_and_dense_balls_lose_no_link(spark):
     assert all(roots.get(p, p) == expected[p] for p in signed)
 
 
+def sent_to_every_task(frame):
+    """For every table that a plan sends to all tasks, the part of the plan that makes it."""
+    lines = frame._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            end = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            yield "\n".join(lines[i:end])
+
+
+def test_exploded_copies_are_not_sent_to_every_task(spark, tmp_path, monkeypatch):
+    rng = random.Random(3)
+    signed = [rng.getrandbits(64) - 2**63 for _ in range(300)]
+    signed += [p ^ 1 for p in signed[:40]]
+    spark.createDataFrame([(p,) for p in signed], "fp long").write.parquet(str(tmp_path / "prints"))
+    frame = spark.read.parquet(str(tmp_path / "prints"))
+    expected = roots_of(signed, list(zip(signed[:40], signed[300:])))
+    for few in (1 << 18, 0):
+        monkeypatch.setattr(common, "SENT_ROWS", few)
+        links = simhash.links(frame)
+        sent = list(sent_to_every_task(links))
+        assert bool(sent) == bool(few)
+        assert not any("Generate" in part for part in sent)
+        assert roots_of(signed, [(r.a, r.b) for r in links.collect()]) == expected
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(0, 40)]
     star = [(100, i) for i in range(101, 140)]
