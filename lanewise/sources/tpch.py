@@ -57,11 +57,11 @@ FROM b
 """
 
 _JOINS = """FROM {lineitem} l
-  JOIN ({orders} o
-    JOIN {customer} c ON o.o_custkey = c.c_custkey
-    JOIN {nation} cn ON c.c_nationkey = cn.n_nationkey) ON l.l_orderkey = o.o_orderkey
-  JOIN ({supplier} s JOIN {nation} sn ON s.s_nationkey = sn.n_nationkey) ON l.l_suppkey = s.s_suppkey
-  JOIN {part} p ON l.l_partkey = p.p_partkey"""
+  JOIN ({orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey) ON l.l_orderkey = o.o_orderkey
+  JOIN {supplier} s ON l.l_suppkey = s.s_suppkey
+  JOIN {part} p ON l.l_partkey = p.p_partkey
+  JOIN {nation} cn ON c.c_nationkey = cn.n_nationkey
+  JOIN {nation} sn ON s.s_nationkey = sn.n_nationkey"""
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -72,7 +72,8 @@ def base_shipments(spark: SparkSession, folder: str) -> DataFrame:
     """One dataset per order year, before landed cost and CO2e are derived.
 
     The joins of ``SHIPMENTS_SQL`` in another order: customers meet the orders,
-    which are fewer than the order lines.
+    which are fewer than the order lines, and names of nations come last, so that
+    none is shuffled with an order line.
     """
     before, _, after = re.split(r"(FROM lineitem l.*?)(?=\)\nSELECT)", SHIPMENTS_SQL, flags=re.S)
     return spark.sql(

@@ -7,6 +7,8 @@ values in several spellings, and blank rows.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +18,9 @@ from lanewise.sources.store import PARTITION
 BLANK = "_blank"
 STYLES = ("comma", "semicolon", "tab")
 SEPARATORS = {"comma": ",", "semicolon": ";", "tab": "\t"}
-
-
-def _year() -> Column:
-    return F.col("upload_id").cast("int")
+#: Bytes of stored rows that become a file, and years that are written at a time.
+FILE_BYTES = 32 << 20
+YEARS = 4
 
 
 def _priced(amount: str) -> Column:
@@ -185,25 +186,38 @@ def write_odd_exports(customers: DataFrame, folder: str) -> str:
     return folder
 
 
-def style_of(style: str) -> Column:
+def style_of(year: str) -> str:
     """Years take turns in the three styles."""
-    return _year() % len(STYLES) == STYLES.index(style)
+    return STYLES[int(year) % len(STYLES)]
 
 
 def write_exports(base: DataFrame, folder: str) -> str:
     """Write every year's export below ``folder``; returns ``folder``.
 
     In every year the order lines of one in fifty orders are followed by a blank row.
-    The rows are made once and gathered by year, so that files grow with the
-    data before their number does.
+    The rows are made once and kept by year until this is written. A year's files
+    are as many as its bytes ask for, so that files grow with the data before
+    their number does; no row is shuffled for that.
     """
-    rows = store.gathered(base.where(F.col(PARTITION).isNotNull()), "export-rows")
+    spark = base.sparkSession
+    rows = base.where(F.col(PARTITION).isNotNull())
+    path = store.parted(rows, "export-rows")
     copies = F.when(F.col("l_orderkey") % 50 == 0, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
-    for style in STYLES:
-        own = _WRITERS[style](rows.where(style_of(style)).withColumn(BLANK, F.explode(copies)))
+
+    def write(year: str, size: int) -> None:
+        style, kept = style_of(year), f"{path}/{PARTITION}={year}"
+        found = spark.read.schema(rows.schema).option("basePath", path).parquet(kept)
+        own = _WRITERS[style](found.withColumn(BLANK, F.explode(copies)))
         cells = [c for c in own.columns if c not in (PARTITION, BLANK)]
-        shown = own.select(PARTITION, *(F.when(~F.col(BLANK), F.col(c)).alias(c) for c in cells))
-        shown.write.mode("append").partitionBy(PARTITION).option("header", True).option(
-            "sep", SEPARATORS[style]
-        ).option("escape", '"').csv(f"{folder}/{style}")
+        shown = own.select(*(F.when(~F.col(BLANK), F.col(c)).alias(c) for c in cells))
+        shown.coalesce(1 + size // FILE_BYTES).write.option("header", True).option("sep", SEPARATORS[style]).option(
+            "escape", '"'
+        ).csv(f"{folder}/{style}/{PARTITION}={year}")
+        store.discard(spark, kept)
+
+    store.made(spark, folder)
+    years = store.datasets(spark, path)
+    with ThreadPoolExecutor(YEARS) as some:
+        list(some.map(write, years, years.values()))
+    store.discard(spark, path)
     return folder
