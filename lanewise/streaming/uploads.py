@@ -61,7 +61,7 @@ def stream_uploads(
         judged = came.join(bad, came[store.SOURCE_FILE] == bad["_of"], "left").drop("_of")
         if planned.layouts:
             staged = planned.staged_by_file()
-            store.replace(accepted(staged), table, parts)
+            store.replace(accepted(staged), table, parts, not planned.lies_well(len(paths)))
             counts = staged.groupBy(store.SOURCE_FILE).agg(
                 F.count_if("_accepted").alias("accepted"),
                 F.count_if(~F.col("_accepted")).alias("rejected"),
@@ -72,6 +72,7 @@ def stream_uploads(
             judged = judged.withColumns({c: F.lit(0).cast("long") for c in counted})
         state = F.when(F.col("problem").isNotNull(), "unreadable").when(F.col("accepted") == 0, "empty").otherwise("stored")
         judged = store.kept(judged.withColumn("state", state), "judged")
+        planned.unstage()
         store.replace(judged.select(*FILE_COLUMNS), ledger, parts)
         store.replace(judged.where("problem IS NOT NULL").select("path", "problem", *parts), rejects, parts)
         for path, gone in ((table, "accepted = 0"), (rejects, "problem IS NULL")):
